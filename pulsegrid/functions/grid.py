@@ -1,12 +1,11 @@
-"""Uniform longitude/latitude grids and zone flags as column expressions."""
+"""Uniform longitude/latitude grids and zone flags.
+
+Methods take and return Spark SQL expressions as text.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -35,42 +34,47 @@ class GridSpec:
     def resized(self, nx: int, ny: int) -> "GridSpec":
         return GridSpec(self.lon_min, self.lon_max, self.lat_min, self.lat_max, nx, ny)
 
-    def cell_x(self, lon: Column, strict: bool = False) -> Column:
+    def cell_x(self, lon: str, strict: bool = False) -> str:
         return _index(lon, self.lon_min, self.lon_step, self.nx, strict)
 
-    def cell_y(self, lat: Column, strict: bool = False) -> Column:
+    def cell_y(self, lat: str, strict: bool = False) -> str:
         return _index(lat, self.lat_min, self.lat_step, self.ny, strict)
 
-    def flatten(self, x: Column, y: Column) -> Column:
+    def flatten(self, x: str, y: str) -> str:
         """One id per cell; NULL when either index is NULL."""
-        return (x * self.ny + y).cast("int")
+        return f"CAST(({x}) * {self.ny} + ({y}) AS INT)"
 
-    def cell_id(self, lon: Column, lat: Column) -> Column:
+    def cell_id(self, lon: str, lat: str) -> str:
         return self.flatten(self.cell_x(lon), self.cell_y(lat))
 
-    def x_of(self, cell: Column) -> Column:
-        return F.floor(cell / self.ny).cast("int")
+    def x_of(self, cell: str = "zone_id") -> str:
+        return f"CAST({cell} div {self.ny} AS INT)"
+
+    def y_of(self, cell: str = "zone_id") -> str:
+        return f"CAST({cell} % {self.ny} AS INT)"
+
+    def corner_lon(self, x: str) -> str:
+        return f"(({x}) * {double(self.lon_step)} + {double(self.lon_min)})"
 
-    def y_of(self, cell: Column) -> Column:
-        return (cell % self.ny).cast("int")
+    def corner_lat(self, y: str) -> str:
+        return f"(({y}) * {double(self.lat_step)} + {double(self.lat_min)})"
 
-    def corner_lon(self, x: Column) -> Column:
-        return x * F.lit(self.lon_step) + F.lit(self.lon_min)
 
-    def corner_lat(self, y: Column) -> Column:
-        return y * F.lit(self.lat_step) + F.lit(self.lat_min)
+def double(value: float) -> str:
+    """A DOUBLE literal."""
+    return f"({float(value)!r}D)"
 
 
-def _index(value: Column, low: float, step: float, n: int, strict: bool) -> Column:
+def _index(value: str, low: float, step: float, n: int, strict: bool) -> str:
     """Cell index truncated toward zero, NULL outside.
 
     Truncation puts values up to one step below the low edge into cell 0;
     ``strict`` leaves them out. The range test comes first, so NaN and huge
     values give NULL instead of a cast overflow.
     """
-    position = (value - F.lit(float(low))) / F.lit(float(step))
-    lowest = position >= 0 if strict else position > -1
-    return F.when(lowest & (position < n), position.cast("int"))
+    position = f"(({value}) - {double(low)}) / {double(step)}"
+    lowest = f"{position} >= 0D" if strict else f"{position} > -1D"
+    return f"CASE WHEN {lowest} AND {position} < {n}D THEN CAST({position} AS INT) END"
 
 
 @dataclass(frozen=True)
@@ -83,10 +87,10 @@ class FlagBox:
     lat_low: float
     lat_high: float
 
-    def contains(self, lon: Column, lat: Column) -> Column:
+    def contains(self, lon: str, lat: str) -> str:
         return (
-            (lon > self.lon_low) & (lon < self.lon_high)
-            & (lat > self.lat_low) & (lat < self.lat_high)
+            f"({lon} > {double(self.lon_low)} AND {lon} < {double(self.lon_high)}"
+            f" AND {lat} > {double(self.lat_low)} AND {lat} < {double(self.lat_high)})"
         )
 
 
@@ -98,12 +102,11 @@ FLAG_BOXES = (
 )
 
 
-def flag_columns(lon: Column, lat: Column, boxes=FLAG_BOXES) -> list[Column]:
+def flag_columns(lon: str, lat: str, boxes=FLAG_BOXES) -> list[str]:
     """One 0/1 column per box; the first matching box wins, NULL gives 0."""
     columns = []
     for i, box in enumerate(boxes):
-        inside = F.coalesce(box.contains(lon, lat), F.lit(False))
-        earlier = [F.coalesce(b.contains(lon, lat), F.lit(False)) for b in boxes[:i]]
-        hit = reduce(lambda acc, e: acc & ~e, earlier, inside)
-        columns.append(hit.cast("int").alias(box.name))
+        earlier = "".join(f"WHEN {b.contains(lon, lat)} THEN 0 " for b in boxes[:i])
+        hit = f"WHEN {box.contains(lon, lat)} THEN 1 "
+        columns.append(f"CASE {earlier}{hit}ELSE 0 END AS {box.name}")
     return columns

@@ -1,4 +1,4 @@
-"""Prediction scores as aggregate expressions.
+"""Prediction scores as SQL expressions.
 
 All scores come from four sums, so they combine across any grouping without
 another look at the rows.
@@ -6,37 +6,29 @@ another look at the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+SUMS = ("n", "sse", "sum_y", "sum_y2")
 
 
-def moment_sums(label: Column, prediction: Column) -> list[Column]:
-    """The mergeable sums ``n, sse, sum_y, sum_y2`` of scored rows."""
-    error = prediction - label
+def moment_sums(label: str = "demand", prediction: str = "prediction") -> list[str]:
+    """The mergeable aggregates ``n, sse, sum_y, sum_y2`` of scored rows."""
+    error = f"({prediction} - {label})"
     return [
-        F.count(label).alias("n"),
-        F.sum(error * error).alias("sse"),
-        F.sum(label).cast("double").alias("sum_y"),
-        F.sum(label * label).cast("double").alias("sum_y2"),
+        f"count({label}) AS n",
+        f"sum({error} * {error}) AS sse",
+        f"CAST(sum({label}) AS DOUBLE) AS sum_y",
+        f"CAST(sum({label} * {label}) AS DOUBLE) AS sum_y2",
     ]
 
 
-def rmse(n: Column, sse: Column) -> Column:
-    return F.sqrt(sse / F.nullif(n, F.lit(0)))
+def score_columns(digits: int = 6) -> list[str]:
+    """``rmse`` and ``r2`` from columns named as in ``moment_sums``.
 
-
-def r2(n: Column, sse: Column, sum_y: Column, sum_y2: Column) -> Column:
-    """1 - SSE/SST, NULL when the label is constant (SST = 0)."""
-    sst = sum_y2 - sum_y * sum_y / F.nullif(n, F.lit(0))
-    # rounding noise of a constant label must not pass for variance
-    constant = sst <= sum_y2 * 1e-12
-    return F.when(~constant, F.lit(1.0) - sse / F.when(~constant, sst))
-
-
-def score_columns(digits: int = 6) -> list[Column]:
-    """``rmse`` and ``r2`` from columns named as in ``moment_sums``."""
-    n, sse, sum_y, sum_y2 = (F.col(c) for c in ("n", "sse", "sum_y", "sum_y2"))
+    R2 is NULL when the label is constant: rounding noise of a constant label
+    must not pass for variance.
+    """
+    sst = "(sum_y2 - sum_y * sum_y / n)"
     return [
-        F.round(rmse(n, sse), digits).alias("rmse"),
-        F.round(r2(n, sse, sum_y, sum_y2), digits).alias("r2"),
+        f"CASE WHEN n > 0 THEN round(sqrt(greatest(sse, 0D) / n), {digits}) END AS rmse",
+        f"CASE WHEN n > 0 AND {sst} > sum_y2 * 1e-12D"
+        f" THEN round(1D - sse / {sst}, {digits}) END AS r2",
     ]

@@ -1,7 +1,9 @@
-"""Fixed-width time slots as column expressions.
+"""Fixed-width time slots.
 
-A slot id is plain integer arithmetic on the timestamp, and every calendar
-field is plain arithmetic on the slot id, so neither direction needs a join.
+A slot id is integer arithmetic on the timestamp, and every calendar field is
+integer and date arithmetic on the slot id, so neither direction needs a join.
+Methods take and return Spark SQL expressions as text, ready for
+``selectExpr`` or ``F.expr``.
 """
 
 from __future__ import annotations
@@ -9,9 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 CALENDAR_FIELDS = (
     "month", "week", "day", "day_of_week", "time_of_day_code", "hour", "minute",
 )
@@ -26,7 +25,7 @@ class SlotSpec:
     width_seconds: int = 600
 
     def __post_init__(self) -> None:
-        if 86400 % self.width_seconds:
+        if self.width_seconds < 1 or 86400 % self.width_seconds:
             raise ValueError("the slot width must divide a day")
 
     @classmethod
@@ -49,60 +48,60 @@ class SlotSpec:
     def first_slot_of(self, day: date) -> int:
         return (day - self.origin).days * self.per_day
 
-    def _origin(self) -> Column:
-        return F.expr(f"TIMESTAMP_NTZ '{self.origin.isoformat()} 00:00:00'")
+    @property
+    def _origin(self) -> str:
+        return f"TIMESTAMP_NTZ '{self.origin.isoformat()} 00:00:00'"
 
-    def slot_of(self, ts: Column, strict: bool = False) -> Column:
+    def slot_of(self, ts: str, strict: bool = False) -> str:
         """Slot id of a timestamp; NULL stays NULL, ids are not clamped.
 
         Truncates toward zero, so the last slot before the origin is also 0.
         ``strict`` floors instead.
         """
-        ts = ts.cast("timestamp_ntz")
+        since = f"{self._origin}, CAST({ts} AS TIMESTAMP_NTZ)"
         if strict:
-            micros = F.timestamp_diff("MICROSECOND", self._origin(), ts)
-            return F.floor(micros / (self.width_seconds * 1_000_000)).cast("int")
-        seconds = F.timestamp_diff("SECOND", self._origin(), ts)
-        return (seconds / self.width_seconds).cast("int")
-
-    def start_of(self, slot: Column) -> Column:
-        return F.timestamp_add("SECOND", slot * self.width_seconds, self._origin())
-
-    def end_of(self, slot: Column) -> Column:
-        return self.start_of(slot + 1)
-
-    def inside(self, slot: Column) -> Column:
-        return slot.between(0, self.count - 1)
-
-    def day_index(self, slot: Column) -> Column:
-        return F.floor(slot / self.per_day).cast("int")
-
-    def date_of(self, slot: Column) -> Column:
-        return F.date_add(F.lit(self.origin), self.day_index(slot))
-
-    def day_of_week(self, slot: Column) -> Column:
-        """0 = Monday."""
-        return F.pmod(self.day_index(slot) + self.origin.weekday(), F.lit(7)).cast("int")
-
-    def time_of_day(self, slot: Column) -> Column:
-        return F.pmod(slot, F.lit(self.per_day)).cast("int")
-
-    def field(self, name: str, slot: Column) -> Column:
-        """One of ``CALENDAR_FIELDS`` for a slot id; ``week`` is the ISO week."""
-        seconds = self.time_of_day(slot) * self.width_seconds
-        fields = {
-            "month": lambda: F.month(self.date_of(slot)),
-            "week": lambda: F.weekofyear(self.date_of(slot)),
-            "day": lambda: F.dayofmonth(self.date_of(slot)),
-            "day_of_week": lambda: self.day_of_week(slot),
-            "time_of_day_code": lambda: self.time_of_day(slot),
-            "hour": lambda: F.floor(seconds / 3600).cast("int"),
-            "minute": lambda: F.floor((seconds % 3600) / 60).cast("int"),
-        }
-        return fields[name]().alias(name)
-
-    def fields(self, slot: Column, names=CALENDAR_FIELDS) -> list[Column]:
-        return [self.field(name, slot) for name in names]
+            micros = f"timestampdiff(MICROSECOND, {since})"
+            return f"CAST(floor({micros} / {self.width_seconds * 1_000_000}) AS INT)"
+        return f"CAST(timestampdiff(SECOND, {since}) div {self.width_seconds} AS INT)"
+
+    def start_of(self, slot: str) -> str:
+        return f"timestampadd(SECOND, ({slot}) * {self.width_seconds}, {self._origin})"
+
+    def end_of(self, slot: str) -> str:
+        return self.start_of(f"{slot} + 1")
+
+    def inside(self, slot: str = "slot_id") -> str:
+        return f"{slot} BETWEEN 0 AND {self.count - 1}"
+
+    def day_index(self, slot: str = "slot_id") -> str:
+        return f"CAST(floor({slot} / {self.per_day}) AS INT)"
+
+    def date_of(self, slot: str = "slot_id") -> str:
+        return f"date_add(DATE '{self.origin.isoformat()}', {self.day_index(slot)})"
+
+    def time_of_day(self, slot: str = "slot_id") -> str:
+        return f"CAST(pmod({slot}, {self.per_day}) AS INT)"
+
+    def field(self, name: str, slot: str = "slot_id") -> str:
+        """One of ``CALENDAR_FIELDS`` for a slot id.
+
+        ``week`` is the ISO week, ``day_of_week`` starts at 0 = Monday.
+        """
+        seconds = f"{self.time_of_day(slot)} * {self.width_seconds}"
+        first = self.origin.weekday()
+        return {
+            "month": f"month({self.date_of(slot)})",
+            "week": f"weekofyear({self.date_of(slot)})",
+            "day": f"dayofmonth({self.date_of(slot)})",
+            "day_of_week": f"CAST(pmod({self.day_index(slot)} + {first}, 7) AS INT)",
+            "time_of_day_code": self.time_of_day(slot),
+            "hour": f"CAST({seconds} div 3600 AS INT)",
+            "minute": f"CAST({seconds} % 3600 div 60 AS INT)",
+        }[name]
+
+    def fields(self, names=CALENDAR_FIELDS, slot: str = "slot_id") -> list[str]:
+        """Named expressions of several calendar fields."""
+        return [f"{self.field(name, slot)} AS {name}" for name in names]
 
     def weekday_days(self, first_slot: int, stop_slot: int) -> list[int]:
         """How many days of each weekday (Monday first) a slot range touches."""

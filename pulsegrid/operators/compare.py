@@ -13,51 +13,39 @@ from pyspark.sql import functions as F
 def _side_by_side(metrics: DataFrame, models: list[str], metric: str) -> DataFrame:
     """One row per zone with a column per model; a single aggregation, no join."""
     columns = [
-        F.max(F.when(F.col("model") == m, F.col(metric))).alias(f"m{i}")
-        for i, m in enumerate(models)
+        F.expr(f"max(IF(model = '{m}', {metric}, NULL)) AS m{i}") for i, m in enumerate(models)
     ]
-    wanted = metrics.filter(F.col("model").isin(models) & F.col("zone_id").isNotNull())
+    wanted = metrics.filter(F.col("model").isin(models)).filter("zone_id IS NOT NULL")
     return wanted.groupBy("zone_id").agg(*columns)
 
 
 def compare_pair(metrics: DataFrame, a: str, b: str, metric: str = "r2") -> DataFrame:
     """Share of zones each model wins; a tie counts half for both."""
     zones = _side_by_side(metrics, [a, b], metric)
-    ranked = F.col("m0").isNotNull() & F.col("m1").isNotNull()
+    ranked = "m0 IS NOT NULL AND m1 IS NOT NULL"
 
-    def share(won, tied):
-        return F.round(
-            F.avg(F.when(ranked, F.when(won, 1.0).when(tied, 0.5).otherwise(0.0))), 6
-        )
+    def share(won: str) -> str:
+        points = f"CASE WHEN {won} THEN 1D WHEN m0 = m1 THEN 0.5D ELSE 0D END"
+        return f"round(avg(IF({ranked}, {points}, NULL)), 6)"
 
-    tie = F.col("m0") == F.col("m1")
-    return zones.agg(
-        share(F.col("m0") > F.col("m1"), tie).alias("a_share"),
-        share(F.col("m1") > F.col("m0"), tie).alias("b_share"),
-        F.count_if(ranked).alias("zones"),
-        F.count_if(~ranked).alias("left_out"),
-    ).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
+    return zones.selectExpr(
+        f"{share('m0 > m1')} AS a_share", f"{share('m1 > m0')} AS b_share",
+        f"count_if({ranked}) AS zones", f"count_if(NOT ({ranked})) AS left_out",
+    ).selectExpr(f"'{a}' AS model_a", f"'{b}' AS model_b", "*")
 
 
 def compare_all(metrics: DataFrame, models: list[str], metric: str = "r2") -> DataFrame:
     """Share of zones each model wins; ties go to the earlier model."""
     zones = _side_by_side(metrics, models, metric)
-    columns = [F.col(f"m{i}") for i in range(len(models))]
-    best = F.greatest(*columns)
-    winner = F.coalesce(*[F.when(c == best, F.lit(i)) for i, c in enumerate(columns)])
-    wins = zones.select(winner.alias("winner")).filter(F.col("winner").isNotNull()).agg(
-        *[F.count_if(F.col("winner") == i).alias(f"w{i}") for i in range(len(models))],
-        F.count("*").alias("zones"),
+    columns = [f"m{i}" for i in range(len(models))]
+    winner = f"array_position(array({', '.join(columns)}), greatest({', '.join(columns)}))"
+    wins = zones.selectExpr(f"{winner} AS winner").selectExpr(
+        "count(winner) AS zones",
+        *[f"count_if(winner = {i + 1}) AS w{i}" for i in range(len(models))],
     )
-    stacked = F.explode(
-        F.array(*[
-            F.struct(F.lit(m).alias("model"), F.col(f"w{i}").alias("wins"))
-            for i, m in enumerate(models)
-        ])
-    )
-    return wins.select("zones", stacked.alias("s")).select(
-        "s.model", "s.wins",
-        F.round(F.col("s.wins") / F.nullif("zones", F.lit(0)), 6).alias("share"),
+    rows = ", ".join(f"struct('{m}' AS model, w{i} AS wins)" for i, m in enumerate(models))
+    return wins.selectExpr("zones", f"inline(array({rows}))").selectExpr(
+        "model", "wins", "round(try_divide(wins, zones), 6) AS share"
     )
 
 
@@ -65,10 +53,9 @@ def compare_margin(metrics: DataFrame, a: str, b: str, metric: str = "r2",
                    floor: float = -1.0) -> DataFrame:
     """Sum and mean of the differences, each side clamped below at ``floor``."""
     zones = _side_by_side(metrics, [a, b], metric).dropna()
-    low = F.lit(floor)
-    difference = F.greatest("m0", low) - F.greatest("m1", low)
-    return zones.agg(
-        F.round(F.sum(difference), 6).alias("margin_sum"),
-        F.round(F.avg(difference), 6).alias("margin_mean"),
-        F.count("*").alias("zones"),
-    ).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
+    low = f"{float(floor)!r}D"
+    difference = f"greatest(m0, {low}) - greatest(m1, {low})"
+    return zones.selectExpr(
+        f"round(sum({difference}), 6) AS margin_sum",
+        f"round(avg({difference}), 6) AS margin_mean", "count(*) AS zones",
+    ).selectExpr(f"'{a}' AS model_a", f"'{b}' AS model_b", "*")

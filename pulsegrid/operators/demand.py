@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.slots import SlotSpec
@@ -24,11 +23,14 @@ def combine_grid(grid_trips: DataFrame, trip_times: DataFrame) -> DataFrame:
     )
 
 
-def count_demand(trips: DataFrame, **keys) -> DataFrame:
-    """Trips per key. Counts are combined before the one shuffle, so a hot
-    key costs one row per task."""
-    columns = [F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in keys.items()]
-    return trips.groupBy(*columns).agg(F.count("*").alias("demand"))
+def count_demand(trips: DataFrame, **keys: str) -> DataFrame:
+    """Trips per key, each key given as ``name="SQL expression"``.
+
+    Counts are combined before the one shuffle, so a hot key costs one row
+    per task.
+    """
+    columns = [F.expr(f"{expression} AS {name}") for name, expression in keys.items()]
+    return trips.groupBy(*columns).agg(F.expr("count(*) AS demand"))
 
 
 def fill_calendar(demand: DataFrame, slots: SlotSpec, zones: DataFrame) -> DataFrame:
@@ -38,11 +40,11 @@ def fill_calendar(demand: DataFrame, slots: SlotSpec, zones: DataFrame) -> DataF
     appear in the final projection, after the last shuffle. A block holds at
     most one day of slots.
     """
-    days = F.sequence(F.lit(0), F.lit(slots.days - 1))
-    blocks = zones.select("zone_id", F.explode(days).alias("day_index"))
-    return _expand_blocks(demand.filter(slots.inside(F.col("slot_id"))), blocks, slots).filter(
-        slots.inside(F.col("slot_id"))
+    blocks = zones.selectExpr(
+        "zone_id", f"explode(sequence(0, {slots.days - 1})) AS day_index"
     )
+    dense = _expand_blocks(demand.filter(slots.inside()), blocks, slots)
+    return dense.filter(slots.inside())
 
 
 def _expand_blocks(demand: DataFrame, blocks: DataFrame, slots: SlotSpec) -> DataFrame:
@@ -51,30 +53,24 @@ def _expand_blocks(demand: DataFrame, blocks: DataFrame, slots: SlotSpec) -> Dat
     ``blocks`` may carry ``codes``, the slots of that day to fill; by default
     the whole day is filled.
     """
-    slot = F.col("slot_id")
-    entry = F.struct(slots.time_of_day(slot).alias("code"), F.col("demand"))
-    seen = demand.groupBy("zone_id", slots.day_index(slot).alias("day_index")).agg(
-        F.collect_list(entry).alias("seen")
-    )
-    wanted = (
-        F.col("codes") if "codes" in blocks.columns
-        else F.sequence(F.lit(0), F.lit(slots.per_day - 1))
-    )
-    kept = F.coalesce("seen", F.array().cast("array<struct<code:int,demand:bigint>>"))
-    missing = F.array_except(wanted, F.transform(kept, lambda e: e["code"]))
-    zeros = F.transform(
-        missing, lambda c: F.struct(c.alias("code"), F.lit(0).cast("bigint").alias("demand"))
+    seen = demand.groupBy("zone_id", F.expr(f"{slots.day_index()} AS day_index")).agg(
+        F.expr(f"collect_list(struct({slots.time_of_day()} AS code, demand)) AS found")
     )
+    wanted = "codes" if "codes" in blocks.columns else f"sequence(0, {slots.per_day - 1})"
+    missing = f"array_except({wanted}, transform(found, e -> e.code))"
+    zeros = f"transform({missing}, c -> struct(c AS code, 0L AS demand))"
+    all_zero = f"transform({wanted}, c -> struct(c AS code, 0L AS demand))"
+    entries = f"IF(found IS NULL, {all_zero}, concat(found, {zeros}))"
     # blocks are small but grow to a day of rows each: spread them before
     # that over the full shuffle width, which AQE would otherwise narrow
     width = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         blocks.join(seen, ["zone_id", "day_index"], "left")
         .repartition(width, "zone_id", "day_index")
-        .select("zone_id", "day_index", F.explode(F.concat(kept, zeros)).alias("e"))
-        .select(
-            (F.col("day_index") * slots.per_day + F.col("e.code")).cast("int").alias("slot_id"),
-            "zone_id", F.col("e.demand").alias("demand"),
+        .selectExpr("zone_id", "day_index", f"explode({entries}) AS e")
+        .selectExpr(
+            f"CAST(day_index * {slots.per_day} + e.code AS INT) AS slot_id", "zone_id",
+            "e.demand AS demand",
         )
     )
 
@@ -85,14 +81,14 @@ def fill_observed(demand: DataFrame, slots: SlotSpec) -> DataFrame:
     ``demand`` is read three times; pass a written table. Observed slots are
     kept as one short array per day, so the key space is joined by day.
     """
-    slot = F.col("slot_id")
-    per_day = demand.filter(slot.isNotNull()).groupBy(
-        slots.day_index(slot).alias("day_index")
-    ).agg(F.collect_set(slots.time_of_day(slot)).alias("codes"))
-    span = per_day.agg(F.sequence(F.min("day_index"), F.max("day_index"))).scalar()
-    zones = demand.select("zone_id").filter(F.col("zone_id").isNotNull()).distinct()
+    known = demand.filter("slot_id IS NOT NULL")
+    per_day = known.groupBy(F.expr(f"{slots.day_index()} AS day_index")).agg(
+        F.expr(f"collect_set({slots.time_of_day()}) AS codes")
+    )
+    span = per_day.selectExpr("sequence(min(day_index), max(day_index))").scalar()
+    zones = demand.select("zone_id").filter("zone_id IS NOT NULL").distinct()
     blocks = zones.select("zone_id", F.explode(span).alias("day_index")).join(per_day, "day_index")
-    return _expand_blocks(demand.filter(slot.isNotNull()), blocks, slots)
+    return _expand_blocks(known, blocks, slots)
 
 
 def join_calendar(demand: DataFrame, extended_slots: DataFrame) -> DataFrame:
@@ -115,9 +111,7 @@ def lookup_demand(keys: DataFrame, demand: DataFrame) -> DataFrame:
     ``demand`` has one row per key, so repeated keys do not multiply rows and
     AQE can split a hot key on the ``keys`` side.
     """
-    return keys.join(demand, ["slot_id", "zone_id"], "left").withColumn(
-        "demand", F.coalesce("demand", F.lit(0).cast("bigint"))
-    )
+    return keys.join(demand, ["slot_id", "zone_id"], "left").fillna(0, ["demand"])
 
 
 def lookup_features(keys: DataFrame, features: DataFrame) -> DataFrame:
@@ -133,26 +127,34 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def zone_counts(trips: DataFrame, zone: str = "pickup_zone") -> DataFrame:
-    return trips.groupBy(F.col(zone).alias("zone_id")).agg(F.count("*").alias("cnt"))
+    return trips.groupBy(F.col(zone).alias("zone_id")).agg(F.expr("count(*) AS cnt"))
 
 
 def top_demand(demand: DataFrame, n: int) -> DataFrame:
     """The ``n`` zones with the most demand, lowest id first on a tie."""
-    totals = demand.groupBy("zone_id").agg(F.sum("demand").alias("demand"))
+    totals = demand.groupBy("zone_id").agg(F.expr("sum(demand) AS demand"))
     return totals.orderBy(F.desc("demand"), "zone_id").limit(n)
 
 
 def groups_with_rows(df: DataFrame, minimum: int, *keys: str) -> DataFrame:
     """Groups that have at least ``minimum`` rows, with their size."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= minimum)
+    return df.groupBy(*keys).agg(F.expr("count(*) AS n")).filter(f"n >= {minimum}")
 
 
-def groups_with_train_test(df: DataFrame, is_train, min_train: int, min_test: int) -> DataFrame:
+def groups_with_train_test(
+    df: DataFrame, is_train: str, min_train: int, min_test: int
+) -> DataFrame:
     """Zones with enough rows on both sides of a split."""
-    sizes = df.groupBy("zone_id").agg(
-        F.count_if(is_train).alias("n_train"), F.count_if(~is_train).alias("n_test")
+    return train_test_sizes(df, is_train).filter(
+        f"n_train >= {min_train} AND n_test >= {min_test}"
+    )
+
+
+def train_test_sizes(df: DataFrame, is_train: str) -> DataFrame:
+    """Rows per zone on both sides of a split."""
+    return df.groupBy("zone_id").agg(
+        F.expr(f"count_if({is_train}) AS n_train"), F.expr(f"count_if(NOT ({is_train})) AS n_test")
     )
-    return sizes.filter((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
 
 
 def index_slice(demand: DataFrame, start: int, stop: int) -> DataFrame:
@@ -162,22 +164,22 @@ def index_slice(demand: DataFrame, start: int, stop: int) -> DataFrame:
     range are numbered, each on its own (at most one row per zone), so no
     task ever sorts the whole table.
     """
-    block = F.floor(F.col("slot_id") / 4096)
-    counts = demand.groupBy("slot_id").agg(F.count("*").alias("rows")).withColumn("block", block)
-    blocks = counts.groupBy("block").agg(F.sum("rows").alias("rows"))
-    before_block = F.sum("rows").over(W.orderBy("block")) - F.col("rows")
-    blocks = blocks.select("block", before_block.alias("before_block"))
-    in_block = F.sum("rows").over(W.partitionBy("block").orderBy("slot_id")) - F.col("rows")
+    counts = demand.groupBy("slot_id").agg(F.expr("count(*) AS rows"))
+    counts = counts.selectExpr("slot_id", "rows", "floor(slot_id / 4096) AS block")
+    blocks = counts.groupBy("block").agg(F.expr("sum(rows) AS rows")).selectExpr(
+        "block", "sum(rows) OVER (ORDER BY block) - rows AS before_block"
+    )
     offsets = (
-        counts.withColumn("in_block", in_block)
+        counts.selectExpr(
+            "*", "sum(rows) OVER (PARTITION BY block ORDER BY slot_id) - rows AS in_block"
+        )
         .join(blocks, "block")
-        .select("slot_id", (F.col("before_block") + F.col("in_block")).alias("first"), "rows")
-        .filter((F.col("first") < stop) & (F.col("first") + F.col("rows") > start))
+        .selectExpr("slot_id", "before_block + in_block AS first", "rows")
+        .filter(f"first < {stop} AND first + rows > {start}")
     )
-    rank = F.row_number().over(W.partitionBy("slot_id").orderBy("zone_id")) - 1
+    rank = "row_number() OVER (PARTITION BY slot_id ORDER BY zone_id) - 1"
     return (
         demand.join(offsets, "slot_id")
-        .withColumn("row_index", (F.col("first") + rank).cast("bigint"))
-        .filter((F.col("row_index") >= start) & (F.col("row_index") < stop))
-        .select("row_index", "slot_id", "zone_id", "demand")
+        .selectExpr(f"first + {rank} AS row_index", "slot_id", "zone_id", "demand")
+        .filter(f"row_index >= {start} AND row_index < {stop}")
     )

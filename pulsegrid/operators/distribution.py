@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def value_counts(demand: DataFrame) -> DataFrame:
     """How often each positive demand value occurs."""
-    return demand.filter(F.col("demand") > 0).groupBy("demand").agg(F.count("*").alias("rows"))
+    return demand.filter("demand > 0").groupBy("demand").agg(F.expr("count(*) AS rows"))
 
 
 def histogram(values: DataFrame, bins: int) -> DataFrame:
@@ -20,48 +20,36 @@ def histogram(values: DataFrame, bins: int) -> DataFrame:
 
     Empty bins are listed; the last bin includes its upper edge.
     """
-    low, high = F.col("low"), F.col("high")
     # a single value gets the unit range around it
-    flat = low == high
-    edges = values.agg(
-        F.min("demand").cast("double").alias("low"), F.max("demand").cast("double").alias("high"),
-        F.sum("rows").alias("n"),
-    ).filter(F.col("n").isNotNull()).select(
-        F.when(flat, low - 0.5).otherwise(low).alias("low"),
-        F.when(flat, high + 0.5).otherwise(high).alias("high"), "n",
-    ).withColumn("width", (high - low) / bins)
-    lows, widths = edges.select("low").scalar(), edges.select("width").scalar()
-    place = F.floor((F.col("demand") - lows) / widths).cast("int")
-    filled = values.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(
-        F.sum("rows").alias("cnt")
+    edges = (
+        values.selectExpr(
+            "CAST(min(demand) AS DOUBLE) AS a", "CAST(max(demand) AS DOUBLE) AS b",
+            "sum(rows) AS total",
+        )
+        .filter("total IS NOT NULL")
+        .selectExpr("IF(a = b, a - 0.5D, a) AS low", "IF(a = b, b + 0.5D, b) AS high", "total")
+        .selectExpr("low", f"(high - low) / {bins} AS width", "total")
     )
-    all_bins = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    count = F.coalesce("cnt", F.lit(0).cast("bigint"))
-    return all_bins.join(filled, "bin", "left").select(
-        "bin",
-        F.round(low + F.col("width") * F.col("bin"), 6).alias("bin_start"),
-        count.alias("cnt"),
-        F.round(count / (F.col("n") * F.col("width")), 6).alias("density"),
+    placed = values.withColumn("edge", edges.selectExpr("struct(low, width)").scalar())
+    filled = placed.groupBy(
+        F.expr(f"least(CAST(floor((demand - edge.low) / edge.width) AS INT), {bins - 1}) AS bin")
+    ).agg(F.expr("sum(rows) AS cnt"))
+    every = edges.selectExpr("*", f"explode(sequence(0, {bins - 1})) AS bin")
+    return every.join(filled, "bin", "left").selectExpr(
+        "bin", "round(low + width * bin, 6) AS bin_start", "coalesce(cnt, 0L) AS cnt",
+        "round(coalesce(cnt, 0L) / (total * width), 6) AS density",
     )
 
 
-def _points(fit: DataFrame, n: int | None) -> DataFrame:
-    last = F.col("largest") if n is None else F.lit(n - 1)
-    return fit.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("x"))
-
-
 def fit_exponential(values: DataFrame, n: int | None = None,
                     mean: float | None = None) -> DataFrame:
     """Exponential density at 0..n-1 (default: up to the largest demand)."""
-    fitted = values.agg(
-        (F.sum(F.col("demand") * F.col("rows")) / F.sum("rows")).alias("mean"),
-        F.max("demand").alias("largest"),
-    ).filter(F.col("mean").isNotNull())
-    if mean is not None:
-        fitted = fitted.withColumn("mean", F.lit(float(mean)))
-    density = F.exp(-F.col("x") / F.col("mean")) / F.col("mean")
-    return _points(fitted, n).select(
-        "x", F.round("mean", 6).alias("mean"), F.round(density, 6).alias("density")
+    fitted_mean = "sum(demand * rows) / sum(rows)" if mean is None else f"{float(mean)!r}D"
+    fitted = values.selectExpr(f"{fitted_mean} AS m", "max(demand) AS largest").filter(
+        "largest IS NOT NULL"
+    )
+    return _points(fitted, n).selectExpr(
+        "x", "round(m, 6) AS mean", "round(exp(-x / m) / m, 6) AS density"
     )
 
 
@@ -70,16 +58,18 @@ def fit_pareto(values: DataFrame, n: int | None = None) -> DataFrame:
 
     ``alpha`` is NULL when every value equals the minimum.
     """
-    smallest = values.agg(F.min("demand").cast("double")).scalar()
-    log_ratio = F.ln(F.col("demand").cast("double")) - F.ln(smallest)
-    fitted = values.agg(
-        (F.sum("rows") / F.nullif(F.sum(F.col("rows") * log_ratio), F.lit(0.0))).alias("alpha"),
-        F.min("demand").cast("double").alias("xm"),
-        F.max("demand").alias("largest"),
-    ).filter(F.col("xm").isNotNull())
-    alpha, xm, x = F.col("alpha"), F.col("xm"), F.col("x").cast("double")
-    tail = alpha * F.pow(xm, alpha) / F.pow(F.when(x >= xm, x), alpha + 1)
-    return _points(fitted, n).select(
-        "x", F.round("xm", 6).alias("xm"), F.round("alpha", 6).alias("alpha"),
-        F.round(F.when(x >= xm, tail).otherwise(0.0), 6).alias("density"),
+    smallest = values.selectExpr("CAST(min(demand) AS DOUBLE)").scalar()
+    fitted = values.withColumn("xm", smallest).selectExpr(
+        "try_divide(sum(rows), sum(rows * (ln(demand) - ln(xm)))) AS alpha",
+        "max(xm) AS xm", "max(demand) AS largest",
+    ).filter("largest IS NOT NULL")
+    tail = "alpha * pow(xm, alpha) / pow(x, alpha + 1)"
+    return _points(fitted, n).selectExpr(
+        "x", "round(xm, 6) AS xm", "round(alpha, 6) AS alpha",
+        f"round(IF(x >= xm, {tail}, 0D), 6) AS density",
     )
+
+
+def _points(fit: DataFrame, n: int | None) -> DataFrame:
+    last = "largest" if n is None else f"{n - 1}L"
+    return fit.selectExpr("*", f"explode(sequence(0L, {last})) AS x")

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scores import moment_sums, score_columns
+from pulsegrid.functions.scores import SUMS, moment_sums, score_columns
 
 
 def moments(df: DataFrame, *keys: str, label: str = "demand",
             prediction: str = "prediction") -> DataFrame:
     """Mergeable score sums per key."""
-    return df.groupBy(*keys).agg(*moment_sums(F.col(label), F.col(prediction)))
+    return df.groupBy(*keys).agg(*map(F.expr, moment_sums(label, prediction)))
 
 
 def score(df: DataFrame, *keys: str, label: str = "demand",
           prediction: str = "prediction") -> DataFrame:
     """``n, rmse, r2`` per key (or one row without keys)."""
     sums = moments(df, *keys, label=label, prediction=prediction)
-    return sums.select(*keys, "n", *score_columns())
+    return sums.selectExpr(*keys, "n", *score_columns())
 
 
 def score_moments(sums: DataFrame, *keys: str) -> DataFrame:
@@ -27,11 +27,11 @@ def score_moments(sums: DataFrame, *keys: str) -> DataFrame:
     The pooled row is rolled up from the per-key sums, not from the rows.
     """
     totals = sums.rollup(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("n", "sse", "sum_y", "sum_y2")],
-        F.grouping_id().alias("level"),
+        *[F.expr(f"sum({c}) AS {c}") for c in SUMS], F.expr("grouping_id() AS level")
+    )
+    return totals.filter(f"level IN (0, {2 ** len(keys) - 1})").selectExpr(
+        *keys, "n", *score_columns()
     )
-    whole = 2 ** len(keys) - 1
-    return totals.filter(F.col("level").isin(0, whole)).select(*keys, "n", *score_columns())
 
 
 def score_with_total(df: DataFrame, *keys: str, label: str = "demand",
@@ -41,41 +41,33 @@ def score_with_total(df: DataFrame, *keys: str, label: str = "demand",
 
 def constant_rmse(df: DataFrame, constants: list[float], label: str = "demand") -> DataFrame:
     """RMSE of predicting each constant; all of them in one pass over the rows."""
-    y = F.col(label)
-    sums = df.agg(
-        F.count(y).alias("n"), F.sum(y).cast("double").alias("s"),
-        F.sum(y * y).cast("double").alias("s2"),
+    guesses = ", ".join(f"{float(c)!r}D" for c in constants)
+    sums = df.selectExpr(
+        f"count({label}) AS n", f"CAST(sum({label}) AS DOUBLE) AS s",
+        f"CAST(sum({label} * {label}) AS DOUBLE) AS s2",
     )
-    c = F.explode(F.array(*[F.lit(float(v)) for v in constants])).alias("constant")
-    mean_square = (
-        F.col("s2") - F.col("constant") * 2 * F.col("s")
-        + F.col("n") * F.col("constant") * F.col("constant")
-    ) / F.nullif("n", F.lit(0))
-    return sums.select("n", "s", "s2", c).select(
-        "constant", F.round(F.sqrt(F.greatest(mean_square, F.lit(0.0))), 6).alias("rmse")
+    square = "greatest((s2 - 2 * constant * s + n * constant * constant) / n, 0D)"
+    return sums.selectExpr("n", "s", "s2", f"explode(array({guesses})) AS constant").selectExpr(
+        "constant", f"CASE WHEN n > 0 THEN round(sqrt({square}), 6) END AS rmse"
     )
 
 
 def describe(df: DataFrame, *keys: str, column: str = "demand") -> DataFrame:
     """Count, mean, sample deviation, minimum and maximum per key."""
-    return df.groupBy(*keys).agg(
-        F.count(column).alias("cnt"),
-        F.round(F.avg(column), 6).alias("mean"),
-        F.round(F.stddev_samp(column), 6).alias("stddev"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-    )
+    return df.groupBy(*keys).agg(*map(F.expr, (
+        f"count({column}) AS cnt", f"round(avg({column}), 6) AS mean",
+        f"round(stddev_samp({column}), 6) AS stddev", f"min({column}) AS min",
+        f"max({column}) AS max",
+    )))
 
 
 def metric_summary(metrics: DataFrame, *names: str) -> DataFrame:
     """Mean and population deviation of metrics over the zones of each model."""
-    columns: list[Column] = [F.count("*").alias("zones")]
+    columns = ["count(*) AS zones"]
     for name in names:
-        columns += [
-            F.round(F.avg(name), 6).alias(f"{name}_mean"),
-            F.round(F.stddev_pop(name), 6).alias(f"{name}_std"),
-        ]
-    return metrics.groupBy("model").agg(*columns)
+        columns.append(f"round(avg({name}), 6) AS {name}_mean")
+        columns.append(f"round(stddev_pop({name}), 6) AS {name}_std")
+    return metrics.groupBy("model").agg(*map(F.expr, columns))
 
 
 def zscores(df: DataFrame, *names: str) -> DataFrame:
@@ -84,13 +76,11 @@ def zscores(df: DataFrame, *names: str) -> DataFrame:
     Mean and deviation come from one aggregation, joined back on the zone.
     """
     stats = df.groupBy("zone_id").agg(
-        *[F.avg(n).alias(f"{n}_mean") for n in names],
-        *[F.stddev_pop(n).alias(f"{n}_std") for n in names],
+        *[F.expr(f"avg({n}) AS {n}_mean") for n in names],
+        *[F.expr(f"stddev_pop({n}) AS {n}_std") for n in names],
     )
     scaled = [
-        F.coalesce(
-            (F.col(n) - F.col(f"{n}_mean")) / F.nullif(F.col(f"{n}_std"), F.lit(0.0)), F.lit(0.0)
-        ).alias(f"{n}_z")
+        f"CASE WHEN {n}_std > 0 THEN ({n} - {n}_mean) / {n}_std ELSE 0D END AS {n}_z"
         for n in names
     ]
-    return df.join(stats, "zone_id").select("slot_id", "zone_id", *scaled)
+    return df.join(stats, "zone_id").selectExpr("slot_id", "zone_id", *scaled)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pulsegrid.functions.grid import FLAG_BOXES, GridSpec, flag_columns
 from pulsegrid.functions.slots import SlotSpec
@@ -26,7 +25,10 @@ LAYOUT_CELL = (
 LAYOUT_SLOT_ZONE = ("slot_id", "zone_id")
 LAYOUT_WEEKDAY = ("day_of_week", "time_of_day_code")
 
-_CALENDAR = ("time_of_day_code", "day_of_week", "day", "week", "hour", "minute")
+
+def with_calendar(demand: DataFrame, slots: SlotSpec) -> DataFrame:
+    """Calendar fields of every row, computed from the slot id alone."""
+    return demand.selectExpr("slot_id", "zone_id", *slots.fields(LAYOUT_CALENDAR), "demand")
 
 
 def zone_features(demand: DataFrame, slots: SlotSpec, zones: DataFrame,
@@ -36,20 +38,17 @@ def zone_features(demand: DataFrame, slots: SlotSpec, zones: DataFrame,
     Calendar fields are computed from the slot id; only the flags are joined.
     """
     flags = [box.name for box in boxes]
-    with_fields = demand.select(
-        "slot_id", "zone_id", *slots.fields(F.col("slot_id"), _CALENDAR), "demand"
-    )
-    return with_zone_flags(with_fields, zones, boxes).select(
-        "slot_id", "zone_id", *_CALENDAR, *flags, "demand"
+    return with_zone_flags(with_calendar(demand, slots), zones, boxes).select(
+        "slot_id", "zone_id", *LAYOUT_CALENDAR, *flags, "demand"
     )
 
 
 def sparse_features(demand: DataFrame, slots: SlotSpec, zones: DataFrame,
                     boxes=FLAG_BOXES) -> DataFrame:
     """As ``zone_features``, only for rows with demand inside the calendar."""
-    seen = demand.filter(slots.inside(F.col("slot_id")) & (F.col("demand") > 0))
-    return zone_features(seen, slots, zones, boxes).withColumn(
-        "month", slots.field("month", F.col("slot_id"))
+    seen = demand.filter(f"{slots.inside()} AND demand > 0")
+    return zone_features(seen, slots, zones, boxes).selectExpr(
+        "*", *slots.fields(("month",))
     )
 
 
@@ -59,13 +58,10 @@ def grid_features(demand: DataFrame, slots: SlotSpec, grid: GridSpec,
 
     The flags look at the cell's corner; nothing is joined.
     """
-    cell = F.col("zone_id")
-    x, y = grid.x_of(cell), grid.y_of(cell)
-    return demand.select(
-        "slot_id", x.alias("cell_x"), y.alias("cell_y"),
-        *slots.fields(F.col("slot_id"), _CALENDAR),
-        *flag_columns(grid.corner_lon(x), grid.corner_lat(y), boxes),
-        "demand",
+    lon, lat = grid.corner_lon(grid.x_of()), grid.corner_lat(grid.y_of())
+    return demand.selectExpr(
+        "slot_id", f"{grid.x_of()} AS cell_x", f"{grid.y_of()} AS cell_y",
+        *slots.fields(LAYOUT_CALENDAR), *flag_columns(lon, lat, boxes), "demand",
     )
 
 
@@ -75,18 +71,13 @@ def fill_features(features: DataFrame, dense: DataFrame, slots: SlotSpec, zones:
 
     ``dense`` lists the wanted (slot, zone) keys.
     """
-    names = [*_CALENDAR, *(box.name for box in boxes)]
-    made = zone_features(dense.select("slot_id", "zone_id", F.lit(0).alias("demand")),
-                         slots, zones, boxes)
-    found = features.select(
-        "slot_id", "zone_id", *[F.col(n).alias(f"found_{n}") for n in names],
-        F.col("demand").alias("found_demand"),
-    )
+    names = [*LAYOUT_CALENDAR, *(box.name for box in boxes), "demand"]
+    keys = dense.selectExpr("slot_id", "zone_id", "0L AS demand")
+    made = zone_features(keys, slots, zones, boxes)
+    found = features.selectExpr("slot_id", "zone_id", *[f"{n} AS found_{n}" for n in names])
     joined = made.join(found, ["slot_id", "zone_id"], "left")
-    return joined.select(
-        "slot_id", "zone_id",
-        *[F.coalesce(f"found_{n}", n).alias(n) for n in names],
-        F.coalesce("found_demand", F.lit(0).cast("bigint")).alias("demand"),
+    return joined.selectExpr(
+        "slot_id", "zone_id", *[f"coalesce(found_{n}, {n}) AS {n}" for n in names]
     )
 
 

@@ -21,33 +21,31 @@ from pulsegrid.operators.features import assemble
 
 def fit_line(train: DataFrame, keys: list[str], feature: str, label: str = "demand") -> DataFrame:
     """One-feature least squares per group; a constant feature gives slope 0."""
-    y, x = F.col(label), F.col(feature)
-    return train.groupBy(*keys).agg(
-        F.count(y).alias("n_train"),
-        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept(y, x), F.avg(y)).alias("intercept"),
-    )
+    pair = f"{label}, {feature}"
+    return train.groupBy(*keys).agg(*map(F.expr, (
+        f"count({label}) AS n_train",
+        f"coalesce(regr_slope({pair}), 0D) AS slope",
+        f"coalesce(regr_intercept({pair}), avg({label})) AS intercept",
+    )))
 
 
 def predict_line(rows: DataFrame, model: DataFrame, keys: list[str], feature: str) -> DataFrame:
-    return rows.join(model, keys).withColumn(
-        "prediction", F.col("intercept") + F.col("slope") * F.col(feature)
+    return rows.join(model, keys).selectExpr(
+        "*", f"intercept + slope * {feature} AS prediction"
     )
 
 
 def normal_sums(train: DataFrame, keys: list[str], features: list[str],
                 label: str = "demand") -> DataFrame:
-    """``n``, means and cross products of features and label per group."""
+    """``n``, sums and sums of products of features and label per group."""
     columns = [*features, label]
-    products = [
-        F.sum(F.col(a).cast("double") * F.col(b))
-        for i, a in enumerate(columns) for b in columns[i:]
-    ]
-    return train.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(F.col(c).cast("double")) for c in columns]).alias("sums"),
-        F.array(*products).alias("products"),
+    sums = ", ".join(f"sum(CAST({c} AS DOUBLE))" for c in columns)
+    products = ", ".join(
+        f"sum(CAST({a} AS DOUBLE) * {b})" for i, a in enumerate(columns) for b in columns[i:]
     )
+    return train.groupBy(*keys).agg(*map(F.expr, (
+        "count(*) AS n", f"array({sums}) AS sums", f"array({products}) AS products",
+    )))
 
 
 def fit_ols(train: DataFrame, keys: list[str], features: list[str],
@@ -96,10 +94,8 @@ def fit_ols(train: DataFrame, keys: list[str], features: list[str],
 
 def predict_ols(rows: DataFrame, model: DataFrame, keys: list[str],
                 features: list[str]) -> DataFrame:
-    value = F.col("intercept")
-    for i, name in enumerate(features):
-        value = value + F.get("coefficients", F.lit(i)) * F.col(name)
-    return rows.join(model.drop("n"), keys).withColumn("prediction", value)
+    terms = "".join(f" + coefficients[{i}] * {name}" for i, name in enumerate(features))
+    return rows.join(model.drop("n"), keys).selectExpr("*", f"intercept{terms} AS prediction")
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, keys: list[str], features: list[str],

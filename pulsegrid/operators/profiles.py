@@ -8,7 +8,7 @@ demand gives fit and scores; the zero-filled table is never built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.slots import SlotSpec
@@ -19,77 +19,71 @@ CELL = ("day_of_week", "hour")
 
 def profile_sums(demand: DataFrame, slots: SlotSpec, first_test_slot: int) -> DataFrame:
     """Per zone, weekday and hour: training and test sums of the demand."""
-    slot, y = F.col("slot_id"), F.col("demand")
-    train, test = slot < first_test_slot, slot >= first_test_slot
-    return (
-        demand.filter(slots.inside(slot))
-        .groupBy("zone_id", *slots.fields(slot, CELL))
-        .agg(
-            F.count_if(train).alias("train_rows"),
-            F.coalesce(F.sum(F.when(train, y)), F.lit(0)).alias("train_sum"),
-            F.count_if(test).alias("test_rows"),
-            F.coalesce(F.sum(F.when(test, y)), F.lit(0)).alias("test_sum"),
-            F.coalesce(F.sum(F.when(test, y * y)), F.lit(0)).alias("test_sum2"),
-        )
-    )
-
+    train, test = f"slot_id < {first_test_slot}", f"slot_id >= {first_test_slot}"
+    keys = ["zone_id", *slots.fields(CELL)]
+    return demand.filter(slots.inside()).groupBy(*map(F.expr, keys)).agg(*map(F.expr, (
+        f"count_if({train}) AS train_rows",
+        f"sum(IF({train}, demand, 0)) AS train_sum",
+        f"count_if({test}) AS test_rows",
+        f"sum(IF({test}, demand, 0)) AS test_sum",
+        f"sum(IF({test}, demand * demand, 0)) AS test_sum2",
+    )))
 
-def _per_weekday(counts: list[int]) -> Column:
-    return F.get(F.array(*[F.lit(c) for c in counts]), F.col("day_of_week"))
 
-
-def _divide(total: Column, divisor: Column) -> Column:
-    return F.coalesce(total / F.nullif(divisor, F.lit(0)), F.lit(0.0))
+def _slots_in_cell(slots: SlotSpec, first: int, stop: int) -> str:
+    """Calendar slots of a row's (weekday, hour) between two slot ids."""
+    counts = (str(days * slots.per_hour) for days in slots.weekday_days(first, stop))
+    return f"array({', '.join(counts)})[day_of_week]"
 
 
 def zone_profile(sums: DataFrame, slots: SlotSpec, first_test_slot: int) -> DataFrame:
     """Per-slot mean of each zone's training days, zeros included."""
-    days = _per_weekday(slots.weekday_days(0, first_test_slot))
-    return sums.withColumn("prediction", _divide(F.col("train_sum"), days * slots.per_hour))
+    n = _slots_in_cell(slots, 0, first_test_slot)
+    return sums.selectExpr("*", f"coalesce(try_divide(train_sum, {n}), 0D) AS prediction")
 
 
 def global_profile(sums: DataFrame, slots: SlotSpec, first_test_slot: int) -> DataFrame:
     """Per-slot mean over all zones, one row per (weekday, hour)."""
-    days = _per_weekday(slots.weekday_days(0, first_test_slot))
-    zones = sums.agg(F.count_distinct("zone_id")).scalar()
-    cells = sums.groupBy(*CELL).agg(F.sum("train_sum").alias("train_sum"))
-    return cells.select(
-        *CELL, _divide(F.col("train_sum"), days * slots.per_hour * zones).alias("prediction")
+    n = _slots_in_cell(slots, 0, first_test_slot)
+    zones = sums.selectExpr("count(DISTINCT zone_id)").scalar()
+    cells = sums.groupBy(*CELL).agg(F.expr("sum(train_sum) AS train_sum"))
+    return cells.withColumn("zones", zones).selectExpr(
+        *CELL, f"coalesce(try_divide(train_sum, {n} * zones), 0D) AS prediction"
     )
 
 
 def row_means(sums: DataFrame) -> DataFrame:
     """Mean of the existing training rows only; no row, prediction 0."""
-    return sums.withColumn("prediction", _divide(F.col("train_sum"), F.col("train_rows")))
+    return sums.selectExpr("*", "coalesce(try_divide(train_sum, train_rows), 0D) AS prediction")
 
 
 def mean_of_means(sums: DataFrame) -> DataFrame:
     """The zones' row means averaged over every zone that has training rows."""
-    zones = sums.filter("train_rows > 0").agg(F.count_distinct("zone_id")).scalar()
-    return row_means(sums).groupBy(*CELL).agg(
-        _divide(F.sum("prediction"), F.max(zones)).alias("prediction")
+    zones = sums.filter("train_rows > 0").selectExpr("count(DISTINCT zone_id)").scalar()
+    totals = row_means(sums).groupBy(*CELL).agg(F.expr("sum(prediction) AS total"))
+    return totals.withColumn("zones", zones).selectExpr(
+        *CELL, "coalesce(try_divide(total, zones), 0D) AS prediction"
     )
 
 
-def _cell_moments(cells: DataFrame, n: Column) -> DataFrame:
-    p = F.col("prediction")
-    return cells.groupBy("zone_id").agg(
-        F.sum(n).alias("cell_n"),
-        F.sum(n * p * p - p * F.col("test_sum") * 2 + F.col("test_sum2")).alias("sse"),
-        F.sum("test_sum").cast("double").alias("sum_y"),
-        F.sum("test_sum2").cast("double").alias("sum_y2"),
-    )
+def _cell_moments(cells: DataFrame, n: str) -> DataFrame:
+    p = "prediction"
+    return cells.groupBy("zone_id").agg(*map(F.expr, (
+        f"sum({n}) AS n",
+        f"sum({n} * {p} * {p} - 2 * {p} * test_sum + test_sum2) AS sse",
+        "CAST(sum(test_sum) AS DOUBLE) AS sum_y",
+        "CAST(sum(test_sum2) AS DOUBLE) AS sum_y2",
+    )))
 
 
 def score_zone_profile(profile: DataFrame, slots: SlotSpec, first_test_slot: int) -> DataFrame:
-    """RMSE and R² per zone over every test slot, plus the pooled row.
+    """RMSE and R2 per zone over every test slot, plus the pooled row.
 
     Cells a zone never used predict 0 for a label of 0 and add only to ``n``.
     """
-    test_days = _per_weekday(slots.weekday_days(first_test_slot, slots.count))
-    sums = _cell_moments(profile, test_days * slots.per_hour)
-    n = F.lit(slots.count - first_test_slot).cast("bigint").alias("n")
-    return score_moments(sums.select("zone_id", n, "sse", "sum_y", "sum_y2"), "zone_id")
+    sums = _cell_moments(profile, _slots_in_cell(slots, first_test_slot, slots.count))
+    whole = f"{slots.count - first_test_slot}L AS n"
+    return score_moments(sums.selectExpr("zone_id", whole, "sse", "sum_y", "sum_y2"), "zone_id")
 
 
 def score_global_profile(sums: DataFrame, profile: DataFrame, slots: SlotSpec,
@@ -99,38 +93,32 @@ def score_global_profile(sums: DataFrame, profile: DataFrame, slots: SlotSpec,
     A zone's unused cells still get a non-zero prediction; their error is the
     same for every zone, so it is summed once and corrected per used cell.
     """
-    n = _per_weekday(slots.weekday_days(first_test_slot, slots.count)) * slots.per_hour
-    p = F.col("prediction")
-    empty_error = profile.agg(F.coalesce(F.sum(n * p * p), F.lit(0.0))).scalar()
-    used = sums.join(profile, list(CELL)).groupBy("zone_id").agg(
-        F.sum(F.col("test_sum2") - p * F.col("test_sum") * 2).alias("used"),
-        F.sum("test_sum").cast("double").alias("sum_y"),
-        F.sum("test_sum2").cast("double").alias("sum_y2"),
-    )
-    rows = F.lit(slots.count - first_test_slot).cast("bigint").alias("n")
-    return score_moments(
-        used.select("zone_id", rows, (F.col("used") + empty_error).alias("sse"), "sum_y", "sum_y2"),
-        "zone_id",
+    n = _slots_in_cell(slots, first_test_slot, slots.count)
+    empty_error = profile.selectExpr(f"sum({n} * prediction * prediction)").scalar()
+    used = sums.join(profile, list(CELL)).groupBy("zone_id").agg(*map(F.expr, (
+        "sum(test_sum2 - 2 * prediction * test_sum) AS used",
+        "CAST(sum(test_sum) AS DOUBLE) AS sum_y",
+        "CAST(sum(test_sum2) AS DOUBLE) AS sum_y2",
+    )))
+    scored = used.withColumn("empty_error", empty_error).selectExpr(
+        "zone_id", f"{slots.count - first_test_slot}L AS n", "used + empty_error AS sse",
+        "sum_y", "sum_y2",
     )
+    return score_moments(scored, "zone_id")
 
 
 def score_existing_rows(profile: DataFrame) -> DataFrame:
     """Scores over the test rows that exist, as ``row_means`` is defined."""
-    sums = _cell_moments(profile, F.col("test_rows")).filter("cell_n > 0")
-    return score_moments(
-        sums.select("zone_id", F.col("cell_n").alias("n"), "sse", "sum_y", "sum_y2"), "zone_id"
-    )
+    return score_moments(_cell_moments(profile, "test_rows").filter("n > 0"), "zone_id")
 
 
 def score_pooled_rows(sums: DataFrame, profile: DataFrame) -> DataFrame:
     """One pooled score of a shared profile over the test rows that exist."""
     scored = score_existing_rows(sums.join(profile, list(CELL)))
-    return scored.filter(F.col("zone_id").isNull()).drop("zone_id")
+    return scored.filter("zone_id IS NULL").drop("zone_id")
 
 
 def predict(rows: DataFrame, profile: DataFrame, *keys: str) -> DataFrame:
     """Attach a profile's prediction to feature rows; unknown cells give 0."""
     on = [*keys, *CELL]
-    return rows.join(profile.select(*on, "prediction"), on, "left").withColumn(
-        "prediction", F.coalesce("prediction", F.lit(0.0))
-    )
+    return rows.join(profile.select(*on, "prediction"), on, "left").fillna(0.0, ["prediction"])

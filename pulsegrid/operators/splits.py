@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-def before_week(week: int, column: str = "week") -> Column:
+def before_week(week: int, column: str = "week") -> str:
     """True for training rows: ISO week below ``week`` (within one year)."""
-    return F.col(column) < week
+    return f"({column} < {week})"
 
 
 def by_week(df: DataFrame, week: int) -> tuple[DataFrame, DataFrame]:
     """Training and test rows as two filters that reach the scan."""
-    return df.filter(before_week(week)), df.filter(~before_week(week))
+    return df.filter(f"week < {week}"), df.filter(f"week >= {week}")
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
     """Mark the first ``n`` rows of each zone in slot order as training rows."""
-    rank = F.row_number().over(W.partitionBy("zone_id").orderBy("slot_id"))
-    return df.withColumn("is_train", rank <= n)
+    rank = "row_number() OVER (PARTITION BY zone_id ORDER BY slot_id)"
+    return df.selectExpr("*", f"{rank} <= {n} AS is_train")
 
 
 def leading_fraction(df: DataFrame, fraction: float) -> DataFrame:
     """Mark the leading fraction of each zone's rows as *test* rows."""
-    zone = W.partitionBy("zone_id")
-    rank = F.row_number().over(zone.orderBy("slot_id"))
-    size = (F.count("*").over(zone) * F.lit(float(fraction))).cast("int")
-    return df.withColumn("is_train", rank > size)
+    rank = "row_number() OVER (PARTITION BY zone_id ORDER BY slot_id)"
+    size = f"CAST(count(*) OVER (PARTITION BY zone_id) * {float(fraction)!r}D AS INT)"
+    return df.selectExpr("*", f"{rank} > {size} AS is_train")
 
 
 def by_key(df: DataFrame, key: str, train_percent: int) -> DataFrame:
     """A reproducible split on the key's residue modulo 100."""
-    return df.withColumn("is_train", F.pmod(F.col(key), F.lit(100)) < train_percent)
+    return df.selectExpr("*", f"pmod({key}, 100) < {train_percent} AS is_train")
 
 
 def at_random(df: DataFrame, train: float, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.slots import SlotSpec
@@ -12,89 +12,82 @@ from pulsegrid.functions.slots import SlotSpec
 
 def time_slots(spark: SparkSession, slots: SlotSpec) -> DataFrame:
     """``slot_id, slot_start, slot_end`` of every slot."""
-    slot = F.col("id").cast("int")
-    return spark.range(slots.count).select(
-        slot.alias("slot_id"),
-        slots.start_of(slot).alias("slot_start"),
-        slots.end_of(slot).alias("slot_end"),
+    return spark.range(slots.count).selectExpr(
+        "CAST(id AS INT) AS slot_id",
+        f"{slots.start_of('id')} AS slot_start",
+        f"{slots.end_of('id')} AS slot_end",
     )
 
 
-def observed_slots(df: DataFrame, ts: Column, width_seconds: int = 600) -> DataFrame:
-    """The slot table that covers the whole days seen in ``df``.
+def observed_slots(df: DataFrame, ts: str, width_seconds: int = 600) -> DataFrame:
+    """The slot table that covers the whole days seen in column ``ts``.
 
     Ids count from the first midnight; one pass over one column finds the
     range, after that the rows are generated day by day.
     """
     per_day = 86400 // width_seconds
-    day = ts.cast("timestamp_ntz").cast("date")
-    days = df.agg(F.min(day).alias("first"), F.max(day).alias("last")).filter(
-        F.col("first").isNotNull()
-    )
-    dates = days.select("first", F.explode(F.sequence("first", "last")).alias("slot_date"))
-    start = F.timestamp_add(
-        "SECOND", F.col("k") * width_seconds, F.col("slot_date").cast("timestamp_ntz")
+    start = (
+        f"timestampadd(SECOND, k * {width_seconds}, CAST(slot_date AS TIMESTAMP_NTZ))"
     )
     return (
-        dates.select(
-            "first", "slot_date",
-            F.explode(F.sequence(F.lit(0), F.lit(per_day - 1))).alias("k"),
-        )
-        .select(
-            (F.date_diff("slot_date", "first") * per_day + F.col("k")).alias("slot_id"),
-            start.alias("slot_start"),
-            F.timestamp_add("SECOND", F.lit(width_seconds), start).alias("slot_end"),
+        df.selectExpr(f"CAST({ts} AS DATE) AS d")
+        .agg(F.expr("min(d) AS first"), F.expr("max(d) AS last"))
+        .filter("first IS NOT NULL")
+        .selectExpr("first", "explode(sequence(first, last)) AS slot_date")
+        .selectExpr("first", "slot_date", f"explode(sequence(0, {per_day - 1})) AS k")
+        .selectExpr(
+            f"datediff(slot_date, first) * {per_day} + k AS slot_id",
+            f"{start} AS slot_start",
+            f"timestampadd(SECOND, {width_seconds}, {start}) AS slot_end",
         )
     )
 
 
 def extend_slots(slots_table: DataFrame, first_weekday: int, per_day: int) -> DataFrame:
     """Weekday and time of day from the id alone, month from the start."""
-    slot = F.col("slot_id")
-    weekday = F.floor(slot / per_day + first_weekday) % 7
-    return slots_table.select(
+    return slots_table.selectExpr(
         "slot_id", "slot_start", "slot_end",
-        weekday.cast("int").alias("day_of_week"),
-        (slot % per_day).cast("int").alias("time_of_day_code"),
-        F.month("slot_start").alias("month"),
+        f"CAST(floor({first_weekday} + slot_id / {per_day}) % 7 AS INT) AS day_of_week",
+        f"CAST(slot_id % {per_day} AS INT) AS time_of_day_code",
+        "month(slot_start) AS month",
     )
 
 
 def slot_calendar(slots_table: DataFrame, width_seconds: int = 600) -> DataFrame:
     """All calendar fields of a slot table, read from the slot start."""
-    start = F.col("slot_start")
-    code = (F.hour(start) * 3600 + F.minute(start) * 60) / width_seconds
-    return slots_table.select(
+    seconds = "hour(slot_start) * 3600 + minute(slot_start) * 60"
+    return slots_table.selectExpr(
         "slot_id", "slot_start", "slot_end",
-        F.month(start).alias("month"),
-        F.weekofyear(start).alias("week"),
-        F.dayofmonth(start).alias("day"),
-        F.weekday(start).alias("day_of_week"),
-        code.cast("int").alias("time_of_day_code"),
-        F.hour(start).alias("hour"),
-        F.minute(start).alias("minute"),
+        "month(slot_start) AS month",
+        "weekofyear(slot_start) AS week",
+        "dayofmonth(slot_start) AS day",
+        "weekday(slot_start) AS day_of_week",
+        f"CAST(({seconds}) div {width_seconds} AS INT) AS time_of_day_code",
+        "hour(slot_start) AS hour",
+        "minute(slot_start) AS minute",
     )
 
 
 def assign_slots(trips: DataFrame, slots: SlotSpec, strict: bool = False) -> DataFrame:
     """``trip_id, pickup_slot, dropoff_slot``; no join, no Python."""
-    return trips.select(
+    return trips.selectExpr(
         "trip_id",
-        slots.slot_of(F.col("pickup_ts"), strict).alias("pickup_slot"),
-        slots.slot_of(F.col("dropoff_ts"), strict).alias("dropoff_slot"),
+        f"{slots.slot_of('pickup_ts', strict)} AS pickup_slot",
+        f"{slots.slot_of('dropoff_ts', strict)} AS dropoff_slot",
     )
 
 
 def weekday_day_counts(calendar: DataFrame, before: date | None = None,
                        since: date | None = None) -> DataFrame:
     """Number of distinct days per weekday in a date range of the calendar."""
-    day = F.col("slot_start").cast("date")
     chosen = calendar
     if before is not None:
-        chosen = chosen.filter(day < F.lit(before))
+        chosen = chosen.filter(f"CAST(slot_start AS DATE) < DATE '{before}'")
     if since is not None:
-        chosen = chosen.filter(day >= F.lit(since))
-    return chosen.groupBy("day_of_week").agg(F.count_distinct(day).alias("days"))
+        chosen = chosen.filter(f"CAST(slot_start AS DATE) >= DATE '{since}'")
+    return chosen.groupBy("day_of_week").agg(
+        F.expr("count(DISTINCT CAST(slot_start AS DATE)) AS days")
+    )
 
 
 def calendar_lookup(keys: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -104,10 +97,8 @@ def calendar_lookup(keys: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 PROFILE_UNITS = {
-    "month": F.month,
-    "week": F.weekofyear,
-    "hour": F.hour,
-    "weekday": lambda ts: F.weekday(ts) + 1,
+    "month": "month({})", "week": "weekofyear({})", "hour": "hour({})",
+    "weekday": "weekday({}) + 1",
 }
 
 
@@ -116,5 +107,5 @@ def calendar_profile(df: DataFrame, ts: str, unit: str) -> DataFrame:
 
     A NULL timestamp forms its own group with count 0.
     """
-    part = PROFILE_UNITS[unit](F.col(ts)).alias(unit)
-    return df.select(part).groupBy(unit).agg(F.count(unit).alias("cnt"))
+    part = PROFILE_UNITS[unit].format(ts)
+    return df.selectExpr(f"{part} AS {unit}").groupBy(unit).agg(F.expr(f"count({unit}) AS cnt"))

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scores import score_columns
+from pulsegrid.functions.scores import SUMS, score_columns
 from pulsegrid.operators.evaluate import score_with_total
 from pulsegrid.operators.features import assemble
 from pulsegrid.workspace import materialize
@@ -31,41 +30,32 @@ def best_splits(rows: DataFrame, keys: list[str], features: list[str],
     """
     node = [*keys, "node_id"]
     names = sorted(features)
-    values = F.array(*[F.col(f).cast("double") for f in names])
+    values = ", ".join(f"CAST({f} AS DOUBLE)" for f in names)
+    group = ", ".join(node)
     histogram = (
-        rows.select(*node, F.col(label).alias("y"), F.posexplode(values).alias("f", "value"))
+        rows.selectExpr(*node, f"{label} AS y", f"posexplode(array({values})) AS (f, value)")
         .groupBy(*node, "f", "value")
-        .agg(F.count("*").alias("c"), F.sum("y").cast("double").alias("s"))
+        .agg(F.expr("count(*) AS c"), F.expr("CAST(sum(y) AS DOUBLE) AS s"))
     )
-    whole = W.partitionBy(*node, "f")
-    below = whole.orderBy("value")
-    n, total = F.col("n"), F.col("total")
-    nl, sl = F.col("n_left"), F.col("s_left")
-    nr, sr = n - nl, total - sl
-    gain = (sl * sl / nl + sr * sr / F.nullif(nr, F.lit(0)) - total * total / n) / n
-    found = (
-        histogram.select(
-            *node, "f", "value",
-            F.sum("c").over(whole).alias("n"), F.sum("s").over(whole).alias("total"),
-            F.sum("c").over(below).alias("n_left"), F.sum("s").over(below).alias("s_left"),
-        )
-        .withColumn("gain", F.round(gain, 6))
-        .withColumn("gain", F.when(F.col("gain") > 0, F.col("gain")))
-    )
-    candidate = F.struct("f", "value", "n_left", "s_left", "gain")
-    order = F.struct(-F.coalesce("gain", F.lit(0.0)), F.col("f"), F.col("value"))
-    best = found.groupBy(*node).agg(
-        F.max("n").alias("n"), F.max("total").alias("total"),
-        F.min_by(candidate, order).alias("best"),
-    )
-    usable = F.col("best.gain").isNotNull()
-    name = F.get(F.array(*map(F.lit, names)), F.col("best.f"))
+    whole = f"OVER (PARTITION BY {group}, f)"
+    below = f"OVER (PARTITION BY {group}, f ORDER BY value)"
+    right = "(total - s_left) * (total - s_left) / nullif(n - n_left, 0)"
+    gain = f"round((s_left * s_left / n_left + {right} - total * total / n) / n, 6)"
+    found = histogram.selectExpr(
+        *node, "f", "value", f"sum(c) {whole} AS n", f"sum(s) {whole} AS total",
+        f"sum(c) {below} AS n_left", f"sum(s) {below} AS s_left",
+    ).selectExpr("*", f"greatest({gain}, 0D) AS gain")
+    best = found.groupBy(*node).agg(*map(F.expr, (
+        "max(n) AS n", "max(total) AS total",
+        "min_by(struct(f, value, n_left, s_left, gain), struct(-gain, f, value)) AS best",
+    )))
+    listed = ", ".join(f"'{name}'" for name in names)
     chosen = {
-        "feature": name, "threshold": F.col("best.value"), "n_left": F.col("best.n_left"),
-        "s_left": F.col("best.s_left"), "gain": F.col("best.gain"),
+        "feature": f"array({listed})[best.f]", "threshold": "best.value",
+        "n_left": "best.n_left", "s_left": "best.s_left", "gain": "best.gain",
     }
-    return best.select(
-        *node, "n", "total", *[F.when(usable, c).alias(as_) for as_, c in chosen.items()]
+    return best.selectExpr(
+        *node, "n", "total", *[f"IF(best.gain > 0, {c}, NULL) AS {k}" for k, c in chosen.items()]
     )
 
 
@@ -76,15 +66,15 @@ def _descend(rows: DataFrame, level: DataFrame, keys: list[str], features: list[
     Nodes are numbered like a heap (children of ``i`` are ``2i`` and ``2i+1``).
     An inner join drops rows that ended in a leaf, a left join keeps them.
     """
-    place = F.array_position(F.array(*map(F.lit, features)), F.col("feature")) - 1
-    step = level.filter(F.col("feature").isNotNull()).select(
-        *keys, "node_id", place.cast("int").alias("_f"), F.col("threshold").alias("_t")
+    names = ", ".join(f"'{f}'" for f in features)
+    values = ", ".join(f"CAST({f} AS DOUBLE)" for f in features)
+    step = level.filter("feature IS NOT NULL").selectExpr(
+        *keys, "node_id", "threshold AS _t",
+        f"CAST(array_position(array({names}), feature) AS INT) - 1 AS _f",
     )
-    value = F.get(F.array(*[F.col(f).cast("double") for f in features]), F.col("_f"))
-    child = F.col("node_id") * 2 + (value > F.col("_t")).cast("int")
-    return rows.join(step, [*keys, "node_id"], how).withColumn(
-        "node_id", F.when(F.col("_f").isNull(), F.col("node_id")).otherwise(child)
-    ).drop("_f", "_t")
+    child = f"IF(_f IS NULL, node_id, node_id * 2 + IF(array({values})[_f] > _t, 1, 0))"
+    kept = [c for c in rows.columns if c != "node_id"]
+    return rows.join(step, [*keys, "node_id"], how).selectExpr(*kept, f"{child} AS node_id")
 
 
 def grow(rows: DataFrame, keys: list[str], features: list[str], max_depth: int,
@@ -110,26 +100,18 @@ def grow(rows: DataFrame, keys: list[str], features: list[str], max_depth: int,
 
 def _node_table(nodes: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
     """Split nodes and leaves with their predictions."""
-    mean = F.round(F.col("total") / F.col("n"), 6)
-    inner = nodes.select(
-        *keys, "node_id", "depth", "feature", "threshold", "n", mean.alias("prediction")
-    )
+    mean = "round(total / n, 6) AS prediction"
+    inner = nodes.selectExpr(*keys, "node_id", "depth", "feature", "threshold", "n", mean)
     # the deepest level holds no histogram of its own: its sums are what the
     # last splits leave on either side
-    last = nodes.filter((F.col("depth") == max_depth - 1) & F.col("feature").isNotNull())
-    side = F.explode(
-        F.array(
-            F.struct((F.col("node_id") * 2).alias("node_id"), F.col("n_left").alias("n"),
-                     F.col("s_left").alias("total")),
-            F.struct((F.col("node_id") * 2 + 1).alias("node_id"),
-                     (F.col("n") - F.col("n_left")).alias("n"),
-                     (F.col("total") - F.col("s_left")).alias("total")),
-        )
+    last = nodes.filter(f"depth = {max_depth - 1} AND feature IS NOT NULL")
+    sides = (
+        "inline(array(struct(node_id * 2 AS node_id, n_left AS n, s_left AS total),"
+        " struct(node_id * 2 + 1 AS node_id, n - n_left AS n, total - s_left AS total)))"
     )
-    leaves = last.select(*keys, side.alias("c")).select(
-        *keys, "c.node_id", F.lit(max_depth).alias("depth"),
-        F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("threshold"),
-        "c.n", F.round(F.col("c.total") / F.col("c.n"), 6).alias("prediction"),
+    leaves = last.selectExpr(*keys, sides).selectExpr(
+        *keys, "node_id", f"{max_depth} AS depth", "CAST(NULL AS STRING) AS feature",
+        "CAST(NULL AS DOUBLE) AS threshold", "n", mean,
     )
     return inner.unionByName(leaves)
 
@@ -172,29 +154,27 @@ def depth_sweep(train: DataFrame, test: DataFrame, keys: list[str], features: li
     nodes = grow(train, keys, features, deepest)
     routed = leaf_of(test, nodes, keys, features, deepest)
     # rows that share a leaf share all their predictions
-    leaf = routed.groupBy(*keys, "node_id").agg(
-        F.count("*").alias("n"), F.sum("demand").cast("double").alias("sum_y"),
-        F.sum(F.col("demand") * F.col("demand")).cast("double").alias("sum_y2"),
-    )
+    leaf = routed.groupBy(*keys, "node_id").agg(*map(F.expr, (
+        "count(*) AS n", "CAST(sum(demand) AS DOUBLE) AS sum_y",
+        "CAST(sum(demand * demand) AS DOUBLE) AS sum_y2",
+    )))
     # the ancestor at a given depth is the heap number with its last bits cut
-    own_depth = F.length(F.bin("node_id")) - 1
-    cut = F.greatest(own_depth - F.col("max_depth"), F.lit(0))
-    ancestors = leaf.select("*", F.explode(F.array(*map(F.lit, depths))).alias("max_depth"))
-    ancestors = ancestors.withColumn(
-        "node_id", F.floor(F.col("node_id") / F.pow(F.lit(2.0), cut)).cast("int")
-    )
-    p = F.col("prediction")
-    sums = ancestors.join(nodes.select(*keys, "node_id", "prediction"), [*keys, "node_id"])
-    sums = sums.groupBy("max_depth", *keys).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * p * p - p * F.col("sum_y") * 2 + F.col("sum_y2")).alias("sse"),
-        F.sum("sum_y").alias("sum_y"), F.sum("sum_y2").alias("sum_y2"),
+    cut = "greatest(length(bin(node_id)) - 1 - max_depth, 0)"
+    levels = ", ".join(map(str, depths))
+    ancestors = leaf.selectExpr("*", f"explode(array({levels})) AS max_depth").selectExpr(
+        "max_depth", *keys, "n", "sum_y", "sum_y2", f"shiftright(node_id, {cut}) AS node_id"
     )
-    pooled = sums.groupBy("max_depth").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sse", "sum_y", "sum_y2")]
+    p = "prediction"
+    sums = ancestors.join(nodes.select(*keys, "node_id", p), [*keys, "node_id"])
+    sums = sums.selectExpr(
+        "max_depth", *keys, "n", f"n * {p} * {p} - 2 * {p} * sum_y + sum_y2 AS sse",
+        "sum_y", "sum_y2",
     )
-    both = sums.unionByName(pooled, allowMissingColumns=True)
-    return both.select("max_depth", *keys, "n", *score_columns())
+    totals = [F.expr(f"sum({c}) AS {c}") for c in SUMS]
+    per_group = sums.groupBy("max_depth", *keys).agg(*totals)
+    pooled = per_group.groupBy("max_depth").agg(*totals)
+    both = per_group.unionByName(pooled, allowMissingColumns=True)
+    return both.selectExpr("max_depth", *keys, "n", *score_columns())
 
 
 def global_tree(train: DataFrame, layout, max_depth: int = 5, label: str = "demand"):

@@ -6,7 +6,7 @@ import math
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.grid import FLAG_BOXES, GridSpec, flag_columns
@@ -17,32 +17,24 @@ ENDS = ("pickup", "dropoff")
 
 def assign_cells(trips: DataFrame, grid: GridSpec, strict: bool = False) -> DataFrame:
     """``trip_id`` with the pickup and dropoff cell; outside is NULL."""
-    return trips.select(
-        "trip_id",
-        *[
-            column
-            for end in ENDS
-            for column in (
-                grid.cell_x(F.col(f"{end}_lon"), strict).alias(f"{end}_x"),
-                grid.cell_y(F.col(f"{end}_lat"), strict).alias(f"{end}_y"),
-            )
-        ],
-    )
+    columns = ["trip_id"]
+    for end in ENDS:
+        columns.append(f"{grid.cell_x(f'{end}_lon', strict)} AS {end}_x")
+        columns.append(f"{grid.cell_y(f'{end}_lat', strict)} AS {end}_y")
+    return trips.selectExpr(*columns)
 
 
 def cell_corners(cells: DataFrame, grid: GridSpec) -> DataFrame:
     """Add the coordinates of each cell's south-west corner."""
-    return cells.select(
-        "*",
-        grid.corner_lon(F.col("cell_x")).alias("lon"),
-        grid.corner_lat(F.col("cell_y")).alias("lat"),
+    return cells.selectExpr(
+        "*", f"{grid.corner_lon('cell_x')} AS lon", f"{grid.corner_lat('cell_y')} AS lat"
     )
 
 
 def nonzero_points(trips: DataFrame) -> DataFrame:
     """Pickup points without missing (zero) coordinates, filtered as pairs."""
     return trips.select("trip_id", "pickup_lon", "pickup_lat").filter(
-        (F.col("pickup_lon") != 0) & (F.col("pickup_lat") != 0)
+        "pickup_lon <> 0 AND pickup_lat <> 0"
     )
 
 
@@ -72,11 +64,6 @@ def centroid_table(trips: DataFrame, model: KMeansModel) -> DataFrame:
     )
 
 
-def _squared_distance(lon: Column, lat: Column, c: Column) -> Column:
-    dx, dy = c["lon"] - lon, c["lat"] - lat
-    return dx * dx + dy * dy
-
-
 def centroid_index(centroids: DataFrame) -> tuple[DataFrame, GridSpec]:
     """For each cell of a grid around the centroids, who can be nearest there.
 
@@ -92,9 +79,9 @@ def centroid_index(centroids: DataFrame) -> tuple[DataFrame, GridSpec]:
         ),
         "places",
     )
-    k, lon_low, lon_high, lat_low, lat_high = places.agg(
-        F.count("*"), F.min("centroid_lon"), F.max("centroid_lon"),
-        F.min("centroid_lat"), F.max("centroid_lat"),
+    k, lon_low, lon_high, lat_low, lat_high = places.selectExpr(
+        "count(*)", "min(centroid_lon)", "max(centroid_lon)",
+        "min(centroid_lat)", "max(centroid_lat)",
     ).first()
     if k == 0:
         raise ValueError("the zone table has no coordinates")
@@ -105,41 +92,39 @@ def centroid_index(centroids: DataFrame) -> tuple[DataFrame, GridSpec]:
         lon_low - lon_margin, lon_high + lon_margin, lat_low - lat_margin,
         lat_high + lat_margin, side, side,
     )
-    x, y = grid.x_of(F.col("cell")), grid.y_of(F.col("cell"))
     # cell 0 also takes values up to a step below it; edges get a little slack
-    slack = 1e-9
-    west = grid.corner_lon(F.when(x == 0, -1).otherwise(x) - slack)
-    east = grid.corner_lon(x + 1 + slack)
-    south = grid.corner_lat(F.when(y == 0, -1).otherwise(y) - slack)
-    north = grid.corner_lat(y + 1 + slack)
-
-    def far(c: Column) -> Column:
-        dx = F.greatest(F.abs(c["lon"] - west), F.abs(c["lon"] - east))
-        dy = F.greatest(F.abs(c["lat"] - south), F.abs(c["lat"] - north))
-        return dx * dx + dy * dy
-
-    def near(c: Column) -> Column:
-        dx = F.greatest(west - c["lon"], c["lon"] - east, F.lit(0.0))
-        dy = F.greatest(south - c["lat"], c["lat"] - north, F.lit(0.0))
-        return dx * dx + dy * dy
-
-    everyone = places.agg(
-        F.collect_list(
-            F.struct(
-                F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat"), "zone_id"
-            )
-        )
+    edges = [
+        f"{grid.corner_lon('IF(x = 0, -1, x) - 1e-9D')} AS west",
+        f"{grid.corner_lon('x + 1 + 1e-9D')} AS east",
+        f"{grid.corner_lat('IF(y = 0, -1, y) - 1e-9D')} AS south",
+        f"{grid.corner_lat('y + 1 + 1e-9D')} AS north",
+    ]
+    everyone = places.selectExpr(
+        "collect_list(struct(centroid_lon AS lon, centroid_lat AS lat, zone_id))"
     ).scalar()
-    cells = centroids.sparkSession.range(-1, grid.cells).select(
-        F.col("id").cast("int").alias("cell"), everyone.alias("all")
+    cells = (
+        centroids.sparkSession.range(-1, grid.cells)
+        .selectExpr("CAST(id AS INT) AS cell", f"{grid.x_of('id')} AS x", f"{grid.y_of('id')} AS y")
+        .selectExpr("cell", *edges)
+    )
+    far = (
+        "pow(greatest(abs(c.lon - west), abs(c.lon - east)), 2)"
+        " + pow(greatest(abs(c.lat - south), abs(c.lat - north)), 2)"
+    )
+    near = (
+        "pow(greatest(west - c.lon, c.lon - east, 0D), 2)"
+        " + pow(greatest(south - c.lat, c.lat - north, 0D), 2)"
     )
     # written first: as a plain column the bound is computed once per cell
     bounds = materialize(
-        cells.select("cell", F.array_min(F.transform("all", far)).alias("bound")), "bounds"
+        cells.withColumn("everyone", everyone).selectExpr(
+            "cell", "west", "east", "south", "north",
+            f"array_min(transform(everyone, c -> {far})) * (1 + 1e-9D) AS reach",
+        ),
+        "bounds",
     )
-    reach = F.col("bound") * (1 + slack)
-    possible = bounds.withColumn("all", everyone).select(
-        "cell", F.filter("all", lambda c: (F.col("cell") < 0) | (near(c) <= reach)).alias("who")
+    possible = bounds.withColumn("everyone", everyone).selectExpr(
+        "cell", f"filter(everyone, c -> cell < 0 OR {near} <= reach) AS who"
     )
     return materialize(possible, "centroid-index"), grid
 
@@ -158,22 +143,13 @@ def nearest_zone(
     index, grid = centroid_index(centroids)
     original = df.columns
     for name, (lon, lat) in points.items():
-        x, y = F.col(lon), F.col(lat)
-        cell = F.coalesce(grid.cell_id(x, y), F.lit(-1))
-        nearest = F.array_min(
-            F.transform(
-                "who",
-                lambda c: F.struct(
-                    _squared_distance(x, y, c).alias("d2"), c["zone_id"].alias("zone_id")
-                ),
-            )
-        )
-        known = x.isNotNull() & y.isNotNull()
+        d2 = f"(c.lon - {lon}) * (c.lon - {lon}) + (c.lat - {lat}) * (c.lat - {lat})"
+        nearest = f"array_min(transform(who, c -> struct({d2} AS d2, c.zone_id))).zone_id"
+        known = f"{lon} IS NOT NULL AND {lat} IS NOT NULL"
         df = (
-            df.withColumn("cell", cell)
+            df.selectExpr("*", f"coalesce({grid.cell_id(lon, lat)}, -1) AS cell")
             .join(index, "cell", "left")
-            .withColumn(name, F.when(known, nearest["zone_id"]))
-            .drop("cell", "who")
+            .selectExpr(*df.columns, f"IF({known}, {nearest}, NULL) AS {name}")
         )
     return df.select(*original, *points)
 
@@ -189,22 +165,19 @@ def assign_zones(trips: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def zone_flags(zones: DataFrame, boxes=FLAG_BOXES) -> DataFrame:
     """``zone_id`` with a 0/1 column per box around the zone's coordinates."""
-    return zones.select(
-        "zone_id", *flag_columns(F.col("centroid_lon"), F.col("centroid_lat"), boxes)
-    )
+    return zones.selectExpr("zone_id", *flag_columns("centroid_lon", "centroid_lat", boxes))
 
 
 def with_zone_flags(df: DataFrame, zones: DataFrame, boxes=FLAG_BOXES) -> DataFrame:
     """Attach the flags of ``zones``; a zone that is not listed gets 0."""
-    names = [box.name for box in boxes]
     joined = df.join(zone_flags(zones, boxes), "zone_id", "left")
-    return joined.withColumns({name: F.coalesce(name, F.lit(0)) for name in names})
+    return joined.fillna(0, [box.name for box in boxes])
 
 
 def centroid_demand(trip_zones: DataFrame, zones: DataFrame, zone_limit: int) -> DataFrame:
     """Pickups per zone with the zone's coordinates, for zone ids below a limit."""
     counts = (
-        trip_zones.filter(F.col("pickup_zone") < zone_limit)
+        trip_zones.filter(f"pickup_zone < {zone_limit}")
         .groupBy(F.col("pickup_zone").alias("zone_id"))
         .agg(F.count("*").alias("cnt"))
     )
@@ -218,7 +191,8 @@ def heat_map(cells: DataFrame, grid: GridSpec, demand: str | None = None) -> Dat
 
     With ``demand`` the column is summed instead of the rows counted.
     """
-    measure = F.count("*") if demand is None else F.sum(demand)
-    counted = cells.groupBy("cell_x", "cell_y").agg(measure.alias("cnt"))
-    bubble = F.when(F.col("cnt") > 0, F.pow(F.lit(2.0), F.log10(F.col("cnt"))))
-    return cell_corners(counted, grid).withColumn("bubble", bubble)
+    measure = "count(*)" if demand is None else f"sum({demand})"
+    counted = cells.groupBy("cell_x", "cell_y").agg(F.expr(f"{measure} AS cnt"))
+    return cell_corners(counted, grid).selectExpr(
+        "*", "CASE WHEN cnt > 0 THEN pow(2D, log10(cnt)) END AS bubble"
+    )

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.grid import CITY_GRID
+from pulsegrid.functions.grid import CITY_GRID, double
 from pulsegrid.functions.slots import SlotSpec
 from pulsegrid.operators import compare as C
 from pulsegrid.operators import demand as D
@@ -50,7 +50,7 @@ def query(function: Query) -> Query:
 def _zone_demand(spark: SparkSession, d: str, slots: SlotSpec = SLOTS) -> DataFrame:
     """Demand per slot and user group (40 zones without geometry)."""
     return D.count_demand(
-        td.trips(spark, d), slot_id=slots.slot_of(F.col("pickup_ts")), zone_id="pickup_zone"
+        td.trips(spark, d), slot_id=slots.slot_of("pickup_ts"), zone_id="pickup_zone"
     )
 
 
@@ -59,7 +59,7 @@ def _cell_demand(spark: SparkSession, d: str, slots: SlotSpec = SLOTS) -> DataFr
     inside = zoning.slots_and_cells(td.trips(spark, d), slots, GRID5)
     return D.count_demand(
         inside, slot_id="pickup_slot",
-        zone_id=GRID5.flatten(F.col("pickup_x"), F.col("pickup_y")),
+        zone_id=GRID5.flatten("pickup_x", "pickup_y"),
     )
 
 
@@ -76,15 +76,9 @@ def _fill(demand: DataFrame, slots: SlotSpec) -> DataFrame:
     return D.fill_calendar(demand, slots, D.distinct_values(demand, "zone_id"))
 
 
-def _with_fields(dense: DataFrame, slots: SlotSpec) -> DataFrame:
-    return dense.select(
-        "slot_id", "zone_id", *slots.fields(F.col("slot_id"), Fe.LAYOUT_CALENDAR), "demand"
-    )
-
-
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     """Zero-filled model input of all zones, written once."""
-    return materialize(_with_fields(_fill(_zone_demand(spark, d), SLOTS), SLOTS), "rows")
+    return materialize(Fe.with_calendar(_fill(_zone_demand(spark, d), SLOTS), SLOTS), "rows")
 
 
 def _cell_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -119,9 +113,9 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     }
     table = None
     for name in MODELS:
-        part = scored[name].select(F.lit(name).alias("model"), "zone_id", "n", "rmse", "r2")
+        part = scored[name].selectExpr(f"'{name}' AS model", "zone_id", "n", "rmse", "r2")
         table = part if table is None else table.unionByName(part)
-    return table.filter(F.col("zone_id").isNotNull())
+    return table.filter("zone_id IS NOT NULL")
 
 
 def _line_scores(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -139,10 +133,9 @@ def src_csv_or_parquet(spark, d):
     trips = td.trips(spark, d)
     registry.save(trips, "trips")
     registry.save(ts.assign_slots(trips, SLOTS), "trip_times")
-    return registry.load("trips").join(registry.load("trip_times"), "trip_id").select(
-        "trip_id", "pickup_ts", "dropoff_ts",
-        F.round("pickup_lon", 6).alias("pickup_lon"), F.round("pickup_lat", 6).alias("pickup_lat"),
-        "pickup_slot", "dropoff_slot",
+    return registry.load("trips").join(registry.load("trip_times"), "trip_id").selectExpr(
+        "trip_id", "pickup_ts", "dropoff_ts", "round(pickup_lon, 6) AS pickup_lon",
+        "round(pickup_lat, 6) AS pickup_lat", "pickup_slot", "dropoff_slot",
     )
 
 
@@ -167,9 +160,9 @@ def sink_roundtrip(spark, d):
 def sink_by_date(spark, d):
     """A snapshot stored by date, counted per date folder."""
     path = scratch_path(spark, "snapshot")
-    files.write_by_date(td.trips(spark, d), path, F.col("pickup_ts"))
-    dates = spark.read.parquet(path).groupBy("trip_date").agg(F.count("*").alias("cnt"))
-    return dates.select(F.date_format("trip_date", "yyyy-MM-dd").alias("trip_date"), "cnt")
+    files.write_by_date(td.trips(spark, d), path, "pickup_ts")
+    dates = spark.read.parquet(path).groupBy("trip_date").agg(F.expr("count(*) AS cnt"))
+    return dates.selectExpr("date_format(trip_date, 'yyyy-MM-dd') AS trip_date", "cnt")
 
 
 @query
@@ -178,13 +171,12 @@ def grid_meta(spark, d):
     path = scratch_path(spark, "grid")
     files.write_table(files.grid_meta(spark, CITY_GRID), path)
     grid = files.read_grid_meta(spark, path)
-    inside = td.trips(spark, d).agg(
-        F.count(grid.cell_id(F.col("pickup_lon"), F.col("pickup_lat"))).alias("trips_inside")
-    )
-    return inside.select(
-        F.lit(grid.lon_min).alias("lon_min"), F.lit(grid.lon_max).alias("lon_max"),
-        F.lit(grid.lat_min).alias("lat_min"), F.lit(grid.lat_max).alias("lat_max"),
-        F.lit(grid.nx).alias("nx"), F.lit(grid.ny).alias("ny"), "trips_inside",
+    return td.trips(spark, d).selectExpr(
+        *[f"{double(getattr(grid, n))} AS {n}" for n in ("lon_min", "lon_max", "lat_min", "lat_max")],
+        f"{grid.nx} AS nx", f"{grid.ny} AS ny",
+        f"{grid.cell_id('pickup_lon', 'pickup_lat')} AS cell",
+    ).groupBy("lon_min", "lon_max", "lat_min", "lat_max", "nx", "ny").agg(
+        F.expr("count(cell) AS trips_inside")
     )
 
 
@@ -202,18 +194,14 @@ def report_metrics(spark, d):
 @query
 def zone_groups(spark, d):
     """Training and test rows of every zone."""
-    demand = _zone_demand(spark, d)
-    week = SLOTS.field("week", F.col("slot_id"))
-    return demand.groupBy("zone_id").agg(
-        F.count_if(week < td.TEST_WEEK).alias("n_train"),
-        F.count_if(week >= td.TEST_WEEK).alias("n_test"),
-    )
+    is_train = f"{SLOTS.field('week')} < {td.TEST_WEEK}"
+    return D.train_test_sizes(_zone_demand(spark, d), is_train)
 
 
 # --- time ------------------------------------------------------------------
 
 def _slot_table(spark, d):
-    return ts.observed_slots(td.table(spark, d, "events"), F.col("ts"))
+    return ts.observed_slots(td.table(spark, d, "events"), "ts")
 
 
 @query
@@ -224,7 +212,7 @@ def time_slots(spark, d):
 @query
 def time_slots_year(spark, d):
     """Slots of another width over the years covered by the orders."""
-    return ts.observed_slots(td.table(spark, d, "orders"), F.col("o_orderdate"), 6 * 3600)
+    return ts.observed_slots(td.table(spark, d, "orders"), "o_orderdate", 6 * 3600)
 
 
 @query
@@ -255,10 +243,8 @@ def weekday_day_counts_test(spark, d):
 @query
 def calendar_lookup(spark, d):
     """Day, hour and minute of every (week, weekday, time) with a trip."""
-    slot = SLOTS.slot_of(F.col("pickup_ts"))
-    keys = td.trips(spark, d).select(
-        *SLOTS.fields(slot, ("week", "day_of_week", "time_of_day_code"))
-    ).distinct()
+    seen = td.trips(spark, d).selectExpr(f"{SLOTS.slot_of('pickup_ts')} AS slot_id").distinct()
+    keys = seen.selectExpr(*SLOTS.fields(("week", "day_of_week", "time_of_day_code")))
     return ts.calendar_lookup(keys, slot_calendar(spark, d))
 
 
@@ -297,17 +283,17 @@ def grid_assign_fine(spark, d):
 @query
 def grid_cell_id(spark, d):
     cells = Z.assign_cells(td.trips(spark, d), GRID100)
-    return cells.select("trip_id", *[
-        GRID100.flatten(F.col(f"{end}_x"), F.col(f"{end}_y")).alias(f"{end}_zone") for end in Z.ENDS
+    return cells.selectExpr("trip_id", *[
+        f"{GRID100.flatten(f'{end}_x', f'{end}_y')} AS {end}_zone" for end in Z.ENDS
     ])
 
 
 @query
 def grid_cell_origin(spark, d):
     cells = Z.assign_cells(td.trips(spark, d), CITY_GRID).dropna(subset=["pickup_x", "pickup_y"])
-    used = cells.select(F.col("pickup_x").alias("cell_x"), F.col("pickup_y").alias("cell_y"))
-    return Z.cell_corners(used.distinct(), CITY_GRID).select(
-        "cell_x", "cell_y", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")
+    used = cells.selectExpr("pickup_x AS cell_x", "pickup_y AS cell_y").distinct()
+    return Z.cell_corners(used, CITY_GRID).selectExpr(
+        "cell_x", "cell_y", "round(lon, 6) AS lon", "round(lat, 6) AS lat"
     )
 
 
@@ -322,7 +308,7 @@ def nearest_centroid_points(spark, d):
     """Nearest label mean for every embedding's first two dimensions."""
     points = td.points(spark, d)
     means = points.groupBy(F.col("label").alias("zone_id")).agg(
-        F.round(F.avg("x"), 6).alias("centroid_lon"), F.round(F.avg("y"), 6).alias("centroid_lat")
+        F.expr("round(avg(x), 6) AS centroid_lon"), F.expr("round(avg(y), 6) AS centroid_lat")
     )
     found = Z.nearest_zone(points, materialize(means, "centroids"), {"zone_id": ("x", "y")})
     return found.select("vec_id", "label", "zone_id")
@@ -338,9 +324,9 @@ def kmeans_train(spark, d):
 @query
 def centroid_table(spark, d):
     trips = td.trips(spark, d)
-    return Z.centroid_table(trips, Z.train_kmeans(trips, k=8, seed=3)).select(
-        "zone_id", F.round("centroid_lon", 3).alias("centroid_lon"),
-        F.round("centroid_lat", 3).alias("centroid_lat"),
+    return Z.centroid_table(trips, Z.train_kmeans(trips, k=8, seed=3)).selectExpr(
+        "zone_id", "round(centroid_lon, 3) AS centroid_lon",
+        "round(centroid_lat, 3) AS centroid_lat",
     )
 
 
@@ -355,40 +341,36 @@ def centroid_demand(spark, d):
     return Z.centroid_demand(Z.assign_zones(td.trips(spark, d), centroids), centroids, 60)
 
 
+def _cells_xy(spark, d):
+    return _cell_demand(spark, d).selectExpr(
+        f"{GRID5.x_of()} AS cell_x", f"{GRID5.y_of()} AS cell_y", "demand"
+    )
+
+
 @query
 def grid_heat(spark, d):
-    cells = _cell_demand(spark, d)
-    rows = cells.select(
-        GRID5.x_of(F.col("zone_id")).alias("cell_x"), GRID5.y_of(F.col("zone_id")).alias("cell_y"),
-        "demand",
-    )
-    return Z.heat_map(rows, GRID5, "demand").select(
-        "cell_x", "cell_y", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"),
-        "cnt", F.round("bubble", 6).alias("bubble"),
+    return Z.heat_map(_cells_xy(spark, d), GRID5, "demand").selectExpr(
+        "cell_x", "cell_y", "round(lon, 6) AS lon", "round(lat, 6) AS lat", "cnt",
+        "round(bubble, 6) AS bubble",
     )
 
 
 @query
 def grid_heat_rows(spark, d):
     """The heat map that counts feature rows instead of demand."""
-    cells = _cell_demand(spark, d)
-    rows = cells.select(
-        GRID5.x_of(F.col("zone_id")).alias("cell_x"), GRID5.y_of(F.col("zone_id")).alias("cell_y")
-    )
-    return Z.heat_map(rows, GRID5).select(
-        "cell_x", "cell_y", "cnt", F.round("bubble", 6).alias("bubble")
+    return Z.heat_map(_cells_xy(spark, d), GRID5).selectExpr(
+        "cell_x", "cell_y", "cnt", "round(bubble, 6) AS bubble"
     )
 
 
 @query
 def nonzero_points(spark, d):
     """Points with both coordinates set; every 50th id has one blanked."""
-    trips = td.trips(spark, d)
-    blank = F.col("trip_id") % 50 == 0
-    trips = trips.withColumn("pickup_lon", F.when(blank, 0.0).otherwise(F.col("pickup_lon")))
-    return Z.nonzero_points(trips).select(
-        "trip_id", F.round("pickup_lon", 6).alias("pickup_lon"),
-        F.round("pickup_lat", 6).alias("pickup_lat"),
+    trips = td.trips(spark, d).withColumn(
+        "pickup_lon", F.expr("IF(trip_id % 50 = 0, 0D, pickup_lon)")
+    )
+    return Z.nonzero_points(trips).selectExpr(
+        "trip_id", "round(pickup_lon, 6) AS pickup_lon", "round(pickup_lat, 6) AS pickup_lat"
     )
 
 
@@ -416,19 +398,20 @@ def zoning_grid(spark, d):
 
 @query
 def feat_drop(spark, d):
-    return Fe.without_keys(_with_fields(_zone_demand(spark, d), SLOTS))
+    return Fe.without_keys(Fe.with_calendar(_zone_demand(spark, d), SLOTS))
 
 
 @query
 def filter_zone(spark, d):
-    return _zone_demand(spark, d).filter(F.col("zone_id") == 7)
+    return _zone_demand(spark, d).filter("zone_id = 7")
 
 
 @query
 def split_by_week(spark, d):
-    rows = _with_fields(_zone_demand(spark, d), SLOTS)
-    return rows.select("slot_id", "zone_id", "week", "demand",
-                       splits.before_week(td.TEST_WEEK).alias("is_train"))
+    rows = Fe.with_calendar(_zone_demand(spark, d), SLOTS)
+    return rows.selectExpr(
+        "slot_id", "zone_id", "week", "demand", f"{splits.before_week(td.TEST_WEEK)} AS is_train"
+    )
 
 
 @query
@@ -438,7 +421,7 @@ def groups_min_rows(spark, d):
 
 @query
 def groups_train_test(spark, d):
-    return D.groups_with_train_test(_zone_demand(spark, d), F.col("slot_id") < SPLIT, 5, 3)
+    return D.groups_with_train_test(_zone_demand(spark, d), f"slot_id < {SPLIT}", 5, 3)
 
 
 @query
@@ -466,8 +449,8 @@ def split_by_key(spark, d):
 @query
 def split_random(spark, d):
     train, test = splits.at_random(_zone_demand(spark, d), 0.7, seed=5)
-    return train.withColumn("is_train", F.lit(True)).unionByName(
-        test.withColumn("is_train", F.lit(False))
+    return train.selectExpr("*", "true AS is_train").unionByName(
+        test.selectExpr("*", "false AS is_train")
     )
 
 
@@ -485,7 +468,7 @@ def top_demand(spark, d):
 def union_cells(spark, d):
     """Feature rows of the inner cells as one filtered scan."""
     rows = Fe.grid_features(_cell_demand(spark, d), SLOTS, GRID5)
-    return rows.filter((F.col("cell_x") < 4) & (F.col("cell_y") < 4))
+    return rows.filter("cell_x < 4 AND cell_y < 4")
 
 
 # --- joins, demand, look-ups -----------------------------------------------
@@ -517,7 +500,7 @@ def demand_grid_flat(spark, d):
     inside = zoning.slots_and_cells(td.trips(spark, d), SLOTS, GRID100)
     return D.count_demand(
         inside, slot_id="pickup_slot",
-        zone_id=GRID100.flatten(F.col("pickup_x"), F.col("pickup_y")),
+        zone_id=GRID100.flatten("pickup_x", "pickup_y"),
     )
 
 
@@ -552,9 +535,8 @@ def dense_features(spark, d):
 
 
 def _dropoff_keys(spark, d):
-    return td.trips(spark, d).select(
-        "trip_id", SLOTS.slot_of(F.col("dropoff_ts")).alias("slot_id"),
-        F.col("pickup_zone").alias("zone_id"),
+    return td.trips(spark, d).selectExpr(
+        "trip_id", f"{SLOTS.slot_of('dropoff_ts')} AS slot_id", "pickup_zone AS zone_id"
     )
 
 
@@ -569,12 +551,9 @@ def lookup_demand(spark, d):
 @query
 def lookup_features(spark, d):
     """Feature rows by (week, weekday, time, zone) of every drop-off."""
-    features = _with_fields(_zone_demand(spark, d), SLOTS)
-    on = ["week", "day_of_week", "time_of_day_code", "zone_id"]
-    slot = SLOTS.slot_of(F.col("dropoff_ts"))
-    keys = td.trips(spark, d).select(
-        *SLOTS.fields(slot, on[:3]), F.col("pickup_zone").alias("zone_id")
-    ).distinct()
+    features = Fe.with_calendar(_zone_demand(spark, d), SLOTS)
+    seen = _dropoff_keys(spark, d).select("slot_id", "zone_id").distinct()
+    keys = seen.selectExpr(*SLOTS.fields(("week", "day_of_week", "time_of_day_code")), "zone_id")
     return D.lookup_features(keys, features)
 
 
@@ -582,11 +561,12 @@ def lookup_features(spark, d):
 def lookup_features_grid(spark, d):
     """Feature rows by (week, weekday, time, cell) of every drop-off."""
     features = Fe.grid_features(_cell_demand(spark, d), SLOTS, GRID5)
-    inside = zoning.slots_and_cells(td.trips(spark, d), SLOTS, GRID5)
-    keys = inside.select(
-        *SLOTS.fields(F.col("dropoff_slot"), ("week", "day_of_week", "time_of_day_code")),
-        F.col("dropoff_y").alias("cell_y"), F.col("dropoff_x").alias("cell_x"),
+    seen = zoning.slots_and_cells(td.trips(spark, d), SLOTS, GRID5).selectExpr(
+        "dropoff_slot AS slot_id", "dropoff_y AS cell_y", "dropoff_x AS cell_x"
     ).distinct()
+    keys = seen.selectExpr(
+        *SLOTS.fields(("week", "day_of_week", "time_of_day_code")), "cell_y", "cell_x"
+    )
     return D.lookup_features(keys, features)
 
 
@@ -615,7 +595,7 @@ def features_cluster(spark, d):
 @query
 def features_grid(spark, d):
     """Dense hourly features of every cell of the grid, known from its size."""
-    zones = spark.range(GRID5.cells).select(F.col("id").cast("int").alias("zone_id"))
+    zones = spark.range(GRID5.cells).selectExpr("CAST(id AS INT) AS zone_id")
     dense = D.fill_calendar(_cell_demand(spark, d, HOURLY), HOURLY, zones)
     return Fe.grid_features(dense, HOURLY, GRID5)
 
@@ -631,19 +611,17 @@ def features_sparse(spark, d):
 @query
 def zone_train_test(spark, d):
     """Training and test features of one zone, label last."""
-    rows = _with_fields(_zone_demand(spark, d), SLOTS).filter(F.col("zone_id") == 12)
-    is_train = splits.before_week(td.TEST_WEEK).alias("is_train")
-    return rows.select(*Fe.LAYOUT_CALENDAR, "demand", is_train)
+    rows = Fe.with_calendar(_zone_demand(spark, d), SLOTS).filter("zone_id = 12")
+    is_train = f"{splits.before_week(td.TEST_WEEK)} AS is_train"
+    return rows.selectExpr(*Fe.LAYOUT_CALENDAR, "demand", is_train)
 
 
 @query
 def assemble_features(spark, d):
     """The nine-feature vector of every sparse feature row, spread to columns."""
     rows = Fe.assemble(features_sparse(spark, d))
-    vector = vector_to_array("features")
-    return rows.select(
-        "slot_id", "zone_id",
-        *[vector[i].alias(f"f{i}") for i in range(len(Fe.LAYOUT_GLOBAL))],
+    return rows.withColumn("v", vector_to_array("features")).selectExpr(
+        "slot_id", "zone_id", *[f"v[{i}] AS f{i}" for i in range(len(Fe.LAYOUT_GLOBAL))]
     )
 
 
@@ -659,7 +637,7 @@ def mean_profile_global(spark, d):
 @query
 def mean_profile_global_table(spark, d):
     profile = profiles.global_profile(_profile_sums(spark, d), SLOTS, SPLIT)
-    return profile.withColumn("prediction", F.round("prediction", 6))
+    return profile.withColumn("prediction", F.expr("round(prediction, 6)"))
 
 
 @query
@@ -675,9 +653,8 @@ def mean_profile_cell(spark, d):
     """The flagship: trips to cells to profile to scores, in one pass."""
     sums = profiles.profile_sums(_cell_demand(spark, d), SLOTS, SPLIT)
     scored = profiles.score_zone_profile(profiles.zone_profile(sums, SLOTS, SPLIT), SLOTS, SPLIT)
-    return scored.select(
-        GRID5.x_of(F.col("zone_id")).alias("cell_x"), GRID5.y_of(F.col("zone_id")).alias("cell_y"),
-        "n", "rmse", "r2",
+    return scored.selectExpr(
+        f"{GRID5.x_of()} AS cell_x", f"{GRID5.y_of()} AS cell_y", "n", "rmse", "r2"
     )
 
 
@@ -685,15 +662,15 @@ def mean_profile_cell(spark, d):
 def mean_profile_predict(spark, d):
     """Zone profile predictions next to the demand of every hourly test slot."""
     split = HOURLY.first_slot_of(td.TEST_START)
-    dense = _with_fields(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
+    dense = Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
     dense = materialize(dense, "rows")
-    train = dense.filter(F.col("slot_id") < split).select("slot_id", "zone_id", "demand")
+    train = dense.filter(f"slot_id < {split}").select("slot_id", "zone_id", "demand")
     profile = profiles.zone_profile(
         profiles.profile_sums(train, HOURLY, split), HOURLY, split
     )
-    test = dense.filter(F.col("slot_id") >= split)
-    return profiles.predict(test, profile, "zone_id").select(
-        "slot_id", "zone_id", "demand", F.round("prediction", 6).alias("prediction")
+    test = dense.filter(f"slot_id >= {split}")
+    return profiles.predict(test, profile, "zone_id").selectExpr(
+        "slot_id", "zone_id", "demand", "round(prediction, 6) AS prediction"
     )
 
 
@@ -706,7 +683,7 @@ def mean_rows_zone(spark, d):
 @query
 def mean_of_means(spark, d):
     profile = profiles.mean_of_means(_profile_sums(spark, d))
-    return profile.withColumn("prediction", F.round("prediction", 6))
+    return profile.withColumn("prediction", F.expr("round(prediction, 6)"))
 
 
 @query
@@ -719,7 +696,7 @@ def mean_of_means_scored(spark, d):
 def constant_rmse(spark, d):
     """Guessing 0 and 1 on the test part of a reproducible 70/30 split."""
     rows = splits.by_key(_zone_demand(spark, d), "slot_id", 70)
-    return E.constant_rmse(rows.filter(~F.col("is_train")), [0.0, 1.0])
+    return E.constant_rmse(rows.filter("NOT is_train"), [0.0, 1.0])
 
 
 # --- linear models ---------------------------------------------------------
@@ -728,9 +705,8 @@ def constant_rmse(spark, d):
 def ols_zone(spark, d):
     train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
     model = linear.fit_line(train, ["zone_id"], "time_of_day_code")
-    return model.select(
-        "zone_id", "n_train", F.round("slope", 6).alias("slope"),
-        F.round("intercept", 6).alias("intercept"),
+    return model.selectExpr(
+        "zone_id", "n_train", "round(slope, 6) AS slope", "round(intercept, 6) AS intercept"
     )
 
 
@@ -744,10 +720,9 @@ def ols_zone_two(spark, d):
     """Regression on weekday and time of day for every zone."""
     train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
     model = linear.fit_ols(train, ["zone_id"], list(Fe.LAYOUT_WEEKDAY))
-    coefficient = [F.round(F.get("coefficients", F.lit(i)), 6) for i in (0, 1)]
-    return model.select(
-        "zone_id", "n", F.round("intercept", 6).alias("intercept"),
-        coefficient[0].alias("b_day_of_week"), coefficient[1].alias("b_time_of_day_code"),
+    return model.selectExpr(
+        "zone_id", "n", "round(intercept, 6) AS intercept",
+        *[f"round(coefficients[{i}], 6) AS b_{n}" for i, n in enumerate(Fe.LAYOUT_WEEKDAY)],
     )
 
 
@@ -782,10 +757,11 @@ def ols_global_scored(spark, d):
 def ols_global_exact(spark, d):
     """One regression for all zones from a single aggregation, pooled score."""
     train, test = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
-    return linear.fit_and_score(
-        train.withColumn("all", F.lit(1)), test.withColumn("all", F.lit(1)), ["all"],
+    scored = linear.fit_and_score(
+        train.selectExpr("*", "1 AS model"), test.selectExpr("*", "1 AS model"), ["model"],
         list(Fe.LAYOUT_WEEKDAY),
-    ).filter(F.col("all").isNotNull()).drop("all")
+    )
+    return scored.filter("model IS NOT NULL").drop("model")
 
 
 # --- trees -----------------------------------------------------------------
@@ -794,7 +770,7 @@ def ols_global_exact(spark, d):
 def tree_split_zone(spark, d):
     """The first split of every zone's tree."""
     train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
-    found = trees.best_splits(train.withColumn("node_id", F.lit(1)), ["zone_id"], CALENDAR_LAYOUT)
+    found = trees.best_splits(train.selectExpr("*", "1 AS node_id"), ["zone_id"], CALENDAR_LAYOUT)
     return found.select("zone_id", "n", "feature", "threshold", "gain")
 
 
@@ -842,7 +818,7 @@ def tree_global_text(spark, d):
 def tree_depth_sweep(spark, d):
     """Scores at depths 2-8 and 10 from one growth of every zone's tree."""
     rows = materialize(
-        _with_fields(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY), "rows"
+        Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY), "rows"
     )
     train, test = splits.by_week(rows, td.TEST_WEEK)
     return trees.depth_sweep(train, test, ["zone_id"], CALENDAR_LAYOUT, [2, 3, 4, 5, 6, 7, 8, 10])
@@ -870,8 +846,8 @@ def forest(spark, d):
 @query
 def mlp_zone(spark, d):
     """A (10, 10) network per zone on hourly rows."""
-    rows = _with_fields(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
-    rows = rows.withColumn("is_train", splits.before_week(td.TEST_WEEK))
+    rows = Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
+    rows = rows.selectExpr("*", f"{splits.before_week(td.TEST_WEEK)} AS is_train")
     return neural.score_networks(rows, CALENDAR_LAYOUT, layers=(10, 10), max_iter=1000)
 
 
@@ -879,8 +855,9 @@ def mlp_zone(spark, d):
 def mlp_cell(spark, d):
     """A (5,) network per grid cell on hourly rows."""
     rows = Fe.grid_features(_fill(_cell_demand(spark, d, HOURLY), HOURLY), HOURLY, GRID5)
-    rows = rows.withColumn("is_train", splits.before_week(td.TEST_WEEK)).withColumn(
-        "zone_id", GRID5.flatten(F.col("cell_x"), F.col("cell_y"))
+    rows = rows.selectExpr(
+        "*", f"{splits.before_week(td.TEST_WEEK)} AS is_train",
+        f"{GRID5.flatten('cell_x', 'cell_y')} AS zone_id",
     )
     return neural.score_networks(rows, CELL_LAYOUT, layers=(5,), max_iter=2000)
 
@@ -888,10 +865,10 @@ def mlp_cell(spark, d):
 @query
 def mlp_leading(spark, d):
     """Networks on sparse rows, the leading sixth of each zone held out."""
-    rows = _zone_demand(spark, d).filter(SLOTS.inside(F.col("slot_id")))
+    rows = _zone_demand(spark, d).filter(SLOTS.inside())
     rows = splits.leading_fraction(rows, 0.1667)
     names = ["month", "day_of_week", "time_of_day_code"]
-    rows = rows.select("*", *SLOTS.fields(F.col("slot_id"), names))
+    rows = rows.selectExpr("*", *SLOTS.fields(names))
     return neural.score_networks(
         rows, [*names, "zone_id"], layers=(10, 10), max_iter=1000, scale=True
     )
@@ -899,12 +876,10 @@ def mlp_leading(spark, d):
 
 @query
 def zscore_zone(spark, d):
-    rows = _with_fields(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
+    rows = Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
     scaled = E.zscores(materialize(rows, "rows"), "time_of_day_code", "day_of_week", "demand")
-    return scaled.select(
-        "slot_id", "zone_id",
-        *[F.round(c, 6).alias(c) for c in ("time_of_day_code_z", "day_of_week_z", "demand_z")],
-    )
+    names = ("time_of_day_code_z", "day_of_week_z", "demand_z")
+    return scaled.selectExpr("slot_id", "zone_id", *[f"round({n}, 6) AS {n}" for n in names])
 
 
 # --- evaluation, comparison, distribution ----------------------------------

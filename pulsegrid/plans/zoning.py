@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pulsegrid.functions.grid import GridSpec
 from pulsegrid.functions.slots import SlotSpec
@@ -16,10 +15,10 @@ def slots_and_zones(trips: DataFrame, slots: SlotSpec, centroids: DataFrame) ->
     """Slot and nearest zone of both trip ends in one pass over the trips."""
     ends = {f"{end}_zone": (f"{end}_lon", f"{end}_lat") for end in Z.ENDS}
     located = Z.nearest_zone(trips.drop(*ends), centroids, ends)
-    return located.select(
+    return located.selectExpr(
         "trip_id", "pickup_zone", "dropoff_zone",
-        slots.slot_of(F.col("pickup_ts")).alias("pickup_slot"),
-        slots.slot_of(F.col("dropoff_ts")).alias("dropoff_slot"),
+        f"{slots.slot_of('pickup_ts')} AS pickup_slot",
+        f"{slots.slot_of('dropoff_ts')} AS dropoff_slot",
     )
 
 
@@ -29,13 +28,13 @@ def slots_and_cells(trips: DataFrame, slots: SlotSpec, grid: GridSpec) -> DataFr
         f"{end}_{axis}": cell
         for end in Z.ENDS
         for axis, cell in (
-            ("x", grid.cell_x(F.col(f"{end}_lon"))), ("y", grid.cell_y(F.col(f"{end}_lat"))),
+            ("x", grid.cell_x(f"{end}_lon")), ("y", grid.cell_y(f"{end}_lat")),
         )
     }
-    return trips.select(
-        "trip_id", *[c.alias(n) for n, c in cells.items()],
-        slots.slot_of(F.col("pickup_ts")).alias("pickup_slot"),
-        slots.slot_of(F.col("dropoff_ts")).alias("dropoff_slot"),
+    return trips.selectExpr(
+        "trip_id", *[f"{c} AS {n}" for n, c in cells.items()],
+        f"{slots.slot_of('pickup_ts')} AS pickup_slot",
+        f"{slots.slot_of('dropoff_ts')} AS dropoff_slot",
     ).dropna(subset=list(cells))
 
 

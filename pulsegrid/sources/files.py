@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pulsegrid.functions.grid import GridSpec
@@ -30,13 +29,13 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").format(format).options(**options).save(path)
 
 
-def write_by_date(df: DataFrame, path: str, ts: Column, name: str = "trip_date") -> None:
+def write_by_date(df: DataFrame, path: str, ts: str, name: str = "trip_date") -> None:
     """Append a snapshot with one folder per calendar date.
 
     The rebalance hint lets AQE split a date that holds far more rows than the
     others and merge tiny ones, so neither hot dates nor small files appear.
     """
-    dated = df.withColumn(name, ts.cast("date"))
+    dated = df.selectExpr("*", f"CAST({ts} AS DATE) AS {name}")
     dated.hint("rebalance", name).write.mode("append").partitionBy(name).parquet(path)
 
 
@@ -49,7 +48,7 @@ def write_by_cell(df: DataFrame, path: str) -> None:
 
 def read_cell(spark: SparkSession, path: str, x: int, y: int) -> DataFrame:
     """The rows of one cell; only that cell's folder is listed and read."""
-    return spark.read.parquet(path).filter((F.col("cell_x") == x) & (F.col("cell_y") == y))
+    return spark.read.parquet(path).filter(f"cell_x = {x} AND cell_y = {y}")
 
 
 def grid_meta(spark: SparkSession, grid: GridSpec) -> DataFrame:

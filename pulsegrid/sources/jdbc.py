@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from pulsegrid.sources.files import write_by_date
 
@@ -31,4 +30,4 @@ def snapshot(
     unique key, keeps the folder count bounded.
     """
     df = spark.read.format("jdbc").options(**read_options(**options)).load()
-    write_by_date(df, out_path, F.col(timestamp_column))
+    write_by_date(df, out_path, timestamp_column)

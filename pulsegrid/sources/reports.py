@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pulsegrid.sources.files import write_table
 
-REPORT_COLUMNS = ("model", "zone_id", "n", "rmse", "r2")
-
 
 def metric_report(
     metrics: DataFrame, model: str, n_train_slots: int, n_test_slots: int
 ) -> DataFrame:
     """One line per zone (NULL zone = pooled) with the size of both sets."""
-    return metrics.select(
-        F.lit(model).alias("model"), "zone_id", "n", "rmse", "r2",
-        F.lit(n_train_slots).alias("n_train_slots"),
-        F.lit(n_test_slots).alias("n_test_slots"),
+    return metrics.selectExpr(
+        f"'{model}' AS model", "zone_id", "n", "rmse", "r2",
+        f"{n_train_slots} AS n_train_slots", f"{n_test_slots} AS n_test_slots",
     )
 
 

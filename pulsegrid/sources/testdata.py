@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.grid import GridSpec
+from pulsegrid.functions.grid import GridSpec, double
 from pulsegrid.functions.slots import SlotSpec
 
 # The month covered by ``events``; train weeks 1-3, test weeks 4-5.
@@ -28,45 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _coordinate(event_id: Column, low: float, span: float, multiplier: int) -> Column:
+def _coordinate(low: float, span: float, multiplier: int) -> str:
     # reduced first so that the product cannot overflow
-    fraction = ((event_id % 1000 * multiplier) % 1000).cast("double")
-    return F.lit(low) + F.lit(span) * fraction / F.lit(1000.0)
+    fraction = f"CAST((event_id % 1000 * {multiplier}) % 1000 AS DOUBLE)"
+    return f"{double(low)} + {double(span)} * {fraction} / 1000D"
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as trips; points lie inside and outside the city grid."""
-    event = F.col("event_id")
-    minutes = (event % 60).cast("int")
-    return table(spark, sf_dir, "events").select(
-        event.alias("trip_id"),
-        F.col("ts").alias("pickup_ts"),
-        F.timestamp_add("MINUTE", minutes, F.col("ts")).alias("dropoff_ts"),
-        _coordinate(event, -74.2, 0.55, 7919).alias("pickup_lon"),
-        _coordinate(event, 40.55, 0.35, 104729).alias("pickup_lat"),
-        _coordinate(event, -74.2, 0.55, 15485863).alias("dropoff_lon"),
-        _coordinate(event, 40.55, 0.35, 32452843).alias("dropoff_lat"),
-        (F.col("user_id") % 40).cast("int").alias("pickup_zone"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS trip_id",
+        "ts AS pickup_ts",
+        "timestampadd(MINUTE, event_id % 60, ts) AS dropoff_ts",
+        f"{_coordinate(-74.2, 0.55, 7919)} AS pickup_lon",
+        f"{_coordinate(40.55, 0.35, 104729)} AS pickup_lat",
+        f"{_coordinate(-74.2, 0.55, 15485863)} AS dropoff_lon",
+        f"{_coordinate(40.55, 0.35, 32452843)} AS dropoff_lat",
+        "CAST(user_id % 40 AS INT) AS pickup_zone",
     )
 
 
 def seed_centroids(trips: DataFrame) -> DataFrame:
-    """Mean pickup point of each seed cell, as a zone table."""
-    lon, lat = F.col("pickup_lon"), F.col("pickup_lat")
+    """The middle of the pickup points of each seed cell, as a zone table."""
+    cell = SEED_GRID.cell_id("pickup_lon", "pickup_lat")
     return (
-        trips.groupBy(SEED_GRID.cell_id(lon, lat).alias("zone_id"))
+        trips.groupBy(F.expr(f"{cell} AS zone_id"))
         .agg(
-            F.round(F.avg("pickup_lon"), 4).alias("centroid_lon"),
-            F.round(F.avg("pickup_lat"), 4).alias("centroid_lat"),
+            F.expr("(min(pickup_lon) + max(pickup_lon)) / 2 AS centroid_lon"),
+            F.expr("(min(pickup_lat) + max(pickup_lat)) / 2 AS centroid_lat"),
         )
-        .filter(F.col("zone_id").isNotNull())
+        .filter("zone_id IS NOT NULL")
     )
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two dimensions of ``embeddings`` as planar points."""
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label",
-        F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y"),
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "label", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y"
     )
