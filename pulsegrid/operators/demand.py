@@ -162,7 +162,8 @@ def index_slice(demand: DataFrame, start: int, stop: int) -> DataFrame:
 
     Row positions come from counts per slot; only slots that overlap the
     range are numbered, each on its own (at most one row per zone), so no
-    task ever sorts the whole table.
+    task ever sorts the whole table. ``demand`` is read twice; pass a written
+    table.
     """
     counts = demand.groupBy("slot_id").agg(F.expr("count(*) AS rows"))
     counts = counts.selectExpr("slot_id", "rows", "floor(slot_id / 4096) AS block")

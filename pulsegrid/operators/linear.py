@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.evaluate import score_with_total
+from pulsegrid.operators.evaluate import score, score_with_total
 from pulsegrid.operators.features import assemble
 
 
@@ -94,15 +94,24 @@ def fit_ols(train: DataFrame, keys: list[str], features: list[str],
 
 def predict_ols(rows: DataFrame, model: DataFrame, keys: list[str],
                 features: list[str]) -> DataFrame:
-    terms = "".join(f" + coefficients[{i}] * {name}" for i, name in enumerate(features))
-    return rows.join(model.drop("n"), keys).selectExpr("*", f"intercept{terms} AS prediction")
+    terms = "".join(f" + model.coefficients[{i}] * {name}" for i, name in enumerate(features))
+    model = model.selectExpr(*keys, "struct(intercept, coefficients) AS model")
+    # a model without keys is one row: a scalar, not a join
+    with_model = rows.join(model, keys) if keys else rows.withColumn("model", model.scalar())
+    return with_model.selectExpr("*", f"model.intercept{terms} AS prediction").drop("model")
+
+
+def _scored(predicted: DataFrame, keys: list[str], label: str) -> DataFrame:
+    if not keys:
+        return score(predicted, label=label)
+    return score_with_total(predicted, *keys, label=label)
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, keys: list[str], features: list[str],
                   label: str = "demand") -> DataFrame:
     """One regression per group, scored on its test rows and pooled."""
     predicted = predict_ols(test, fit_ols(train, keys, features, label), keys, features)
-    return score_with_total(predicted, *keys, label=label)
+    return _scored(predicted, keys, label)
 
 
 def global_regression(train: DataFrame, test: DataFrame, layout, label: str = "demand",

@@ -95,7 +95,7 @@ def grow(rows: DataFrame, keys: list[str], features: list[str], max_depth: int,
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
-    return _node_table(nodes, keys, max_depth)
+    return materialize(_node_table(nodes, keys, max_depth), "nodes")
 
 
 def _node_table(nodes: DataFrame, keys: list[str], max_depth: int) -> DataFrame:

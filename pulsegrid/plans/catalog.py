@@ -427,7 +427,7 @@ def groups_train_test(spark, d):
 @query
 def index_slice(spark, d):
     """Rows 500 to 1499 of the demand table in (slot, zone) order."""
-    return D.index_slice(_zone_demand(spark, d), 500, 1500)
+    return D.index_slice(materialize(_zone_demand(spark, d), "demand"), 500, 1500)
 
 
 @query
@@ -753,15 +753,20 @@ def ols_global_scored(spark, d):
     return linear.global_regression(train, test, Fe.LAYOUT_GLOBAL)
 
 
+@query
+def ols_global_zones(spark, d):
+    """One exact nine-feature regression for all zones, scored per zone."""
+    train, test = splits.by_week(_global_rows(spark, d), td.TEST_WEEK)
+    layout = list(Fe.LAYOUT_GLOBAL)
+    predicted = linear.predict_ols(test, linear.fit_ols(train, [], layout), [], layout)
+    return E.score_with_total(predicted, "zone_id")
+
+
 @query
 def ols_global_exact(spark, d):
     """One regression for all zones from a single aggregation, pooled score."""
     train, test = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
-    scored = linear.fit_and_score(
-        train.selectExpr("*", "1 AS model"), test.selectExpr("*", "1 AS model"), ["model"],
-        list(Fe.LAYOUT_WEEKDAY),
-    )
-    return scored.filter("model IS NOT NULL").drop("model")
+    return linear.fit_and_score(train, test, [], list(Fe.LAYOUT_WEEKDAY))
 
 
 # --- trees -----------------------------------------------------------------

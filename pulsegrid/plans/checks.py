@@ -509,6 +509,59 @@ check("ols_global_exact", *ZONE_MODEL, two_features(""), """scored AS (
   SELECT t.demand, intercept + b1 * t.day_of_week + b2 * t.time_of_day_code AS prediction
   FROM dense t CROSS JOIN two WHERE t.week >= 4)""", sql=scores("scored", ()))
 
+
+def solved(keys: list[str], features: list[str]) -> list[str]:
+    """Normal equations solved by elimination, one statement per pivot.
+
+    Columns ``a_i_j`` hold row ``i`` of the system; column ``p`` is the right
+    hand side. Features are centred per group, so no pivot is tiny.
+    """
+    p = len(features)
+    lead = "".join(f"{k}, " for k in keys)
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    means = ", ".join(f"avg({f}) AS m_{i}" for i, f in enumerate([*features, "demand"]))
+    columns = [*features, "demand"]
+    first = ", ".join(
+        f"covar_pop({columns[j]}, {columns[i]}) AS a_{i}_{j}" for i in range(p) for j in range(p + 1)
+    )
+    parts = [f"""step_0 AS MATERIALIZED (
+  SELECT {lead} {means}, {first} FROM dense WHERE week < 4 {group})"""]
+    kept = lead + ", ".join(f"m_{i}" for i in range(p + 1))
+    for pivot in range(p):
+        entries = []
+        for i in range(p):
+            for j in range(p + 1):
+                value = f"a_{pivot}_{j} / a_{pivot}_{pivot}"
+                if i != pivot:
+                    value = f"a_{i}_{j} - a_{i}_{pivot} * a_{pivot}_{j} / a_{pivot}_{pivot}"
+                entries.append(f"{value} AS a_{i}_{j}")
+        parts.append(f"""step_{pivot + 1} AS MATERIALIZED (
+  SELECT {kept}, {', '.join(entries)} FROM step_{pivot})""")
+    terms = "".join(f" + m.a_{i}_{p} * (t.{f} - m.m_{i})" for i, f in enumerate(features))
+    on = " AND ".join(f"t.{k} = m.{k}" for k in keys) or "true"
+    parts.append(f"""fitted AS MATERIALIZED (
+  SELECT t.zone_id, t.demand, m.m_{p}{terms} AS prediction
+  FROM dense t JOIN step_{p} m ON {on} WHERE t.week >= 4)""")
+    return parts
+
+
+# a basis of the six calendar features, which are collinear (hour and minute
+# make up the time of day, week and weekday the day of this month)
+BASIS = ["time_of_day_code", "hour", "day_of_week", "week"]
+check("ols_zone_multi", *ZONE_MODEL, *solved(["zone_id"], BASIS), sql=scores("fitted"))
+# on hourly slots the time of day is the hour
+check("ols_cell_multi", *CELL_HOURLY, *solved(["zone_id"], ["hour", "day_of_week", "week"]), sql=f"""
+SELECT CAST(zone_id // 5 AS INT) AS cell_x, CAST(zone_id % 5 AS INT) AS cell_y, n, rmse, r2
+FROM ({scores('fitted')})""")
+GLOBAL_ROWS = (
+    *ZONING, located_demand(3600), calendar(3600), "zones AS (SELECT zone_id FROM centroids)",
+    ALL_ZONES_DENSE.replace("dense AS", "unflagged AS"), FLAGS,
+    f"dense AS MATERIALIZED ({FLAGGED} FROM unflagged r LEFT JOIN flags f ON f.zone_id = r.zone_id)",
+)
+check("ols_global_zones", *GLOBAL_ROWS,
+      *solved([], ["hour", "zone_id", "day_of_week", "week", "is_manhattan", "is_airport"]),
+      sql=scores("fitted"))
+
 # --- trees -----------------------------------------------------------------
 
 

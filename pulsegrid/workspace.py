@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_apps: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below this application's part of the shared folder."""
     app = spark.sparkContext.applicationId
+    if app not in _apps:
+        _apps.add(app)
+        atexit.register(_clear_at_exit, spark)
     return f"{shared_dir(spark)}/pulsegrid/{app}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,6 +58,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        clear(spark)
+    except Exception:  # the session was stopped before the interpreter
+        pass
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table this application wrote."""
     app = spark.sparkContext.applicationId
