@@ -108,8 +108,10 @@ def join_slots(demand: DataFrame, slots_table: DataFrame) -> DataFrame:
 def lookup_demand(keys: DataFrame, demand: DataFrame) -> DataFrame:
     """Demand of each (slot, zone) key, 0 when there is none.
 
-    ``demand`` has one row per key, so repeated keys do not multiply rows and
-    AQE can split a hot key on the ``keys`` side.
+    ``demand`` has one row per key, so repeated keys do not multiply rows. Pass
+    it as a written table: its known size then decides between a broadcast,
+    which leaves the keys in place, and a shuffled join whose hot keys AQE
+    splits.
     """
     return keys.join(demand, ["slot_id", "zone_id"], "left").fillna(0, ["demand"])
 

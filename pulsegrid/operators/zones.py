@@ -85,7 +85,8 @@ def centroid_index(centroids: DataFrame) -> tuple[DataFrame, GridSpec]:
     ).first()
     if k == 0:
         raise ValueError("the zone table has no coordinates")
-    side = max(4, min(256, math.ceil(2 * math.sqrt(k))))
+    # about 25 cells per centroid, so most cells have a single candidate
+    side = max(4, min(512, math.ceil(10 * math.sqrt(k))))
     lon_margin = max((lon_high - lon_low) / 2, 1e-6)
     lat_margin = max((lat_high - lat_low) / 2, 1e-6)
     grid = GridSpec(
@@ -144,7 +145,8 @@ def nearest_zone(
     original = df.columns
     for name, (lon, lat) in points.items():
         d2 = f"(c.lon - {lon}) * (c.lon - {lon}) + (c.lat - {lat}) * (c.lat - {lat})"
-        nearest = f"array_min(transform(who, c -> struct({d2} AS d2, c.zone_id))).zone_id"
+        closest = f"array_min(transform(who, c -> struct({d2} AS d2, c.zone_id))).zone_id"
+        nearest = f"IF(size(who) = 1, who[0].zone_id, {closest})"
         known = f"{lon} IS NOT NULL AND {lat} IS NOT NULL"
         df = (
             df.selectExpr("*", f"coalesce({grid.cell_id(lon, lat)}, -1) AS cell")

@@ -68,7 +68,7 @@ def _centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, d: str, slots: SlotSpec, centroids: DataFrame) -> DataFrame:
-    return zoning.slots_and_zones(td.trips(spark, d), slots, centroids)
+    return zoning.slots_and_zones(td.trips(spark, d), slots, centroids, ("pickup",))
 
 
 def _fill(demand: DataFrame, slots: SlotSpec) -> DataFrame:
@@ -543,7 +543,8 @@ def _dropoff_keys(spark, d):
 @query
 def lookup_demand(spark, d):
     """Pickup demand at every trip's drop-off slot."""
-    return D.lookup_demand(_dropoff_keys(spark, d), _zone_demand(spark, d)).select(
+    demand = materialize(_zone_demand(spark, d), "demand")
+    return D.lookup_demand(_dropoff_keys(spark, d), demand).select(
         "trip_id", "slot_id", "zone_id", "demand"
     )
 
@@ -588,6 +589,7 @@ def features_cluster(spark, d):
     centroids = _centroids(spark, d)
     located = _located(spark, d, HOURLY, centroids)
     demand = D.count_demand(located, slot_id="pickup_slot", zone_id="pickup_zone")
+    demand = materialize(demand, "demand")
     zones = centroids.select("zone_id")
     return Fe.zone_features(D.fill_calendar(demand, HOURLY, zones), HOURLY, centroids)
 
@@ -596,7 +598,7 @@ def features_cluster(spark, d):
 def features_grid(spark, d):
     """Dense hourly features of every cell of the grid, known from its size."""
     zones = spark.range(GRID5.cells).selectExpr("CAST(id AS INT) AS zone_id")
-    dense = D.fill_calendar(_cell_demand(spark, d, HOURLY), HOURLY, zones)
+    dense = D.fill_calendar(materialize(_cell_demand(spark, d, HOURLY), "demand"), HOURLY, zones)
     return Fe.grid_features(dense, HOURLY, GRID5)
 
 

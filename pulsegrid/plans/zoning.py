@@ -11,14 +11,17 @@ from pulsegrid.operators import zones as Z
 from pulsegrid.workspace import materialize
 
 
-def slots_and_zones(trips: DataFrame, slots: SlotSpec, centroids: DataFrame) -> DataFrame:
-    """Slot and nearest zone of both trip ends in one pass over the trips."""
-    ends = {f"{end}_zone": (f"{end}_lon", f"{end}_lat") for end in Z.ENDS}
-    located = Z.nearest_zone(trips.drop(*ends), centroids, ends)
+def slots_and_zones(
+    trips: DataFrame, slots: SlotSpec, centroids: DataFrame, ends=Z.ENDS
+) -> DataFrame:
+    """Slot and nearest zone of the trip ends in one pass over the trips.
+
+    Counting pickups needs ``ends=("pickup",)`` only.
+    """
+    points = {f"{end}_zone": (f"{end}_lon", f"{end}_lat") for end in ends}
+    located = Z.nearest_zone(trips.drop(*points), centroids, points)
     return located.selectExpr(
-        "trip_id", "pickup_zone", "dropoff_zone",
-        f"{slots.slot_of('pickup_ts')} AS pickup_slot",
-        f"{slots.slot_of('dropoff_ts')} AS dropoff_slot",
+        "trip_id", *points, *[f"{slots.slot_of(f'{end}_ts')} AS {end}_slot" for end in ends]
     )
 
 
@@ -50,7 +53,8 @@ def cluster_demand(
     keep = keep or {}
     model = Z.train_kmeans(trips, k, fraction, seed, max_iter)
     centroids = Z.centroid_table(trips, model)
-    combined = slots_and_zones(trips, slots, centroids)
+    ends = Z.ENDS if "combined" in keep else ("pickup",)
+    combined = slots_and_zones(trips, slots, centroids, ends)
     if "zones" in keep:
         centroids.write.mode("overwrite").parquet(keep["zones"])
     if "combined" in keep:
