@@ -85,9 +85,10 @@ def fill_observed(demand: DataFrame, slots: SlotSpec) -> DataFrame:
     per_day = known.groupBy(F.expr(f"{slots.day_index()} AS day_index")).agg(
         F.expr(f"collect_set({slots.time_of_day()}) AS codes")
     )
-    span = per_day.selectExpr("sequence(min(day_index), max(day_index))").scalar()
+    # the list of observed days: a stray timestamp adds one day, not a range
+    days = per_day.selectExpr("collect_list(day_index)").scalar()
     zones = demand.select("zone_id").filter("zone_id IS NOT NULL").distinct()
-    blocks = zones.select("zone_id", F.explode(span).alias("day_index")).join(per_day, "day_index")
+    blocks = zones.select("zone_id", F.explode(days).alias("day_index")).join(per_day, "day_index")
     return _expand_blocks(known, blocks, slots)
 
 

@@ -116,15 +116,12 @@ def centroid_index(centroids: DataFrame) -> tuple[DataFrame, GridSpec]:
         "pow(greatest(west - c.lon, c.lon - east, 0D), 2)"
         " + pow(greatest(south - c.lat, c.lat - north, 0D), 2)"
     )
-    # written first: as a plain column the bound is computed once per cell
-    bounds = materialize(
-        cells.withColumn("everyone", everyone).selectExpr(
-            "cell", "west", "east", "south", "north",
-            f"array_min(transform(everyone, c -> {far})) * (1 + 1e-9D) AS reach",
-        ),
-        "bounds",
+    # exploding the single bound makes it a column of its own, computed once
+    # per cell; the optimizer would otherwise repeat it for every centroid
+    bounds = cells.withColumn("everyone", everyone).selectExpr(
+        "*", f"explode(array(array_min(transform(everyone, c -> {far})) * (1 + 1e-9D))) AS reach"
     )
-    possible = bounds.withColumn("everyone", everyone).selectExpr(
+    possible = bounds.selectExpr(
         "cell", f"filter(everyone, c -> cell < 0 OR {near} <= reach) AS who"
     )
     return materialize(possible, "centroid-index"), grid

@@ -506,12 +506,14 @@ def demand_grid_flat(spark, d):
 
 @query
 def demand_calendar(spark, d):
-    return D.join_calendar(_zone_demand(spark, d), extend_slots(spark, d))
+    joined = D.join_calendar(_zone_demand(spark, d), extend_slots(spark, d))
+    return joined.orderBy("slot_id", "zone_id")
 
 
 @query
 def demand_slots(spark, d):
-    return D.join_slots(_zone_demand(spark, d), _slot_table(spark, d))
+    joined = D.join_slots(_zone_demand(spark, d), _slot_table(spark, d))
+    return joined.orderBy("slot_id", "zone_id")
 
 
 @query

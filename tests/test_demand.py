@@ -54,13 +54,14 @@ def test_fill_calendar_with_a_part_day(spark):
 
 def test_fill_observed_uses_observed_keys_only(spark):
     demand = spark.createDataFrame(
-        [(-30, 1, 3), (5, 2, 2), (500, 1, 1), (5, 3, 4)],
+        [(-30, 1, 3), (5, 2, 2), (500, 1, 1), (5, 3, 4), (2_000_000_000, 2, 6)],
         "slot_id int, zone_id int, demand bigint",
     )
     dense = D.fill_observed(demand, SLOTS)
     got = {(r.slot_id, r.zone_id): r.demand for r in dense.collect()}
-    known = {(-30, 1): 3, (5, 2): 2, (500, 1): 1, (5, 3): 4}
-    assert got == {(s, z): known.get((s, z), 0) for s in (-30, 5, 500) for z in (1, 2, 3)}
+    known = {(-30, 1): 3, (5, 2): 2, (500, 1): 1, (5, 3): 4, (2_000_000_000, 2): 6}
+    slots = (-30, 5, 500, 2_000_000_000)
+    assert got == {(s, z): known.get((s, z), 0) for s in slots for z in (1, 2, 3)}
 
 
 def test_index_slice_follows_slot_zone_order(spark):
@@ -122,6 +123,19 @@ def test_one_pass_equals_stored_tables_join(spark, tiny):
     assert joined.exceptAll(one_pass.select(joined.columns)).count() == 0
 
 
+def test_cluster_job_keeps_its_tables_and_every_trip(spark, tiny, tmp_path):
+    trips = td.trips(spark, tiny)
+    keep = {"zones": str(tmp_path / "zones"), "combined": str(tmp_path / "combined")}
+    centroids, demand = zoning.cluster_demand(trips, td.HOURLY, k=6, seed=2, keep=keep)
+    assert centroids.count() == spark.read.parquet(keep["zones"]).count() == 6
+    combined = spark.read.parquet(keep["combined"])
+    assert combined.count() == trips.count()
+    row = demand.selectExpr(
+        "sum(demand)", "count(*)", "count(DISTINCT slot_id) * count(DISTINCT zone_id)"
+    ).first()
+    assert row[0] == trips.count() and row[1] == row[2]
+
+
 def test_fill_features_equals_features_of_filled_demand(spark):
     demand = hot_demand(spark)
     zones = spark.createDataFrame([(5, -74.0, 40.72)],

@@ -12,6 +12,7 @@ from pulsegrid.operators import evaluate as E
 from pulsegrid.operators import features as Fe
 from pulsegrid.operators import linear, neural, profiles, splits, trees
 from pulsegrid.plans import catalog
+from pulsegrid.plans.predictors import PREDICTORS, evaluate
 from pulsegrid.sources import testdata as td
 
 
@@ -62,6 +63,16 @@ def test_ols_equals_numpy_on_collinear_features(spark, rows):
         assert np.allclose(mine, want, atol=1e-8)
 
 
+def test_predictors_by_name(spark, rows):
+    train, test = splits.by_week(rows, td.TEST_WEEK)
+    for name in PREDICTORS:
+        report = evaluate(name, train, test, list(Fe.LAYOUT_WEEKDAY), 3024, 1296).collect()
+        assert {r.model for r in report} == {name}
+        assert sum(r.zone_id is None for r in report) == 1
+    with pytest.raises(KeyError):
+        evaluate("oracle", train, test, [], 0, 0)
+
+
 def test_library_regression_is_close_to_the_exact_one(spark, rows):
     train, test = splits.by_week(rows, td.TEST_WEEK)
     layout = ["zone_id", *Fe.LAYOUT_CALENDAR]

@@ -72,6 +72,20 @@ def test_disk_table(spark):
     df.unpersist()
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        master, conf = "spark://host:7077", Unset()
+        sparkContext = property(lambda self: self)
+        getConf = Unset
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster())
+
+
 def test_written_tables_live_in_the_shared_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
