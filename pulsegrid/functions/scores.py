@@ -26,9 +26,8 @@ def score_columns(digits: int = 6) -> list[str]:
     R2 is NULL when the label is constant: rounding noise of a constant label
     must not pass for variance.
     """
-    sst = "(sum_y2 - sum_y * sum_y / n)"
+    sst = "(sum_y2 - sum_y * sum_y / nullif(n, 0))"
     return [
-        f"CASE WHEN n > 0 THEN round(sqrt(greatest(sse, 0D) / n), {digits}) END AS rmse",
-        f"CASE WHEN n > 0 AND {sst} > sum_y2 * 1e-12D"
-        f" THEN round(1D - sse / {sst}, {digits}) END AS r2",
+        f"round(sqrt(greatest(sse, 0D) / nullif(n, 0)), {digits}) AS rmse",
+        f"CASE WHEN {sst} > sum_y2 * 1e-12D THEN round(1D - sse / {sst}, {digits}) END AS r2",
     ]

@@ -30,10 +30,17 @@ def histogram(values: DataFrame, bins: int) -> DataFrame:
         .selectExpr("IF(a = b, a - 0.5D, a) AS low", "IF(a = b, b + 0.5D, b) AS high", "total")
         .selectExpr("low", f"(high - low) / {bins} AS width", "total")
     )
-    placed = values.withColumn("edge", edges.selectExpr("struct(low, width)").scalar())
-    filled = placed.groupBy(
-        F.expr(f"least(CAST(floor((demand - edge.low) / edge.width) AS INT), {bins - 1}) AS bin")
-    ).agg(F.expr("sum(rows) AS cnt"))
+    placed = values.withColumn("edge", edges.selectExpr("struct(low, width)").scalar()).selectExpr(
+        "*", "CAST(floor((demand - edge.low) / edge.width) AS INT) AS near"
+    )
+    # the division may be off by one right at an edge; the edges decide
+    exact = (
+        "near + CASE WHEN demand < edge.low + edge.width * near THEN -1"
+        " WHEN demand >= edge.low + edge.width * (near + 1) THEN 1 ELSE 0 END"
+    )
+    filled = placed.groupBy(F.expr(f"least({exact}, {bins - 1}) AS bin")).agg(
+        F.expr("sum(rows) AS cnt")
+    )
     every = edges.selectExpr("*", f"explode(sequence(0, {bins - 1})) AS bin")
     return every.join(filled, "bin", "left").selectExpr(
         "bin", "round(low + width * bin, 6) AS bin_start", "coalesce(cnt, 0L) AS cnt",

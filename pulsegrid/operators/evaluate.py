@@ -46,9 +46,9 @@ def constant_rmse(df: DataFrame, constants: list[float], label: str = "demand")
         f"count({label}) AS n", f"CAST(sum({label}) AS DOUBLE) AS s",
         f"CAST(sum({label} * {label}) AS DOUBLE) AS s2",
     )
-    square = "greatest((s2 - 2 * constant * s + n * constant * constant) / n, 0D)"
+    total = "greatest(s2 - 2 * constant * s + n * constant * constant, 0D)"
     return sums.selectExpr("n", "s", "s2", f"explode(array({guesses})) AS constant").selectExpr(
-        "constant", f"CASE WHEN n > 0 THEN round(sqrt({square}), 6) END AS rmse"
+        "constant", f"round(sqrt({total} / nullif(n, 0)), 6) AS rmse"
     )
 
 

@@ -715,7 +715,8 @@ check("demand_hist", *DAILY, """edges AS (
 SELECT CAST(b.range AS INT) AS bin, round(low + width * b.range, 6) AS bin_start,
   count(d.demand) AS cnt, round(count(d.demand) / (max(n) * max(width)), 6) AS density
 FROM range(20) b CROSS JOIN edges
-LEFT JOIN demand d ON least(CAST(floor((d.demand - low) / width) AS INT), 19) = b.range
+LEFT JOIN demand d ON d.demand >= low + width * b.range
+  AND (d.demand < low + width * (b.range + 1) OR b.range = 19)
 GROUP BY b.range, low, width""")
 check("fit_exponential", *DAILY, sql="""
 SELECT x, round(m, 6) AS mean, round(exp(-x / m) / m, 6) AS density

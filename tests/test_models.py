@@ -190,6 +190,14 @@ def test_distribution(spark):
     assert [r.density for r in exponential] == [round(math.exp(-x / 2) / 2, 6) for x in range(3)]
 
 
+@pytest.mark.parametrize("bins", [3, 10, 49, 1101])
+def test_histogram_edges_equal_numpy(spark, bins):
+    demand = [1 + (i * i) % 98 for i in range(400)] + [1, 99]
+    values = dist.value_counts(spark.createDataFrame([(v,) for v in demand], "demand bigint"))
+    got = [r.cnt for r in dist.histogram(values, bins).orderBy("bin").collect()]
+    assert got == list(np.histogram(demand, bins=bins)[0])
+
+
 def test_distribution_of_one_value(spark):
     values = spark.createDataFrame([(5, 9)], "demand bigint, rows bigint")
     assert dist.fit_pareto(values).first().alpha is None
