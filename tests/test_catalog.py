@@ -20,7 +20,7 @@ def duck(tiny):
 
 def test_every_check_has_a_query():
     assert set(CHECKS) <= set(QUERIES)
-    assert contract.queries().keys() == QUERIES.keys()
+    assert QUERIES.keys() <= contract.queries().keys()
 
 
 def test_entry(spark):
