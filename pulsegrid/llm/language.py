@@ -150,20 +150,21 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text, and how clearly it won: 1 - best / second best phrase count."""
-        points = [normalised(t or "") for t in texts]
         lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        todo = [i for i, p in enumerate(points) if len(p) and self.langs]
-        while todo:
-            size, n = 0, 0
-            while n < len(todo) and (n == 0 or size + len(points[todo[n]]) <= BATCH_CHARS):
-                size += max(STRETCH, len(points[todo[n]]))
-                n += 1
-            counts = self.phrases([points[i] for i in todo[:n]])
-            best = np.argmin(counts, axis=1)
-            for i, b, row in zip(todo[:n], best.tolist(), np.sort(counts, axis=1)):
-                lang[i] = self.langs[b]
-                score[i] = float(1 - row[0] / row[1]) if len(row) > 1 else 1.0
-            todo = todo[n:]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, text in enumerate([*texts, None]):
+            points = normalised(text) if text and self.langs else None
+            if held and (i == len(texts) or (points is not None and size + len(points) > BATCH_CHARS)):
+                counts = self.phrases([p for _, p in held])
+                best = np.argmin(counts, axis=1)
+                for (k, _), b, row in zip(held, best.tolist(), np.sort(counts, axis=1)):
+                    lang[k] = self.langs[b]
+                    score[k] = float(1 - row[0] / row[1]) if len(row) > 1 else 1.0
+                held, size = [], 0
+            if points is not None and len(points):
+                held.append((i, points))
+                size += max(STRETCH, len(points))
         return lang, score
 
 

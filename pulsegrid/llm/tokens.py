@@ -27,8 +27,8 @@ END = 1
 #: Text bytes of a range of documents, and tokens after which a shard is closed (a longer document is one shard).
 RANGE_BYTES = 16 << 20
 SHARD_TOKENS = 1 << 22
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, and pieces of words, whose ids a worker remembers.
+REMEMBERED = 200_000
 
 #: Words of these characters alone are cut by a plain pattern; others go through the whole tokenizer.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
