@@ -26,6 +26,8 @@ from pulsegrid.workspace import materialize
 END = 1
 #: Text bytes of a range of documents, and tokens after which a shard is closed (a longer document is one shard).
 RANGE_BYTES = 16 << 20
+#: A small corpus is still cut into this many ranges, of a megabyte or more.
+LEAST_RANGES, LEAST_BYTES = 64, 1 << 20
 SHARD_TOKENS = 1 << 22
 #: Words, and pieces of words, whose ids a worker remembers.
 REMEMBERED = 200_000
@@ -144,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     writes no shard. Other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // RANGE_BYTES) or 1
+    n = max(-(-size // RANGE_BYTES), min(LEAST_RANGES, -(-size // LEAST_BYTES)), 1)
     cuts = docs.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS LONG) AS doc_id")
     cuts = cuts.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts})
