@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Training characters per language, drawn from texts of at most a quarter of that where there are any.
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 24_000
 #: Languages that can be learned; the labels with most documents, if there are more.
 MOST_LANGS = 500
 STRETCH = 512
 #: Characters that are moved together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 UNDETERMINED = "und"
 
 _models: dict[str, Model] = {}
@@ -91,14 +92,14 @@ class Model:
     continue the phrase and begins the next one.
     """
 
-    END = 1 << 40  # far above any row
+    END = 1 << 30  # above any row
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         codes = {lang: np.frombuffer(samples[lang].encode("utf-32-le"), "<u4") for lang in self.langs}
         known = np.unique(np.concatenate([np.zeros(0, np.uint32), *codes.values()]))
         self.width = len(known) + 2  # and characters of no language, and the padding of short stretches
-        self.symbol = np.full(0x110000, len(known), np.int64)
+        self.symbol = np.full(0x110000, len(known), np.int32)
         self.symbol[known] = np.arange(len(known))
         tables, self.roots, base = [], [], 0
         for lang in self.langs:
@@ -106,7 +107,7 @@ class Model:
             lost = len(move)  # after a character that this language doesn't have
             first = np.full(self.width, lost)
             first[list(move[0])] = list(move[0].values())
-            table = np.empty((lost + 1, self.width), np.int64)
+            table = np.empty((lost + 1, self.width), np.int32)
             table[:] = (base + first) * self.width + self.END
             for s, out in enumerate(move):
                 table[s, list(out)] = (base + np.fromiter(out.values(), np.int64, len(out))) * self.width
@@ -115,18 +116,16 @@ class Model:
             tables.append(table.ravel())
             self.roots.append(base * self.width)
             base += lost + 1
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        self.end = self.END
-        if base * self.width < 1 << 30:  # half the memory, where it suffices
-            self.end = 1 << 30
-            self.table = np.where(self.table >= self.END, self.table - self.END + self.end, self.table).astype(np.int32)
+        if base * self.width >= self.END:
+            raise ValueError("the samples are too large for one table: choose a smaller sample or fewer languages")
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of every text (not empty) in every language."""
         sizes = np.array([len(t) for t in texts])
         rows = -(-sizes // STRETCH)
         total = int(rows.sum())
-        grid = np.full((total, STRETCH), self.width - 1, np.int64)
+        grid = np.full((total, STRETCH), self.width - 1, np.int32)
         owner = np.repeat(np.arange(len(texts)), rows)
         first = np.concatenate(([0], np.cumsum(rows)[:-1]))
         place = np.arange(sizes.sum()) + np.repeat(first * STRETCH - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
@@ -141,21 +140,21 @@ class Model:
         for t in range(int(length.max())):
             n = active[t]
             now = self.table.take(state[:, :n] + steps[t, :n])
-            count[:, :n] += now >= self.end
-            state[:, :n] = now & (self.end - 1)
+            count[:, :n] += now >= self.END
+            state[:, :n] = now & (self.END - 1)
         out = np.zeros((len(self.langs), len(texts)), np.int64)
         for k in range(len(self.langs)):
             out[k] = np.bincount(owner[order], count[k], len(texts))
         return out.T
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: Iterable[str | None], n: int) -> tuple[list[str], list[float]]:
         """The language of each text, and how clearly it won: 1 - best / second best phrase count."""
-        lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        lang, score = [UNDETERMINED] * n, [0.0] * n
         held: list[tuple[int, np.ndarray]] = []
         size = 0
-        for i, text in enumerate([*texts, None]):
+        for i, text in enumerate(chain(texts, [None])):
             points = normalised(text) if text and self.langs else None
-            if held and (i == len(texts) or (points is not None and size + len(points) > BATCH_CHARS)):
+            if held and (i == n or (points is not None and size + len(points) > BATCH_CHARS)):
                 counts = self.phrases([p for _, p in held])
                 best = np.argmin(counts, axis=1)
                 for (k, _), b, row in zip(held, best.tolist(), np.sort(counts, axis=1)):
@@ -220,11 +219,13 @@ def identify(docs: DataFrame, trained: dict[str, str] | None = None) -> DataFram
             _models.clear()
             _models[key] = Model(sent.value)
         for batch in batches:
-            lang, score = _models[key].predict(batch["text"].to_pylist())
+            lang, score = _models[key].predict((t.as_py() for t in batch["text"]), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
+            del batch
+        pa.default_memory_pool().release_unused()
 
     schema = fields.add("lang_pred", "string").add("score", "double")
     return docs.select(*kept).mapInArrow(predict, schema)

@@ -57,6 +57,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"]
             )
+            del batch
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(hashed, "doc_id long, fp long")

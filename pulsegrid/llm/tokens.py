@@ -29,8 +29,8 @@ RANGE_BYTES = 16 << 20
 #: A small corpus is still cut into this many ranges, of a megabyte or more.
 LEAST_RANGES, LEAST_BYTES = 64, 1 << 20
 SHARD_TOKENS = 1 << 22
-#: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Words and pieces of words whose ids a worker remembers.
+REMEMBERED = 450_000
 
 #: Words of these characters alone are cut by a plain pattern; others go through the whole tokenizer.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -58,28 +58,27 @@ class Encoder:
         self.letters = {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
-            pieces, held = self.pieces, []
-            for piece in _PIECE.findall(word.lower()):
-                ids = pieces.get(piece)
-                if ids is None:
-                    inner = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                    ids = np.array([t.id for t in self.model.tokenize(inner)], self.kind).tobytes()
-                    if len(pieces) >= REMEMBERED:
-                        pieces.clear()
-                    pieces[piece] = ids
-                held.append(ids)
-            ids = b"".join(held)
-        else:
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        inner = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._keep(piece, np.array([t.id for t in self.model.tokenize(inner)], self.kind).tobytes())
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         self.words[word] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or ("<" in word and any(s in word for s in self.special)):
+            return self._keep(word, np.array(self.whole.encode(word, add_special_tokens=False).ids, self.kind).tobytes())
+        pieces = _PIECE.findall(word.lower())
+        if pieces == [word]:
+            return self._piece(word)
+        # a piece by itself is a word of the same ids
+        get, make = self.words.get, self._piece
+        return self._keep(word, b"".join([ids if (ids := get(p)) is not None else make(p) for p in pieces]))
+
     def encode(self, text: str) -> bytes:
         get, make = self.words.get, self._word
         return b"".join([ids if (ids := get(w)) is not None else make(w) for w in re.split("[ \n]", text)])
@@ -103,6 +102,8 @@ def _encoded(docs: DataFrame, path: str, cuts: list[int]) -> DataFrame:
             doc = batch["doc_id"]
             part = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary())], schema=schema)
+            del batch, ids
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         rows, "part int, doc_id long, ids binary"
