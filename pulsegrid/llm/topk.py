@@ -25,8 +25,8 @@ SCALE = 1024
 K = 10
 BLOCK = 4096
 QUERIES = 512
-#: Parts of the lists that are read by the end of each round.
-DEPTHS = (0.06, 0.2, 0.5, 1.0)
+#: Parts of the lists that are read by the end of each round; whoever is left then has its score resolved.
+DEPTHS = (0.25, 0.5, 0.75)
 
 RESULT = "query_id long, query_key long, vec_id long, score long"
 
@@ -40,40 +40,45 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Lists:
-    """A block's candidates, and where each stands in every dimension's list."""
+    """A block's candidates and their sorted list in every dimension."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        n = len(ids)
-        at = np.argsort(self.values, axis=0, kind="stable")
-        self.place = np.empty((n, values.shape[1]), np.int32)
-        np.put_along_axis(self.place, at, np.arange(n, dtype=np.int32)[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.values, at, axis=0)
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best, equal scores by smaller id."""
-        left = np.flatnonzero(self.ids != own)
-        n = len(self.ids)
-        up = query > 0
-        ends = self.sorted[[0, -1]] * query if n else self.values[:0]
-        for part in DEPTHS if len(left) > k else ():
+        self.sorted = np.sort(self.values, axis=0)
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's ``k`` best, equal scores by smaller id.
+
+        A query reads the list of a positive component from the top and that of a negative one
+        from the bottom. All queries of a cell read to the same depth, so their bounds
+        are matrix products over the values read, with the depth's or the end's value for those that weren't.
+        """
+        n, values = len(self.ids), self.values
+        mine = own[:, None] == self.ids[None, :]
+        left = ~mine
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        for part in DEPTHS if n > 2 * k else ():
             depth = max(1, int(n * part))
-            if depth >= n:
+            top, bottom = self.sorted[n - depth], self.sorted[depth - 1]
+            high = up @ np.maximum(values, top).T + down @ np.minimum(values, bottom).T
+            low = up @ np.where(values >= top, values, self.sorted[0]).T
+            low += down @ np.where(values <= bottom, values, self.sorted[-1]).T
+            low[mine] = low.min()
+            kth = np.partition(low, n - k, axis=1)[:, n - k]
+            left &= high >= kth[:, None]
+            if left.sum(axis=1).max() <= 4 * k:
                 break
-            place = self.place[left]
-            unread = np.where(up, place < n - depth, place >= depth)
-            read = np.where(unread, 0, self.values[left] * query).sum(axis=1)
-            most = np.where(up, self.sorted[n - depth], self.sorted[depth - 1]) * query
-            low = read + unread @ ends.min(axis=0)
-            high = read + unread @ most
-            kth = np.partition(low, len(low) - k)[len(low) - k]
-            left = left[high >= kth]
-            if len(left) <= 4 * k:
-                break
-        scores = self.values[left] @ query
-        order = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][order], scores[order]
+        found = []
+        for query, use in zip(queries, left):
+            at = np.flatnonzero(use)
+            scores = values[at] @ query
+            if len(at) > k:
+                few = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+                at, scores = at[few], scores[few]
+            order = np.lexsort((self.ids[at], -scores))[:k]
+            found.append((self.ids[at][order], scores[order]))
+        return found
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +102,7 @@ def _cell(k: int):
         if len(ids) and len(q_ids):
             c, q = _exact(c, q)
             lists = Lists(ids, c)
-            for own, key, query in zip(q_ids.tolist(), keys.tolist(), q):
-                found, scores = lists.best(query, own, k)
+            for own, key, (found, scores) in zip(q_ids.tolist(), keys.tolist(), lists.best(q, q_ids, k)):
                 rows.append((np.full(len(found), own), np.full(len(found), key), found, scores))
         columns = [np.concatenate([r[i] for r in rows]) if rows else [] for i in range(4)]
         top = (1 << 63) - 1
