@@ -16,7 +16,7 @@ def moment_sums(label: str = "demand", prediction: str = "prediction") -> list[s
         f"count({label}) AS n",
         f"sum({error} * {error}) AS sse",
         f"CAST(sum({label}) AS DOUBLE) AS sum_y",
-        f"CAST(sum({label} * {label}) AS DOUBLE) AS sum_y2",
+        f"sum(CAST({label} AS DOUBLE) * {label}) AS sum_y2",
     ]
 
 

@@ -44,7 +44,7 @@ def constant_rmse(df: DataFrame, constants: list[float], label: str = "demand")
     guesses = ", ".join(f"{float(c)!r}D" for c in constants)
     sums = df.selectExpr(
         f"count({label}) AS n", f"CAST(sum({label}) AS DOUBLE) AS s",
-        f"CAST(sum({label} * {label}) AS DOUBLE) AS s2",
+        f"sum(CAST({label} AS DOUBLE) * {label}) AS s2",
     )
     total = "greatest(s2 - 2 * constant * s + n * constant * constant, 0D)"
     return sums.selectExpr("n", "s", "s2", f"explode(array({guesses})) AS constant").selectExpr(

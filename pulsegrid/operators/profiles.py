@@ -26,7 +26,7 @@ def profile_sums(demand: DataFrame, slots: SlotSpec, first_test_slot: int) -> Da
         f"sum(IF({train}, demand, 0)) AS train_sum",
         f"count_if({test}) AS test_rows",
         f"sum(IF({test}, demand, 0)) AS test_sum",
-        f"sum(IF({test}, demand * demand, 0)) AS test_sum2",
+        f"sum(IF({test}, CAST(demand AS DOUBLE) * demand, 0D)) AS test_sum2",
     )))
 
 

@@ -156,7 +156,7 @@ def depth_sweep(train: DataFrame, test: DataFrame, keys: list[str], features: li
     # rows that share a leaf share all their predictions
     leaf = routed.groupBy(*keys, "node_id").agg(*map(F.expr, (
         "count(*) AS n", "CAST(sum(demand) AS DOUBLE) AS sum_y",
-        "CAST(sum(demand * demand) AS DOUBLE) AS sum_y2",
+        "sum(CAST(demand AS DOUBLE) * demand) AS sum_y2",
     )))
     # the ancestor at a given depth is the heap number with its last bits cut
     cut = "greatest(length(bin(node_id)) - 1 - max_depth, 0)"

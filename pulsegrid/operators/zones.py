@@ -32,9 +32,9 @@ def cell_corners(cells: DataFrame, grid: GridSpec) -> DataFrame:
 
 
 def nonzero_points(trips: DataFrame) -> DataFrame:
-    """Pickup points without missing (zero) coordinates, filtered as pairs."""
+    """Pickup points without missing (zero, NULL or NaN) coordinates, filtered as pairs."""
     return trips.select("trip_id", "pickup_lon", "pickup_lat").filter(
-        "pickup_lon <> 0 AND pickup_lat <> 0"
+        "pickup_lon <> 0 AND pickup_lat <> 0 AND NOT isnan(pickup_lon) AND NOT isnan(pickup_lat)"
     )
 
 
