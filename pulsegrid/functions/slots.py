@@ -33,6 +33,10 @@ class SlotSpec:
         """All slots from midnight ``start`` to midnight ``stop`` (exclusive)."""
         return cls(start, (stop - start).days * (86400 // width_seconds), width_seconds)
 
+    def resized(self, width_seconds: int) -> "SlotSpec":
+        """The same whole days in slots of another width."""
+        return SlotSpec(self.origin, self.days * (86400 // width_seconds), width_seconds)
+
     @property
     def per_day(self) -> int:
         return 86400 // self.width_seconds

@@ -26,7 +26,7 @@ def compare_pair(metrics: DataFrame, a: str, b: str, metric: str = "r2") -> Data
 
     def share(won: str) -> str:
         points = f"CASE WHEN {won} THEN 1D WHEN m0 = m1 THEN 0.5D ELSE 0D END"
-        return f"round(avg(IF({ranked}, {points}, NULL)), 6)"
+        return f"avg(IF({ranked}, {points}, NULL))"
 
     return zones.selectExpr(
         f"{share('m0 > m1')} AS a_share", f"{share('m1 > m0')} AS b_share",
@@ -45,7 +45,7 @@ def compare_all(metrics: DataFrame, models: list[str], metric: str = "r2") -> Da
     )
     rows = ", ".join(f"struct('{m}' AS model, w{i} AS wins)" for i, m in enumerate(models))
     return wins.selectExpr("zones", f"inline(array({rows}))").selectExpr(
-        "model", "wins", "round(try_divide(wins, zones), 6) AS share"
+        "model", "wins", "try_divide(wins, zones) AS share"
     )
 
 
@@ -56,6 +56,5 @@ def compare_margin(metrics: DataFrame, a: str, b: str, metric: str = "r2",
     low = f"{float(floor)!r}D"
     difference = f"greatest(m0, {low}) - greatest(m1, {low})"
     return zones.selectExpr(
-        f"round(sum({difference}), 6) AS margin_sum",
-        f"round(avg({difference}), 6) AS margin_mean", "count(*) AS zones",
+        f"sum({difference}) AS margin_sum", f"avg({difference}) AS margin_mean", "count(*) AS zones",
     ).selectExpr(f"'{a}' AS model_a", f"'{b}' AS model_b", "*")

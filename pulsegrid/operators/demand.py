@@ -38,8 +38,11 @@ def fill_calendar(demand: DataFrame, slots: SlotSpec, zones: DataFrame) -> DataF
 
     Works in day blocks: only (zone, day) rows are joined, and the dense rows
     appear in the final projection, after the last shuffle. A block holds at
-    most one day of slots.
+    most one day of slots. Slots outside the calendar are not listed; take the
+    calendar from the data (``timeslots.observed_spec``) to have none.
     """
+    if not slots.count:
+        return demand.select("slot_id", "zone_id", "demand").filter("false")
     blocks = zones.selectExpr(
         "zone_id", f"explode(sequence(0, {slots.days - 1})) AS day_index"
     )
@@ -61,12 +64,8 @@ def _expand_blocks(demand: DataFrame, blocks: DataFrame, slots: SlotSpec) -> Dat
     zeros = f"transform({missing}, c -> struct(c AS code, 0L AS demand))"
     all_zero = f"transform({wanted}, c -> struct(c AS code, 0L AS demand))"
     entries = f"IF(found IS NULL, {all_zero}, concat(found, {zeros}))"
-    # blocks are small but grow to a day of rows each: spread them before
-    # that over the full shuffle width, which AQE would otherwise narrow
-    width = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         blocks.join(seen, ["zone_id", "day_index"], "left")
-        .repartition(width, "zone_id", "day_index")
         .selectExpr("zone_id", "day_index", f"explode({entries}) AS e")
         .selectExpr(
             f"CAST(day_index * {slots.per_day} + e.code AS INT) AS slot_id", "zone_id",

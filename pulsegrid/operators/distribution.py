@@ -43,20 +43,18 @@ def histogram(values: DataFrame, bins: int) -> DataFrame:
     )
     every = edges.selectExpr("*", f"explode(sequence(0, {bins - 1})) AS bin")
     return every.join(filled, "bin", "left").selectExpr(
-        "bin", "round(low + width * bin, 6) AS bin_start", "coalesce(cnt, 0L) AS cnt",
-        "round(coalesce(cnt, 0L) / (total * width), 6) AS density",
+        "bin", "low + width * bin AS bin_start", "coalesce(cnt, 0L) AS cnt",
+        "coalesce(cnt, 0L) / (total * width) AS density",
     )
 
 
 def fit_exponential(values: DataFrame, n: int | None = None,
                     mean: float | None = None) -> DataFrame:
     """Exponential density at 0..n-1 (default: up to the largest demand)."""
-    fitted_mean = "sum(demand * rows) / sum(rows)" if mean is None else f"{float(mean)!r}D"
-    fitted = values.selectExpr(f"{fitted_mean} AS m", "max(demand) AS largest").filter(
-        "largest IS NOT NULL"
-    )
-    return _points(fitted, n).selectExpr(
-        "x", "round(m, 6) AS mean", "round(exp(-x / m) / m, 6) AS density"
+    fitted_mean = "sum(demand * rows) / sum(rows)" if mean is None else f"max({float(mean)!r}D)"
+    fitted = values.selectExpr(f"{fitted_mean} AS m")
+    return _points(values, fitted, n).selectExpr(
+        "x", "fit.m AS mean", "exp(-x / fit.m) / fit.m AS density"
     )
 
 
@@ -68,15 +66,17 @@ def fit_pareto(values: DataFrame, n: int | None = None) -> DataFrame:
     smallest = values.selectExpr("CAST(min(demand) AS DOUBLE)").scalar()
     fitted = values.withColumn("xm", smallest).selectExpr(
         "try_divide(sum(rows), sum(rows * (ln(demand) - ln(xm)))) AS alpha",
-        "max(xm) AS xm", "max(demand) AS largest",
-    ).filter("largest IS NOT NULL")
+        "max(xm) AS xm",
+    )
     tail = "alpha * pow(xm, alpha) / pow(x, alpha + 1)"
-    return _points(fitted, n).selectExpr(
-        "x", "round(xm, 6) AS xm", "round(alpha, 6) AS alpha",
-        f"round(IF(x >= xm, {tail}, 0D), 6) AS density",
+    return _points(values, fitted, n).selectExpr("x", "fit.xm AS xm", "fit.alpha AS alpha").selectExpr(
+        "*", f"IF(x >= xm, {tail}, 0D) AS density"
     )
 
 
-def _points(fit: DataFrame, n: int | None) -> DataFrame:
-    last = "largest" if n is None else f"{n - 1}L"
-    return fit.selectExpr("*", f"explode(sequence(0L, {last})) AS x")
+def _points(values: DataFrame, fitted: DataFrame, n: int | None) -> DataFrame:
+    """``x`` = 0..n-1 over many tasks, each row with the one fitted row."""
+    largest = values.agg(F.max("demand")).first()[0]
+    count = 0 if largest is None else largest + 1 if n is None else n
+    points = values.sparkSession.range(count).withColumnRenamed("id", "x")
+    return points.withColumn("fit", fitted.select(F.struct("*")).scalar())

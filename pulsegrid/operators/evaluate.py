@@ -16,7 +16,10 @@ def moments(df: DataFrame, *keys: str, label: str = "demand",
 
 def score(df: DataFrame, *keys: str, label: str = "demand",
           prediction: str = "prediction") -> DataFrame:
-    """``n, rmse, r2`` per key (or one row without keys)."""
+    """``n, rmse, r2`` per key (or one row without keys).
+
+    A key without any prediction keeps its row, with NULL scores.
+    """
     sums = moments(df, *keys, label=label, prediction=prediction)
     return sums.selectExpr(*keys, "n", *score_columns())
 
@@ -48,15 +51,15 @@ def constant_rmse(df: DataFrame, constants: list[float], label: str = "demand")
     )
     total = "greatest(s2 - 2 * constant * s + n * constant * constant, 0D)"
     return sums.selectExpr("n", "s", "s2", f"explode(array({guesses})) AS constant").selectExpr(
-        "constant", f"round(sqrt({total} / nullif(n, 0)), 6) AS rmse"
+        "constant", f"sqrt({total} / nullif(n, 0)) AS rmse"
     )
 
 
 def describe(df: DataFrame, *keys: str, column: str = "demand") -> DataFrame:
     """Count, mean, sample deviation, minimum and maximum per key."""
     return df.groupBy(*keys).agg(*map(F.expr, (
-        f"count({column}) AS cnt", f"round(avg({column}), 6) AS mean",
-        f"round(stddev_samp({column}), 6) AS stddev", f"min({column}) AS min",
+        f"count({column}) AS cnt", f"avg({column}) AS mean",
+        f"stddev_samp({column}) AS stddev", f"min({column}) AS min",
         f"max({column}) AS max",
     )))
 
@@ -65,8 +68,8 @@ def metric_summary(metrics: DataFrame, *names: str) -> DataFrame:
     """Mean and population deviation of metrics over the zones of each model."""
     columns = ["count(*) AS zones"]
     for name in names:
-        columns.append(f"round(avg({name}), 6) AS {name}_mean")
-        columns.append(f"round(stddev_pop({name}), 6) AS {name}_std")
+        columns.append(f"avg({name}) AS {name}_mean")
+        columns.append(f"stddev_pop({name}) AS {name}_std")
     return metrics.groupBy("model").agg(*map(F.expr, columns))
 
 

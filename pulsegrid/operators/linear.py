@@ -30,7 +30,8 @@ def fit_line(train: DataFrame, keys: list[str], feature: str, label: str = "dema
 
 
 def predict_line(rows: DataFrame, model: DataFrame, keys: list[str], feature: str) -> DataFrame:
-    return rows.join(model, keys).selectExpr(
+    """Rows with a prediction, NULL where the group has no model."""
+    return rows.join(model, keys, "left").selectExpr(
         "*", f"intercept + slope * {feature} AS prediction"
     )
 
@@ -94,10 +95,11 @@ def fit_ols(train: DataFrame, keys: list[str], features: list[str],
 
 def predict_ols(rows: DataFrame, model: DataFrame, keys: list[str],
                 features: list[str]) -> DataFrame:
+    """Rows with a prediction, NULL where the group has no model."""
     terms = "".join(f" + model.coefficients[{i}] * {name}" for i, name in enumerate(features))
     model = model.selectExpr(*keys, "struct(intercept, coefficients) AS model")
     # a model without keys is one row: a scalar, not a join
-    with_model = rows.join(model, keys) if keys else rows.withColumn("model", model.scalar())
+    with_model = rows.join(model, keys, "left") if keys else rows.withColumn("model", model.scalar())
     return with_model.selectExpr("*", f"model.intercept{terms} AS prediction").drop("model")
 
 

@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pulsegrid.functions.scores import SUMS, score_columns
+
 # the helpers travel with the task, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,8 +81,8 @@ def score_networks(
     """
     schema = T.StructType([
         rows.schema[key],
-        T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
-        T.StructField("rmse", T.DoubleType()), T.StructField("r2", T.DoubleType()),
+        T.StructField("n_train", T.LongType()),
+        *[T.StructField(c, T.LongType() if c in ("n", "scored") else T.DoubleType()) for c in SUMS],
     ])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -94,13 +96,15 @@ def score_networks(
             spread = x[train].std(axis=0)
             x = (x - x[train].mean(axis=0)) / np.where(spread > 0, spread, 1.0)
         params = fit_mlp(x[train], y[train], layers, max_iter, seed)
-        error = predict_mlp(params, x[~train]) - y[~train]
-        sse, sst = float((error**2).sum()), float(((y[~train] - y[~train].mean()) ** 2).sum())
-        r2 = 1 - sse / sst if sst > 0 else None
+        held, error = y[~train], predict_mlp(params, x[~train]) - y[~train]
+        m2 = float(((held - held.mean()) ** 2).sum()) if np.ptp(held) > 0 else 0.0
+        total = float(held.sum())
         return pd.DataFrame(
-            [[group[key].iloc[0], n_train, n_test, np.sqrt(sse / n_test), r2]],
+            [[group[key].iloc[0], n_train, n_test, n_test, float((error**2).sum()), total,
+              total * total / n_test, m2]],
             columns=schema.fieldNames(),
         )
 
     columns = dict.fromkeys([key, *features, label, "is_train"])
-    return rows.select(*columns).groupBy(key).applyInPandas(fit, schema)
+    sums = rows.select(*columns).groupBy(key).applyInPandas(fit, schema)
+    return sums.selectExpr(key, "n_train", "n AS n_test", *score_columns())

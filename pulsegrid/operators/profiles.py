@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.slots import SlotSpec
+from pulsegrid.functions.scores import sums_from_powers
 from pulsegrid.operators.evaluate import score_moments
 
 CELL = ("day_of_week", "hour")
@@ -82,8 +83,9 @@ def score_zone_profile(profile: DataFrame, slots: SlotSpec, first_test_slot: int
     Cells a zone never used predict 0 for a label of 0 and add only to ``n``.
     """
     sums = _cell_moments(profile, _slots_in_cell(slots, first_test_slot, slots.count))
-    whole = f"{slots.count - first_test_slot}L AS n"
-    return score_moments(sums.selectExpr("zone_id", whole, "sse", "sum_y", "sum_y2"), "zone_id")
+    whole = f"{slots.count - first_test_slot}L"
+    powers = sums_from_powers(whole, "sse", "sum_y", "sum_y2")
+    return score_moments(sums.selectExpr("zone_id", *powers), "zone_id")
 
 
 def score_global_profile(sums: DataFrame, profile: DataFrame, slots: SlotSpec,
@@ -101,15 +103,17 @@ def score_global_profile(sums: DataFrame, profile: DataFrame, slots: SlotSpec,
         "CAST(sum(test_sum2) AS DOUBLE) AS sum_y2",
     )))
     scored = used.withColumn("empty_error", empty_error).selectExpr(
-        "zone_id", f"{slots.count - first_test_slot}L AS n", "used + empty_error AS sse",
-        "sum_y", "sum_y2",
+        "zone_id",
+        *sums_from_powers(f"{slots.count - first_test_slot}L", "(used + empty_error)", "sum_y", "sum_y2"),
     )
     return score_moments(scored, "zone_id")
 
 
 def score_existing_rows(profile: DataFrame) -> DataFrame:
     """Scores over the test rows that exist, as ``row_means`` is defined."""
-    return score_moments(_cell_moments(profile, "test_rows").filter("n > 0"), "zone_id")
+    sums = _cell_moments(profile, "test_rows").filter("n > 0")
+    powers = sums_from_powers("n", "sse", "sum_y", "sum_y2")
+    return score_moments(sums.selectExpr("zone_id", *powers), "zone_id")
 
 
 def score_pooled_rows(sums: DataFrame, profile: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,32 +19,25 @@ def time_slots(spark: SparkSession, slots: SlotSpec) -> DataFrame:
     )
 
 
-def observed_slots(df: DataFrame, ts: str, width_seconds: int = 600) -> DataFrame:
-    """The slot table that covers the whole days seen in column ``ts``.
+def observed_spec(df: DataFrame, ts: str, width_seconds: int = 600) -> SlotSpec:
+    """The whole days seen in column ``ts``, counted from the first midnight.
 
-    Ids count from the first midnight; one pass over one column finds the
-    range, after that the rows are generated day by day.
+    Starts one job over one column. Without any timestamp there are no slots.
     """
-    per_day = 86400 // width_seconds
-    start = (
-        f"timestampadd(SECOND, k * {width_seconds}, CAST(slot_date AS TIMESTAMP_NTZ))"
-    )
-    return (
-        df.selectExpr(f"CAST({ts} AS DATE) AS d")
-        .agg(F.expr("min(d) AS first"), F.expr("max(d) AS last"))
-        .filter("first IS NOT NULL")
-        .selectExpr("first", "explode(sequence(first, last)) AS slot_date")
-        .selectExpr("first", "slot_date", f"explode(sequence(0, {per_day - 1})) AS k")
-        .selectExpr(
-            f"datediff(slot_date, first) * {per_day} + k AS slot_id",
-            f"{start} AS slot_start",
-            f"timestampadd(SECOND, {width_seconds}, {start}) AS slot_end",
-        )
-    )
+    first, last = df.selectExpr(f"CAST({ts} AS DATE) AS d").selectExpr("min(d)", "max(d)").first()
+    if first is None:
+        return SlotSpec(date(1970, 1, 1), 0, width_seconds)
+    return SlotSpec.between(first, last + timedelta(days=1), width_seconds)
+
+
+def observed_slots(df: DataFrame, ts: str, width_seconds: int = 600) -> DataFrame:
+    """The slot table that covers the whole days seen in column ``ts``."""
+    return time_slots(df.sparkSession, observed_spec(df, ts, width_seconds))
 
 
-def extend_slots(slots_table: DataFrame, first_weekday: int, per_day: int) -> DataFrame:
+def extend_slots(slots_table: DataFrame, slots: SlotSpec) -> DataFrame:
     """Weekday and time of day from the id alone, month from the start."""
+    first_weekday, per_day = slots.origin.weekday(), slots.per_day
     return slots_table.selectExpr(
         "slot_id", "slot_start", "slot_end",
         f"CAST(floor({first_weekday} + slot_id / {per_day}) % 7 AS INT) AS day_of_week",

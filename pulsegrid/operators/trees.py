@@ -12,7 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scores import SUMS, score_columns
+from pulsegrid.functions.scores import SUMS, score_columns, sums_from_powers
 from pulsegrid.operators.evaluate import score_with_total
 from pulsegrid.operators.features import assemble
 from pulsegrid.workspace import materialize
@@ -24,9 +24,11 @@ def best_splits(rows: DataFrame, keys: list[str], features: list[str],
                 label: str = "demand") -> DataFrame:
     """The best ``feature <= threshold`` split of each (group, node).
 
-    Thresholds are observed values. The variance gain, rounded to 6 digits,
-    decides; ties go to the first feature name, then the lowest threshold.
-    Nodes without a positive gain come back with a NULL feature.
+    Thresholds are observed values. The share of the node's variance that a
+    split removes decides, compared at 9 digits so that rounding noise makes
+    no choice; ties go to the first feature name, then the lowest threshold.
+    Nodes without a positive share come back with a NULL feature. ``gain`` is
+    the removed variance itself.
     """
     node = [*keys, "node_id"]
     names = sorted(features)
@@ -35,19 +37,21 @@ def best_splits(rows: DataFrame, keys: list[str], features: list[str],
     histogram = (
         rows.selectExpr(*node, f"{label} AS y", f"posexplode(array({values})) AS (f, value)")
         .groupBy(*node, "f", "value")
-        .agg(F.expr("count(*) AS c"), F.expr("CAST(sum(y) AS DOUBLE) AS s"))
+        .agg(F.expr("count(*) AS c"), F.expr("CAST(sum(y) AS DOUBLE) AS s"),
+             F.expr("sum(CAST(y AS DOUBLE) * y) AS s2"))
     )
     whole = f"OVER (PARTITION BY {group}, f)"
     below = f"OVER (PARTITION BY {group}, f ORDER BY value)"
     right = "(total - s_left) * (total - s_left) / nullif(n - n_left, 0)"
-    gain = f"round((s_left * s_left / n_left + {right} - total * total / n) / n, 6)"
+    gain = f"(s_left * s_left / n_left + {right} - total * total / n) / n"
+    share = "round(gain / nullif((total2 - total * total / n) / n, 0), 9)"
     found = histogram.selectExpr(
         *node, "f", "value", f"sum(c) {whole} AS n", f"sum(s) {whole} AS total",
-        f"sum(c) {below} AS n_left", f"sum(s) {below} AS s_left",
-    ).selectExpr("*", f"greatest({gain}, 0D) AS gain")
+        f"sum(s2) {whole} AS total2", f"sum(c) {below} AS n_left", f"sum(s) {below} AS s_left",
+    ).selectExpr("*", f"{gain} AS gain").selectExpr("*", f"greatest({share}, 0D) AS share")
     best = found.groupBy(*node).agg(*map(F.expr, (
         "max(n) AS n", "max(total) AS total",
-        "min_by(struct(f, value, n_left, s_left, gain), struct(-gain, f, value)) AS best",
+        "min_by(struct(f, value, n_left, s_left, gain, share), struct(-share, f, value)) AS best",
     )))
     listed = ", ".join(f"'{name}'" for name in names)
     chosen = {
@@ -55,7 +59,7 @@ def best_splits(rows: DataFrame, keys: list[str], features: list[str],
         "n_left": "best.n_left", "s_left": "best.s_left", "gain": "best.gain",
     }
     return best.selectExpr(
-        *node, "n", "total", *[f"IF(best.gain > 0, {c}, NULL) AS {k}" for k, c in chosen.items()]
+        *node, "n", "total", *[f"IF(best.share > 0, {c}, NULL) AS {k}" for k, c in chosen.items()]
     )
 
 
@@ -100,7 +104,7 @@ def grow(rows: DataFrame, keys: list[str], features: list[str], max_depth: int,
 
 def _node_table(nodes: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
     """Split nodes and leaves with their predictions."""
-    mean = "round(total / n, 6) AS prediction"
+    mean = "total / n AS prediction"
     inner = nodes.selectExpr(*keys, "node_id", "depth", "feature", "threshold", "n", mean)
     # the deepest level holds no histogram of its own: its sums are what the
     # last splits leave on either side
@@ -130,11 +134,12 @@ def predict(rows: DataFrame, nodes: DataFrame, keys: list[str], features: list[s
             max_depth: int) -> DataFrame:
     """Rows with the prediction of the leaf they fall into.
 
-    A shallower ``max_depth`` than the trees were grown to prunes them.
+    A shallower ``max_depth`` than the trees were grown to prunes them. Rows of
+    a group without a tree keep a NULL prediction.
     """
     routed = leaf_of(rows, nodes, keys, features, max_depth)
     leaves = nodes.filter(F.col("depth") <= max_depth).select(*keys, "node_id", "prediction")
-    return routed.join(leaves, [*keys, "node_id"])
+    return routed.join(leaves, [*keys, "node_id"], "left")
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, keys: list[str], features: list[str],
@@ -165,14 +170,17 @@ def depth_sweep(train: DataFrame, test: DataFrame, keys: list[str], features: li
         "max_depth", *keys, "n", "sum_y", "sum_y2", f"shiftright(node_id, {cut}) AS node_id"
     )
     p = "prediction"
-    sums = ancestors.join(nodes.select(*keys, "node_id", p), [*keys, "node_id"])
-    sums = sums.selectExpr(
-        "max_depth", *keys, "n", f"n * {p} * {p} - 2 * {p} * sum_y + sum_y2 AS sse",
-        "sum_y", "sum_y2",
+    sums = ancestors.join(nodes.select(*keys, "node_id", p), [*keys, "node_id"], "left")
+    # groups without a tree keep their rows in n and nothing else
+    known = f"{p} IS NOT NULL"
+    per_group = sums.groupBy("max_depth", *keys).agg(*map(F.expr, (
+        "sum(n) AS n", f"sum(IF({known}, n, 0)) AS scored",
+        f"sum(n * {p} * {p} - 2 * {p} * sum_y + sum_y2) AS sse",
+        f"sum(IF({known}, sum_y, NULL)) AS sum_y", f"sum(IF({known}, sum_y2, NULL)) AS sum_y2",
+    ))).selectExpr("max_depth", *keys, "n AS rows", "scored", "sse", "sum_y", "sum_y2").selectExpr(
+        "max_depth", *keys, "rows AS n", *sums_from_powers("scored", "sse", "sum_y", "sum_y2")[1:]
     )
-    totals = [F.expr(f"sum({c}) AS {c}") for c in SUMS]
-    per_group = sums.groupBy("max_depth", *keys).agg(*totals)
-    pooled = per_group.groupBy("max_depth").agg(*totals)
+    pooled = per_group.groupBy("max_depth").agg(*[F.expr(f"sum({c}) AS {c}") for c in SUMS])
     both = per_group.unionByName(pooled, allowMissingColumns=True)
     return both.selectExpr("max_depth", *keys, "n", *score_columns())
 

@@ -136,7 +136,7 @@ def nearest_zone(
     centroids. The index is joined without a hint: while it is small Spark
     broadcasts it and the rows stay where they are; beyond the broadcast
     threshold it becomes a shuffled join whose hot cells AQE splits. Squared
-    planar distance, lowest zone id on a tie, NULL for NULL points.
+    planar distance, lowest zone id on a tie, NULL for NULL or NaN points.
     """
     index, grid = centroid_index(centroids)
     original = df.columns
@@ -144,7 +144,7 @@ def nearest_zone(
         d2 = f"(c.lon - {lon}) * (c.lon - {lon}) + (c.lat - {lat}) * (c.lat - {lat})"
         closest = f"array_min(transform(who, c -> struct({d2} AS d2, c.zone_id))).zone_id"
         nearest = f"IF(size(who) = 1, who[0].zone_id, {closest})"
-        known = f"{lon} IS NOT NULL AND {lat} IS NOT NULL"
+        known = f"NOT isnan(coalesce({lon}, double('NaN'))) AND NOT isnan(coalesce({lat}, double('NaN')))"
         df = (
             df.selectExpr("*", f"coalesce({grid.cell_id(lon, lat)}, -1) AS cell")
             .join(index, "cell", "left")
@@ -153,6 +153,28 @@ def nearest_zone(
     return df.select(*original, *points)
 
 
+def nearest_vector(
+    df: DataFrame, centroids: DataFrame, vector: str, output: str = "zone_id"
+) -> DataFrame:
+    """Add the id of the nearest of a short list of centroids of any dimension.
+
+    ``centroids`` has ``zone_id`` and ``centroid``, an array as long as the
+    vectors; all of them travel as one value, so this is for lists of a known,
+    small length such as class means. Squared distance over the whole vector,
+    lowest id on a tie; NULL for a NULL vector or one holding NULL or NaN.
+    """
+    listed = centroids.selectExpr("collect_list(struct(zone_id, centroid))").scalar()
+    d2 = (
+        f"aggregate(zip_with({vector}, c.centroid, (a, b) -> CAST(a - b AS DOUBLE) * (a - b)),"
+        " 0D, (total, e) -> total + e)"
+    )
+    closest = f"array_min(transform(listed, c -> struct({d2} AS d2, c.zone_id))).zone_id"
+    known = f"{vector} IS NOT NULL AND NOT exists({vector}, e -> e IS NULL OR isnan(e))"
+    return df.withColumn("listed", listed).selectExpr(
+        *df.columns, f"IF({known}, {closest}, NULL) AS {output}"
+    )
+
+
 def assign_zones(trips: DataFrame, centroids: DataFrame) -> DataFrame:
     """``trip_id, pickup_zone, dropoff_zone`` by nearest centroid."""
     ends = trips.select("trip_id", "pickup_lon", "pickup_lat", "dropoff_lon", "dropoff_lat")

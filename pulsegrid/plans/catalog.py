@@ -7,6 +7,7 @@ whole tables; the only limits are those that are the feature itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,6 @@ from pulsegrid.workspace import materialize, scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SLOTS, HOURLY = td.SLOTS, td.HOURLY
-SPLIT = SLOTS.first_slot_of(td.TEST_START)
 GRID5 = CITY_GRID.resized(5, 5)
 GRID100 = CITY_GRID.resized(100, 100)
 CALENDAR_LAYOUT = list(Fe.LAYOUT_CALENDAR)
@@ -40,35 +39,52 @@ CELL_LAYOUT = list(Fe.LAYOUT_CELL)
 MODELS = ["tree", "line", "zone_mean", "global_mean"]
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+def query(function: Callable[[td.Tables], DataFrame]) -> Callable[[td.Tables], DataFrame]:
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(td.Tables(spark, sf_dir))
+    return function
+
+
+def rounded(function: Callable[[td.Tables], DataFrame]) -> Callable[[td.Tables], DataFrame]:
+    """A query whose doubles are rounded to 6 digits, once and last."""
+
+    @wraps(function)
+    def shown(t: td.Tables) -> DataFrame:
+        df = function(t)
+        return df.select(*[
+            F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name
+            for f in df.schema
+        ])
+
+    QUERIES[function.__name__] = lambda spark, sf_dir: shown(td.Tables(spark, sf_dir))
     return function
 
 
 # --- shared inputs ---------------------------------------------------------
 
-def _zone_demand(spark: SparkSession, d: str, slots: SlotSpec = SLOTS) -> DataFrame:
+def _zone_demand(t: td.Tables, slots: SlotSpec | None = None) -> DataFrame:
     """Demand per slot and user group (40 zones without geometry)."""
+    slots = slots or t.slots
     return D.count_demand(
-        td.trips(spark, d), slot_id=slots.slot_of("pickup_ts"), zone_id="pickup_zone"
+        t.trips, slot_id=slots.slot_of("pickup_ts"), zone_id="pickup_zone"
     )
 
 
-def _cell_demand(spark: SparkSession, d: str, slots: SlotSpec = SLOTS) -> DataFrame:
+def _cell_demand(t: td.Tables, slots: SlotSpec | None = None) -> DataFrame:
     """Demand per slot and cell of the 5 x 5 grid, cells flattened to one id."""
-    inside = zoning.slots_and_cells(td.trips(spark, d), slots, GRID5)
+    slots = slots or t.slots
+    inside = zoning.slots_and_cells(t.trips, slots, GRID5)
     return D.count_demand(
         inside, slot_id="pickup_slot",
         zone_id=GRID5.flatten("pickup_x", "pickup_y"),
     )
 
 
-def _centroids(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(td.seed_centroids(td.trips(spark, d)), "centroids")
+def _centroids(t: td.Tables) -> DataFrame:
+    return materialize(td.seed_centroids(t.trips), "centroids")
 
 
-def _located(spark: SparkSession, d: str, slots: SlotSpec, centroids: DataFrame) -> DataFrame:
-    return zoning.slots_and_zones(td.trips(spark, d), slots, centroids, ("pickup",))
+def _located(t: td.Tables, slots: SlotSpec, centroids: DataFrame) -> DataFrame:
+    return zoning.slots_and_zones(t.trips, slots, centroids, ("pickup",))
 
 
 def _fill(demand: DataFrame, slots: SlotSpec) -> DataFrame:
@@ -76,39 +92,39 @@ def _fill(demand: DataFrame, slots: SlotSpec) -> DataFrame:
     return D.fill_calendar(demand, slots, D.distinct_values(demand, "zone_id"))
 
 
-def _model_rows(spark: SparkSession, d: str) -> DataFrame:
+def _model_rows(t: td.Tables) -> DataFrame:
     """Zero-filled model input of all zones, written once."""
-    return materialize(Fe.with_calendar(_fill(_zone_demand(spark, d), SLOTS), SLOTS), "rows")
+    return materialize(Fe.with_calendar(_fill(_zone_demand(t), t.slots), t.slots), "rows")
 
 
-def _cell_rows(spark: SparkSession, d: str) -> DataFrame:
-    dense = _fill(_cell_demand(spark, d, HOURLY), HOURLY)
-    return materialize(Fe.grid_features(dense, HOURLY, GRID5), "rows")
+def _cell_rows(t: td.Tables) -> DataFrame:
+    dense = _fill(_cell_demand(t, t.hourly), t.hourly)
+    return materialize(Fe.grid_features(dense, t.hourly, GRID5), "rows")
 
 
-def _global_rows(spark: SparkSession, d: str) -> DataFrame:
+def _global_rows(t: td.Tables) -> DataFrame:
     """Hourly zero-filled feature rows with zone flags for one-for-all models."""
-    return materialize(features_cluster(spark, d), "rows")
+    return materialize(features_cluster(t), "rows")
 
 
-def _profile_sums(spark: SparkSession, d: str, demand: DataFrame | None = None) -> DataFrame:
-    demand = _zone_demand(spark, d) if demand is None else demand
-    return materialize(profiles.profile_sums(demand, SLOTS, SPLIT), "profile")
+def _profile_sums(t: td.Tables, demand: DataFrame | None = None) -> DataFrame:
+    demand = _zone_demand(t) if demand is None else demand
+    return materialize(profiles.profile_sums(demand, t.slots, t.split), "profile")
 
 
-def _metrics(spark: SparkSession, d: str) -> DataFrame:
+def _metrics(t: td.Tables) -> DataFrame:
     """R2 and RMSE of four predictors per zone."""
-    rows = _model_rows(spark, d)
-    train, test = splits.by_week(rows, td.TEST_WEEK)
-    sums = _profile_sums(spark, d, rows.select("slot_id", "zone_id", "demand"))
+    rows = _model_rows(t)
+    train, test = splits.by_week(rows, t.test_week)
+    sums = _profile_sums(t, rows.select("slot_id", "zone_id", "demand"))
     scored = {
         "tree": trees.fit_and_score(train, test, ["zone_id"], CALENDAR_LAYOUT),
         "line": _line_scores(train, test),
         "zone_mean": profiles.score_zone_profile(
-            profiles.zone_profile(sums, SLOTS, SPLIT), SLOTS, SPLIT
+            profiles.zone_profile(sums, t.slots, t.split), t.slots, t.split
         ),
         "global_mean": profiles.score_global_profile(
-            sums, profiles.global_profile(sums, SLOTS, SPLIT), SLOTS, SPLIT
+            sums, profiles.global_profile(sums, t.slots, t.split), t.slots, t.split
         ),
     }
     table = None
@@ -127,12 +143,12 @@ def _line_scores(train: DataFrame, test: DataFrame) -> DataFrame:
 # --- sources and sinks -----------------------------------------------------
 
 @query
-def src_csv_or_parquet(spark, d):
+def src_csv_or_parquet(t):
     """Trips through CSV with a declared schema, joined with Parquet slots."""
-    registry = Registry(spark, scratch_path(spark, "tables"))
-    trips = td.trips(spark, d)
+    registry = Registry(t.spark, scratch_path(t.spark, "tables"))
+    trips = t.trips
     registry.save(trips, "trips")
-    registry.save(ts.assign_slots(trips, SLOTS), "trip_times")
+    registry.save(ts.assign_slots(trips, t.slots), "trip_times")
     return registry.load("trips").join(registry.load("trip_times"), "trip_id").selectExpr(
         "trip_id", "pickup_ts", "dropoff_ts", "round(pickup_lon, 6) AS pickup_lon",
         "round(pickup_lat, 6) AS pickup_lat", "pickup_slot", "dropoff_slot",
@@ -140,38 +156,38 @@ def src_csv_or_parquet(spark, d):
 
 
 @query
-def src_cell_partition(spark, d):
+def src_cell_partition(t):
     """One cell out of a table stored with one folder per cell."""
-    path = scratch_path(spark, "cells")
-    files.write_by_cell(Fe.grid_features(_fill(_cell_demand(spark, d, HOURLY), HOURLY), HOURLY,
+    path = scratch_path(t.spark, "cells")
+    files.write_by_cell(Fe.grid_features(_fill(_cell_demand(t, t.hourly), t.hourly), t.hourly,
                                          GRID5), path)
-    return files.read_cell(spark, path, 2, 2)
+    return files.read_cell(t.spark, path, 2, 2)
 
 
 @query
-def sink_roundtrip(spark, d):
-    path = scratch_path(spark, "demand")
-    demand = _zone_demand(spark, d)
+def sink_roundtrip(t):
+    path = scratch_path(t.spark, "demand")
+    demand = _zone_demand(t)
     files.write_table(demand, path)
-    return files.read_table(spark, path, demand.schema)
+    return files.read_table(t.spark, path, demand.schema)
 
 
 @query
-def sink_by_date(spark, d):
+def sink_by_date(t):
     """A snapshot stored by date, counted per date folder."""
-    path = scratch_path(spark, "snapshot")
-    files.write_by_date(td.trips(spark, d), path, "pickup_ts")
-    dates = spark.read.parquet(path).groupBy("trip_date").agg(F.expr("count(*) AS cnt"))
+    path = scratch_path(t.spark, "snapshot")
+    files.write_by_date(t.trips, path, "pickup_ts")
+    dates = t.spark.read.parquet(path).groupBy("trip_date").agg(F.expr("count(*) AS cnt"))
     return dates.selectExpr("date_format(trip_date, 'yyyy-MM-dd') AS trip_date", "cnt")
 
 
 @query
-def grid_meta(spark, d):
+def grid_meta(t):
     """A stored grid description, read back and applied to all trips."""
-    path = scratch_path(spark, "grid")
-    files.write_table(files.grid_meta(spark, CITY_GRID), path)
-    grid = files.read_grid_meta(spark, path)
-    return td.trips(spark, d).selectExpr(
+    path = scratch_path(t.spark, "grid")
+    files.write_table(files.grid_meta(t.spark, CITY_GRID), path)
+    grid = files.read_grid_meta(t.spark, path)
+    return t.trips.selectExpr(
         *[f"{double(getattr(grid, n))} AS {n}" for n in ("lon_min", "lon_max", "lat_min", "lat_max")],
         f"{grid.nx} AS nx", f"{grid.ny} AS ny",
         f"{grid.cell_id('pickup_lon', 'pickup_lat')} AS cell",
@@ -180,117 +196,117 @@ def grid_meta(spark, d):
     )
 
 
-@query
-def report_metrics(spark, d):
+@rounded
+def report_metrics(t):
     """Scores of the zone profile as a stored report."""
-    sums = _profile_sums(spark, d)
-    scores = profiles.score_zone_profile(profiles.zone_profile(sums, SLOTS, SPLIT), SLOTS, SPLIT)
-    report = reports.metric_report(scores, "zone_mean", SPLIT, SLOTS.count - SPLIT)
-    path = scratch_path(spark, "report")
+    sums = _profile_sums(t)
+    scores = profiles.score_zone_profile(profiles.zone_profile(sums, t.slots, t.split), t.slots, t.split)
+    report = reports.metric_report(scores, "zone_mean", t.split, t.slots.count - t.split)
+    path = scratch_path(t.spark, "report")
     reports.write_report(report, path, "csv")
-    return files.read_table(spark, path, report.schema, "csv")
+    return files.read_table(t.spark, path, report.schema, "csv")
 
 
 @query
-def zone_groups(spark, d):
+def zone_groups(t):
     """Training and test rows of every zone."""
-    is_train = f"{SLOTS.field('week')} < {td.TEST_WEEK}"
-    return D.train_test_sizes(_zone_demand(spark, d), is_train)
+    is_train = f"{t.slots.field('week')} < {t.test_week}"
+    return D.train_test_sizes(_zone_demand(t), is_train)
 
 
 # --- time ------------------------------------------------------------------
 
-def _slot_table(spark, d):
-    return ts.observed_slots(td.table(spark, d, "events"), "ts")
+def _slot_table(t):
+    return ts.time_slots(t.spark, t.slots)
 
 
 @query
-def time_slots(spark, d):
-    return _slot_table(spark, d)
+def time_slots(t):
+    return _slot_table(t)
 
 
 @query
-def time_slots_year(spark, d):
+def time_slots_year(t):
     """Slots of another width over the years covered by the orders."""
-    return ts.observed_slots(td.table(spark, d, "orders"), "o_orderdate", 6 * 3600)
+    return ts.observed_slots(t.table("orders"), "o_orderdate", 6 * 3600)
 
 
 @query
-def assign_slot(spark, d):
-    return ts.assign_slots(td.trips(spark, d), SLOTS)
+def assign_slot(t):
+    return ts.assign_slots(t.trips, t.slots)
 
 
 @query
-def extend_slots(spark, d):
-    return ts.extend_slots(_slot_table(spark, d), SLOTS.origin.weekday(), SLOTS.per_day)
+def extend_slots(t):
+    return ts.extend_slots(_slot_table(t), t.slots)
 
 
 @query
-def slot_calendar(spark, d):
-    return ts.slot_calendar(_slot_table(spark, d))
+def slot_calendar(t):
+    return ts.slot_calendar(_slot_table(t))
 
 
 @query
-def weekday_day_counts(spark, d):
-    return ts.weekday_day_counts(slot_calendar(spark, d), before=td.TEST_START)
+def weekday_day_counts(t):
+    return ts.weekday_day_counts(slot_calendar(t), before=t.test_start)
 
 
 @query
-def weekday_day_counts_test(spark, d):
-    return ts.weekday_day_counts(slot_calendar(spark, d), since=td.TEST_START)
+def weekday_day_counts_test(t):
+    return ts.weekday_day_counts(slot_calendar(t), since=t.test_start)
 
 
 @query
-def calendar_lookup(spark, d):
+def calendar_lookup(t):
     """Day, hour and minute of every (week, weekday, time) with a trip."""
-    seen = td.trips(spark, d).selectExpr(f"{SLOTS.slot_of('pickup_ts')} AS slot_id").distinct()
-    keys = seen.selectExpr(*SLOTS.fields(("week", "day_of_week", "time_of_day_code")))
-    return ts.calendar_lookup(keys, slot_calendar(spark, d))
+    seen = t.trips.selectExpr(f"{t.slots.slot_of('pickup_ts')} AS slot_id").distinct()
+    keys = seen.selectExpr(*t.slots.fields(("week", "day_of_week", "time_of_day_code")))
+    return ts.calendar_lookup(keys, slot_calendar(t))
 
 
 @query
-def profile_month(spark, d):
-    return ts.calendar_profile(td.table(spark, d, "orders"), "o_orderdate", "month")
+def profile_month(t):
+    return ts.calendar_profile(t.table("orders"), "o_orderdate", "month")
 
 
 @query
-def profile_week(spark, d):
-    return ts.calendar_profile(td.table(spark, d, "orders"), "o_orderdate", "week")
+def profile_week(t):
+    return ts.calendar_profile(t.table("orders"), "o_orderdate", "week")
 
 
 @query
-def profile_weekday(spark, d):
-    return ts.calendar_profile(td.table(spark, d, "orders"), "o_orderdate", "weekday")
+def profile_weekday(t):
+    return ts.calendar_profile(t.table("orders"), "o_orderdate", "weekday")
 
 
 @query
-def profile_hour(spark, d):
-    return ts.calendar_profile(td.table(spark, d, "events"), "ts", "hour")
+def profile_hour(t):
+    return ts.calendar_profile(t.table("events"), "ts", "hour")
 
 
 # --- space -----------------------------------------------------------------
 
 @query
-def grid_assign(spark, d):
-    return Z.assign_cells(td.trips(spark, d), CITY_GRID)
+def grid_assign(t):
+    return Z.assign_cells(t.trips, CITY_GRID)
 
 
 @query
-def grid_assign_fine(spark, d):
-    return Z.assign_cells(td.trips(spark, d), GRID100)
+def grid_assign_fine(t):
+    return Z.assign_cells(t.trips, GRID100)
 
 
 @query
-def grid_cell_id(spark, d):
-    cells = Z.assign_cells(td.trips(spark, d), GRID100)
+def grid_cell_id(t):
+    cells = Z.assign_cells(t.trips, GRID100)
     return cells.selectExpr("trip_id", *[
         f"{GRID100.flatten(f'{end}_x', f'{end}_y')} AS {end}_zone" for end in Z.ENDS
     ])
 
 
 @query
-def grid_cell_origin(spark, d):
-    cells = Z.assign_cells(td.trips(spark, d), CITY_GRID).dropna(subset=["pickup_x", "pickup_y"])
+def grid_cell_origin(t):
+    cells = Z.assign_cells(t.trips, CITY_GRID).dropna(subset=["pickup_x", "pickup_y"])
     used = cells.selectExpr("pickup_x AS cell_x", "pickup_y AS cell_y").distinct()
     return Z.cell_corners(used, CITY_GRID).selectExpr(
         "cell_x", "cell_y", "round(lon, 6) AS lon", "round(lat, 6) AS lat"
@@ -298,32 +314,32 @@ def grid_cell_origin(spark, d):
 
 
 @query
-def nearest_centroid(spark, d):
+def nearest_centroid(t):
     """Nearest of 120 centroids for both ends of every trip."""
-    return Z.assign_zones(td.trips(spark, d), _centroids(spark, d))
+    return Z.assign_zones(t.trips, _centroids(t))
 
 
 @query
-def nearest_centroid_points(spark, d):
-    """Nearest label mean for every embedding's first two dimensions."""
-    points = td.points(spark, d)
-    means = points.groupBy(F.col("label").alias("zone_id")).agg(
-        F.expr("round(avg(x), 6) AS centroid_lon"), F.expr("round(avg(y), 6) AS centroid_lat")
+def nearest_centroid_points(t):
+    """Nearest label mean for every embedding, over all its dimensions."""
+    points = td.vectors(t.spark, t.sf_dir)
+    parts = points.selectExpr("label AS zone_id", "posexplode(vector) AS (i, x)")
+    means = parts.groupBy("zone_id", "i").agg(F.expr("round(avg(x), 6) AS x")).groupBy("zone_id").agg(
+        F.expr("transform(array_sort(collect_list(struct(i, x))), e -> e.x) AS centroid")
     )
-    found = Z.nearest_zone(points, materialize(means, "centroids"), {"zone_id": ("x", "y")})
-    return found.select("vec_id", "label", "zone_id")
+    return Z.nearest_vector(points, means, "vector").select("vec_id", "label", "zone_id")
 
 
 @query
-def kmeans_train(spark, d):
-    trips = td.trips(spark, d)
+def kmeans_train(t):
+    trips = t.trips
     model = Z.train_kmeans(trips, k=20, fraction=0.5, seed=7)
     return Z.centroid_table(trips, model)
 
 
 @query
-def centroid_table(spark, d):
-    trips = td.trips(spark, d)
+def centroid_table(t):
+    trips = t.trips
     return Z.centroid_table(trips, Z.train_kmeans(trips, k=8, seed=3)).selectExpr(
         "zone_id", "round(centroid_lon, 3) AS centroid_lon",
         "round(centroid_lat, 3) AS centroid_lat",
@@ -331,42 +347,42 @@ def centroid_table(spark, d):
 
 
 @query
-def zone_flags(spark, d):
-    return Z.zone_flags(td.seed_centroids(td.trips(spark, d)))
+def zone_flags(t):
+    return Z.zone_flags(td.seed_centroids(t.trips))
 
 
 @query
-def centroid_demand(spark, d):
-    centroids = _centroids(spark, d)
-    return Z.centroid_demand(Z.assign_zones(td.trips(spark, d), centroids), centroids, 60)
+def centroid_demand(t):
+    centroids = _centroids(t)
+    return Z.centroid_demand(Z.assign_zones(t.trips, centroids), centroids, 60)
 
 
-def _cells_xy(spark, d):
-    return _cell_demand(spark, d).selectExpr(
+def _cells_xy(t):
+    return _cell_demand(t).selectExpr(
         f"{GRID5.x_of()} AS cell_x", f"{GRID5.y_of()} AS cell_y", "demand"
     )
 
 
 @query
-def grid_heat(spark, d):
-    return Z.heat_map(_cells_xy(spark, d), GRID5, "demand").selectExpr(
+def grid_heat(t):
+    return Z.heat_map(_cells_xy(t), GRID5, "demand").selectExpr(
         "cell_x", "cell_y", "round(lon, 6) AS lon", "round(lat, 6) AS lat", "cnt",
         "round(bubble, 6) AS bubble",
     )
 
 
 @query
-def grid_heat_rows(spark, d):
+def grid_heat_rows(t):
     """The heat map that counts feature rows instead of demand."""
-    return Z.heat_map(_cells_xy(spark, d), GRID5).selectExpr(
+    return Z.heat_map(_cells_xy(t), GRID5).selectExpr(
         "cell_x", "cell_y", "cnt", "round(bubble, 6) AS bubble"
     )
 
 
 @query
-def nonzero_points(spark, d):
+def nonzero_points(t):
     """Points with both coordinates set; every 50th id has one blanked."""
-    trips = td.trips(spark, d).withColumn(
+    trips = t.trips.withColumn(
         "pickup_lon", F.expr("IF(trip_id % 50 = 0, 0D, pickup_lon)")
     )
     return Z.nonzero_points(trips).selectExpr(
@@ -375,129 +391,128 @@ def nonzero_points(spark, d):
 
 
 @query
-def zoning_clusters(spark, d):
+def zoning_clusters(t):
     """Trips to k-means zones to zero-filled demand in one job."""
-    _, demand = zoning.cluster_demand(td.trips(spark, d), HOURLY, k=20, fraction=0.5, seed=7)
+    _, demand = zoning.cluster_demand(t.trips, t.hourly, k=20, fraction=0.5, seed=7)
     return demand
 
 
 @query
-def zoning_centroids(spark, d):
+def zoning_centroids(t):
     """The zone job with stored centroids instead of trained ones."""
-    located = _located(spark, d, HOURLY, _centroids(spark, d))
+    located = _located(t, t.hourly, _centroids(t))
     counted = D.count_demand(located, slot_id="pickup_slot", zone_id="pickup_zone")
-    return D.fill_observed(materialize(counted, "demand"), HOURLY)
+    return D.fill_observed(materialize(counted, "demand"), t.hourly)
 
 
 @query
-def zoning_grid(spark, d):
-    return zoning.grid_demand(td.trips(spark, d), SLOTS, CITY_GRID)
+def zoning_grid(t):
+    return zoning.grid_demand(t.trips, t.slots, CITY_GRID)
 
 
 # --- projections, filters, splits ------------------------------------------
 
 @query
-def feat_drop(spark, d):
-    return Fe.without_keys(Fe.with_calendar(_zone_demand(spark, d), SLOTS))
+def feat_drop(t):
+    return Fe.without_keys(Fe.with_calendar(_zone_demand(t), t.slots))
 
 
 @query
-def filter_zone(spark, d):
-    return _zone_demand(spark, d).filter("zone_id = 7")
+def filter_zone(t):
+    return _zone_demand(t).filter("zone_id = 7")
 
 
 @query
-def split_by_week(spark, d):
-    rows = Fe.with_calendar(_zone_demand(spark, d), SLOTS)
+def split_by_week(t):
+    rows = Fe.with_calendar(_zone_demand(t), t.slots)
     return rows.selectExpr(
-        "slot_id", "zone_id", "week", "demand", f"{splits.before_week(td.TEST_WEEK)} AS is_train"
+        "slot_id", "zone_id", "week", "demand", f"{splits.before_week(t.test_week)} AS is_train"
     )
 
 
 @query
-def groups_min_rows(spark, d):
-    return D.groups_with_rows(_zone_demand(spark, d), 10, "zone_id")
+def groups_min_rows(t):
+    return D.groups_with_rows(_zone_demand(t), 10, "zone_id")
 
 
 @query
-def groups_train_test(spark, d):
-    return D.groups_with_train_test(_zone_demand(spark, d), f"slot_id < {SPLIT}", 5, 3)
+def groups_train_test(t):
+    return D.groups_with_train_test(_zone_demand(t), f"slot_id < {t.split}", 5, 3)
 
 
 @query
-def index_slice(spark, d):
+def index_slice(t):
     """Rows 500 to 1499 of the demand table in (slot, zone) order."""
-    return D.index_slice(materialize(_zone_demand(spark, d), "demand"), 500, 1500)
+    return D.index_slice(materialize(_zone_demand(t), "demand"), 500, 1500)
 
 
 @query
-def split_first_n(spark, d):
-    rows = _fill(_zone_demand(spark, d, HOURLY), HOURLY)
-    return splits.first_n(rows, 21 * HOURLY.per_day)
+def split_first_n(t):
+    rows = _fill(_zone_demand(t, t.hourly), t.hourly)
+    return splits.first_n(rows, 21 * t.hourly.per_day)
 
 
 @query
-def split_leading_fraction(spark, d):
-    return splits.leading_fraction(_zone_demand(spark, d), 0.1667)
+def split_leading_fraction(t):
+    return splits.leading_fraction(_zone_demand(t), 0.1667)
 
 
 @query
-def split_by_key(spark, d):
-    return splits.by_key(_zone_demand(spark, d), "slot_id", 70)
+def split_by_key(t):
+    return splits.by_key(_zone_demand(t), "slot_id", 70)
 
 
 @query
-def split_random(spark, d):
-    train, test = splits.at_random(_zone_demand(spark, d), 0.7, seed=5)
+def split_random(t):
+    train, test = splits.at_random(_zone_demand(t), 0.7, seed=5)
     return train.selectExpr("*", "true AS is_train").unionByName(
         test.selectExpr("*", "false AS is_train")
     )
 
 
 @query
-def bernoulli_sample(spark, d):
-    return Z.bernoulli_sample(td.trips(spark, d), 0.25, seed=11)
+def bernoulli_sample(t):
+    return Z.bernoulli_sample(t.trips, 0.25, seed=11)
 
 
 @query
-def top_demand(spark, d):
-    return D.top_demand(_zone_demand(spark, d), 10)
+def top_demand(t):
+    return D.top_demand(_zone_demand(t), 10)
 
 
 @query
-def union_cells(spark, d):
-    """Feature rows of the inner cells as one filtered scan."""
-    rows = Fe.grid_features(_cell_demand(spark, d), SLOTS, GRID5)
-    return rows.filter("cell_x < 4 AND cell_y < 4")
+def union_cells(t):
+    """Feature rows of all cells in one table."""
+    return Fe.grid_features(_cell_demand(t), t.slots, GRID5)
 
 
 # --- joins, demand, look-ups -----------------------------------------------
 
 @query
-def combine_cluster(spark, d):
-    trips = td.trips(spark, d)
-    return D.combine(ts.assign_slots(trips, SLOTS), Z.assign_zones(trips, _centroids(spark, d)))
+def combine_cluster(t):
+    trips = t.trips
+    return D.combine(ts.assign_slots(trips, t.slots), Z.assign_zones(trips, _centroids(t)))
 
 
 @query
-def grid_combined(spark, d):
-    trips = td.trips(spark, d)
-    return D.combine_grid(Z.assign_cells(trips, CITY_GRID), ts.assign_slots(trips, SLOTS))
+def grid_combined(t):
+    trips = t.trips
+    return D.combine_grid(Z.assign_cells(trips, CITY_GRID), ts.assign_slots(trips, t.slots))
 
 
 @query
-def demand_cluster(spark, d):
-    return _zone_demand(spark, d)
+def demand_cluster(t):
+    return _zone_demand(t)
 
 
 @query
-def demand_grid(spark, d):
-    return zoning.grid_demand(td.trips(spark, d), HOURLY, CITY_GRID)
+def demand_grid(t):
+    return zoning.grid_demand(t.trips, t.hourly, CITY_GRID)
 
 
 @query
-def demand_grid_flat(spark, d):
-    inside = zoning.slots_and_cells(td.trips(spark, d), SLOTS, GRID100)
+def demand_grid_flat(t):
+    inside = zoning.slots_and_cells(t.trips, t.slots, GRID100)
     return D.count_demand(
         inside, slot_id="pickup_slot",
         zone_id=GRID100.flatten("pickup_x", "pickup_y"),
@@ -505,125 +520,125 @@ def demand_grid_flat(spark, d):
 
 
 @query
-def demand_calendar(spark, d):
-    joined = D.join_calendar(_zone_demand(spark, d), extend_slots(spark, d))
+def demand_calendar(t):
+    joined = D.join_calendar(_zone_demand(t), extend_slots(t))
     return joined.orderBy("slot_id", "zone_id")
 
 
 @query
-def demand_slots(spark, d):
-    joined = D.join_slots(_zone_demand(spark, d), _slot_table(spark, d))
+def demand_slots(t):
+    joined = D.join_slots(_zone_demand(t), _slot_table(t))
     return joined.orderBy("slot_id", "zone_id")
 
 
 @query
-def densify_demand(spark, d):
-    return D.fill_observed(materialize(_zone_demand(spark, d, HOURLY), "demand"), HOURLY)
+def densify_demand(t):
+    return D.fill_observed(materialize(_zone_demand(t, t.hourly), "demand"), t.hourly)
 
 
 @query
-def densify_calendar(spark, d):
-    return _fill(_zone_demand(spark, d, HOURLY), HOURLY)
+def densify_calendar(t):
+    return _fill(_zone_demand(t, t.hourly), t.hourly)
 
 
 @query
-def dense_features(spark, d):
+def dense_features(t):
     """Existing feature rows completed with synthesised zero rows."""
-    demand = materialize(_zone_demand(spark, d, HOURLY), "demand")
-    centroids = _centroids(spark, d)
-    dense = D.fill_calendar(demand, HOURLY, D.distinct_values(demand, "zone_id"))
-    found = Fe.sparse_features(demand, HOURLY, centroids).drop("month")
-    return Fe.fill_features(found, dense, HOURLY, centroids)
+    demand = materialize(_zone_demand(t, t.hourly), "demand")
+    centroids = _centroids(t)
+    dense = D.fill_calendar(demand, t.hourly, D.distinct_values(demand, "zone_id"))
+    found = Fe.sparse_features(demand, t.hourly, centroids).drop("month")
+    return Fe.fill_features(found, dense, t.hourly, centroids)
 
 
-def _dropoff_keys(spark, d):
-    return td.trips(spark, d).selectExpr(
-        "trip_id", f"{SLOTS.slot_of('dropoff_ts')} AS slot_id", "pickup_zone AS zone_id"
+def _dropoff_keys(t):
+    return t.trips.selectExpr(
+        "trip_id", f"{t.slots.slot_of('dropoff_ts')} AS slot_id", "pickup_zone AS zone_id"
     )
 
 
 @query
-def lookup_demand(spark, d):
+def lookup_demand(t):
     """Pickup demand at every trip's drop-off slot."""
-    demand = materialize(_zone_demand(spark, d), "demand")
-    return D.lookup_demand(_dropoff_keys(spark, d), demand).select(
+    demand = materialize(_zone_demand(t), "demand")
+    return D.lookup_demand(_dropoff_keys(t), demand).select(
         "trip_id", "slot_id", "zone_id", "demand"
     )
 
 
 @query
-def lookup_features(spark, d):
+def lookup_features(t):
     """Feature rows by (week, weekday, time, zone) of every drop-off."""
-    features = Fe.with_calendar(_zone_demand(spark, d), SLOTS)
-    seen = _dropoff_keys(spark, d).select("slot_id", "zone_id").distinct()
-    keys = seen.selectExpr(*SLOTS.fields(("week", "day_of_week", "time_of_day_code")), "zone_id")
+    features = Fe.with_calendar(_zone_demand(t), t.slots)
+    seen = _dropoff_keys(t).select("slot_id", "zone_id").distinct()
+    keys = seen.selectExpr(*t.slots.fields(("week", "day_of_week", "time_of_day_code")), "zone_id")
     return D.lookup_features(keys, features)
 
 
 @query
-def lookup_features_grid(spark, d):
+def lookup_features_grid(t):
     """Feature rows by (week, weekday, time, cell) of every drop-off."""
-    features = Fe.grid_features(_cell_demand(spark, d), SLOTS, GRID5)
-    seen = zoning.slots_and_cells(td.trips(spark, d), SLOTS, GRID5).selectExpr(
+    features = Fe.grid_features(_cell_demand(t), t.slots, GRID5)
+    seen = zoning.slots_and_cells(t.trips, t.slots, GRID5).selectExpr(
         "dropoff_slot AS slot_id", "dropoff_y AS cell_y", "dropoff_x AS cell_x"
     ).distinct()
     keys = seen.selectExpr(
-        *SLOTS.fields(("week", "day_of_week", "time_of_day_code")), "cell_y", "cell_x"
+        *t.slots.fields(("week", "day_of_week", "time_of_day_code")), "cell_y", "cell_x"
     )
     return D.lookup_features(keys, features)
 
 
 @query
-def distinct_zones(spark, d):
-    return D.distinct_values(_zone_demand(spark, d), "zone_id")
+def distinct_zones(t):
+    return D.distinct_values(_zone_demand(t), "zone_id")
 
 
 @query
-def zone_counts(spark, d):
-    return D.zone_counts(td.trips(spark, d))
+def zone_counts(t):
+    return D.zone_counts(t.trips)
 
 
 # --- features --------------------------------------------------------------
 
 @query
-def features_cluster(spark, d):
+def features_cluster(t):
     """Dense hourly features of the centroid zones."""
-    centroids = _centroids(spark, d)
-    located = _located(spark, d, HOURLY, centroids)
+    centroids = _centroids(t)
+    located = _located(t, t.hourly, centroids)
     demand = D.count_demand(located, slot_id="pickup_slot", zone_id="pickup_zone")
     demand = materialize(demand, "demand")
     zones = centroids.select("zone_id")
-    return Fe.zone_features(D.fill_calendar(demand, HOURLY, zones), HOURLY, centroids)
+    return Fe.zone_features(D.fill_calendar(demand, t.hourly, zones), t.hourly, centroids)
 
 
 @query
-def features_grid(spark, d):
+def features_grid(t):
     """Dense hourly features of every cell of the grid, known from its size."""
-    zones = spark.range(GRID5.cells).selectExpr("CAST(id AS INT) AS zone_id")
-    dense = D.fill_calendar(materialize(_cell_demand(spark, d, HOURLY), "demand"), HOURLY, zones)
-    return Fe.grid_features(dense, HOURLY, GRID5)
+    zones = t.spark.range(GRID5.cells).selectExpr("CAST(id AS INT) AS zone_id")
+    dense = D.fill_calendar(materialize(_cell_demand(t, t.hourly), "demand"), t.hourly, zones)
+    return Fe.grid_features(dense, t.hourly, GRID5)
 
 
 @query
-def features_sparse(spark, d):
-    centroids = _centroids(spark, d)
-    located = _located(spark, d, SLOTS, centroids)
+def features_sparse(t):
+    centroids = _centroids(t)
+    located = _located(t, t.slots, centroids)
     demand = D.count_demand(located, slot_id="pickup_slot", zone_id="pickup_zone")
-    return Fe.sparse_features(demand, SLOTS, centroids)
+    return Fe.sparse_features(demand, t.slots, centroids)
 
 
 @query
-def zone_train_test(spark, d):
+def zone_train_test(t):
     """Training and test features of one zone, label last."""
-    rows = Fe.with_calendar(_zone_demand(spark, d), SLOTS).filter("zone_id = 12")
-    is_train = f"{splits.before_week(td.TEST_WEEK)} AS is_train"
+    rows = Fe.with_calendar(_zone_demand(t), t.slots).filter("zone_id = 12")
+    is_train = f"{splits.before_week(t.test_week)} AS is_train"
     return rows.selectExpr(*Fe.LAYOUT_CALENDAR, "demand", is_train)
 
 
 @query
-def assemble_features(spark, d):
+def assemble_features(t):
     """The nine-feature vector of every sparse feature row, spread to columns."""
-    rows = Fe.assemble(features_sparse(spark, d))
+    rows = Fe.assemble(features_sparse(t))
     return rows.withColumn("v", vector_to_array("features")).selectExpr(
         "slot_id", "zone_id", *[f"v[{i}] AS f{i}" for i in range(len(Fe.LAYOUT_GLOBAL))]
     )
@@ -631,46 +646,46 @@ def assemble_features(spark, d):
 
 # --- profiles --------------------------------------------------------------
 
-@query
-def mean_profile_global(spark, d):
-    sums = _profile_sums(spark, d)
-    profile = profiles.global_profile(sums, SLOTS, SPLIT)
-    return profiles.score_global_profile(sums, profile, SLOTS, SPLIT)
+@rounded
+def mean_profile_global(t):
+    sums = _profile_sums(t)
+    profile = profiles.global_profile(sums, t.slots, t.split)
+    return profiles.score_global_profile(sums, profile, t.slots, t.split)
 
 
 @query
-def mean_profile_global_table(spark, d):
-    profile = profiles.global_profile(_profile_sums(spark, d), SLOTS, SPLIT)
+def mean_profile_global_table(t):
+    profile = profiles.global_profile(_profile_sums(t), t.slots, t.split)
     return profile.withColumn("prediction", F.expr("round(prediction, 6)"))
 
 
-@query
-def mean_profile_zone(spark, d):
+@rounded
+def mean_profile_zone(t):
     profile = profiles.zone_profile(
-        profiles.profile_sums(_zone_demand(spark, d), SLOTS, SPLIT), SLOTS, SPLIT
+        profiles.profile_sums(_zone_demand(t), t.slots, t.split), t.slots, t.split
     )
-    return profiles.score_zone_profile(profile, SLOTS, SPLIT)
+    return profiles.score_zone_profile(profile, t.slots, t.split)
 
 
-@query
-def mean_profile_cell(spark, d):
+@rounded
+def mean_profile_cell(t):
     """The flagship: trips to cells to profile to scores, in one pass."""
-    sums = profiles.profile_sums(_cell_demand(spark, d), SLOTS, SPLIT)
-    scored = profiles.score_zone_profile(profiles.zone_profile(sums, SLOTS, SPLIT), SLOTS, SPLIT)
+    sums = profiles.profile_sums(_cell_demand(t), t.slots, t.split)
+    scored = profiles.score_zone_profile(profiles.zone_profile(sums, t.slots, t.split), t.slots, t.split)
     return scored.selectExpr(
         f"{GRID5.x_of()} AS cell_x", f"{GRID5.y_of()} AS cell_y", "n", "rmse", "r2"
     )
 
 
 @query
-def mean_profile_predict(spark, d):
+def mean_profile_predict(t):
     """Zone profile predictions next to the demand of every hourly test slot."""
-    split = HOURLY.first_slot_of(td.TEST_START)
-    dense = Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
+    split = t.hourly.first_slot_of(t.test_start)
+    dense = Fe.with_calendar(_fill(_zone_demand(t, t.hourly), t.hourly), t.hourly)
     dense = materialize(dense, "rows")
     train = dense.filter(f"slot_id < {split}").select("slot_id", "zone_id", "demand")
     profile = profiles.zone_profile(
-        profiles.profile_sums(train, HOURLY, split), HOURLY, split
+        profiles.profile_sums(train, t.hourly, split), t.hourly, split
     )
     test = dense.filter(f"slot_id >= {split}")
     return profiles.predict(test, profile, "zone_id").selectExpr(
@@ -678,51 +693,51 @@ def mean_profile_predict(spark, d):
     )
 
 
-@query
-def mean_rows_zone(spark, d):
-    sums = profiles.profile_sums(_zone_demand(spark, d), SLOTS, SPLIT)
+@rounded
+def mean_rows_zone(t):
+    sums = profiles.profile_sums(_zone_demand(t), t.slots, t.split)
     return profiles.score_existing_rows(profiles.row_means(sums))
 
 
 @query
-def mean_of_means(spark, d):
-    profile = profiles.mean_of_means(_profile_sums(spark, d))
+def mean_of_means(t):
+    profile = profiles.mean_of_means(_profile_sums(t))
     return profile.withColumn("prediction", F.expr("round(prediction, 6)"))
 
 
-@query
-def mean_of_means_scored(spark, d):
-    sums = _profile_sums(spark, d)
+@rounded
+def mean_of_means_scored(t):
+    sums = _profile_sums(t)
     return profiles.score_pooled_rows(sums, profiles.mean_of_means(sums))
 
 
-@query
-def constant_rmse(spark, d):
+@rounded
+def constant_rmse(t):
     """Guessing 0 and 1 on the test part of a reproducible 70/30 split."""
-    rows = splits.by_key(_zone_demand(spark, d), "slot_id", 70)
+    rows = splits.by_key(_zone_demand(t), "slot_id", 70)
     return E.constant_rmse(rows.filter("NOT is_train"), [0.0, 1.0])
 
 
 # --- linear models ---------------------------------------------------------
 
 @query
-def ols_zone(spark, d):
-    train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+def ols_zone(t):
+    train, _ = splits.by_week(_model_rows(t), t.test_week)
     model = linear.fit_line(train, ["zone_id"], "time_of_day_code")
     return model.selectExpr(
         "zone_id", "n_train", "round(slope, 6) AS slope", "round(intercept, 6) AS intercept"
     )
 
 
-@query
-def ols_zone_scored(spark, d):
-    return _line_scores(*splits.by_week(_model_rows(spark, d), td.TEST_WEEK))
+@rounded
+def ols_zone_scored(t):
+    return _line_scores(*splits.by_week(_model_rows(t), t.test_week))
 
 
 @query
-def ols_zone_two(spark, d):
+def ols_zone_two(t):
     """Regression on weekday and time of day for every zone."""
-    train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+    train, _ = splits.by_week(_model_rows(t), t.test_week)
     model = linear.fit_ols(train, ["zone_id"], list(Fe.LAYOUT_WEEKDAY))
     return model.selectExpr(
         "zone_id", "n", "round(intercept, 6) AS intercept",
@@ -730,162 +745,162 @@ def ols_zone_two(spark, d):
     )
 
 
-@query
-def ols_zone_multi(spark, d):
-    train, test = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+@rounded
+def ols_zone_multi(t):
+    train, test = splits.by_week(_model_rows(t), t.test_week)
     return linear.fit_and_score(train, test, ["zone_id"], CALENDAR_LAYOUT)
 
 
-@query
-def ols_cell(spark, d):
+@rounded
+def ols_cell(t):
     """One-feature regression per grid cell, scored per cell and pooled."""
-    train, test = splits.by_week(_cell_rows(spark, d), td.TEST_WEEK)
+    train, test = splits.by_week(_cell_rows(t), t.test_week)
     keys = ["cell_x", "cell_y"]
     model = linear.fit_line(train, keys, "time_of_day_code")
     return E.score_with_total(linear.predict_line(test, model, keys, "time_of_day_code"), *keys)
 
 
-@query
-def ols_cell_multi(spark, d):
-    train, test = splits.by_week(_cell_rows(spark, d), td.TEST_WEEK)
+@rounded
+def ols_cell_multi(t):
+    train, test = splits.by_week(_cell_rows(t), t.test_week)
     return linear.fit_and_score(train, test, ["cell_x", "cell_y"], CELL_LAYOUT)
 
 
-@query
-def ols_global_scored(spark, d):
-    train, test = splits.by_week(_global_rows(spark, d), td.TEST_WEEK)
+@rounded
+def ols_global_scored(t):
+    train, test = splits.by_week(_global_rows(t), t.test_week)
     return linear.global_regression(train, test, Fe.LAYOUT_GLOBAL)
 
 
-@query
-def ols_global_zones(spark, d):
+@rounded
+def ols_global_zones(t):
     """One exact nine-feature regression for all zones, scored per zone."""
-    train, test = splits.by_week(_global_rows(spark, d), td.TEST_WEEK)
+    train, test = splits.by_week(_global_rows(t), t.test_week)
     layout = list(Fe.LAYOUT_GLOBAL)
     predicted = linear.predict_ols(test, linear.fit_ols(train, [], layout), [], layout)
     return E.score_with_total(predicted, "zone_id")
 
 
-@query
-def ols_global_exact(spark, d):
+@rounded
+def ols_global_exact(t):
     """One regression for all zones from a single aggregation, pooled score."""
-    train, test = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+    train, test = splits.by_week(_model_rows(t), t.test_week)
     return linear.fit_and_score(train, test, [], list(Fe.LAYOUT_WEEKDAY))
 
 
 # --- trees -----------------------------------------------------------------
 
-@query
-def tree_split_zone(spark, d):
+@rounded
+def tree_split_zone(t):
     """The first split of every zone's tree."""
-    train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+    train, _ = splits.by_week(_model_rows(t), t.test_week)
     found = trees.best_splits(train.selectExpr("*", "1 AS node_id"), ["zone_id"], CALENDAR_LAYOUT)
     return found.select("zone_id", "n", "feature", "threshold", "gain")
 
 
-@query
-def tree_zone_depth3(spark, d):
+@rounded
+def tree_zone_depth3(t):
     """Every node of every zone's depth-3 tree."""
-    train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+    train, _ = splits.by_week(_model_rows(t), t.test_week)
     return trees.grow(train, ["zone_id"], CALENDAR_LAYOUT, 3)
 
 
-@query
-def tree_zone_scored(spark, d):
-    train, test = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+@rounded
+def tree_zone_scored(t):
+    train, test = splits.by_week(_model_rows(t), t.test_week)
     return trees.fit_and_score(train, test, ["zone_id"], CALENDAR_LAYOUT, 3)
 
 
-@query
-def tree_cell_scored(spark, d):
-    train, test = splits.by_week(_cell_rows(spark, d), td.TEST_WEEK)
+@rounded
+def tree_cell_scored(t):
+    train, test = splits.by_week(_cell_rows(t), t.test_week)
     return trees.fit_and_score(train, test, ["cell_x", "cell_y"], CELL_LAYOUT, 3)
 
 
-@query
-def tree_all_zones(spark, d):
+@rounded
+def tree_all_zones(t):
     """One exact depth-3 tree over all zones, as a node table."""
-    train, _ = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+    train, _ = splits.by_week(_model_rows(t), t.test_week)
     return trees.grow(train, [], ["zone_id", *CALENDAR_LAYOUT], 3)
 
 
-@query
-def tree_global(spark, d):
+@rounded
+def tree_global(t):
     """One binned depth-3 tree for all zones, scored per zone."""
-    train, test = splits.by_week(_global_rows(spark, d), td.TEST_WEEK)
+    train, test = splits.by_week(_global_rows(t), t.test_week)
     return trees.score_model(trees.global_tree(train, Fe.LAYOUT_GLOBAL, 3), test, Fe.LAYOUT_GLOBAL)
 
 
 @query
-def tree_global_text(spark, d):
+def tree_global_text(t):
     """The text dump of the depth-5 tree for all zones."""
-    train, _ = splits.by_week(_global_rows(spark, d), td.TEST_WEEK)
+    train, _ = splits.by_week(_global_rows(t), t.test_week)
     return trees.tree_text(train, trees.global_tree(train, Fe.LAYOUT_GLOBAL, 5))
 
 
-@query
-def tree_depth_sweep(spark, d):
+@rounded
+def tree_depth_sweep(t):
     """Scores at depths 2-8 and 10 from one growth of every zone's tree."""
     rows = materialize(
-        Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY), "rows"
+        Fe.with_calendar(_fill(_zone_demand(t, t.hourly), t.hourly), t.hourly), "rows"
     )
-    train, test = splits.by_week(rows, td.TEST_WEEK)
+    train, test = splits.by_week(rows, t.test_week)
     return trees.depth_sweep(train, test, ["zone_id"], CALENDAR_LAYOUT, [2, 3, 4, 5, 6, 7, 8, 10])
 
 
-@query
-def tree_default(spark, d):
+@rounded
+def tree_default(t):
     """The default-depth tree on slot and zone, random 70/30 split."""
-    train, test = splits.at_random(materialize(_zone_demand(spark, d), "demand"), 0.7, seed=5)
+    train, test = splits.at_random(materialize(_zone_demand(t), "demand"), 0.7, seed=5)
     return trees.score_model(
         trees.global_tree(train, Fe.LAYOUT_SLOT_ZONE), test, Fe.LAYOUT_SLOT_ZONE
     )
 
 
-@query
-def forest(spark, d):
+@rounded
+def forest(t):
     """A random forest on slot and zone, random 70/30 split."""
-    train, test = splits.at_random(materialize(_zone_demand(spark, d), "demand"), 0.7, seed=5)
+    train, test = splits.at_random(materialize(_zone_demand(t), "demand"), 0.7, seed=5)
     model = trees.global_forest(train, Fe.LAYOUT_SLOT_ZONE, seed=5)
     return trees.score_model(model, test, Fe.LAYOUT_SLOT_ZONE)
 
 
 # --- neural networks, scaling ----------------------------------------------
 
-@query
-def mlp_zone(spark, d):
+@rounded
+def mlp_zone(t):
     """A (10, 10) network per zone on hourly rows."""
-    rows = Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
-    rows = rows.selectExpr("*", f"{splits.before_week(td.TEST_WEEK)} AS is_train")
+    rows = Fe.with_calendar(_fill(_zone_demand(t, t.hourly), t.hourly), t.hourly)
+    rows = rows.selectExpr("*", f"{splits.before_week(t.test_week)} AS is_train")
     return neural.score_networks(rows, CALENDAR_LAYOUT, layers=(10, 10), max_iter=1000)
 
 
-@query
-def mlp_cell(spark, d):
+@rounded
+def mlp_cell(t):
     """A (5,) network per grid cell on hourly rows."""
-    rows = Fe.grid_features(_fill(_cell_demand(spark, d, HOURLY), HOURLY), HOURLY, GRID5)
+    rows = Fe.grid_features(_fill(_cell_demand(t, t.hourly), t.hourly), t.hourly, GRID5)
     rows = rows.selectExpr(
-        "*", f"{splits.before_week(td.TEST_WEEK)} AS is_train",
+        "*", f"{splits.before_week(t.test_week)} AS is_train",
         f"{GRID5.flatten('cell_x', 'cell_y')} AS zone_id",
     )
     return neural.score_networks(rows, CELL_LAYOUT, layers=(5,), max_iter=2000)
 
 
-@query
-def mlp_leading(spark, d):
+@rounded
+def mlp_leading(t):
     """Networks on sparse rows, the leading sixth of each zone held out."""
-    rows = _zone_demand(spark, d).filter(SLOTS.inside())
+    rows = _zone_demand(t).filter(t.slots.inside())
     rows = splits.leading_fraction(rows, 0.1667)
     names = ["month", "day_of_week", "time_of_day_code"]
-    rows = rows.selectExpr("*", *SLOTS.fields(names))
+    rows = rows.selectExpr("*", *t.slots.fields(names))
     return neural.score_networks(
         rows, [*names, "zone_id"], layers=(10, 10), max_iter=1000, scale=True
     )
 
 
 @query
-def zscore_zone(spark, d):
-    rows = Fe.with_calendar(_fill(_zone_demand(spark, d, HOURLY), HOURLY), HOURLY)
+def zscore_zone(t):
+    rows = Fe.with_calendar(_fill(_zone_demand(t, t.hourly), t.hourly), t.hourly)
     scaled = E.zscores(materialize(rows, "rows"), "time_of_day_code", "day_of_week", "demand")
     names = ("time_of_day_code_z", "day_of_week_z", "demand_z")
     return scaled.selectExpr("slot_id", "zone_id", *[f"round({n}, 6) AS {n}" for n in names])
@@ -893,46 +908,46 @@ def zscore_zone(spark, d):
 
 # --- evaluation, comparison, distribution ----------------------------------
 
-def _predictions(spark, d):
-    train, test = splits.by_week(_model_rows(spark, d), td.TEST_WEEK)
+def _predictions(t):
+    train, test = splits.by_week(_model_rows(t), t.test_week)
     model = linear.fit_line(train, ["zone_id"], "hour")
     return linear.predict_line(test, model, ["zone_id"], "hour")
 
 
-@query
-def eval_rmse(spark, d):
-    return E.score(_predictions(spark, d), "zone_id").drop("r2")
+@rounded
+def eval_rmse(t):
+    return E.score(_predictions(t), "zone_id").drop("r2")
 
 
-@query
-def eval_r2(spark, d):
-    return E.score(_predictions(spark, d), "zone_id").drop("rmse")
+@rounded
+def eval_r2(t):
+    return E.score(_predictions(t), "zone_id").drop("rmse")
 
 
-@query
-def eval_rollup(spark, d):
-    return E.score_with_total(_predictions(spark, d), "zone_id")
+@rounded
+def eval_rollup(t):
+    return E.score_with_total(_predictions(t), "zone_id")
 
 
-@query
-def describe_zone(spark, d):
-    return E.describe(_model_rows(spark, d), "zone_id")
+@rounded
+def describe_zone(t):
+    return E.describe(_model_rows(t), "zone_id")
 
 
-@query
-def describe_all(spark, d):
-    return E.describe(_model_rows(spark, d))
+@rounded
+def describe_all(t):
+    return E.describe(_model_rows(t))
 
 
-@query
-def metric_summary(spark, d):
-    return E.metric_summary(_metrics(spark, d), "rmse", "r2")
+@rounded
+def metric_summary(t):
+    return E.metric_summary(_metrics(t), "rmse", "r2")
 
 
-@query
-def compare_pair(spark, d):
+@rounded
+def compare_pair(t):
     """All six pairings of the four predictors."""
-    metrics = materialize(_metrics(spark, d), "metrics")
+    metrics = materialize(_metrics(t), "metrics")
     result = None
     for i, a in enumerate(MODELS):
         for b in MODELS[i + 1:]:
@@ -941,14 +956,14 @@ def compare_pair(spark, d):
     return result
 
 
-@query
-def compare_all(spark, d):
-    return C.compare_all(_metrics(spark, d), MODELS)
+@rounded
+def compare_all(t):
+    return C.compare_all(_metrics(t), MODELS)
 
 
-@query
-def compare_margin(spark, d):
-    metrics = materialize(_metrics(spark, d), "metrics")
+@rounded
+def compare_margin(t):
+    metrics = materialize(_metrics(t), "metrics")
     result = None
     for i, a in enumerate(MODELS):
         for b in MODELS[i + 1:]:
@@ -957,22 +972,22 @@ def compare_margin(spark, d):
     return result
 
 
-def _value_counts(spark, d):
-    day = SlotSpec(SLOTS.origin, SLOTS.days, 86400)
-    return materialize(dist.value_counts(_zone_demand(spark, d, day)), "values")
+def _value_counts(t):
+    day = t.slots.resized(86400)
+    return materialize(dist.value_counts(_zone_demand(t, day)), "values")
 
 
-@query
-def demand_hist(spark, d):
+@rounded
+def demand_hist(t):
     """Daily demand per zone in 20 bins."""
-    return dist.histogram(_value_counts(spark, d), 20)
+    return dist.histogram(_value_counts(t), 20)
 
 
-@query
-def fit_exponential(spark, d):
-    return dist.fit_exponential(_value_counts(spark, d))
+@rounded
+def fit_exponential(t):
+    return dist.fit_exponential(_value_counts(t))
 
 
-@query
-def fit_pareto(spark, d):
-    return dist.fit_pareto(_value_counts(spark, d))
+@rounded
+def fit_pareto(t):
+    return dist.fit_pareto(_value_counts(t))

@@ -35,8 +35,15 @@ TRIPS = f"""trips AS MATERIALIZED (
   FROM events)"""
 
 
+#: The first midnight seen in ``events``; every slot id counts from it.
+ORIGIN = "(SELECT date_trunc('day', min(ts)) FROM events)"
+TEST_START = "(SELECT date_trunc('day', min(ts)) + INTERVAL 21 DAY FROM events)"
+TEST_WEEK = "(SELECT weekofyear(date_trunc('day', min(ts)) + INTERVAL 21 DAY) FROM events)"
+DAY_COUNT = "(SELECT date_diff('day', min(ts), max(ts)) + 1 FROM events)"
+
+
 def slot(ts: str, width: int = 600) -> str:
-    micros = f"CAST(epoch_us({ts}) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE)"
+    micros = f"CAST(epoch_us({ts}) - epoch_us({ORIGIN}) AS DOUBLE)"
     return f"CAST(trunc({micros} / {dbl(width * 1e6)}) AS INT)"
 
 
@@ -58,7 +65,7 @@ def corner(index: str, low: float, high: float, n: int) -> str:
 
 
 def calendar(width: int) -> str:
-    """The whole month with all calendar fields, one row per slot."""
+    """All whole days with all calendar fields, one row per slot."""
     per_day = 86400 // width
     return f"""calendar AS MATERIALIZED (
   SELECT slot_id, slot_start, slot_start + to_seconds({width}) AS slot_end,
@@ -66,9 +73,8 @@ def calendar(width: int) -> str:
     CAST(day(slot_start) AS INT) AS day, CAST(isodow(slot_start) - 1 AS INT) AS day_of_week,
     CAST(slot_id % {per_day} AS INT) AS time_of_day_code,
     CAST(hour(slot_start) AS INT) AS hour, CAST(minute(slot_start) AS INT) AS minute
-  FROM (SELECT CAST(range AS INT) AS slot_id,
-          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(range * {width}) AS slot_start
-        FROM range({30 * per_day})))"""
+  FROM (SELECT CAST(i AS INT) AS slot_id, {ORIGIN} + to_seconds(i * {width}) AS slot_start
+        FROM (SELECT unnest(range({DAY_COUNT} * {per_day})) AS i)))"""
 
 
 def zone_demand(width: int = 600) -> str:
@@ -172,16 +178,17 @@ def grid_features(source: str) -> str:
   FROM {source}"""
 
 
-def scores(rows: str, keys: tuple[str, ...] = ("zone_id",), pooled: bool = True) -> str:
+def scores(rows: str, keys: tuple[str, ...] = ("zone_id",), pooled: bool = True,
+           digits: int | None = 6) -> str:
     """RMSE and R2 per key of ``prediction`` against ``demand``, and pooled."""
+    rmse, r2 = "sqrt(sse / n)", "1 - sse / sst"
+    if digits is not None:
+        rmse, r2 = f"round({rmse}, {digits})", f"round({r2}, {digits})"
 
     def one(columns: str, group: str) -> str:
-        return f"""SELECT {columns} n, round(sqrt(sse / n), 6) AS rmse,
-    CASE WHEN sst > y2 * 1e-12 THEN round(1 - sse / sst, 6) END AS r2
+        return f"""SELECT {columns} n, {rmse} AS rmse, CASE WHEN sst > 0 THEN {r2} END AS r2
   FROM (SELECT {columns} count(*) AS n, sum((prediction - demand) * (prediction - demand)) AS sse,
-          CAST(sum(demand * demand) AS DOUBLE) AS y2,
-          CAST(sum(demand * demand) AS DOUBLE) - CAST(sum(demand) AS DOUBLE)
-            * CAST(sum(demand) AS DOUBLE) / count(*) AS sst
+          var_pop(demand) * count(*) AS sst
         FROM {rows} {group})"""
 
     text = one("".join(f"{k}, " for k in keys), f"GROUP BY {', '.join(keys)}" if keys else "")
@@ -221,9 +228,9 @@ check("grid_meta", TRIPS, sql=f"""
 SELECT {dbl(-74.15)} AS lon_min, {dbl(-73.72)} AS lon_max, {dbl(40.58)} AS lat_min,
   {dbl(40.85)} AS lat_max, 25 AS nx, 25 AS ny, count(*) AS trips_inside
 FROM trips WHERE {cell_x('pickup_lon', 25)} IS NOT NULL AND {cell_y('pickup_lat', 25)} IS NOT NULL""")
-check("zone_groups", *ZONE_SPARSE, sql="""
-SELECT zone_id, count(*) FILTER (WHERE week < 4) AS n_train,
-  count(*) FILTER (WHERE week >= 4) AS n_test FROM sparse GROUP BY 1""")
+check("zone_groups", *ZONE_SPARSE, sql=f"""
+SELECT zone_id, count(*) FILTER (WHERE week < {TEST_WEEK}) AS n_train,
+  count(*) FILTER (WHERE week >= {TEST_WEEK}) AS n_test FROM sparse GROUP BY 1""")
 
 # --- time ------------------------------------------------------------------
 
@@ -240,7 +247,7 @@ check("slot_calendar", calendar(600), sql="SELECT * FROM calendar")
 for name, side in (("weekday_day_counts", "<"), ("weekday_day_counts_test", ">=")):
     check(name, calendar(600), sql=f"""
 SELECT day_of_week, count(DISTINCT CAST(slot_start AS DATE)) AS days FROM calendar
-WHERE slot_start {side} TIMESTAMP '2024-01-22 00:00:00' GROUP BY 1""")
+WHERE slot_start {side} {TEST_START} GROUP BY 1""")
 check("calendar_lookup", *ZONE_SPARSE, sql="""
 SELECT DISTINCT week, day_of_week, time_of_day_code, day, hour, minute FROM sparse""")
 for unit, table, column, part in (
@@ -267,14 +274,14 @@ SELECT DISTINCT pickup_x AS cell_x, pickup_y AS cell_y,
 FROM cells WHERE pickup_x IS NOT NULL AND pickup_y IS NOT NULL""")
 check("nearest_centroid", *ZONING, sql="SELECT trip_id, pickup_zone, dropoff_zone FROM located")
 check("nearest_centroid_points", sql="""
-WITH points AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x,
-    CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-  means AS (SELECT label AS zone_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy
-    FROM points GROUP BY 1)
+WITH parts AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i,
+    CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+  means AS (SELECT label AS zone_id, i, round(avg(x), 6) AS c FROM parts GROUP BY 1, 2),
+  pairs AS (SELECT p.vec_id, p.label, m.zone_id, sum((p.x - m.c) * (p.x - m.c)) AS d2
+    FROM parts p JOIN means m ON m.i = p.i GROUP BY 1, 2, 3)
 SELECT vec_id, label, zone_id FROM (
-  SELECT p.vec_id, p.label, m.zone_id, row_number() OVER (PARTITION BY p.vec_id
-    ORDER BY (m.cx - p.x) * (m.cx - p.x) + (m.cy - p.y) * (m.cy - p.y), m.zone_id) AS rn
-  FROM points p CROSS JOIN means m) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, zone_id) AS rn FROM pairs)
+WHERE rn = 1""")
 check("zone_flags", TRIPS, CENTROIDS, FLAGS, sql="SELECT * FROM flags")
 check("centroid_demand", *ZONING, sql="""
 SELECT c.zone_id, c.centroid_lon, c.centroid_lat, count(*) AS cnt
@@ -311,8 +318,8 @@ check("zoning_grid", TRIPS, cells(25), INSIDE, sql=cell_counts(600))
 
 check("feat_drop", *ZONE_SPARSE, sql=f"SELECT {CALENDAR_COLUMNS}, demand FROM sparse")
 check("filter_zone", TRIPS, zone_demand(), sql="SELECT * FROM demand WHERE zone_id = 7")
-check("split_by_week", *ZONE_SPARSE, sql="""
-SELECT slot_id, zone_id, week, demand, week < 4 AS is_train FROM sparse""")
+check("split_by_week", *ZONE_SPARSE, sql=f"""
+SELECT slot_id, zone_id, week, demand, week < {TEST_WEEK} AS is_train FROM sparse""")
 check("groups_min_rows", TRIPS, zone_demand(), sql="""
 SELECT zone_id, count(*) AS n FROM demand GROUP BY 1 HAVING count(*) >= 10""")
 check("groups_train_test", TRIPS, zone_demand(), sql=f"""
@@ -334,8 +341,7 @@ check("top_demand", TRIPS, zone_demand(), sql="""
 SELECT zone_id, CAST(sum(demand) AS BIGINT) AS demand FROM demand
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 CELL_SPARSE = (TRIPS, cells(5), INSIDE, cell_demand(), calendar(600), SPARSE)
-check("union_cells", *CELL_SPARSE, sql=f"""
-SELECT * FROM ({grid_features('sparse')}) WHERE cell_x < 4 AND cell_y < 4""")
+check("union_cells", *CELL_SPARSE, sql=grid_features("sparse"))
 
 # --- joins, demand, look-ups -----------------------------------------------
 
@@ -393,7 +399,7 @@ SPARSE_FLAGGED = (*ZONING, located_demand(600), calendar(600), SPARSE, FLAGS)
 check("features_sparse", *SPARSE_FLAGGED, sql=f"""
 {FLAGGED}, r.month FROM sparse r LEFT JOIN flags f ON f.zone_id = r.zone_id""")
 check("zone_train_test", *ZONE_SPARSE, sql=f"""
-SELECT {CALENDAR_COLUMNS}, demand, week < 4 AS is_train FROM sparse WHERE zone_id = 12""")
+SELECT {CALENDAR_COLUMNS}, demand, week < {TEST_WEEK} AS is_train FROM sparse WHERE zone_id = 12""")
 VECTOR = ("time_of_day_code", "zone_id", "day_of_week", "day", "week", "hour", "minute",
           "is_manhattan", "is_airport")
 check("assemble_features", *SPARSE_FLAGGED, sql=f"""
@@ -428,7 +434,7 @@ check("mean_profile_global_table", *ZONE_SPARSE, DAYS, ZONES, GLOBAL_MEAN, sql="
 SELECT day_of_week, hour, round(prediction, 6) AS prediction FROM profile""")
 check("mean_profile_zone", *ZONE_MODEL, ZONE_MEAN, ZONE_SCORED, sql=scores("zone_mean"))
 check("report_metrics", *ZONE_MODEL, ZONE_MEAN, ZONE_SCORED, sql=f"""
-SELECT 'zone_mean' AS model, *, {SPLIT} AS n_train_slots, {30 * 144 - SPLIT} AS n_test_slots
+SELECT 'zone_mean' AS model, *, {SPLIT} AS n_train_slots, CAST((SELECT count(*) FROM calendar) - {SPLIT} AS INT) AS n_test_slots
 FROM ({scores('zone_mean')})""")
 check("mean_profile_cell", *CELL_MODEL, ZONE_MEAN, ZONE_SCORED, sql=f"""
 SELECT CAST(zone_id // 5 AS INT) AS cell_x, CAST(zone_id % 5 AS INT) AS cell_y, n, rmse, r2
@@ -469,13 +475,13 @@ def line(keys: str, feature: str, extra: str = "") -> str:
     return f"""model AS MATERIALIZED (
   SELECT {keys}, count(*) AS n_train, coalesce(regr_slope(demand, {feature}), 0) AS slope,
     coalesce(regr_intercept(demand, {feature}), avg(demand)) AS intercept
-  FROM dense WHERE week < 4 GROUP BY {keys})"""
+  FROM dense WHERE week < {TEST_WEEK} GROUP BY {keys})"""
 
 
 def line_scored(feature: str) -> str:
     return f"""line AS MATERIALIZED (
   SELECT t.zone_id, t.demand, m.intercept + m.slope * t.{feature} AS prediction
-  FROM dense t JOIN model m ON m.zone_id = t.zone_id WHERE t.week >= 4)"""
+  FROM dense t JOIN model m ON m.zone_id = t.zone_id WHERE t.week >= {TEST_WEEK})"""
 
 
 check("ols_zone", *ZONE_MODEL, line("zone_id", "time_of_day_code"), sql="""
@@ -499,15 +505,15 @@ def two_features(keys: str) -> str:
         avg(time_of_day_code) AS m2, var_pop(day_of_week) AS c11,
         var_pop(time_of_day_code) AS c22, covar_pop(day_of_week, time_of_day_code) AS c12,
         covar_pop(day_of_week, demand) AS c1y, covar_pop(time_of_day_code, demand) AS c2y
-      FROM dense WHERE week < 4 {group})))"""
+      FROM dense WHERE week < {TEST_WEEK} {group})))"""
 
 
 check("ols_zone_two", *ZONE_MODEL, two_features("zone_id"), sql="""
 SELECT zone_id, n, round(intercept, 6) AS intercept, round(b1, 6) AS b_day_of_week,
   round(b2, 6) AS b_time_of_day_code FROM two""")
-check("ols_global_exact", *ZONE_MODEL, two_features(""), """scored AS (
+check("ols_global_exact", *ZONE_MODEL, two_features(""), f"""scored AS (
   SELECT t.demand, intercept + b1 * t.day_of_week + b2 * t.time_of_day_code AS prediction
-  FROM dense t CROSS JOIN two WHERE t.week >= 4)""", sql=scores("scored", ()))
+  FROM dense t CROSS JOIN two WHERE t.week >= {TEST_WEEK})""", sql=scores("scored", ()))
 
 
 def solved(keys: list[str], features: list[str]) -> list[str]:
@@ -525,7 +531,7 @@ def solved(keys: list[str], features: list[str]) -> list[str]:
         f"covar_pop({columns[j]}, {columns[i]}) AS a_{i}_{j}" for i in range(p) for j in range(p + 1)
     )
     parts = [f"""step_0 AS MATERIALIZED (
-  SELECT {lead} {means}, {first} FROM dense WHERE week < 4 {group})"""]
+  SELECT {lead} {means}, {first} FROM dense WHERE week < {TEST_WEEK} {group})"""]
     kept = lead + ", ".join(f"m_{i}" for i in range(p + 1))
     for pivot in range(p):
         entries = []
@@ -541,7 +547,7 @@ def solved(keys: list[str], features: list[str]) -> list[str]:
     on = " AND ".join(f"t.{k} = m.{k}" for k in keys) or "true"
     parts.append(f"""fitted AS MATERIALIZED (
   SELECT t.zone_id, t.demand, m.m_{p}{terms} AS prediction
-  FROM dense t JOIN step_{p} m ON {on} WHERE t.week >= 4)""")
+  FROM dense t JOIN step_{p} m ON {on} WHERE t.week >= {TEST_WEEK})""")
     return parts
 
 
@@ -571,27 +577,28 @@ def tree_levels(keys: list[str], features: list[str], depth: int) -> list[str]:
     same = " AND ".join([*(f"r.{k} = b.{k}" for k in keys), "r.node_id = b.node_id"])
     pairs = ", ".join(f"{{'f': '{f}', 'v': CAST({f} AS DOUBLE)}}" for f in features)
     value = "CASE b.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in features) + " END"
-    parts = ["rows_0 AS MATERIALIZED (SELECT *, 1 AS node_id FROM dense WHERE week < 4)"]
+    parts = [f"rows_0 AS MATERIALIZED (SELECT *, 1 AS node_id FROM dense WHERE week < {TEST_WEEK})"]
     for level in range(depth):
         parts.append(f"""hist_{level} AS MATERIALIZED (
   SELECT {lead} node_id, p.f AS feature, p.v AS value, count(*) AS c,
-    CAST(sum(demand) AS DOUBLE) AS s
+    CAST(sum(demand) AS DOUBLE) AS s, CAST(sum(demand * demand) AS DOUBLE) AS s2
   FROM rows_{level}, unnest([{pairs}]) AS u(p) GROUP BY ALL)""")
         parts.append(f"""cuts_{level} AS MATERIALIZED (
-  SELECT *, round((sl * sl / nl + (total - sl) * (total - sl) / nullif(n - nl, 0)
-      - total * total / n) / n, 6) AS gain
+  SELECT *, round(gain / nullif((total2 - total * total / n) / n, 0), 9) AS share
+  FROM (SELECT *, (sl * sl / nl + (total - sl) * (total - sl) / nullif(n - nl, 0)
+      - total * total / n) / n AS gain
   FROM (SELECT {lead} node_id, feature, value,
-      CAST(sum(c) OVER w AS BIGINT) AS n, sum(s) OVER w AS total,
+      CAST(sum(c) OVER w AS BIGINT) AS n, sum(s) OVER w AS total, sum(s2) OVER w AS total2,
       CAST(sum(c) OVER o AS BIGINT) AS nl, sum(s) OVER o AS sl
     FROM hist_{level}
     WINDOW w AS (PARTITION BY {lead} node_id, feature),
-      o AS (PARTITION BY {lead} node_id, feature ORDER BY value)))""")
+      o AS (PARTITION BY {lead} node_id, feature ORDER BY value))))""")
         parts.append(f"""best_{level} AS MATERIALIZED (
   SELECT {lead} node_id, {level} AS depth, n, total,
-    CASE WHEN gain > 0 THEN feature END AS feature, CASE WHEN gain > 0 THEN value END AS threshold,
-    CASE WHEN gain > 0 THEN gain END AS gain, nl, sl
+    CASE WHEN share > 0 THEN feature END AS feature,
+    CASE WHEN share > 0 THEN value END AS threshold, CASE WHEN share > 0 THEN gain END AS gain, nl, sl
   FROM (SELECT *, row_number() OVER (PARTITION BY {lead} node_id
-      ORDER BY CASE WHEN gain > 0 THEN gain ELSE 0 END DESC, feature, value) AS rn
+      ORDER BY CASE WHEN share > 0 THEN share ELSE 0 END DESC, feature, value) AS rn
     FROM cuts_{level}) WHERE rn = 1)""")
         parts.append(f"""rows_{level + 1} AS MATERIALIZED (
   SELECT r.* REPLACE (r.node_id * 2 + CASE WHEN {value} > b.threshold THEN 1 ELSE 0 END AS node_id)
@@ -601,11 +608,11 @@ def tree_levels(keys: list[str], features: list[str], depth: int) -> list[str]:
         for i in range(depth)
     )
     parts.append(f"""nodes AS MATERIALIZED (
-  SELECT {lead} node_id, depth, feature, threshold, n, round(total / n, 6) AS prediction
+  SELECT {lead} node_id, depth, feature, threshold, n, total / n AS prediction
   FROM ({inner})
   UNION ALL
   SELECT {lead} node_id, {depth}, NULL, NULL, count(*),
-    round(CAST(sum(demand) AS DOUBLE) / count(*), 6)
+    CAST(sum(demand) AS DOUBLE) / count(*)
   FROM rows_{depth} GROUP BY {lead} node_id)""")
     return parts
 
@@ -614,7 +621,7 @@ def tree_scored(keys: list[str], features: list[str], depth: int) -> str:
     """Test rows sent down the tree, one step per level."""
     lead = " AND ".join(f"t.{k} = n.{k}" for k in keys)
     value = "CASE n.feature " + " ".join(f"WHEN '{f}' THEN t.{f}" for f in features) + " END"
-    source = "(SELECT *, 1 AS node_id FROM dense WHERE week >= 4)"
+    source = f"(SELECT *, 1 AS node_id FROM dense WHERE week >= {TEST_WEEK})"
     for level in range(depth):
         source = f"""(SELECT t.* REPLACE (CASE WHEN n.feature IS NULL THEN t.node_id
       ELSE t.node_id * 2 + CASE WHEN {value} > n.threshold THEN 1 ELSE 0 END END AS node_id)
@@ -625,11 +632,11 @@ def tree_scored(keys: list[str], features: list[str], depth: int) -> str:
 
 
 CALENDAR_FEATURES = ["day", "day_of_week", "hour", "minute", "time_of_day_code", "week"]
-NODE_COLUMNS = "node_id, depth, feature, threshold, n, prediction"
+NODE_COLUMNS = "node_id, depth, feature, threshold, n, round(prediction, 6) AS prediction"
 TREE = tree_levels(["zone_id"], CALENDAR_FEATURES, 3)
 TREE_SCORED = tree_scored(["zone_id"], CALENDAR_FEATURES, 3)
 check("tree_split_zone", *ZONE_MODEL, *TREE, sql="""
-SELECT zone_id, n, feature, threshold, gain FROM best_0""")
+SELECT zone_id, n, feature, threshold, round(gain, 6) AS gain FROM best_0""")
 check("tree_zone_depth3", *ZONE_MODEL, *TREE, sql=f"SELECT zone_id, {NODE_COLUMNS} FROM nodes")
 check("tree_zone_scored", *ZONE_MODEL, *TREE, TREE_SCORED, sql=scores("tree"))
 # cell position and flags are constant within a cell and can never split it
@@ -676,7 +683,7 @@ METRICS = (
     *ZONE_MODEL, SPARSE, DAYS, ZONES, GLOBAL_MEAN, GLOBAL_SCORED, ZONE_MEAN, ZONE_SCORED, *LINE,
     *TREE, TREE_SCORED,
     "metrics AS MATERIALIZED (" + "\nUNION ALL\n".join(
-        f"SELECT '{m}' AS model, {i} AS rank, * FROM ({scores(m, pooled=False)})"
+        f"SELECT '{m}' AS model, {i} AS rank, * FROM ({scores(m, pooled=False, digits=None)})"
         for i, m in enumerate(MODELS)
     ) + ")",
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -30,13 +31,16 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
 
 
 def write_by_date(df: DataFrame, path: str, ts: str, name: str = "trip_date") -> None:
-    """Append a snapshot with one folder per calendar date.
+    """Store a snapshot with one folder per calendar date.
+
+    A date that is written again is replaced, so a repeated run changes nothing.
 
     The rebalance hint lets AQE split a date that holds far more rows than the
     others and merge tiny ones, so neither hot dates nor small files appear.
     """
     dated = df.selectExpr("*", f"CAST({ts} AS DATE) AS {name}")
-    dated.hint("rebalance", name).write.mode("append").partitionBy(name).parquet(path)
+    spread = dated.hint("rebalance", name).write.mode("overwrite")
+    spread.option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
 def write_by_cell(df: DataFrame, path: str) -> None:
@@ -47,8 +51,16 @@ def write_by_cell(df: DataFrame, path: str) -> None:
 
 
 def read_cell(spark: SparkSession, path: str, x: int, y: int) -> DataFrame:
-    """The rows of one cell; only that cell's folder is listed and read."""
-    return spark.read.parquet(path).filter(f"cell_x = {x} AND cell_y = {y}")
+    """The rows of one cell; only that cell's folder is listed and read.
+
+    A cell without a folder has no rows.
+    """
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/cell_x={x}/cell_y={y}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.parquet(path).filter("false")
 
 
 def grid_meta(spark: SparkSession, grid: GridSpec) -> DataFrame:

@@ -6,19 +6,18 @@ id with arithmetic that any SQL engine repeats exactly.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.grid import GridSpec, double
 from pulsegrid.functions.slots import SlotSpec
+from pulsegrid.operators.timeslots import observed_spec
 
-# The month covered by ``events``; train weeks 1-3, test weeks 4-5.
-SLOTS = SlotSpec.between(date(2024, 1, 1), date(2024, 1, 31), 600)
-HOURLY = SlotSpec.between(date(2024, 1, 1), date(2024, 1, 31), 3600)
-TEST_WEEK = 4
-TEST_START = date(2024, 1, 22)
+# Models train on the first three weeks of the calendar.
+TRAIN_DAYS = 21
 
 # A box around every point of ``trips``; its cells seed the centroid table.
 SEED_GRID = GridSpec(-74.2, -73.65, 40.55, 40.9, nx=10, ny=12)
@@ -28,6 +27,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """The tables of one folder, and the calendar their trips cover.
+
+    One slot origin serves slot tables, demand and models: the first midnight
+    seen in ``events``. It is looked up once, when a query first needs it.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    @property
+    def trips(self) -> DataFrame:
+        return trips(self.spark, self.sf_dir)
+
+    @cached_property
+    def slots(self) -> SlotSpec:
+        return observed_spec(self.table("events"), "ts", 600)
+
+    @property
+    def hourly(self) -> SlotSpec:
+        return self.slots.resized(3600)
+
+    @property
+    def test_start(self) -> date:
+        return self.slots.origin + timedelta(days=TRAIN_DAYS)
+
+    @property
+    def test_week(self) -> int:
+        """The ISO week in which the test part of a split by week starts."""
+        return self.test_start.isocalendar().week
+
+    @property
+    def split(self) -> int:
+        """The first test slot."""
+        return self.slots.first_slot_of(self.test_start)
+
+
 def _coordinate(low: float, span: float, multiplier: int) -> str:
     # reduced first so that the product cannot overflow
     fraction = f"CAST((event_id % 1000 * {multiplier}) % 1000 AS DOUBLE)"
@@ -61,8 +100,8 @@ def seed_centroids(trips: DataFrame) -> DataFrame:
     )
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two dimensions of ``embeddings`` as planar points."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole vectors of ``embeddings`` in double precision."""
     return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id", "label", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y"
+        "vec_id", "label", "CAST(embedding AS ARRAY<DOUBLE>) AS vector"
     )

@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master.partition("[")[0] != "local":
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that every executor can reach"
         )

@@ -50,6 +50,37 @@ def test_rows_only_query(spark, tiny, name):
                 assert math.isfinite(row[key])
 
 
+@pytest.fixture(scope="module")
+def shifted(spark, tiny, tmp_path_factory):
+    """The same tables with every event three days later."""
+    path = str(tmp_path_factory.mktemp("shifted"))
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    events.selectExpr(*[
+        "ts + INTERVAL '3' DAY AS ts" if c == "ts" else c for c in events.columns
+    ]).toPandas().to_parquet(f"{path}/events.parquet", coerce_timestamps="us")
+    return path
+
+
+def test_no_trip_is_lost_or_mislabelled_when_data_starts_on_another_day(spark, tiny, shifted):
+    trips = spark.read.parquet(f"{tiny}/events.parquet").count()
+    for name in ("densify_calendar", "demand_slots", "demand_calendar", "demand_cluster"):
+        assert QUERIES[name](spark, shifted).selectExpr("sum(demand)").first()[0] == trips, name
+    slots = QUERIES["slot_calendar"](spark, shifted)
+    assert slots.count() == 30 * 144
+    assert slots.filter("day_of_week <> weekday(slot_start)").count() == 0
+    extended = QUERIES["extend_slots"](spark, shifted)
+    assert extended.filter("day_of_week <> weekday(slot_start)").count() == 0
+
+
+@pytest.mark.parametrize("name", [
+    "time_slots", "extend_slots", "weekday_day_counts", "demand_calendar", "demand_slots", "split_by_week",
+    "densify_calendar", "mean_profile_zone", "mean_profile_global", "ols_zone_scored",
+])
+def test_query_equals_sql_on_shifted_events(spark, shifted, name):
+    ours = QUERIES[name](spark, shifted).toPandas()
+    assert difference(ours, connect(shifted).sql(CHECKS[name]).df()) is None
+
+
 @pytest.mark.parametrize("name", ["demand_cluster", "mean_profile_cell", "tree_zone_depth3"])
 def test_input_partitioning_does_not_matter(spark, tiny, monkeypatch, name):
     before = QUERIES[name](spark, tiny).toPandas()

@@ -12,6 +12,7 @@ from pulsegrid.plans import zoning
 from pulsegrid.sources import testdata as td
 
 SLOTS = SlotSpec.between(date(2024, 1, 1), date(2024, 1, 4), 3600)
+MONTH = SlotSpec.between(date(2024, 1, 1), date(2024, 1, 31), 600)
 
 
 def hot_demand(spark):
@@ -106,10 +107,10 @@ def test_groups_min_rows(spark):
 def test_grid_demand_equals_kept_trips_in_any_partitioning(spark, tiny):
     trips = td.trips(spark, tiny)
     grid = td.SEED_GRID
-    total = zoning.grid_demand(trips, td.SLOTS, grid)
-    kept = zoning.slots_and_cells(trips, td.SLOTS, grid).count()
+    total = zoning.grid_demand(trips, MONTH, grid)
+    kept = zoning.slots_and_cells(trips, MONTH, grid).count()
     assert total.agg(F.sum("demand")).first()[0] == kept
-    shuffled = zoning.grid_demand(trips.repartition(13), td.SLOTS, grid)
+    shuffled = zoning.grid_demand(trips.repartition(13), MONTH, grid)
     assert total.exceptAll(shuffled).count() == 0
 
 
@@ -118,15 +119,15 @@ def test_one_pass_equals_stored_tables_join(spark, tiny):
     from pulsegrid.operators import zones as Z
     trips = td.trips(spark, tiny)
     centroids = td.seed_centroids(trips)
-    joined = D.combine(ts.assign_slots(trips, td.SLOTS), Z.assign_zones(trips, centroids))
-    one_pass = zoning.slots_and_zones(trips, td.SLOTS, centroids)
+    joined = D.combine(ts.assign_slots(trips, MONTH), Z.assign_zones(trips, centroids))
+    one_pass = zoning.slots_and_zones(trips, MONTH, centroids)
     assert joined.exceptAll(one_pass.select(joined.columns)).count() == 0
 
 
 def test_cluster_job_keeps_its_tables_and_every_trip(spark, tiny, tmp_path):
     trips = td.trips(spark, tiny)
     keep = {"zones": str(tmp_path / "zones"), "combined": str(tmp_path / "combined")}
-    centroids, demand = zoning.cluster_demand(trips, td.HOURLY, k=6, seed=2, keep=keep)
+    centroids, demand = zoning.cluster_demand(trips, MONTH.resized(3600), k=6, seed=2, keep=keep)
     assert centroids.count() == spark.read.parquet(keep["zones"]).count() == 6
     combined = spark.read.parquet(keep["combined"])
     assert combined.count() == trips.count()

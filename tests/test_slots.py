@@ -47,7 +47,7 @@ def test_calendar_from_id_and_from_start_agree(spark):
         (0, 3, 0, 1), (143, 3, 143, 1), (144, 4, 0, 1), (21743, 6, 143, 22),
         (21744, 0, 0, 23), (25919, 0, 143, 27),
     ]
-    extended = ts.extend_slots(table, 3, 144).select("slot_id", "day_of_week", "time_of_day_code")
+    extended = ts.extend_slots(table, YEAR).select("slot_id", "day_of_week", "time_of_day_code")
     assert extended.exceptAll(by_id.select(extended.columns)).count() == 0
 
 
