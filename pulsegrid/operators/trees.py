@@ -122,7 +122,13 @@ def _node_table(nodes: DataFrame, keys: list[str], max_depth: int) -> DataFrame:
 
 def leaf_of(rows: DataFrame, nodes: DataFrame, keys: list[str], features: list[str],
             max_depth: int) -> DataFrame:
-    """Rows with the node they end in after at most ``max_depth`` splits."""
+    """Rows with the node they end in after at most ``max_depth`` splits.
+
+    Trees of groups are joined level by level; one tree for all is a scalar
+    that rows walk without a join.
+    """
+    if not keys:
+        return _walk(rows, nodes, features, max_depth)
     routed = rows.withColumn("node_id", F.lit(1))
     for depth in range(max_depth):
         level = nodes.filter(F.col("depth") == depth)
@@ -130,6 +136,32 @@ def leaf_of(rows: DataFrame, nodes: DataFrame, keys: list[str], features: list[s
     return routed
 
 
+def _walk(rows: DataFrame, nodes: DataFrame, features: list[str], max_depth: int) -> DataFrame:
+    """Rows with their node in a single tree, whose splits are one array in heap order.
+
+    In that order the children of the j-th split (from 0) are entries 2j+1 and 2j+2.
+    """
+    names = ", ".join(f"'{f}'" for f in features)
+    values = ", ".join(f"CAST({f} AS DOUBLE)" for f in features)
+    entry = (
+        f"struct(node_id, CAST(array_position(array({names}), IF(depth < {max_depth}, feature, NULL)) AS INT) - 1"
+        " AS f, threshold AS t)"
+    )
+    ordered = nodes.filter(F.col("depth") <= max_depth).selectExpr(f"array_sort(collect_list({entry})) AS tree")
+    # left: where the left child is, from the number of splits before
+    numbered = ordered.selectExpr(
+        "aggregate(tree, struct(CAST(array() AS ARRAY<STRUCT<node_id: INT, f: INT, t: DOUBLE, left: INT>>) AS done,"
+        " 0 AS splits), (acc, e) -> struct("
+        "concat(acc.done, array(struct(e.node_id, e.f, e.t, acc.splits * 2 + 1 AS left))) AS done,"
+        " acc.splits + IF(e.f IS NULL, 0, 1) AS splits), acc -> acc.done) AS tree"
+    )
+    step = f"tree[p].left + IF(array({values})[tree[p].f] > tree[p].t, 1, 0)"
+    place = f"aggregate(sequence(1, {max_depth}), 0, (p, i) -> IF(tree[p].f IS NULL, p, {step}))"
+    return rows.withColumn("tree", numbered.scalar()).selectExpr(
+        *[c for c in rows.columns if c != "node_id"], f"coalesce(tree[{place}].node_id, 1) AS node_id"
+    )
+
+
 def predict(rows: DataFrame, nodes: DataFrame, keys: list[str], features: list[str],
             max_depth: int) -> DataFrame:
     """Rows with the prediction of the leaf they fall into.

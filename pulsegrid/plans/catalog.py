@@ -6,6 +6,7 @@ whole tables; the only limits are those that are the feature itself.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -23,7 +24,7 @@ from pulsegrid.operators import features as Fe
 from pulsegrid.operators import linear, neural, profiles, splits, trees
 from pulsegrid.operators import timeslots as ts
 from pulsegrid.operators import zones as Z
-from pulsegrid.plans import zoning
+from pulsegrid.plans import predictors, zoning
 from pulsegrid.sources import files, reports
 from pulsegrid.sources import testdata as td
 from pulsegrid.sources.registry import Registry
@@ -991,3 +992,177 @@ def fit_exponential(t):
 @rounded
 def fit_pareto(t):
     return dist.fit_pareto(_value_counts(t))
+
+
+# --- one model for all, scored apart ---------------------------------------
+
+@rounded
+def ols_zone_layout(t):
+    """One regression per zone on the seven features of a zone."""
+    train, test = splits.by_week(_global_rows(t), t.test_week)
+    return linear.fit_and_score(train, test, ["zone_id"], list(Fe.LAYOUT_ZONE))
+
+
+@rounded
+def ols_global_cells(t):
+    """One exact regression for all cells, scored per cell and pooled."""
+    train, test = splits.by_week(_cell_rows(t), t.test_week)
+    predicted = linear.predict_ols(test, linear.fit_ols(train, [], CELL_LAYOUT), [], CELL_LAYOUT)
+    return E.score_with_total(predicted, "cell_x", "cell_y")
+
+
+@rounded
+def tree_global_cells(t):
+    """One exact depth-3 tree for all cells, scored per cell and pooled."""
+    train, test = splits.by_week(_cell_rows(t), t.test_week)
+    nodes = trees.grow(train, [], CELL_LAYOUT, 3)
+    return E.score_with_total(trees.predict(test, nodes, [], CELL_LAYOUT, 3), "cell_x", "cell_y")
+
+
+@rounded
+def tree_global_zones(t):
+    """One exact depth-5 tree for all zones, scored per zone and pooled."""
+    train, test = splits.by_week(_global_rows(t), t.test_week)
+    layout = list(Fe.LAYOUT_GLOBAL)
+    nodes = trees.grow(train, [], layout, 5)
+    return E.score_with_total(trees.predict(test, nodes, [], layout, 5), "zone_id")
+
+
+# --- what must hold for random and iterative operators ----------------------
+
+@query
+def bernoulli_facts(t):
+    """Per zone: trips, and whether the sample holds each at most once, nothing else, and a fair share."""
+    drawn = bernoulli_sample(t).groupBy("trip_id").agg(F.count("*").alias("times"))
+    joined = t.trips.select("trip_id", "pickup_zone").join(drawn, "trip_id", "full")
+    return joined.groupBy(F.col("pickup_zone").alias("zone_id")).agg(*map(F.expr, (
+        "count(*) AS n", "coalesce(max(times), 1) = 1 AS once",
+        "abs(count(times) - 0.25D * count(*)) <= 6 * sqrt(0.25D * 0.75D * count(*)) AS fair",
+    )))
+
+
+@query
+def split_random_facts(t):
+    """Both random parts together: in how many parts each row is, and whether the share is fair."""
+    both = materialize(split_random(t), "parts")
+    fair = both.selectExpr(
+        "abs(count_if(is_train) - 0.7D * count(*)) <= 6 * sqrt(0.7D * 0.3D * count(*))"
+    ).scalar()
+    rows = both.groupBy("slot_id", "zone_id", "demand").agg(F.count("*").alias("parts"))
+    return rows.withColumn("fair", fair)
+
+
+@query
+def kmeans_facts(t):
+    """Per centroid: whether it is the mean of the points nearest to it, as at the end of k-means."""
+    trips = t.trips
+    model = Z.train_kmeans(trips, k=8, seed=3)
+    centroids = materialize(Z.centroid_table(trips, model), "centroids")
+    points = {"zone_id": ("pickup_lon", "pickup_lat")}
+    means = Z.nearest_zone(trips.select("pickup_lon", "pickup_lat"), centroids, points).groupBy("zone_id").agg(
+        F.expr("avg(pickup_lon) AS lon"), F.expr("avg(pickup_lat) AS lat"), F.expr("count(*) AS n")
+    )
+    means = materialize(means, "means")
+    off = "greatest(abs(lon - centroid_lon), abs(lat - centroid_lat))"
+    return centroids.join(means, "zone_id", "left").withColumn(
+        "n_points", means.selectExpr("sum(n)").scalar()
+    ).selectExpr("zone_id", f"coalesce({off} < 1e-3, false) AS is_mean", "n_points")
+
+
+@query
+def zoning_clusters_facts(t):
+    """Per observed slot of ``zoning_clusters``: its zones and their demand together."""
+    return zoning_clusters(t).groupBy("slot_id").agg(*map(F.expr, (
+        "count(*) AS n", "count(DISTINCT zone_id) AS zones", "sum(demand) AS demand",
+    )))
+
+
+def _fit_facts(model, train: DataFrame, rows: DataFrame, layout, tree: bool) -> DataFrame:
+    """``zone_id, n`` of the scored rows, and what holds for the training rows of a library model.
+
+    ``better``: its squared error is below that of the training mean. For a single
+    tree also ``leaf_means``: each distinct prediction is the mean label of its rows.
+    """
+    fitted = model.transform(Fe.assemble(train, layout)).groupBy("prediction").agg(*map(F.expr, (
+        "count(*) AS n", "CAST(sum(demand) AS DOUBLE) AS s", "sum(CAST(demand AS DOUBLE) * demand) AS s2",
+    )))
+    fitted = materialize(fitted, "fitted")
+    error = "sum(s2 - 2 * prediction * s + n * prediction * prediction)"
+    facts = {"better": f"{error} < sum(s2) - sum(s) * sum(s) / sum(n)"}
+    if tree:
+        facts["leaf_means"] = "max(abs(s / n - prediction)) < 1e-9"
+    scored = trees.score_model(model, rows, layout).select("zone_id", "n")
+    return scored.withColumns({k: fitted.selectExpr(v).scalar() for k, v in facts.items()})
+
+
+@query
+def tree_global_facts(t):
+    train, test = splits.by_week(_global_rows(t), t.test_week)
+    model = trees.global_tree(train, Fe.LAYOUT_GLOBAL, 3)
+    return _fit_facts(model, train, test, Fe.LAYOUT_GLOBAL, tree=True)
+
+
+@query
+def tree_default_facts(t):
+    """The default tree fitted on the random 70 percent; all rows are scored."""
+    rows = materialize(_zone_demand(t), "demand")
+    train = materialize(splits.at_random(rows, 0.7, seed=5)[0], "train")
+    model = trees.global_tree(train, Fe.LAYOUT_SLOT_ZONE)
+    return _fit_facts(model, train, rows, Fe.LAYOUT_SLOT_ZONE, tree=True)
+
+
+@query
+def forest_facts(t):
+    """The forest fitted on the random 70 percent; all rows are scored."""
+    rows = materialize(_zone_demand(t), "demand")
+    train = materialize(splits.at_random(rows, 0.7, seed=5)[0], "train")
+    model = trees.global_forest(train, Fe.LAYOUT_SLOT_ZONE, seed=5)
+    return _fit_facts(model, train, rows, Fe.LAYOUT_SLOT_ZONE, tree=False)
+
+
+def _network_facts(scores: DataFrame) -> DataFrame:
+    known = "rmse IS NOT NULL AND NOT isnan(rmse) AND rmse >= 0"
+    return scores.selectExpr("zone_id", "n_train", "n_test", f"{known} AS finite")
+
+
+@query
+def mlp_cell_facts(t):
+    """Rows on either side per cell, and that its network came to a finite error."""
+    return _network_facts(mlp_cell(t))
+
+
+@query
+def mlp_leading_facts(t):
+    """As ``mlp_cell_facts`` for the sparse rows of zones."""
+    return _network_facts(mlp_leading(t))
+
+
+@rounded
+def predictors_by_name(t):
+    """The reports of both named predictors on the same rows."""
+    train, test = splits.by_week(_model_rows(t), t.test_week)
+    n_train, n_test = t.split, t.slots.count - t.split
+    both = [
+        predictors.evaluate(name, train, test, CALENDAR_LAYOUT, n_train, n_test)
+        for name in sorted(predictors.PREDICTORS)
+    ]
+    return both[0].unionByName(both[1])
+
+
+@query
+def sql_over_views(t):
+    """SQL over a table that the registry made a view."""
+    registry = Registry(t.spark, scratch_path(t.spark, "tables"))
+    registry.save(t.trips, "trips")
+    view = registry.register("trips", f"trips_{uuid.uuid4().hex}")
+    return t.spark.sql(
+        f"SELECT date_format(pickup_ts, 'yyyy-MM-dd') AS day, count(*) AS n, max(dropoff_ts) AS last FROM {view} GROUP BY 1"
+    )
+
+
+@query
+def demand_kept_on_disk(t):
+    """Demand read twice from the executors' disks: each row with its share of the zone."""
+    demand = files.keep_on_disk(_zone_demand(t))
+    totals = demand.groupBy("zone_id").agg(F.sum("demand").alias("total"))
+    return demand.join(totals, "zone_id")

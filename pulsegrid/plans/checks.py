@@ -619,7 +619,7 @@ def tree_levels(keys: list[str], features: list[str], depth: int) -> list[str]:
 
 def tree_scored(keys: list[str], features: list[str], depth: int) -> str:
     """Test rows sent down the tree, one step per level."""
-    lead = " AND ".join(f"t.{k} = n.{k}" for k in keys)
+    lead = " AND ".join(f"t.{k} = n.{k}" for k in keys) or "true"
     value = "CASE n.feature " + " ".join(f"WHEN '{f}' THEN t.{f}" for f in features) + " END"
     source = f"(SELECT *, 1 AS node_id FROM dense WHERE week >= {TEST_WEEK})"
     for level in range(depth):
@@ -735,3 +735,59 @@ SELECT x, round(xm, 6) AS xm, round(alpha, 6) AS alpha,
 FROM (SELECT max(xm) AS xm, count(*) / sum(ln(demand) - ln(xm)) AS alpha, max(demand) AS largest
       FROM demand, (SELECT CAST(min(demand) AS DOUBLE) AS xm FROM demand)),
   unnest(generate_series(0, largest)) AS u(x)""")
+
+# --- one model for all, scored apart ----------------------------------------
+
+check("ols_zone_layout", *GLOBAL_ROWS, *solved(["zone_id"], ["hour", "day_of_week", "week"]),
+      sql=scores("fitted"))
+ALL_CELLS = (
+    *CELL_HOURLY[:-1], DENSE.replace("dense AS", "unplaced AS"),
+    f"""dense AS MATERIALIZED (
+  SELECT *, CAST(zone_id // 5 AS INT) AS cell_x, CAST(zone_id % 5 AS INT) AS cell_y,
+    {flags(corner('(zone_id // 5)', -74.15, -73.72, 5), corner('(zone_id % 5)', 40.58, 40.85, 5))}
+  FROM unplaced)""",
+)
+PER_CELL = "SELECT CAST(zone_id // 5 AS INT) AS cell_x, CAST(zone_id % 5 AS INT) AS cell_y, n, rmse, r2 FROM ({})"
+# no corner of these cells lies at the airport
+check("ols_global_cells", *ALL_CELLS,
+      *solved([], ["hour", "day_of_week", "week", "cell_x", "cell_y", "is_manhattan"]),
+      sql=PER_CELL.format(scores("fitted")))
+CELL_FEATURES = sorted([*CALENDAR_FEATURES, "cell_x", "cell_y", "is_airport", "is_manhattan"])
+check("tree_global_cells", *ALL_CELLS, *tree_levels([], CELL_FEATURES, 3), tree_scored([], CELL_FEATURES, 3),
+      sql=PER_CELL.format(scores("tree")))
+GLOBAL_FEATURES = sorted([*CALENDAR_FEATURES, "zone_id", "is_airport", "is_manhattan"])
+check("tree_global_zones", *GLOBAL_ROWS, *tree_levels([], GLOBAL_FEATURES, 5), tree_scored([], GLOBAL_FEATURES, 5),
+      sql=scores("tree"))
+
+# --- what must hold for random and iterative operators -----------------------
+
+check("bernoulli_facts", TRIPS, sql="""
+SELECT pickup_zone AS zone_id, count(*) AS n, true AS once, true AS fair FROM trips GROUP BY 1""")
+check("split_random_facts", TRIPS, zone_demand(), sql="SELECT *, 1 AS parts, true AS fair FROM demand")
+check("kmeans_facts", sql="""
+SELECT CAST(range AS INT) AS zone_id, true AS is_mean, (SELECT count(*) FROM events) AS n_points FROM range(8)""")
+check("zoning_clusters_facts", TRIPS, sql=f"""
+SELECT {slot('pickup_ts', 3600)} AS slot_id, 20 AS n, 20 AS zones, count(*) AS demand FROM trips GROUP BY 1""")
+TESTED = """
+SELECT zone_id, count(*) AS n, true AS better{more} FROM {rows} GROUP BY 1
+UNION ALL SELECT NULL, count(*), true{more} FROM {rows}"""
+check("tree_global_facts", *GLOBAL_ROWS, sql=TESTED.format(
+    rows=f"(SELECT zone_id FROM dense WHERE week >= {TEST_WEEK})", more=", true AS leaf_means"))
+check("tree_default_facts", TRIPS, zone_demand(), sql=TESTED.format(rows="demand", more=", true AS leaf_means"))
+check("forest_facts", TRIPS, zone_demand(), sql=TESTED.format(rows="demand", more=""))
+check("mlp_cell_facts", *CELL_HOURLY, sql=f"""
+SELECT zone_id, count(*) FILTER (WHERE week < {TEST_WEEK}) AS n_train,
+  count(*) FILTER (WHERE week >= {TEST_WEEK}) AS n_test, true AS finite
+FROM dense GROUP BY 1 HAVING n_train >= 5 AND n_test >= 3""")
+check("mlp_leading_facts", TRIPS, zone_demand(), sql="""
+SELECT zone_id, n - held AS n_train, held AS n_test, true AS finite
+FROM (SELECT zone_id, count(*) AS n, CAST(floor(count(*) * 0.1667) AS BIGINT) AS held FROM demand GROUP BY 1)
+WHERE n - held >= 5 AND held >= 3""")
+REPORTED = f"{SPLIT} AS n_train_slots, CAST((SELECT count(*) FROM calendar) - {SPLIT} AS INT) AS n_test_slots"
+check("predictors_by_name", *ZONE_MODEL, *TREE, TREE_SCORED, *solved(["zone_id"], BASIS), sql=f"""
+SELECT 'decision_tree' AS model, *, {REPORTED} FROM ({scores('tree')})
+UNION ALL SELECT 'linear_regression', *, {REPORTED} FROM ({scores('fitted')})""")
+check("sql_over_views", TRIPS, sql="""
+SELECT strftime(pickup_ts, '%Y-%m-%d') AS day, count(*) AS n, max(dropoff_ts) AS last FROM trips GROUP BY 1""")
+check("demand_kept_on_disk", TRIPS, zone_demand(), sql="""
+SELECT *, CAST(sum(demand) OVER (PARTITION BY zone_id) AS BIGINT) AS total FROM demand""")
