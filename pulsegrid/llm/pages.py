@@ -48,18 +48,19 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$",
     re.S,
 )
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Attributes one by one, values whole, so that what a value says is never taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _GAP = None
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> str:
-    """``skip``, ``main``, ``maybe`` (by its name only) or nothing special."""
+    """``skip``, ``layout`` (skipped by its name only), ``main``, ``maybe`` (by its name only) or nothing special."""
     if tag in SKIP or (tag == "header" and not inside):
         return "skip"
     words: set[str] = set()
     if attributes:
-        for name, *values in _NAMED.findall(attributes):
+        for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
@@ -76,25 +77,28 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
         if "comment" in words or "comments" in words:
             return "skip"
         if words & OTHER_WORDS and tag != "article" and not (inside and words & MAIN_WORDS):
-            return "skip"
+            return "layout"
     if tag in MAIN_TAGS:
         return "main"
     return "maybe" if words & MAIN_WORDS and tag not in ("html", "body") else ""
 
 
 def lines(page: str) -> list[tuple[str, int, int] | None]:
-    """Text blocks in page order as (text, how it is marked, characters of links); None for a gap."""
+    """Text blocks in page order as (text, how it is marked, characters of links); None for a gap.
+
+    Marks: 2 in an article, 1 under a name that says content, 0 elsewhere, -1 in an article below a wrapper of a layout name.
+    """
     out: list[tuple[str, int, int] | None] = []
     text: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements and their kinds
-    skipping = main = maybe = linked = anchors = 0
+    stack: list[tuple[str, str, int]] = []  # open elements, their kinds, and what was skipped when they began
+    skipping = main = maybe = linked = anchors = wrapped = hard = 0
 
     def close() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined:
-            out.append((joined, 2 if main else 1 if maybe else 0, linked))
+            out.append((joined, -1 if wrapped else 2 if main else 1 if maybe else 0, linked))
         linked = 0
 
     def say(piece: str) -> None:
@@ -121,14 +125,21 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
             if not skipping:
                 close()
         if end:
-            if not any(t == tag for t, _ in stack):
+            if not any(t == tag for t, *_ in stack):
                 continue
             while stack:
-                t, kind = stack.pop()
-                if kind == "skip":
+                t, kind, before = stack.pop()
+                if kind in ("skip", "layout"):
                     skipping -= 1
+                    hard -= kind == "skip"
                     if not skipping:
                         out.extend([_GAP] * WINDOW)
+                elif kind == "wrapped":
+                    if not skipping:
+                        close()
+                    skipping += before
+                    wrapped -= 1
+                    main -= 1
                 main -= kind == "main"
                 maybe -= kind == "maybe"
                 anchors -= t == "a"
@@ -138,15 +149,22 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
             raw = "" if (m[3] or m[6] or "").endswith("/") else tag
         elif tag not in VOID:
             kind = _kind(tag, m[3] or m[6] or "", bool(main))
-            if kind == "skip":
+            before = 0
+            if kind in ("skip", "layout"):
                 if not skipping:
                     close()
                     out.extend([_GAP] * WINDOW)
                 skipping += 1
+                hard += kind == "skip"
+            elif kind == "main" and skipping and not hard:
+                # a layout name around an article or main element doesn't hide it
+                kind, before, skipping = "wrapped", skipping, 0
+                wrapped += 1
+                main += 1
             main += kind == "main"
             maybe += kind == "maybe"
             anchors += tag == "a"
-            stack.append((tag, kind))
+            stack.append((tag, kind, before))
     if not raw:
         say(page[at:])
     close()
@@ -154,18 +172,25 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
 
 
 def main_text(page: str | None) -> str:
-    """The blocks between surges and dives, joined by one space."""
+    """The blocks between surges and dives, joined by one space.
+
+    Articles below a wrapper of a layout name count where no other is marked, unless the rest of the page has more to say.
+    """
     blocks = lines(page or "")
-    marks = [b[1] for b in blocks if b]
-    if not marks:
-        return ""
+    marks = {b[1] for b in blocks if b}
+    found = _stretches(blocks, max(marks - {-1}, default=0))
+    if -1 in marks and 2 not in marks:
+        found = max(_stretches(blocks, -1), found, key=len)
+    return found
+
+
+def _stretches(blocks: list[tuple[str, int, int] | None], level: int) -> str:
     # inside a marked article all stretches count; else those under a name that says content
-    level = max(marks)
     weights = [
-        0 if b is None or b[1] < level or (level < 2 and b[2] * 2 > len(b[0])) else len(b[0]) for b in blocks
+        0 if b is None or b[1] != level or (level in (0, 1) and b[2] * 2 > len(b[0])) else len(b[0]) for b in blocks
     ]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    peak = max(sums)
+    peak = max(sums, default=0)
     need = 1 if level or not peak else min(SURGE, peak / 2)
     kept, i = [], 0
     while i < len(sums):

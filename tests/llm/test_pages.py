@@ -76,3 +76,29 @@ def test_given_pages(spark, tiny):
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         want = " ".join(html.unescape(re.sub(r"</?(p|h1|br)>", " ", inner).replace("<b>", "")).split())
         assert got[r.page_id] == want
+
+
+@pytest.mark.parametrize("attributes", [
+    'href="/trips/hidden-valley"', "title='The hidden cost'", "href=/class=hidden/x", 'data-hidden="1"', 'title="role=main class=ad id=menu"', 'data-class="sidebar"',
+    'title="a hidden', "alt='style=display:none'",
+])
+def test_words_in_values(attributes):
+    """What a value says, or the end of a longer name, hides nothing."""
+    assert main_text(f"<article><p>See <a {attributes}>this valley</a> now.</p></article>") == "See this valley now."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "class=x hidden", 'aria-hidden = "true"', 'title="a" style="display:none"', "data-x='1'class='ad'"])
+def test_hidden(attributes):
+    assert main_text(f"<div><p>{'Some prose is here. ' * 9}</p><p {attributes}>gone</p></div>") == ("Some prose is here. " * 9).strip()
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div role=main>{}</div>", "<div class=menu><article>{}</article></div>"])
+def test_layout_word_around_article(inner):
+    body = "<p>One.</p><div class=ad><p>Buy now.</p></div><p>Two.</p>"
+    page = f"<nav>Home</nav><div class='page sidebar-left'><p>Beside.</p>{inner.format(body)}<p>After.</p></div><footer>End</footer>"
+    assert main_text(page) == "One. Two."
+    # beside an article of its own, and where hidden, such a one is no text of the page
+    assert main_text(page + "<article>Own.</article>") == "Own."
+    assert main_text(f"<div hidden>{page}</div>") == main_text(f"<div class=comments>{page}</div>") == ""
+    prose = "This is prose that is longer than the teaser beside it. " * 4
+    assert main_text(f"<p>{prose}</p>{page}") == prose.strip()
