@@ -4,7 +4,7 @@ For each language a suffix automaton of labelled text gives longest-match length
 a text is parsed from left to right into the longest phrases that occur in the
 language's text, and the language that needs the fewest phrases per character wins.
 
-Training text is the one bounded sample here: whole documents in hash order until
+Training text is the one bounded sample here: documents, or pieces of long ones, in hash order until
 ``SAMPLE_CHARS`` normalised characters per language, drawn evenly at any corpus
 size. Every worker builds the automata from that sample once. Parsing is done for
 many texts at once: a text is a row of stretches of ``STRETCH`` characters, each
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 SAMPLE_CHARS = 24_000
 #: Languages that can be learned; the labels with most documents, if there are more.
 MOST_LANGS = 500
+#: Documents, long or short, that are drawn of each language on average at least; all, where it has fewer.
+LEAST_DOCS = 30
 STRETCH = 512
 #: Characters that are moved together.
 BATCH_CHARS = 1 << 19
@@ -173,32 +175,50 @@ def is_held_out(column: str = "doc_id") -> F.Column:
 
 
 def samples(docs: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Training text per language: whole documents in hash order until ``chars`` characters of each.
+    """Training text per language: documents in hash order until ``chars`` characters of each.
 
     Labels are counted first, so that a few times the bound is read to the driver, whatever the
-    corpus holds. Short texts come first, so that a sample has several authors.
+    corpus holds. Short texts come first and whole, so that a sample has several authors. Of long ones, where the
+    short ones are too few, some ``LEAST_DOCS`` give a piece each, larger ones if there are only a few.
     """
+    part = chars // 4
+    # null ids are drawn by their texts
+    drawn = F.xxhash64("doc_id", F.lit("sample"), F.when(F.col("doc_id").isNull(), F.col("text")))
     labelled = docs.where(~is_held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
-        "lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)).alias("u"),
-        (F.length("text") > chars // 4).alias("long"), F.length("text").alias("n"),
+        "lang", "text", (F.pmod(drawn, F.lit(1 << 30)) / (1 << 30)).alias("u"),
+        (F.length("text") > part).alias("long"), F.length("text").alias("n"),
     )
     totals = labelled.groupBy("lang").agg(
-        F.sum("n").alias("all"), F.coalesce(F.sum(F.when(~F.col("long"), F.col("n"))), F.lit(0)).alias("short"),
-        F.count("*").alias("docs"),
+        F.coalesce(F.sum(F.when(~F.col("long"), F.col("n"))), F.lit(0)).alias("short"),
+        F.count("*").alias("docs"), F.count(F.when(F.col("long"), 1)).alias("longs"),
     )
-    chance = F.lit(0.0)
-    for lang, whole, short, _ in totals.orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).collect():
+    chance, room, share = F.lit(0.0), F.lit(part), {}
+    for lang, short, n, longs in totals.orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).collect():
         # long texts only where the short ones are too few
-        odds = F.when(F.col("long"), 4.0 * chars / whole if short < chars else 0.0).otherwise(4.0 * chars / max(short, 1))
+        odds = F.when(F.col("long"), LEAST_DOCS / max(longs, 1) if short < chars else 0.0).otherwise(
+            max(4.0 * chars / max(short, 1), LEAST_DOCS / max(n - longs, 1))
+        )
         chance = F.when(F.col("lang") == lang, odds).otherwise(chance)
+        share[lang] = max(part, -(-chars // max(longs, 1)))
+        if longs < 16:
+            room = F.when(F.col("lang") == lang, max(part, -(-4 * chars // max(longs, 1)))).otherwise(room)
     held: dict[str, list[str]] = {}
+    spare: dict[str, list[str]] = {}  # what long texts have beyond their share
     size: dict[str, int] = {}
-    for lang, text in labelled.where(F.col("u") < chance).orderBy("long", "u", "n").select("lang", "text").toLocalIterator():
+    # the piece of a long text begins anywhere that leaves it whole
+    begin = F.when(F.col("long"), F.floor(F.pmod(F.xxhash64("text"), F.greatest(F.col("n") - room, F.lit(0)) + 1))).otherwise(F.lit(0))
+    piece = F.substring("text", (begin + 1).cast("int"), F.when(F.col("long"), room).otherwise(F.col("n")).cast("int"))
+    rows = labelled.where(F.col("u") < chance).select("lang", "long", "u", "n", F.xxhash64("text").alias("h"), piece.alias("text"))
+    for lang, long, text in rows.orderBy("long", "u", "n", "h").select("lang", "long", "text").toLocalIterator():
         if size.get(lang, 0) < chars:
             piece = normalised(text).astype("<u4").tobytes().decode("utf-32-le")
+            if long:
+                spare.setdefault(lang, []).append(piece[share[lang] :])
+                piece = piece[: share[lang]]
             held.setdefault(lang, []).append(piece)
             size[lang] = size.get(lang, 0) + len(piece)
-    return {lang: " ".join(pieces)[:chars] for lang, pieces in held.items() if any(pieces)}
+    full = {lang: " ".join([*pieces, *filter(None, spare.get(lang, []))])[:chars] for lang, pieces in held.items()}
+    return {lang: text for lang, text in full.items() if text.strip()}
 
 
 def identify(docs: DataFrame, trained: dict[str, str] | None = None) -> DataFrame:
