@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.copies import row_key
 from pulsegrid.workspace import materialize
 
 SHINGLE = 5
@@ -100,6 +101,11 @@ def verified(docs: DataFrame, listed: DataFrame, found: DataFrame, shingle: int,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item; columns and repeated rows unchanged."""
-    bad = contained(docs, benchmark, **how).select(F.col("doc_id").alias("_bad_doc")).distinct()
-    return docs.join(materialize(bad, "leaks"), F.col("doc_id").eqNullSafe(F.col("_bad_doc")), "left_anti")
+    """The rows of ``docs`` that contain no benchmark item; columns and repeated rows unchanged.
+
+    Rows are told apart by id and content, so a clean text stays whatever other rows of its id, or without id, hold.
+    """
+    rows = docs.selectExpr(f"{row_key()} AS doc_id", "text")
+    bad = contained(rows, benchmark, **how).select(F.col("doc_id").alias("_row")).distinct()
+    kept = docs.withColumn("_row", F.expr(row_key())).join(materialize(bad, "leaks"), "_row", "left_anti")
+    return kept.select(*docs.columns)
