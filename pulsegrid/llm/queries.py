@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, language, mixing, pages, simhash, suffixes, tokens, topk, unigram, windows
+from pulsegrid.llm import (
+    audit, decontaminate, hosts, language, mixing, pages, periodic, simhash, suffixes, tokens, topk, unigram, windows,
+)
 from pulsegrid.workspace import scratch_path
 
 
@@ -62,10 +64,50 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Rules of the URL filter.
+URL_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, a tenth of the documents (by their id's checksum) with a periodic end."""
+    words = r"filter(split(text, '[\x20\x09-\x0D]+'), w -> w <> '')"
+    named = docs.selectExpr("doc_id", "text", "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) AS h")
+    cut = named.selectExpr("doc_id", "text", "h div 10 AS g", f"IF(h % 10 = 0, {words}, NULL) AS w")
+    sized = cut.selectExpr("*", "CAST(g % nullif(size(w), 0) AS INT) AS a").selectExpr(
+        "*", "1 + CAST(floor((size(w) - a) / (3 + g % 8)) AS INT) AS p"
+    )
+    planted = "array_join(transform(w, (x, i) -> IF(i < a, x, w[a + (i - a) % p])), ' ')"
+    return sized.selectExpr("doc_id", f"IF(size(w) > 0, {planted}, text) AS text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(with_periods(table(spark, sf_dir, "documents")))
+    # greatest length / period compared by cross products, exactly; runs come by start, then period
+    better = "r.length * b.period > b.length * r.period"
+    best = f"aggregate(slice(runs, 2, size(runs)), runs[0], (b, r) -> IF({better}, r, b))"
+    lines = r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return found.selectExpr("*", f"IF(size(runs) > 0, {best}, NULL) AS best").selectExpr(
+        "doc_id", "CAST(size(runs) AS LONG) AS n_runs", "best.start", "best.length", "best.period",
+        "1000 * best.length div best.period AS exponent_milli",
+        f"sha2({lines}, 256) AS runs_sha256", "sha2(kept, 256) AS collapsed_sha256",
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_mix_sources, op3_page_text, op4_language, op5_top_k, op6_suffix_dedup, op7_token_files,
-        op8_window_dedup, op9_simhash, op10_decontaminate,
+        op8_window_dedup, op9_simhash, op10_decontaminate, op11_url_filter, op12_periodic_runs, op13_filter_audit,
     )
 }
