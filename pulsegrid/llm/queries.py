@@ -77,7 +77,7 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_periods(docs: DataFrame) -> DataFrame:
     """``doc_id, text``, a tenth of the documents (by their id's checksum) with a periodic end."""
-    words = r"filter(split(text, '[\x20\x09-\x0D]+'), w -> w <> '')"
+    words = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
     named = docs.selectExpr("doc_id", "text", "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) AS h")
     cut = named.selectExpr("doc_id", "text", "h div 10 AS g", f"IF(h % 10 = 0, {words}, NULL) AS w")
     sized = cut.selectExpr("*", "CAST(g % nullif(size(w), 0) AS INT) AS a").selectExpr(
