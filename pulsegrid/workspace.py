@@ -3,6 +3,10 @@
 Multi-pass operators (tree levels, zero fill over observed keys) write the
 small table they re-read instead of recomputing it from the raw facts. The
 table survives the loss of any executor and is read back column by column.
+
+A table lives until its scope ends. Operators open a scope of their own for
+what they alone read and hand on the rest; a caller opens one around a query or
+stage and its action. Without any scope a table lives as long as the application.
 """
 
 from __future__ import annotations
@@ -10,12 +14,18 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import urllib.parse
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _apps: set[str] = set()
+_innermost: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,13 +51,67 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/pulsegrid/{spark.sparkContext.applicationId}"
+
+
+class Scope:
+    """Tables and kept frames that go together."""
+
+    def __init__(self, outer: Scope | None):
+        self.outer = outer
+        self.paths: list[str] = []
+        self.frames: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Hand a table of this scope, or a frame kept on disk, on to the scope around it."""
+        path = getattr(df, "_table_path", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            if self.outer:
+                self.outer.paths.append(path)
+        elif any(f is df for f in self.frames):
+            self.frames = [f for f in self.frames if f is not df]
+            if self.outer:
+                self.outer.frames.append(df)
+        else:
+            raise ValueError("not a table of this scope")
+        return df
+
+    def end(self, spark: SparkSession) -> None:
+        for frame in self.frames:
+            frame.unpersist()
+        for path in self.paths:
+            delete(spark, path)
+        self.paths, self.frames = [], []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Delete the tables made inside when the block ends, also by an error.
+
+    What reads them must have run by then; ``keep`` excepts a table.
+    """
+    inner = Scope(_innermost.get())
+    token = _innermost.set(inner)
+    try:
+        yield inner
+    finally:
+        _innermost.reset(token)
+        inner.end(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below this application's part of the shared folder."""
+    """A fresh path below this application's part of the shared folder, of the innermost scope."""
     app = spark.sparkContext.applicationId
     if app not in _apps:
         _apps.add(app)
-        atexit.register(_clear_at_exit, spark)
-    return f"{shared_dir(spark)}/pulsegrid/{app}/{name}-{uuid.uuid4().hex}"
+        atexit.register(_clear_at_exit, spark, app_dir(spark))
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if inner := _innermost.get():
+        inner.paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,18 +119,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
 
+def kept(df: DataFrame) -> DataFrame:
+    """Register a persisted frame with the innermost scope, which releases it."""
+    if inner := _innermost.get():
+        inner.frames.append(df)
+    return df
 
-def _clear_at_exit(spark: SparkSession) -> None:
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clear_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        clear(spark)
-    except Exception:  # the session was stopped before the interpreter
-        pass
+        delete(spark, path)
+    except Exception:  # the session ended before the interpreter: a local folder goes all the same
+        parts = urllib.parse.urlsplit(path)
+        if parts.scheme in ("", "file"):
+            shutil.rmtree(parts.path, ignore_errors=True)
+        else:
+            warnings.warn(f"intermediate tables are left in {path}", stacklevel=1)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table this application wrote."""
-    app = spark.sparkContext.applicationId
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pulsegrid/{app}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, app_dir(spark))

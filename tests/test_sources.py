@@ -9,7 +9,8 @@ from pulsegrid.functions.grid import CITY_GRID
 from pulsegrid.sources import files, jdbc
 from pulsegrid.sources import testdata as td
 from pulsegrid.sources.registry import TRIPS, Registry, TableSpec
-from pulsegrid.workspace import clear, materialize, scratch_path, shared_dir
+from pulsegrid.plans.catalog import QUERIES
+from pulsegrid.workspace import app_dir, clear, materialize, scope, scratch_path, shared_dir
 
 
 def test_registry_round_trip(spark, tiny, tmp_path):
@@ -29,6 +30,34 @@ def test_registry_round_trip(spark, tiny, tmp_path):
         files.read_table(spark, str(tmp_path), TRIPS, "avro")
 
 
+@pytest.mark.parametrize("format", ["parquet", "csv"])
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path, format):
+    path = str(tmp_path / "numbers")
+    rows = spark.range(100).selectExpr("id", "id * 2 AS twice")
+    read = lambda: sorted(tuple(r) for r in files.read_table(spark, path, rows.schema, format).collect())
+    files.write_table(rows, path, format)
+    before = read()
+    broken = spark.range(0, 100, 1, 4).selectExpr("id", "IF(id = 99, CAST(raise_error('half-way') AS LONG), id) AS twice")
+    with pytest.raises(Exception, match="half-way"):
+        files.write_table(broken, path, format)
+    assert read() == before == [(i, 2 * i) for i in range(100)]
+    assert len(glob.glob(f"{path}/{files.VERSION}*")) == 1
+    # a table written from its own rows, and a reader that began before
+    reader = files.read_table(spark, path, rows.schema, format)
+    files.write_table(reader.selectExpr("id", "twice + 1 AS twice"), path, format)
+    assert read() == [(i, 2 * i + 1) for i in range(100)]
+    assert reader.count() == 100
+    files.write_table(rows.limit(3), path, format)
+    assert len(read()) == 3 and len(glob.glob(f"{path}/{files.VERSION}*")) == 2
+
+
+def test_other_folders_are_read_as_they_are(spark, tmp_path):
+    rows = spark.range(10).toDF("id")
+    rows.write.parquet(str(tmp_path / "plain"))
+    for path in ("plain", "pl*n"):
+        assert files.read_table(spark, str(tmp_path / path), rows.schema).count() == 10
+
+
 def test_grid_meta_round_trip(spark, tmp_path):
     path = str(tmp_path / "grid")
     files.write_table(files.grid_meta(spark, CITY_GRID), path)
@@ -76,6 +105,41 @@ def test_disk_table(spark):
     df.unpersist()
 
 
+def _tables(spark):
+    folder = app_dir(spark).removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.exists(folder) else set()
+
+
+@pytest.mark.parametrize("name", ["zone_train_test", "tree_zone_scored", "nearest_centroid", "src_csv_or_parquet", "demand_kept_on_disk", "lookup_demand"])
+def test_nothing_is_left_of_a_query_in_a_scope(spark, tiny, name):
+    before, frames = _tables(spark), spark.sparkContext._jsc.getPersistentRDDs().size()
+    with scope(spark):
+        assert QUERIES[name](spark, tiny).count() > 0
+    assert _tables(spark) == before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == frames
+
+
+def test_scopes_hand_tables_on(spark):
+    with scope(spark):
+        with scope(spark) as inner:
+            gone = materialize(spark.range(5), "gone")
+            stays = inner.keep(materialize(gone.selectExpr("id + 1 AS id"), "stays"))
+            disk = inner.keep(files.keep_on_disk(stays))
+            with pytest.raises(ValueError):
+                inner.keep(gone.select("id"))
+        assert stays.count() == disk.count() == 5 and disk.storageLevel.useDisk
+        with pytest.raises(Exception):
+            gone.count()
+    assert not disk.storageLevel.useDisk
+    with pytest.raises(Exception):
+        stays.count()
+    before = _tables(spark)
+    with pytest.raises(ZeroDivisionError), scope(spark):
+        materialize(spark.range(5), "gone")
+        1 / 0
+    assert _tables(spark) == before
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Unset:
         def get(self, key, default=None):
