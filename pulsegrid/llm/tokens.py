@@ -9,13 +9,13 @@ executor leaves no half file.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,21 +29,37 @@ RANGE_BYTES = 16 << 20
 #: A small corpus is still cut into this many ranges, of a megabyte or more.
 LEAST_RANGES, LEAST_BYTES = 64, 1 << 20
 SHARD_TOKENS = 1 << 22
-#: Words and pieces of words whose ids a worker remembers.
-REMEMBERED = 450_000
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 16 << 20
+#: Pieces of words, of each of two generations, whose ids a worker remembers.
+REMEMBERED = 400_000
 
 #: Words of these characters alone are cut by a plain pattern; others go through the whole tokenizer.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+_PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+)"
+#: Marks a unit that is a whole word; no piece begins with it.
+_WHOLE = "\0"
 _encoders: dict[str, Encoder] = {}
 
 
+def _gather(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of the lists ``which``, one list after the other, and where each list ends.
+
+    List i has the entries ``starts[i]`` to ``starts[i] + sizes[i]``.
+    """
+    each = sizes[which]
+    ends = np.cumsum(each)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, int(starts[-1]) if len(starts) else 0) < 1 << 31 else np.int64
+    return np.arange(n, dtype=kind) + np.repeat((starts[which] - (ends - each)).astype(kind), each), ends
+
+
 class Encoder:
-    """Ids of whole texts with a file of the ``tokenizers`` library, word by word from memory.
+    """Ids of whole texts with a file of the ``tokenizers`` library, by units looked up once per group of texts.
 
     Its pre-tokenizer never joins what white space separates, so the ids of a
-    text are those of its words. A word of plain characters is normalised and cut
-    here and looked up in the library's model; any other word is encoded whole.
+    text are those of its words. Distinct words of plain characters are normalised and cut into pieces
+    here, and distinct pieces looked up in the library's model; any other word is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,31 +73,71 @@ class Encoder:
         rest = [b for b in range(256) if b not in seen]
         self.letters = {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.words: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        inner = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return self._keep(piece, np.array([t.id for t in self.model.tokenize(inner)], self.kind).tobytes())
-
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word) or ("<" in word and any(s in word for s in self.special)):
-            return self._keep(word, np.array(self.whole.encode(word, add_special_tokens=False).ids, self.kind).tobytes())
-        pieces = _PIECE.findall(word.lower())
-        if pieces == [word]:
-            return self._piece(word)
-        # a piece by itself is a word of the same ids
-        get, make = self.words.get, self._piece
-        return self._keep(word, b"".join([ids if (ids := get(p)) is not None else make(p) for p in pieces]))
+        # units met since the last change of generations, and those before it
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        """The ids of a piece, or of a marked word."""
+        held = self.older.get(unit)
+        if held is None:
+            if unit.startswith(_WHOLE):
+                ids = self.whole.encode(unit[1:], add_special_tokens=False).ids
+            elif unit:
+                inner = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(inner)]
+            else:
+                ids = []
+            held = np.array(ids, self.kind).tobytes()
+        if len(self.units) >= REMEMBERED:
+            self.units, self.older = {}, self.units
+        self.units[unit] = held
+        return held
+
+    def _cut(self, words: pa.Array) -> pa.Array:
+        """The units of each distinct word."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        risky = pc.indices_nonzero(pc.and_(plain, pc.match_substring(words, "<"))).to_pylist()
+        if bad := [i for i in risky if any(s in words[i].as_py() for s in self.special)]:
+            held = plain.to_numpy(zero_copy_only=False).copy()
+            held[bad] = False
+            plain = pa.array(held)
+        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, words, "")), _PIECE, "\\1 "), " ")
+        marked = pc.binary_join_element_wise(_WHOLE, words, "")
+        whole = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1), pa.int32()), marked)
+        return pc.if_else(plain, pieces, whole)
 
     def encode(self, text: str) -> bytes:
-        get, make = self.words.get, self._word
-        return b"".join([ids if (ids := get(w)) is not None else make(w) for w in re.split("[ \n]", text)])
+        """The ids of one text, however long, some megabytes at a time."""
+        out, at = [], 0
+        while at < len(text):
+            stop = text.find(" ", at + GROUP_BYTES)
+            stop = len(text) if stop < 0 else stop
+            out += self.encode_all(pa.array([text[at:stop]]), b"")
+            at = stop + 1
+        return b"".join(out)
+
+    def encode_all(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """The ids of each text, followed by ``end``."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        cut = self._cut(words.dictionary)
+        units = cut.flatten().dictionary_encode()
+        get, make = self.units.get, self._unit
+        ids = [ids if (ids := get(u)) is not None else make(u) for u in units.dictionary.to_pylist()]
+
+        def starts(sizes: np.ndarray) -> np.ndarray:
+            return np.cumsum(sizes) - sizes
+
+        n_units = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        place, word_ends = _gather(starts(n_units), n_units, words.indices.to_numpy())
+        width = np.dtype(self.kind).itemsize
+        n_ids = np.array([len(x) for x in ids], np.int64) // width
+        place, unit_ends = _gather(starts(n_ids), n_ids, units.indices.to_numpy()[place])
+        flat = np.frombuffer(b"".join(ids), self.kind)[place].tobytes()
+        limits = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)))
+        cuts = np.concatenate(([0], unit_ends))[np.concatenate(([0], word_ends))[limits]] * width
+        return [flat[a:b] + end for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -98,11 +154,19 @@ def _encoded(docs: DataFrame, path: str, cuts: list[int]) -> DataFrame:
         enc = encoder(path)
         end = np.array([END], enc.kind).tobytes()
         for batch in batches:
-            ids = [enc.encode(t.as_py() or "") + end for t in batch["text"]]
-            doc = batch["doc_id"]
-            part = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary())], schema=schema)
-            del batch, ids
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                before = int(sizes[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(sizes, before + GROUP_BYTES, "right")))
+                rows = batch.slice(low, high - low)
+                one = high == low + 1 and rows["text"][0].as_py()
+                ids = [enc.encode(one) + end] if one else enc.encode_all(rows["text"], end)
+                doc = rows["doc_id"]
+                part = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary())], schema=schema)
+                low = high
+            del batch, rows, ids
         pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

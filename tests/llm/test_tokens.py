@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -46,11 +47,28 @@ def test_encoder_is_the_library():
         assert np.frombuffer(ours.encode(t), ours.kind).tolist() == want, t
 
 
+def test_groups_generations_and_long_texts(monkeypatch):
+    """Many distinct words with a memory of few, texts together, and a text encoded in parts."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    whole, ours = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    rng = random.Random(5)
+    chars = "abcDEé É'’.,!?-<|>09½ \n\t ßÿ日"
+    texts = [None, "", " ", "\n \n", "<|endoftext|>", *["".join(rng.choice(chars) for _ in range(rng.randint(0, 200))) for _ in range(900)]]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for step in (7, 300, 1000):
+        got = [x for i in range(0, len(texts), step) for x in ours.encode_all(pa.array(texts[i : i + step], pa.string()), b"\1\0")]
+        assert [np.frombuffer(x, ours.kind).tolist() for x in got] == [w + [1] for w in want]
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 40)
+    for t, w in zip(texts[1:200], want[1:200]):
+        assert np.frombuffer(ours.encode(t), ours.kind).tolist() == w
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_round_trip(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(tokens, "RANGE_BYTES", 2000)
         monkeypatch.setattr(tokens, "SHARD_TOKENS", 50)
+        monkeypatch.setattr(tokens, "GROUP_BYTES", 100)
     rows = [(i * 7 % 31, t) for i, t in enumerate(ODD * 3)] + [(None, "x"), (None, None), (5, "b"), (5, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS ids").repartition(5)
     path = scratch_path(spark, "tokens")
