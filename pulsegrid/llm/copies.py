@@ -1,13 +1,16 @@
 """Near copies by word-shingle Jaccard similarity: MinHash candidates, exact verification, components.
 
-Two texts link if their sets of five-word shingles have a Jaccard similarity of ``LEAST`` or
-more. Texts of equal sets are one class. A class has ``BANDS`` keys of ``ROWS`` MinHash values
-each; a pair at the threshold shares none of them with probability (1 - 0.8^5)^50, 2.4e-9.
-Every candidate pair is verified on the whole shingle sets, so no text goes by an estimate.
-
-A bucket (the classes of one key) may hold much of a corpus. First each class is verified against
-its bucket's least class; what that leaves unconnected within a bucket is compared pair by
-pair, and classes already connected are not compared again.
+Two texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Texts of equal sets are one class. A class has ``BANDS`` keys, each of ``ROWS`` of its ``VALUES`` MinHash
+values. The bands are steep: a pair at 0.8 shares a key with probability 0.98 (0.999 at 0.85), one at 0.6 with
+0.2, one at 0.5 with 0.04, so unlike texts that share a passage seldom meet. Every candidate pair is verified
+on the whole shingle sets, so no text goes by an estimate.
+
+A bucket (the classes of one key) may hold much of a corpus. Its classes meet representatives, in rounds:
+first its least class, then the next two, four, eight. Members already connected to a
+representative do not meet it, and a bucket is done when all its classes are connected or have been
+representatives. So every candidate pair is verified or connected, and a group of near copies
+costs a few pairs a member.
 """
 
 from __future__ import annotations
@@ -21,27 +24,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.graph import components
-from pulsegrid.workspace import materialize
+from pulsegrid.workspace import materialize, scope
 
 SHINGLE = 5
 SEED = 42
-BANDS = 50
-ROWS = 5
-#: More rows than this are looked up by a shuffle of the texts instead of being sent to every task.
+VALUES = 256
+BANDS = 40
+ROWS = 10
+#: More rows than this (of 16 bytes) are looked up by a shuffle instead of being sent to every task.
 FEW_ROWS = 100_000
 #: Shingles that are hashed by all functions at once.
 PIECE = 4096
 #: SQL for Jaccard >= 0.8 in whole numbers: s shared of sets of x and y make 5 s >= 4 (x + y - s).
 ENOUGH = "9L * size(array_intersect(x.hashes, y.hashes)) >= 4L * (size(x.hashes) + size(y.hashes))"
+#: Columns ``n`` and ``m``: sizes that allow it.
+NEAR = "5L * least(n, m) >= 4L * greatest(n, m)"
 
 _draw = np.random.default_rng(SEED)
-_ODD = _draw.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
-_FLIP = _draw.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+_ODD = _draw.integers(0, 1 << 32, (VALUES, 1), np.uint32) | np.uint32(1)
+_FLIP = _draw.integers(0, 1 << 32, (VALUES, 1), np.uint32)
+_CHOSEN = np.stack([_draw.choice(VALUES, ROWS, replace=False) for _ in range(BANDS)])
 
 
-def row_key() -> str:
-    """SQL that names a row by its id and its content; null is an id like any other."""
-    return "concat(coalesce(CAST(doc_id AS STRING), 'null'), ' ', coalesce(sha2(text, 256), 'null'))"
+def row_key(text: str = "text") -> str:
+    """SQL that names a row by its id and its content in 16 bytes; null is an id, and a text, like any other."""
+    whole = f"concat(coalesce(CAST(doc_id AS STRING), 'null'), IF({text} IS NULL, ' -', ' +'), coalesce({text}, ''))"
+    return f"substring(unhex(sha2({whole}, 256)), 1, 16)"
+
+
+def hidden(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def few(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table is small enough to be sent to every task."""
+    most = FEW_ROWS if most is None else most
+    return table.limit(most + 1).count() <= most
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -69,10 +91,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, np.int64)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    least = np.full(VALUES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(short), PIECE):
         np.minimum(least, ((short[i : i + PIECE] ^ _FLIP) * _ODD).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
+    rows = least[_CHOSEN]
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
@@ -95,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"{row_key()} AS row", "CAST(text AS BINARY) AS text")
-    return rows.mapInArrow(signed, "doc_id long, row string, set_id long, n long, bands array<long>")
+    return rows.mapInArrow(signed, "doc_id long, row binary, set_id long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -111,9 +133,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             del batch
         pa.default_memory_pool().release_unused()
 
-    few = wanted.limit(FEW_ROWS + 1).count() <= FEW_ROWS
     rows = docs.selectExpr(f"{row_key()} AS row", "CAST(text AS BINARY) AS text")
-    rows = rows.join(F.broadcast(wanted) if few else wanted, "row", "left_semi").select("text")
+    rows = rows.join(F.broadcast(wanted) if few(wanted) else wanted, "row", "left_semi").select("text")
     return rows.mapInArrow(hashed, "set_id long, hashes array<long>").dropDuplicates(["set_id"])
 
 
@@ -123,54 +144,91 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(ENOUGH).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b``: similar classes, enough of them to connect all that are; ``classes``: ``set_id, n, bands, rep``."""
-    keyed = classes.selectExpr("set_id", "n", "explode(bands) AS key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("set_id").alias("least")).where("held > 1")
-    held = materialize(keyed.join(shared.drop("held"), "key"), "buckets")
-    sizes = held.select(F.col("set_id").alias("least"), F.col("n").alias("m")).distinct()
-    first = held.where("set_id <> least").select("set_id", "n", "least").distinct().join(sizes, "least")
-    near = "5 * least(n, m) >= 4 * greatest(n, m)"
-    first = materialize(first.where(near).selectExpr("set_id AS a", "least AS b"), "pairs")
-    wanted = classes.join(held.select("set_id").distinct(), "set_id", "left_semi").select("rep.row")
+def buckets(rows: DataFrame) -> DataFrame:
+    """The written table ``key, set_id, n, least`` of the keys that several classes share; ``rows``: signatures."""
+    with scope(rows.sparkSession) as tables:
+        classes = rows.groupBy("set_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+        keyed = materialize(classes.selectExpr("set_id", "n", "explode(bands) AS key"), "keyed")
+        shared = keyed.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"))
+        shared = materialize(shared.where("least < most").select("key", "least"), "shared")
+        return tables.keep(materialize(keyed.join(shared, "key"), "buckets"))
+
+
+def groups(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The written table ``set_id, root`` of all classes that are similar to another one: the least class connected to it.
+
+    ``rows`` are the signatures of ``docs``; ``classes`` has ``set_id, row``, a row of each class.
+    """
+    held = buckets(rows)
+    wanted = classes.join(held.select("set_id").distinct(), "set_id", "left_semi").select("row")
     sets = materialize(shingle_sets(docs, materialize(wanted, "wanted")), "sets")
-    one = materialize(verified(first, sets), "links")
-    # what is still apart within a bucket: members meet the members of the bucket's other components
-    roots = components(one).withColumnRenamed("node", "set_id")
-    rooted = held.select("key", "set_id", "n").join(roots, "set_id", "left").selectExpr("key", "set_id", "n", "coalesce(root, set_id) AS root")
-    rooted = materialize(rooted, "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = materialize(rooted.join(apart, "key", "left_semi"), "apart")
-    others = rooted.groupBy("key", "root").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("root", "other")
-    # only components of a size that can be similar
-    meets = rooted.join(others, "key").where("root < other AND 5 * n >= 4 * low AND 5 * high >= 4 * n")
-    pairs = meets.selectExpr("key", "set_id", "n", "other").join(
-        rooted.selectExpr("key", "root AS other", "set_id AS you", "n AS m"), ["key", "other"]
-    )
-    pairs = pairs.where(near).selectExpr("greatest(set_id, you) AS a", "least(set_id, you) AS b").distinct()
-    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    return one.unionByName(verified(pairs, sets))
+    sizes = held.selectExpr("set_id AS least", "n AS m").distinct()
+    first = held.where("set_id <> least").select("set_id", "n", "least").distinct().join(sizes, "least").where(NEAR)
+    found = materialize(verified(first.selectExpr("set_id AS a", "least AS b"), sets), "links")
+    done, high = 1, 3
+    while True:
+        roots = materialize(components(found), "roots").withColumnRenamed("node", "set_id")
+        rooted = held.drop("least").join(roots, "set_id", "left").selectExpr("key", "set_id", "n", "coalesce(root, set_id) AS root")
+        rooted = materialize(rooted, "rooted")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        order = Window.partitionBy("key").orderBy("set_id")
+        ranked = rooted.join(materialize(apart, "apart"), "key", "left_semi").withColumn("nth", F.row_number().over(order))
+        ranked = materialize(ranked, "ranked")
+        if (ranked.agg(F.max("nth")).first()[0] or 0) <= done + 1:
+            return roots
+        chosen = ranked.where(f"nth > {done} AND nth <= {high}").selectExpr("key", "set_id AS b", "n AS m", "nth AS at", "root AS other")
+        pairs = ranked.join(chosen, "key").where(f"nth > at AND root <> other AND {NEAR}")
+        # one column order for both, so that a pair met in two buckets is one
+        pairs = materialize(pairs.selectExpr("greatest(set_id, b) AS a", "least(set_id, b) AS b").distinct(), "pairs")
+        found = materialize(found.unionByName(verified(pairs, sets)), "links")
+        done, high = high, 2 * high + 1
+
+
+def stays(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables of row keys of ``docs``: ``gone``, near copies of a row that stays, and ``again``,
+    those that stay but occur several times."""
+    with scope(docs.sparkSession) as tables:
+        rows = materialize(signatures(docs), "signatures")
+        reps = rows.groupBy("set_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("rep"))
+        reps = materialize(reps, "reps")
+        roots = groups(docs, rows, reps.select("set_id", "rep.row"))
+        named = reps.join(roots, "set_id", "left").selectExpr("set_id", "rep", "coalesce(root, set_id) AS root")
+        named = materialize(named, "named")
+        best = named.groupBy("root").agg(F.min("rep").alias("best"))
+        # the one row of each group of classes, by class
+        chosen = materialize(named.join(best, "root").selectExpr("set_id", "best.row AS best"), "chosen")
+        keys = rows.groupBy("set_id", "row").agg(F.count("*").alias("times")).join(chosen, "set_id")
+        keys = materialize(keys.selectExpr("row", "row = best AS stays", "times"), "keys")
+        gone = materialize(keys.where("NOT stays").select("row"), "gone")
+        again = materialize(keys.where("stays AND times > 1").select("row"), "again")
+        return tables.keep(gone), tables.keep(again)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of the smallest ``doc_id``.
 
     Groups are the components of links. Texts lose case A-Z; words are
-    ``[^\\x20\\x09-\\x0D]+``; texts without words are one class. A null ``doc_id`` comes after all
-    others. Rows of one ``doc_id`` are told apart by their texts, and the row that stays stays once.
+    ``[^\\x20\\x09-\\x0D]+``; null, empty and blank texts are one class. A null ``doc_id`` comes after all
+    others. Rows of one ``doc_id`` are told apart by their texts, and the row that stays stays once. An empty table stays
+    empty; all columns, whatever their names, are returned unchanged. A very long text is held
+    whole by the task that reads it, with 8 bytes a word for its shingles.
     """
-    rows = materialize(signatures(docs), "signatures")
-    classes = rows.groupBy("set_id").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands"),
-        F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("rep"),
-    )
-    classes = materialize(classes, "classes")
-    roots = components(links(docs, classes)).withColumnRenamed("node", "set_id")
-    named = classes.select("set_id", "rep").join(roots, "set_id", "left")
-    stay = named.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("rep").alias("rep")).selectExpr("rep.row AS _row")
-    kept = docs.withColumn("_row", F.expr(row_key())).join(materialize(stay, "stay"), "_row", "left_semi")
+    gone, again = stays(docs)
+    key, nth = hidden(docs, "row_key"), hidden(docs, "nth")
+    named = docs.withColumn(key, F.expr(row_key()))
+    small = few(gone) and few(again)
+
+    def table(keys: DataFrame) -> DataFrame:
+        keys = keys.withColumnRenamed("row", key)
+        return F.broadcast(keys) if small else keys
+
+    rest = [f"`{c}`" for c in ("source", "lang") if c in docs.columns] or ["doc_id"]
+    once = F.row_number().over(Window.partitionBy(key).orderBy(*rest))
+    if small:
+        # only what occurs several times is shuffled
+        single = named.join(table(gone.unionByName(again)), key, "left_anti").select(*docs.columns)
+        repeated = named.join(table(again), key, "left_semi")
+        return single.unionByName(repeated.withColumn(nth, once).where(f"{nth} = 1").select(*docs.columns))
     # rows of one key lie together after the join, so texts are shuffled once
-    rest = [c for c in ("source", "lang") if c in docs.columns] or ["doc_id"]
-    again = F.row_number().over(Window.partitionBy("_row").orderBy(*rest))
-    return kept.withColumn("_nth", again).where("_nth = 1").select(*docs.columns)
-
+    kept = named.join(gone.withColumnRenamed("row", key), key, "left_anti")
+    return kept.withColumn(nth, once).where(f"{nth} = 1").select(*docs.columns)
