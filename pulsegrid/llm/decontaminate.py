@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.copies import row_key
-from pulsegrid.workspace import materialize
+from pulsegrid.llm.copies import few, hidden, row_key
+from pulsegrid.workspace import materialize, scope
 
 SHINGLE = 5
 LEAST = 0.8
 #: More sketch rows (16 bytes each) than this are joined by a shuffle instead of being sent to every task.
 FEW_ROWS = 1_000_000
+#: More candidate pairs than this are joined with the texts by a shuffle.
+FEW_PAIRS = 100_000
 
 _WORDS = r"filter(split(lower({0}), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 
@@ -72,8 +74,7 @@ def contained(
     """
     listed = materialize(items(benchmark, shingle), "items")
     sketch = materialize(sketches(listed, least).distinct(), "sketches")
-    small = sketch.limit(FEW_ROWS + 1).count() <= FEW_ROWS  # broadcast only a table known to be small
-    sketch = F.broadcast(sketch) if small else sketch
+    sketch = F.broadcast(sketch) if few(sketch, FEW_ROWS) else sketch
     # the shingle's hash is made from its text, in one pass over the word array
     hashed = docs.selectExpr("doc_id", f"{words('text')} AS w").selectExpr(
         "doc_id", f"explode(transform({shingles('w', shingle)}, s -> xxhash64(s))) AS h"
@@ -83,13 +84,17 @@ def contained(
 
 
 def verified(docs: DataFrame, listed: DataFrame, found: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The candidate pairs whose exact shingle containment is enough."""
+    """The candidate pairs whose exact shingle containment is enough.
+
+    While the pairs are few, they are sent to the texts, which stay where they are.
+    """
     pairs = found.join(listed, found["item_id"].eqNullSafe(listed["item_id"])).select(
         F.col("doc_id").alias("pair_doc"), found["item_id"], "n", "shingles"
     )
+    ids = materialize(found.select(F.col("doc_id").alias("pair_doc")).distinct(), "candidate-ids")
+    small = few(found, FEW_PAIRS)
     texts = docs.join(
-        found.select(F.col("doc_id").alias("pair_doc")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("pair_doc")), "left_semi",
+        F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("pair_doc")), "left_semi"
     ).selectExpr("doc_id", f"{words('text')} AS w").selectExpr("doc_id", f"array_distinct({shingles('w', shingle)}) AS own")
     return (
         texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("pair_doc")))
@@ -101,11 +106,14 @@ def verified(docs: DataFrame, listed: DataFrame, found: DataFrame, shingle: int,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item; columns and repeated rows unchanged.
+    """The rows of ``docs`` that contain no benchmark item; columns, whatever their names, and repeated rows unchanged.
 
     Rows are told apart by id and content, so a clean text stays whatever other rows of its id, or without id, hold.
     """
     rows = docs.selectExpr(f"{row_key()} AS doc_id", "text")
-    bad = contained(rows, benchmark, **how).select(F.col("doc_id").alias("_row")).distinct()
-    kept = docs.withColumn("_row", F.expr(row_key())).join(materialize(bad, "leaks"), "_row", "left_anti")
+    key = hidden(docs, "row_key")
+    with scope(docs.sparkSession) as tables:
+        bad = contained(rows, benchmark, **how).select(F.col("doc_id").alias(key)).distinct()
+        bad = tables.keep(materialize(bad, "leaks"))
+    kept = docs.withColumn(key, F.expr(row_key())).join(F.broadcast(bad) if few(bad, FEW_PAIRS) else bad, key, "left_anti")
     return kept.select(*docs.columns)
