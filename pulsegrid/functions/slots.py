@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 
 CALENDAR_FIELDS = (
-    "month", "week", "day", "day_of_week", "time_of_day_code", "hour", "minute",
+    "month", "year", "week", "day", "day_of_week", "time_of_day_code", "hour", "minute",
 )
 
 
@@ -52,6 +52,10 @@ class SlotSpec:
     def first_slot_of(self, day: date) -> int:
         return (day - self.origin).days * self.per_day
 
+    def first_slot_of_week(self, day: date) -> int:
+        """The first slot of the ISO week that holds ``day``."""
+        return self.first_slot_of(day - timedelta(days=day.weekday()))
+
     @property
     def _origin(self) -> str:
         return f"TIMESTAMP_NTZ '{self.origin.isoformat()} 00:00:00'"
@@ -97,12 +101,13 @@ class SlotSpec:
     def field(self, name: str, slot: str = "slot_id") -> str:
         """One of ``CALENDAR_FIELDS`` for a slot id.
 
-        ``week`` is the ISO week, ``day_of_week`` starts at 0 = Monday.
+        ``week`` is the ISO week, ``year`` the year it counts in, ``day_of_week`` starts at 0 = Monday.
         """
         seconds = f"{self.time_of_day(slot)} * {self.width_seconds}"
         first = self.origin.weekday()
         return {
             "month": f"month({self.date_of(slot)})",
+            "year": f"extract(YEAROFWEEK FROM {self.date_of(slot)})",
             "week": f"weekofyear({self.date_of(slot)})",
             "day": f"dayofmonth({self.date_of(slot)})",
             "day_of_week": f"CAST(pmod({self.day_index(slot)} + {first}, 7) AS INT)",

@@ -26,9 +26,9 @@ LAYOUT_SLOT_ZONE = ("slot_id", "zone_id")
 LAYOUT_WEEKDAY = ("day_of_week", "time_of_day_code")
 
 
-def with_calendar(demand: DataFrame, slots: SlotSpec) -> DataFrame:
-    """Calendar fields of every row, computed from the slot id alone."""
-    return demand.selectExpr("slot_id", "zone_id", *slots.fields(LAYOUT_CALENDAR), "demand")
+def with_calendar(demand: DataFrame, slots: SlotSpec, *more: str) -> DataFrame:
+    """Calendar fields (and ``more`` of them) of every row, computed from the slot id alone."""
+    return demand.selectExpr("slot_id", "zone_id", *slots.fields((*LAYOUT_CALENDAR, *more)), "demand")
 
 
 def zone_features(demand: DataFrame, slots: SlotSpec, zones: DataFrame,
@@ -52,16 +52,16 @@ def sparse_features(demand: DataFrame, slots: SlotSpec, zones: DataFrame,
     )
 
 
-def grid_features(demand: DataFrame, slots: SlotSpec, grid: GridSpec,
+def grid_features(demand: DataFrame, slots: SlotSpec, grid: GridSpec, *more: str,
                   boxes=FLAG_BOXES) -> DataFrame:
-    """Calendar fields and flags for a demand table whose zones are cells.
+    """Calendar fields (and ``more`` of them) and flags for a demand table whose zones are cells.
 
     The flags look at the cell's corner; nothing is joined.
     """
     lon, lat = grid.corner_lon(grid.x_of()), grid.corner_lat(grid.y_of())
     return demand.selectExpr(
         "slot_id", f"{grid.x_of()} AS cell_x", f"{grid.y_of()} AS cell_y",
-        *slots.fields(LAYOUT_CALENDAR), *flag_columns(lon, lat, boxes), "demand",
+        *slots.fields((*LAYOUT_CALENDAR, *more)), *flag_columns(lon, lat, boxes), "demand",
     )
 
 
@@ -89,3 +89,9 @@ def without_keys(features: DataFrame) -> DataFrame:
 def assemble(features: DataFrame, layout=LAYOUT_GLOBAL) -> DataFrame:
     """Add the vector column ``features`` in the given column order."""
     return VectorAssembler(inputCols=list(layout), outputCol="features").transform(features)
+
+
+def cell_zones(cells: DataFrame, grid: GridSpec, boxes=FLAG_BOXES) -> DataFrame:
+    """``cell_x, cell_y`` and flags of flattened cells (``zone_id``), the zone table of a panel of cells."""
+    lon, lat = grid.corner_lon(grid.x_of()), grid.corner_lat(grid.y_of())
+    return cells.selectExpr(f"{grid.x_of()} AS cell_x", f"{grid.y_of()} AS cell_y", *flag_columns(lon, lat, boxes))

@@ -1,7 +1,8 @@
 """Least squares for every zone at once.
 
 One aggregation collects the normal equations of all groups; only those small
-matrices, never the rows, reach Python.
+matrices, never the rows, reach Python. On panels the matrices come from sums over the calendar, the
+zones and the rows with demand, and so do the scores.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.evaluate import score, score_with_total
+from pulsegrid.functions.scores import SUMS, score_columns, sums_from_powers
+from pulsegrid.operators.evaluate import score, score_moments, score_with_total
 from pulsegrid.operators.features import assemble
+from pulsegrid.operators.panels import Panel, pair_index
+from pulsegrid.workspace import materialize
 
 
 def fit_line(train: DataFrame, keys: list[str], feature: str, label: str = "demand") -> DataFrame:
@@ -56,10 +60,13 @@ def fit_ols(train: DataFrame, keys: list[str], features: list[str],
     Collinear or constant features get the minimum-norm solution, so the
     predictions are those of any exact solution.
     """
-    stats = normal_sums(train, keys, features, label)
-    p = len(features)
+    return solve_normal(normal_sums(train, keys, features, label), keys, len(features))
+
+
+def solve_normal(stats: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Least squares of every row of ``n, sums, products`` (as of ``normal_sums``, ``p`` features)."""
     schema = T.StructType(
-        [train.schema[k] for k in keys]
+        [stats.schema[k] for k in keys]
         + [
             T.StructField("n", T.LongType()),
             T.StructField("intercept", T.DoubleType()),
@@ -103,6 +110,128 @@ def predict_ols(rows: DataFrame, model: DataFrame, keys: list[str],
     return with_model.selectExpr("*", f"model.intercept{terms} AS prediction").drop("model")
 
 
+# --- panels: all slots of all zones, from sums -------------------------------
+
+
+def fit_panel(panel: Panel, features: list[str]) -> DataFrame:
+    """One regression per zone of a panel on calendar features: ``keys, n, intercept, coefficients``.
+
+    Features of the zone are constant within it and have no part in its model.
+    """
+    sums, _ = _panel_sums(panel, features)
+    return _fit_zones(panel, sums, len(features))
+
+
+def _panel_sums(panel: Panel, features: list[str]) -> tuple[DataFrame, list[str]]:
+    """Label sums per zone beside the calendar's sums, written once, and the calendar features among ``features``."""
+    names = panel.calendar_names(features)
+    calendar = panel.calendar_sums(names)
+    table = panel.label_sums(names).withColumn("calendar", calendar.select(F.struct(*calendar.columns)).scalar())
+    return materialize(table.selectExpr("*", "calendar.*").drop("calendar"), "panel-sums"), names
+
+
+def _fit_zones(panel: Panel, sums: DataFrame, p: int) -> DataFrame:
+    products = [
+        f"train_products[{pair_index(i, j, p)}]" if j < p else f"train_xy[{i}]" for i in range(p) for j in range(i, p + 1)
+    ]
+    stats = sums.filter("train_n > 0").selectExpr(
+        *panel.keys, "train_n AS n", "concat(train_sums, array(train_y)) AS sums",
+        f"array({', '.join([*products, 'train_y2'])}) AS products",
+    )
+    return solve_normal(stats, list(panel.keys), p)
+
+
+def _score_zones(panel: Panel, modelled: DataFrame, p: int, pooled_only: bool = False) -> DataFrame:
+    """Scores per zone and pooled from test sums; ``modelled`` has ``intercept`` and ``coefficients`` beside them."""
+    b = "coefficients[{0}]"
+    terms = ["test_n * intercept * intercept - 2 * intercept * test_y + test_y2"]
+    for i in range(p):
+        bi = b.format(i)
+        terms.append(f"2 * {bi} * (intercept * test_sums[{i}] - test_xy[{i}])")
+        for j in range(i, p):
+            terms.append(f"{'' if i == j else '2 * '}{bi} * {b.format(j)} * test_products[{pair_index(i, j, p)}]")
+    sums = modelled.filter("test_n > 0").selectExpr(
+        *panel.keys, f"{' + '.join(terms)} AS sse", "test_n", "test_y", "test_y2", "intercept IS NOT NULL AS known"
+    )
+    sums = sums.selectExpr(*panel.keys, *_known_sums("known", "test_n"))
+    if pooled_only:
+        return sums.agg(*[F.expr(f"sum({c}) AS {c}") for c in SUMS]).selectExpr("n", *score_columns())
+    return score_moments(sums, *panel.keys)
+
+
+def _known_sums(known: str, n: str) -> list[str]:
+    """``SUMS`` of zones, those without a model counted in ``n`` only."""
+    scored = f"IF({known}, {n}, 0)"
+    return [f"{n} AS n", *sums_from_powers(scored, "sse", f"IF({known}, test_y, NULL)", f"IF({known}, test_y2, NULL)")[1:]]
+
+
+def score_panel(panel: Panel, features: list[str]) -> DataFrame:
+    """One regression per zone of a panel, scored on its test part and pooled; no row of the panel is made."""
+    sums, names = _panel_sums(panel, features)
+    model = _fit_zones(panel, sums, len(names)).drop("n")
+    return _score_zones(panel, sums.join(model, list(panel.keys), "left"), len(names))
+
+
+def _line_model(sums: DataFrame) -> DataFrame:
+    """``sums`` of one feature with ``slope`` and ``intercept``; a constant feature gives slope 0."""
+    square = "train_n * train_products[0] - train_sums[0] * train_sums[0]"
+    slope = f"coalesce((train_n * train_xy[0] - train_sums[0] * train_y) / nullif(greatest({square}, 0D), 0D), 0D)"
+    return sums.selectExpr("*", f"IF(train_n > 0, {slope}, NULL) AS slope").selectExpr(
+        "*", "(train_y - slope * train_sums[0]) / nullif(train_n, 0) AS intercept"
+    )
+
+
+def fit_panel_line(panel: Panel, feature: str) -> DataFrame:
+    """``keys, n_train, slope, intercept`` of a line per zone on one calendar feature."""
+    sums, _ = _panel_sums(panel, [feature])
+    return _line_model(sums).filter("train_n > 0").selectExpr(*panel.keys, "train_n AS n_train", "slope", "intercept")
+
+
+def score_panel_line(panel: Panel, feature: str) -> DataFrame:
+    """A line per zone on one calendar feature, scored on the test part and pooled."""
+    sums, _ = _panel_sums(panel, [feature])
+    return _score_zones(panel, _line_model(sums).selectExpr("*", "array(slope) AS coefficients"), 1)
+
+
+def score_panel_global(panel: Panel, features: list[str], pooled_only: bool = False) -> DataFrame:
+    """One regression for all zones of a panel on calendar and zone features, scored per zone and pooled.
+
+    Zone features are columns of the zone table. Products of two calendar features are their sums times
+    the number of zones, those of two zone features times the number of slots, and mixed ones the product of two sums.
+    """
+    sums, names = _panel_sums(panel, features)
+    zone_names = panel.zone_names(features)
+    p, q = len(names), len(zone_names)
+    z = [f"CAST({n} AS DOUBLE)" for n in zone_names]
+    # one row: sums over the zones
+    total = sums.agg(*map(F.expr, (
+        "count(*) AS zones", "max(train_n) AS slots", "max(train_sums) AS cs", "max(train_products) AS cc",
+        *[f"sum({v}) AS z{i}" for i, v in enumerate(z)], *[f"sum({v} * {w}) AS z{i}_{j}" for i, v in enumerate(z) for j, w in enumerate(z) if i <= j],
+        *[f"sum(train_xy[{i}]) AS cy{i}" for i in range(p)], *[f"sum({v} * train_y) AS zy{i}" for i, v in enumerate(z)],
+        "sum(train_y) AS y", "sum(train_y2) AS y2",
+    )))
+
+    def product(i: int, j: int) -> str:
+        if j == p + q:
+            return f"cy{i}" if i < p else f"zy{i - p}"
+        if j < p:
+            return f"zones * cc[{pair_index(i, j, p)}]"
+        return f"cs[{i}] * z{j - p}" if i < p else f"slots * z{i - p}_{j - p}"
+
+    first = [*[f"zones * cs[{i}]" for i in range(p)], *[f"slots * z{i}" for i in range(q)], "y"]
+    products = [product(i, j) for i in range(p + q) for j in range(i, p + q + 1)]
+    stats = total.filter("zones * slots > 0").selectExpr(
+        "zones * slots AS n", f"array({', '.join(first)}) AS sums", f"array({', '.join([*products, 'y2'])}) AS products"
+    )
+    model = materialize(solve_normal(stats, [], p + q), "model").select(F.struct("intercept", "coefficients")).scalar()
+    own = " + ".join(["model.intercept", *[f"model.coefficients[{p + i}] * {v}" for i, v in enumerate(z)]])
+    modelled = sums.withColumn("model", model).selectExpr("*", f"{own} AS intercept", "model.coefficients AS coefficients")
+    return _score_zones(panel, modelled, p, pooled_only)
+
+
+# --- rows --------------------------------------------------------------------
+
+
 def _scored(predicted: DataFrame, keys: list[str], label: str) -> DataFrame:
     if not keys:
         return score(predicted, label=label)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 
+from pulsegrid.functions.slots import SlotSpec
+
 
-def before_week(week: int, column: str = "week") -> str:
-    """True for training rows: ISO week below ``week`` (within one year)."""
-    return f"({column} < {week})"
+def before_week(slots: SlotSpec, day: date) -> str:
+    """True for training rows: slots before the ISO week that holds ``day``, also across a new year."""
+    return f"(slot_id < {slots.first_slot_of_week(day)})"
 
 
-def by_week(df: DataFrame, week: int) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows as two filters that reach the scan."""
-    return df.filter(f"week < {week}"), df.filter(f"week >= {week}")
+def by_week(df: DataFrame, slots: SlotSpec, day: date) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows as two filters that reach the scan: before the ISO week of ``day``, and from it on."""
+    split = slots.first_slot_of_week(day)
+    return df.filter(f"slot_id < {split}"), df.filter(f"slot_id >= {split}")
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:

@@ -52,6 +52,7 @@ def slot_calendar(slots_table: DataFrame, width_seconds: int = 600) -> DataFrame
     return slots_table.selectExpr(
         "slot_id", "slot_start", "slot_end",
         "month(slot_start) AS month",
+        "extract(YEAROFWEEK FROM slot_start) AS year",
         "weekofyear(slot_start) AS week",
         "dayofmonth(slot_start) AS day",
         "weekday(slot_start) AS day_of_week",
@@ -84,8 +85,11 @@ def weekday_day_counts(calendar: DataFrame, before: date | None = None,
 
 
 def calendar_lookup(keys: DataFrame, calendar: DataFrame) -> DataFrame:
-    """``day, hour, minute`` for ``(week, day_of_week, time_of_day_code)`` keys."""
-    on = ["week", "day_of_week", "time_of_day_code"]
+    """``day, hour, minute`` for ``(year, week, day_of_week, time_of_day_code)`` keys, of the ISO year.
+
+    The four name one slot, also in a calendar of several years.
+    """
+    on = ["year", "week", "day_of_week", "time_of_day_code"]
     return keys.join(calendar.select(*on, "day", "hour", "minute"), on, "inner")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.grid import FLAG_BOXES, GridSpec, flag_columns
-from pulsegrid.workspace import materialize
+from pulsegrid.operators.nearest import nearest_zone
 
 ENDS = ("pickup", "dropoff")
 
@@ -64,95 +62,6 @@ def centroid_table(trips: DataFrame, model: KMeansModel) -> DataFrame:
     )
 
 
-def centroid_index(centroids: DataFrame) -> tuple[DataFrame, GridSpec]:
-    """For each cell of a grid around the centroids, who can be nearest there.
-
-    Returns the written table ``(cell, who)`` and its grid. A centroid is kept
-    for a cell unless another one is closer to the cell's farthest corner than
-    it is to the cell's nearest edge, so only those that can never win are
-    left out. Cell -1 stands for everything outside and lists all centroids.
-    """
-    # of centroids at the same place only the lowest id can be chosen
-    places = materialize(
-        centroids.dropna().groupBy("centroid_lon", "centroid_lat").agg(
-            F.min("zone_id").alias("zone_id")
-        ),
-        "places",
-    )
-    k, lon_low, lon_high, lat_low, lat_high = places.selectExpr(
-        "count(*)", "min(centroid_lon)", "max(centroid_lon)",
-        "min(centroid_lat)", "max(centroid_lat)",
-    ).first()
-    if k == 0:
-        raise ValueError("the zone table has no coordinates")
-    # about 25 cells per centroid, so most cells have a single candidate
-    side = max(4, min(512, math.ceil(10 * math.sqrt(k))))
-    lon_margin = max((lon_high - lon_low) / 2, 1e-6)
-    lat_margin = max((lat_high - lat_low) / 2, 1e-6)
-    grid = GridSpec(
-        lon_low - lon_margin, lon_high + lon_margin, lat_low - lat_margin,
-        lat_high + lat_margin, side, side,
-    )
-    # cell 0 also takes values up to a step below it; edges get a little slack
-    edges = [
-        f"{grid.corner_lon('IF(x = 0, -1, x) - 1e-9D')} AS west",
-        f"{grid.corner_lon('x + 1 + 1e-9D')} AS east",
-        f"{grid.corner_lat('IF(y = 0, -1, y) - 1e-9D')} AS south",
-        f"{grid.corner_lat('y + 1 + 1e-9D')} AS north",
-    ]
-    everyone = places.selectExpr(
-        "collect_list(struct(centroid_lon AS lon, centroid_lat AS lat, zone_id))"
-    ).scalar()
-    cells = (
-        centroids.sparkSession.range(-1, grid.cells)
-        .selectExpr("CAST(id AS INT) AS cell", f"{grid.x_of('id')} AS x", f"{grid.y_of('id')} AS y")
-        .selectExpr("cell", *edges)
-    )
-    far = (
-        "pow(greatest(abs(c.lon - west), abs(c.lon - east)), 2)"
-        " + pow(greatest(abs(c.lat - south), abs(c.lat - north)), 2)"
-    )
-    near = (
-        "pow(greatest(west - c.lon, c.lon - east, 0D), 2)"
-        " + pow(greatest(south - c.lat, c.lat - north, 0D), 2)"
-    )
-    # exploding the single bound makes it a column of its own, computed once
-    # per cell; the optimizer would otherwise repeat it for every centroid
-    bounds = cells.withColumn("everyone", everyone).selectExpr(
-        "*", f"explode(array(array_min(transform(everyone, c -> {far})) * (1 + 1e-9D))) AS reach"
-    )
-    possible = bounds.selectExpr(
-        "cell", f"filter(everyone, c -> cell < 0 OR {near} <= reach) AS who"
-    )
-    return materialize(possible, "centroid-index"), grid
-
-
-def nearest_zone(
-    df: DataFrame, centroids: DataFrame, points: dict[str, tuple[str, str]]
-) -> DataFrame:
-    """Add the nearest centroid's id for each ``{output: (lon, lat)}`` pair.
-
-    A row looks up its cell's few candidates instead of being paired with all
-    centroids. The index is joined without a hint: while it is small Spark
-    broadcasts it and the rows stay where they are; beyond the broadcast
-    threshold it becomes a shuffled join whose hot cells AQE splits. Squared
-    planar distance, lowest zone id on a tie, NULL for NULL or NaN points.
-    """
-    index, grid = centroid_index(centroids)
-    original = df.columns
-    for name, (lon, lat) in points.items():
-        d2 = f"(c.lon - {lon}) * (c.lon - {lon}) + (c.lat - {lat}) * (c.lat - {lat})"
-        closest = f"array_min(transform(who, c -> struct({d2} AS d2, c.zone_id))).zone_id"
-        nearest = f"IF(size(who) = 1, who[0].zone_id, {closest})"
-        known = f"NOT isnan(coalesce({lon}, double('NaN'))) AND NOT isnan(coalesce({lat}, double('NaN')))"
-        df = (
-            df.selectExpr("*", f"coalesce({grid.cell_id(lon, lat)}, -1) AS cell")
-            .join(index, "cell", "left")
-            .selectExpr(*df.columns, f"IF({known}, {nearest}, NULL) AS {name}")
-        )
-    return df.select(*original, *points)
-
-
 def nearest_vector(
     df: DataFrame, centroids: DataFrame, vector: str, output: str = "zone_id"
 ) -> DataFrame:

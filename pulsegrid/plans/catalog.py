@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +25,7 @@ from pulsegrid.operators import features as Fe
 from pulsegrid.operators import linear, neural, profiles, splits, trees
 from pulsegrid.operators import timeslots as ts
 from pulsegrid.operators import zones as Z
+from pulsegrid.operators.panels import Panel
 from pulsegrid.plans import predictors, zoning
 from pulsegrid.sources import files, reports
 from pulsegrid.sources import testdata as td
@@ -37,6 +39,8 @@ GRID5 = CITY_GRID.resized(5, 5)
 GRID100 = CITY_GRID.resized(100, 100)
 CALENDAR_LAYOUT = list(Fe.LAYOUT_CALENDAR)
 CELL_LAYOUT = list(Fe.LAYOUT_CELL)
+#: What names a slot of a calendar of several years.
+WEEK_KEYS = ("year", "week", "day_of_week", "time_of_day_code")
 MODELS = ["tree", "line", "zone_mean", "global_mean"]
 
 
@@ -98,6 +102,35 @@ def _model_rows(t: td.Tables) -> DataFrame:
     return materialize(Fe.with_calendar(_fill(_zone_demand(t), t.slots), t.slots), "rows")
 
 
+def _zone_panel(t: td.Tables, slots: SlotSpec | None = None, written: bool = False) -> Panel:
+    """All slots of all zones with demand; ``written`` for models that read the demand several times."""
+    slots = slots or t.slots
+    demand = _zone_demand(t, slots)
+    return Panel(materialize(demand, "demand") if written else demand, slots, t.week_split(slots))
+
+
+def _cell_panel(t: td.Tables, written: bool = False) -> Panel:
+    """All hours of all cells with demand; ``zones`` has the cells' positions and flags."""
+    demand = _cell_demand(t, t.hourly)
+    demand = materialize(demand, "demand") if written else demand
+    demand = demand.selectExpr("slot_id", f"{GRID5.x_of()} AS cell_x", f"{GRID5.y_of()} AS cell_y", "demand")
+    return Panel(demand, t.hourly, t.week_split(t.hourly), ("cell_x", "cell_y"))
+
+
+def _global_panel(t: td.Tables) -> Panel:
+    """All hours of all centroid zones, with their flags."""
+    centroids = _centroids(t)
+    located = _located(t, t.hourly, centroids)
+    demand = materialize(D.count_demand(located, slot_id="pickup_slot", zone_id="pickup_zone"), "demand")
+    return Panel(demand, t.hourly, t.week_split(t.hourly), zones=Z.zone_flags(centroids))
+
+
+def _flagged_cells(panel: Panel) -> Panel:
+    """The same panel with its cells' flags, for models of all cells."""
+    cells = panel.demand.selectExpr("CAST(cell_x * 5 + cell_y AS INT) AS zone_id").distinct()
+    return replace(panel, zones=Fe.cell_zones(cells, GRID5))
+
+
 def _cell_rows(t: td.Tables) -> DataFrame:
     dense = _fill(_cell_demand(t, t.hourly), t.hourly)
     return materialize(Fe.grid_features(dense, t.hourly, GRID5), "rows")
@@ -115,12 +148,11 @@ def _profile_sums(t: td.Tables, demand: DataFrame | None = None) -> DataFrame:
 
 def _metrics(t: td.Tables) -> DataFrame:
     """R2 and RMSE of four predictors per zone."""
-    rows = _model_rows(t)
-    train, test = splits.by_week(rows, t.test_week)
-    sums = _profile_sums(t, rows.select("slot_id", "zone_id", "demand"))
+    panel = _zone_panel(t, written=True)
+    sums = _profile_sums(t, panel.demand)
     scored = {
-        "tree": trees.fit_and_score(train, test, ["zone_id"], CALENDAR_LAYOUT),
-        "line": _line_scores(train, test),
+        "tree": trees.score_panel(panel, CALENDAR_LAYOUT),
+        "line": linear.score_panel_line(panel, "time_of_day_code"),
         "zone_mean": profiles.score_zone_profile(
             profiles.zone_profile(sums, t.slots, t.split), t.slots, t.split
         ),
@@ -135,12 +167,6 @@ def _metrics(t: td.Tables) -> DataFrame:
     return table.filter("zone_id IS NOT NULL")
 
 
-def _line_scores(train: DataFrame, test: DataFrame) -> DataFrame:
-    model = linear.fit_line(train, ["zone_id"], "time_of_day_code")
-    predicted = linear.predict_line(test, model, ["zone_id"], "time_of_day_code")
-    return E.score_with_total(predicted, "zone_id")
-
-
 # --- sources and sinks -----------------------------------------------------
 
 @query
@@ -211,7 +237,7 @@ def report_metrics(t):
 @query
 def zone_groups(t):
     """Training and test rows of every zone."""
-    is_train = f"{t.slots.field('week')} < {t.test_week}"
+    is_train = splits.before_week(t.slots, t.test_start)
     return D.train_test_sizes(_zone_demand(t), is_train)
 
 
@@ -259,9 +285,9 @@ def weekday_day_counts_test(t):
 
 @query
 def calendar_lookup(t):
-    """Day, hour and minute of every (week, weekday, time) with a trip."""
+    """Day, hour and minute of every (year, week, weekday, time) with a trip."""
     seen = t.trips.selectExpr(f"{t.slots.slot_of('pickup_ts')} AS slot_id").distinct()
-    keys = seen.selectExpr(*t.slots.fields(("week", "day_of_week", "time_of_day_code")))
+    keys = seen.selectExpr(*t.slots.fields(WEEK_KEYS))
     return ts.calendar_lookup(keys, slot_calendar(t))
 
 
@@ -427,7 +453,7 @@ def filter_zone(t):
 def split_by_week(t):
     rows = Fe.with_calendar(_zone_demand(t), t.slots)
     return rows.selectExpr(
-        "slot_id", "zone_id", "week", "demand", f"{splits.before_week(t.test_week)} AS is_train"
+        "slot_id", "zone_id", "week", "demand", f"{splits.before_week(t.slots, t.test_start)} AS is_train"
     )
 
 
@@ -569,23 +595,21 @@ def lookup_demand(t):
 
 @query
 def lookup_features(t):
-    """Feature rows by (week, weekday, time, zone) of every drop-off."""
-    features = Fe.with_calendar(_zone_demand(t), t.slots)
+    """Feature rows by (year, week, weekday, time, zone) of every drop-off."""
+    features = Fe.with_calendar(_zone_demand(t), t.slots, "year")
     seen = _dropoff_keys(t).select("slot_id", "zone_id").distinct()
-    keys = seen.selectExpr(*t.slots.fields(("week", "day_of_week", "time_of_day_code")), "zone_id")
+    keys = seen.selectExpr(*t.slots.fields(WEEK_KEYS), "zone_id")
     return D.lookup_features(keys, features)
 
 
 @query
 def lookup_features_grid(t):
-    """Feature rows by (week, weekday, time, cell) of every drop-off."""
-    features = Fe.grid_features(_cell_demand(t), t.slots, GRID5)
+    """Feature rows by (year, week, weekday, time, cell) of every drop-off."""
+    features = Fe.grid_features(_cell_demand(t), t.slots, GRID5, "year")
     seen = zoning.slots_and_cells(t.trips, t.slots, GRID5).selectExpr(
         "dropoff_slot AS slot_id", "dropoff_y AS cell_y", "dropoff_x AS cell_x"
     ).distinct()
-    keys = seen.selectExpr(
-        *t.slots.fields(("week", "day_of_week", "time_of_day_code")), "cell_y", "cell_x"
-    )
+    keys = seen.selectExpr(*t.slots.fields(WEEK_KEYS), "cell_y", "cell_x")
     return D.lookup_features(keys, features)
 
 
@@ -632,7 +656,7 @@ def features_sparse(t):
 def zone_train_test(t):
     """Training and test features of one zone, label last."""
     rows = Fe.with_calendar(_zone_demand(t), t.slots).filter("zone_id = 12")
-    is_train = f"{splits.before_week(t.test_week)} AS is_train"
+    is_train = f"{splits.before_week(t.slots, t.test_start)} AS is_train"
     return rows.selectExpr(*Fe.LAYOUT_CALENDAR, "demand", is_train)
 
 
@@ -723,8 +747,7 @@ def constant_rmse(t):
 
 @query
 def ols_zone(t):
-    train, _ = splits.by_week(_model_rows(t), t.test_week)
-    model = linear.fit_line(train, ["zone_id"], "time_of_day_code")
+    model = linear.fit_panel_line(_zone_panel(t), "time_of_day_code")
     return model.selectExpr(
         "zone_id", "n_train", "round(slope, 6) AS slope", "round(intercept, 6) AS intercept"
     )
@@ -732,14 +755,13 @@ def ols_zone(t):
 
 @rounded
 def ols_zone_scored(t):
-    return _line_scores(*splits.by_week(_model_rows(t), t.test_week))
+    return linear.score_panel_line(_zone_panel(t), "time_of_day_code")
 
 
 @query
 def ols_zone_two(t):
     """Regression on weekday and time of day for every zone."""
-    train, _ = splits.by_week(_model_rows(t), t.test_week)
-    model = linear.fit_ols(train, ["zone_id"], list(Fe.LAYOUT_WEEKDAY))
+    model = linear.fit_panel(_zone_panel(t), list(Fe.LAYOUT_WEEKDAY))
     return model.selectExpr(
         "zone_id", "n", "round(intercept, 6) AS intercept",
         *[f"round(coefficients[{i}], 6) AS b_{n}" for i, n in enumerate(Fe.LAYOUT_WEEKDAY)],
@@ -748,45 +770,36 @@ def ols_zone_two(t):
 
 @rounded
 def ols_zone_multi(t):
-    train, test = splits.by_week(_model_rows(t), t.test_week)
-    return linear.fit_and_score(train, test, ["zone_id"], CALENDAR_LAYOUT)
+    return linear.score_panel(_zone_panel(t), CALENDAR_LAYOUT)
 
 
 @rounded
 def ols_cell(t):
     """One-feature regression per grid cell, scored per cell and pooled."""
-    train, test = splits.by_week(_cell_rows(t), t.test_week)
-    keys = ["cell_x", "cell_y"]
-    model = linear.fit_line(train, keys, "time_of_day_code")
-    return E.score_with_total(linear.predict_line(test, model, keys, "time_of_day_code"), *keys)
+    return linear.score_panel_line(_cell_panel(t), "time_of_day_code")
 
 
 @rounded
 def ols_cell_multi(t):
-    train, test = splits.by_week(_cell_rows(t), t.test_week)
-    return linear.fit_and_score(train, test, ["cell_x", "cell_y"], CELL_LAYOUT)
+    return linear.score_panel(_cell_panel(t), CELL_LAYOUT)
 
 
 @rounded
 def ols_global_scored(t):
-    train, test = splits.by_week(_global_rows(t), t.test_week)
+    train, test = splits.by_week(_global_rows(t), t.hourly, t.test_start)
     return linear.global_regression(train, test, Fe.LAYOUT_GLOBAL)
 
 
 @rounded
 def ols_global_zones(t):
     """One exact nine-feature regression for all zones, scored per zone."""
-    train, test = splits.by_week(_global_rows(t), t.test_week)
-    layout = list(Fe.LAYOUT_GLOBAL)
-    predicted = linear.predict_ols(test, linear.fit_ols(train, [], layout), [], layout)
-    return E.score_with_total(predicted, "zone_id")
+    return linear.score_panel_global(_global_panel(t), list(Fe.LAYOUT_GLOBAL))
 
 
 @rounded
 def ols_global_exact(t):
     """One regression for all zones from a single aggregation, pooled score."""
-    train, test = splits.by_week(_model_rows(t), t.test_week)
-    return linear.fit_and_score(train, test, [], list(Fe.LAYOUT_WEEKDAY))
+    return linear.score_panel_global(_zone_panel(t), list(Fe.LAYOUT_WEEKDAY), pooled_only=True)
 
 
 # --- trees -----------------------------------------------------------------
@@ -794,59 +807,50 @@ def ols_global_exact(t):
 @rounded
 def tree_split_zone(t):
     """The first split of every zone's tree."""
-    train, _ = splits.by_week(_model_rows(t), t.test_week)
-    found = trees.best_splits(train.selectExpr("*", "1 AS node_id"), ["zone_id"], CALENDAR_LAYOUT)
+    found = trees.panel_splits(_zone_panel(t, written=True), CALENDAR_LAYOUT)
     return found.select("zone_id", "n", "feature", "threshold", "gain")
 
 
 @rounded
 def tree_zone_depth3(t):
     """Every node of every zone's depth-3 tree."""
-    train, _ = splits.by_week(_model_rows(t), t.test_week)
-    return trees.grow(train, ["zone_id"], CALENDAR_LAYOUT, 3)
+    return trees.grow_panel(_zone_panel(t, written=True), CALENDAR_LAYOUT, 3)
 
 
 @rounded
 def tree_zone_scored(t):
-    train, test = splits.by_week(_model_rows(t), t.test_week)
-    return trees.fit_and_score(train, test, ["zone_id"], CALENDAR_LAYOUT, 3)
+    return trees.score_panel(_zone_panel(t, written=True), CALENDAR_LAYOUT, 3)
 
 
 @rounded
 def tree_cell_scored(t):
-    train, test = splits.by_week(_cell_rows(t), t.test_week)
-    return trees.fit_and_score(train, test, ["cell_x", "cell_y"], CELL_LAYOUT, 3)
+    return trees.score_panel(_cell_panel(t, written=True), CELL_LAYOUT, 3)
 
 
 @rounded
 def tree_all_zones(t):
     """One exact depth-3 tree over all zones, as a node table."""
-    train, _ = splits.by_week(_model_rows(t), t.test_week)
-    return trees.grow(train, [], ["zone_id", *CALENDAR_LAYOUT], 3)
+    return trees.grow_panel(_zone_panel(t, written=True), ["zone_id", *CALENDAR_LAYOUT], 3, grouped=False)
 
 
 @rounded
 def tree_global(t):
     """One binned depth-3 tree for all zones, scored per zone."""
-    train, test = splits.by_week(_global_rows(t), t.test_week)
+    train, test = splits.by_week(_global_rows(t), t.hourly, t.test_start)
     return trees.score_model(trees.global_tree(train, Fe.LAYOUT_GLOBAL, 3), test, Fe.LAYOUT_GLOBAL)
 
 
 @query
 def tree_global_text(t):
     """The text dump of the depth-5 tree for all zones."""
-    train, _ = splits.by_week(_global_rows(t), t.test_week)
+    train, _ = splits.by_week(_global_rows(t), t.hourly, t.test_start)
     return trees.tree_text(train, trees.global_tree(train, Fe.LAYOUT_GLOBAL, 5))
 
 
 @rounded
 def tree_depth_sweep(t):
     """Scores at depths 2-8 and 10 from one growth of every zone's tree."""
-    rows = materialize(
-        Fe.with_calendar(_fill(_zone_demand(t, t.hourly), t.hourly), t.hourly), "rows"
-    )
-    train, test = splits.by_week(rows, t.test_week)
-    return trees.depth_sweep(train, test, ["zone_id"], CALENDAR_LAYOUT, [2, 3, 4, 5, 6, 7, 8, 10])
+    return trees.panel_depth_sweep(_zone_panel(t, t.hourly, written=True), CALENDAR_LAYOUT, [2, 3, 4, 5, 6, 7, 8, 10])
 
 
 @rounded
@@ -872,7 +876,7 @@ def forest(t):
 def mlp_zone(t):
     """A (10, 10) network per zone on hourly rows."""
     rows = Fe.with_calendar(_fill(_zone_demand(t, t.hourly), t.hourly), t.hourly)
-    rows = rows.selectExpr("*", f"{splits.before_week(t.test_week)} AS is_train")
+    rows = rows.selectExpr("*", f"{splits.before_week(t.hourly, t.test_start)} AS is_train")
     return neural.score_networks(rows, CALENDAR_LAYOUT, layers=(10, 10), max_iter=1000)
 
 
@@ -881,7 +885,7 @@ def mlp_cell(t):
     """A (5,) network per grid cell on hourly rows."""
     rows = Fe.grid_features(_fill(_cell_demand(t, t.hourly), t.hourly), t.hourly, GRID5)
     rows = rows.selectExpr(
-        "*", f"{splits.before_week(t.test_week)} AS is_train",
+        "*", f"{splits.before_week(t.hourly, t.test_start)} AS is_train",
         f"{GRID5.flatten('cell_x', 'cell_y')} AS zone_id",
     )
     return neural.score_networks(rows, CELL_LAYOUT, layers=(5,), max_iter=2000)
@@ -909,25 +913,23 @@ def zscore_zone(t):
 
 # --- evaluation, comparison, distribution ----------------------------------
 
-def _predictions(t):
-    train, test = splits.by_week(_model_rows(t), t.test_week)
-    model = linear.fit_line(train, ["zone_id"], "hour")
-    return linear.predict_line(test, model, ["zone_id"], "hour")
+def _hour_scores(t):
+    return linear.score_panel_line(_zone_panel(t), "hour")
 
 
 @rounded
 def eval_rmse(t):
-    return E.score(_predictions(t), "zone_id").drop("r2")
+    return _hour_scores(t).filter("zone_id IS NOT NULL").drop("r2")
 
 
 @rounded
 def eval_r2(t):
-    return E.score(_predictions(t), "zone_id").drop("rmse")
+    return _hour_scores(t).filter("zone_id IS NOT NULL").drop("rmse")
 
 
 @rounded
 def eval_rollup(t):
-    return E.score_with_total(_predictions(t), "zone_id")
+    return _hour_scores(t)
 
 
 @rounded
@@ -999,33 +1001,25 @@ def fit_pareto(t):
 @rounded
 def ols_zone_layout(t):
     """One regression per zone on the seven features of a zone."""
-    train, test = splits.by_week(_global_rows(t), t.test_week)
-    return linear.fit_and_score(train, test, ["zone_id"], list(Fe.LAYOUT_ZONE))
+    return linear.score_panel(_global_panel(t), list(Fe.LAYOUT_ZONE))
 
 
 @rounded
 def ols_global_cells(t):
     """One exact regression for all cells, scored per cell and pooled."""
-    train, test = splits.by_week(_cell_rows(t), t.test_week)
-    predicted = linear.predict_ols(test, linear.fit_ols(train, [], CELL_LAYOUT), [], CELL_LAYOUT)
-    return E.score_with_total(predicted, "cell_x", "cell_y")
+    return linear.score_panel_global(_flagged_cells(_cell_panel(t, written=True)), CELL_LAYOUT)
 
 
 @rounded
 def tree_global_cells(t):
     """One exact depth-3 tree for all cells, scored per cell and pooled."""
-    train, test = splits.by_week(_cell_rows(t), t.test_week)
-    nodes = trees.grow(train, [], CELL_LAYOUT, 3)
-    return E.score_with_total(trees.predict(test, nodes, [], CELL_LAYOUT, 3), "cell_x", "cell_y")
+    return trees.score_panel(_flagged_cells(_cell_panel(t, written=True)), CELL_LAYOUT, 3, grouped=False)
 
 
 @rounded
 def tree_global_zones(t):
     """One exact depth-5 tree for all zones, scored per zone and pooled."""
-    train, test = splits.by_week(_global_rows(t), t.test_week)
-    layout = list(Fe.LAYOUT_GLOBAL)
-    nodes = trees.grow(train, [], layout, 5)
-    return E.score_with_total(trees.predict(test, nodes, [], layout, 5), "zone_id")
+    return trees.score_panel(_global_panel(t), list(Fe.LAYOUT_GLOBAL), 5, grouped=False)
 
 
 # --- what must hold for random and iterative operators ----------------------
@@ -1097,7 +1091,7 @@ def _fit_facts(model, train: DataFrame, rows: DataFrame, layout, tree: bool) ->
 
 @query
 def tree_global_facts(t):
-    train, test = splits.by_week(_global_rows(t), t.test_week)
+    train, test = splits.by_week(_global_rows(t), t.hourly, t.test_start)
     model = trees.global_tree(train, Fe.LAYOUT_GLOBAL, 3)
     return _fit_facts(model, train, test, Fe.LAYOUT_GLOBAL, tree=True)
 
@@ -1140,11 +1134,11 @@ def mlp_leading_facts(t):
 @rounded
 def predictors_by_name(t):
     """The reports of both named predictors on the same rows."""
-    train, test = splits.by_week(_model_rows(t), t.test_week)
+    panel = _zone_panel(t, written=True)
     n_train, n_test = t.split, t.slots.count - t.split
     both = [
-        predictors.evaluate(name, train, test, CALENDAR_LAYOUT, n_train, n_test)
-        for name in sorted(predictors.PREDICTORS)
+        predictors.evaluate_panel(name, panel, CALENDAR_LAYOUT, n_train, n_test)
+        for name in sorted(predictors.PANEL_PREDICTORS)
     ]
     return both[0].unionByName(both[1])
 

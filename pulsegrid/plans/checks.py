@@ -38,7 +38,8 @@ TRIPS = f"""trips AS MATERIALIZED (
 #: The first midnight seen in ``events``; every slot id counts from it.
 ORIGIN = "(SELECT date_trunc('day', min(ts)) FROM events)"
 TEST_START = "(SELECT date_trunc('day', min(ts)) + INTERVAL 21 DAY FROM events)"
-TEST_WEEK = "(SELECT weekofyear(date_trunc('day', min(ts)) + INTERVAL 21 DAY) FROM events)"
+#: The Monday of the ISO week in which the test part of a split by week starts.
+TEST_MONDAY = "(SELECT date_trunc('week', date_trunc('day', min(ts)) + INTERVAL 21 DAY) FROM events)"
 DAY_COUNT = "(SELECT date_diff('day', min(ts), max(ts)) + 1 FROM events)"
 
 
@@ -69,7 +70,7 @@ def calendar(width: int) -> str:
     per_day = 86400 // width
     return f"""calendar AS MATERIALIZED (
   SELECT slot_id, slot_start, slot_start + to_seconds({width}) AS slot_end,
-    CAST(month(slot_start) AS INT) AS month, CAST(weekofyear(slot_start) AS INT) AS week,
+    CAST(month(slot_start) AS INT) AS month, CAST(isoyear(slot_start) AS INT) AS year, CAST(weekofyear(slot_start) AS INT) AS week,
     CAST(day(slot_start) AS INT) AS day, CAST(isodow(slot_start) - 1 AS INT) AS day_of_week,
     CAST(slot_id % {per_day} AS INT) AS time_of_day_code,
     CAST(hour(slot_start) AS INT) AS hour, CAST(minute(slot_start) AS INT) AS minute
@@ -103,15 +104,15 @@ def cell_demand(width: int = 600, n: int = 5) -> str:
   FROM inside GROUP BY 1, 2)"""
 
 
-DENSE = """dense AS MATERIALIZED (
+DENSE = f"""dense AS MATERIALIZED (
   SELECT s.slot_id, z.zone_id, coalesce(d.demand, 0) AS demand, s.week, s.day, s.day_of_week,
-    s.time_of_day_code, s.hour, s.minute
+    s.time_of_day_code, s.hour, s.minute, s.slot_start < {TEST_MONDAY} AS before_test
   FROM calendar s CROSS JOIN (SELECT DISTINCT zone_id FROM demand) z
   LEFT JOIN demand d ON d.slot_id = s.slot_id AND d.zone_id = z.zone_id)"""
 
-SPARSE = """sparse AS MATERIALIZED (
+SPARSE = f"""sparse AS MATERIALIZED (
   SELECT d.slot_id, d.zone_id, d.demand, s.month, s.week, s.day, s.day_of_week,
-    s.time_of_day_code, s.hour, s.minute
+    s.time_of_day_code, s.hour, s.minute, s.year, s.slot_start < {TEST_MONDAY} AS before_test
   FROM demand d JOIN calendar s ON d.slot_id = s.slot_id)"""
 
 CENTROIDS = f"""centroids AS MATERIALIZED (
@@ -169,12 +170,12 @@ FLAGS = f"""flags AS (
 CALENDAR_COLUMNS = "time_of_day_code, day_of_week, day, week, hour, minute"
 
 
-def grid_features(source: str) -> str:
+def grid_features(source: str, more: str = "") -> str:
     """Feature rows of a table with a flattened 5 x 5 cell id."""
     lon = corner("(zone_id // 5)", -74.15, -73.72, 5)
     lat = corner("(zone_id % 5)", 40.58, 40.85, 5)
     return f"""SELECT slot_id, CAST(zone_id // 5 AS INT) AS cell_x, CAST(zone_id % 5 AS INT) AS cell_y,
-    {CALENDAR_COLUMNS}, {flags(lon, lat)}, demand
+    {more}{CALENDAR_COLUMNS}, {flags(lon, lat)}, demand
   FROM {source}"""
 
 
@@ -229,8 +230,8 @@ SELECT {dbl(-74.15)} AS lon_min, {dbl(-73.72)} AS lon_max, {dbl(40.58)} AS lat_m
   {dbl(40.85)} AS lat_max, 25 AS nx, 25 AS ny, count(*) AS trips_inside
 FROM trips WHERE {cell_x('pickup_lon', 25)} IS NOT NULL AND {cell_y('pickup_lat', 25)} IS NOT NULL""")
 check("zone_groups", *ZONE_SPARSE, sql=f"""
-SELECT zone_id, count(*) FILTER (WHERE week < {TEST_WEEK}) AS n_train,
-  count(*) FILTER (WHERE week >= {TEST_WEEK}) AS n_test FROM sparse GROUP BY 1""")
+SELECT zone_id, count(*) FILTER (WHERE before_test) AS n_train,
+  count(*) FILTER (WHERE NOT before_test) AS n_test FROM sparse GROUP BY 1""")
 
 # --- time ------------------------------------------------------------------
 
@@ -249,7 +250,7 @@ for name, side in (("weekday_day_counts", "<"), ("weekday_day_counts_test", ">="
 SELECT day_of_week, count(DISTINCT CAST(slot_start AS DATE)) AS days FROM calendar
 WHERE slot_start {side} {TEST_START} GROUP BY 1""")
 check("calendar_lookup", *ZONE_SPARSE, sql="""
-SELECT DISTINCT week, day_of_week, time_of_day_code, day, hour, minute FROM sparse""")
+SELECT DISTINCT year, week, day_of_week, time_of_day_code, day, hour, minute FROM sparse""")
 for unit, table, column, part in (
     ("month", "orders", "o_orderdate", "month(o_orderdate)"),
     ("week", "orders", "o_orderdate", "weekofyear(o_orderdate)"),
@@ -319,7 +320,7 @@ check("zoning_grid", TRIPS, cells(25), INSIDE, sql=cell_counts(600))
 check("feat_drop", *ZONE_SPARSE, sql=f"SELECT {CALENDAR_COLUMNS}, demand FROM sparse")
 check("filter_zone", TRIPS, zone_demand(), sql="SELECT * FROM demand WHERE zone_id = 7")
 check("split_by_week", *ZONE_SPARSE, sql=f"""
-SELECT slot_id, zone_id, week, demand, week < {TEST_WEEK} AS is_train FROM sparse""")
+SELECT slot_id, zone_id, week, demand, before_test AS is_train FROM sparse""")
 check("groups_min_rows", TRIPS, zone_demand(), sql="""
 SELECT zone_id, count(*) AS n FROM demand GROUP BY 1 HAVING count(*) >= 10""")
 check("groups_train_test", TRIPS, zone_demand(), sql=f"""
@@ -372,12 +373,12 @@ SELECT k.trip_id, k.slot_id, k.zone_id, coalesce(d.demand, 0) AS demand
 FROM (SELECT trip_id, {slot('dropoff_ts')} AS slot_id, pickup_zone AS zone_id FROM trips) k
 LEFT JOIN demand d ON d.slot_id = k.slot_id AND d.zone_id = k.zone_id""")
 check("lookup_features", *ZONE_SPARSE, sql=f"""
-SELECT s.week, s.day_of_week, s.time_of_day_code, s.zone_id, s.slot_id, s.day, s.hour, s.minute,
+SELECT s.year, s.week, s.day_of_week, s.time_of_day_code, s.zone_id, s.slot_id, s.day, s.hour, s.minute,
   s.demand
 FROM sparse s WHERE EXISTS (SELECT 1 FROM trips t
   WHERE {slot('t.dropoff_ts')} = s.slot_id AND t.pickup_zone = s.zone_id)""")
 check("lookup_features_grid", *CELL_SPARSE, sql=f"""
-SELECT f.* FROM ({grid_features('sparse')}) f WHERE EXISTS (SELECT 1 FROM inside t
+SELECT f.* FROM ({grid_features('sparse', 'year, ')}) f WHERE EXISTS (SELECT 1 FROM inside t
   WHERE {slot('t.dropoff_ts')} = f.slot_id AND t.dropoff_x = f.cell_x AND t.dropoff_y = f.cell_y)""")
 check("distinct_zones", TRIPS, sql="SELECT DISTINCT pickup_zone AS zone_id FROM trips")
 check("zone_counts", TRIPS, sql="""
@@ -385,8 +386,8 @@ SELECT pickup_zone AS zone_id, count(*) AS cnt FROM trips GROUP BY 1""")
 
 # --- features --------------------------------------------------------------
 
-ALL_ZONES_DENSE = """dense AS MATERIALIZED (
-  SELECT s.*, z.zone_id, coalesce(d.demand, 0) AS demand
+ALL_ZONES_DENSE = f"""dense AS MATERIALIZED (
+  SELECT s.*, z.zone_id, coalesce(d.demand, 0) AS demand, s.slot_start < {TEST_MONDAY} AS before_test
   FROM calendar s CROSS JOIN (SELECT zone_id FROM zones) z
   LEFT JOIN demand d ON d.slot_id = s.slot_id AND d.zone_id = z.zone_id)"""
 check("features_cluster", *ZONING, located_demand(3600), calendar(3600),
@@ -399,7 +400,7 @@ SPARSE_FLAGGED = (*ZONING, located_demand(600), calendar(600), SPARSE, FLAGS)
 check("features_sparse", *SPARSE_FLAGGED, sql=f"""
 {FLAGGED}, r.month FROM sparse r LEFT JOIN flags f ON f.zone_id = r.zone_id""")
 check("zone_train_test", *ZONE_SPARSE, sql=f"""
-SELECT {CALENDAR_COLUMNS}, demand, week < {TEST_WEEK} AS is_train FROM sparse WHERE zone_id = 12""")
+SELECT {CALENDAR_COLUMNS}, demand, before_test AS is_train FROM sparse WHERE zone_id = 12""")
 VECTOR = ("time_of_day_code", "zone_id", "day_of_week", "day", "week", "hour", "minute",
           "is_manhattan", "is_airport")
 check("assemble_features", *SPARSE_FLAGGED, sql=f"""
@@ -475,13 +476,13 @@ def line(keys: str, feature: str, extra: str = "") -> str:
     return f"""model AS MATERIALIZED (
   SELECT {keys}, count(*) AS n_train, coalesce(regr_slope(demand, {feature}), 0) AS slope,
     coalesce(regr_intercept(demand, {feature}), avg(demand)) AS intercept
-  FROM dense WHERE week < {TEST_WEEK} GROUP BY {keys})"""
+  FROM dense WHERE before_test GROUP BY {keys})"""
 
 
 def line_scored(feature: str) -> str:
     return f"""line AS MATERIALIZED (
   SELECT t.zone_id, t.demand, m.intercept + m.slope * t.{feature} AS prediction
-  FROM dense t JOIN model m ON m.zone_id = t.zone_id WHERE t.week >= {TEST_WEEK})"""
+  FROM dense t JOIN model m ON m.zone_id = t.zone_id WHERE NOT t.before_test)"""
 
 
 check("ols_zone", *ZONE_MODEL, line("zone_id", "time_of_day_code"), sql="""
@@ -505,7 +506,7 @@ def two_features(keys: str) -> str:
         avg(time_of_day_code) AS m2, var_pop(day_of_week) AS c11,
         var_pop(time_of_day_code) AS c22, covar_pop(day_of_week, time_of_day_code) AS c12,
         covar_pop(day_of_week, demand) AS c1y, covar_pop(time_of_day_code, demand) AS c2y
-      FROM dense WHERE week < {TEST_WEEK} {group})))"""
+      FROM dense WHERE before_test {group})))"""
 
 
 check("ols_zone_two", *ZONE_MODEL, two_features("zone_id"), sql="""
@@ -513,7 +514,7 @@ SELECT zone_id, n, round(intercept, 6) AS intercept, round(b1, 6) AS b_day_of_we
   round(b2, 6) AS b_time_of_day_code FROM two""")
 check("ols_global_exact", *ZONE_MODEL, two_features(""), f"""scored AS (
   SELECT t.demand, intercept + b1 * t.day_of_week + b2 * t.time_of_day_code AS prediction
-  FROM dense t CROSS JOIN two WHERE t.week >= {TEST_WEEK})""", sql=scores("scored", ()))
+  FROM dense t CROSS JOIN two WHERE NOT t.before_test)""", sql=scores("scored", ()))
 
 
 def solved(keys: list[str], features: list[str]) -> list[str]:
@@ -531,7 +532,7 @@ def solved(keys: list[str], features: list[str]) -> list[str]:
         f"covar_pop({columns[j]}, {columns[i]}) AS a_{i}_{j}" for i in range(p) for j in range(p + 1)
     )
     parts = [f"""step_0 AS MATERIALIZED (
-  SELECT {lead} {means}, {first} FROM dense WHERE week < {TEST_WEEK} {group})"""]
+  SELECT {lead} {means}, {first} FROM dense WHERE before_test {group})"""]
     kept = lead + ", ".join(f"m_{i}" for i in range(p + 1))
     for pivot in range(p):
         entries = []
@@ -547,7 +548,7 @@ def solved(keys: list[str], features: list[str]) -> list[str]:
     on = " AND ".join(f"t.{k} = m.{k}" for k in keys) or "true"
     parts.append(f"""fitted AS MATERIALIZED (
   SELECT t.zone_id, t.demand, m.m_{p}{terms} AS prediction
-  FROM dense t JOIN step_{p} m ON {on} WHERE t.week >= {TEST_WEEK})""")
+  FROM dense t JOIN step_{p} m ON {on} WHERE NOT t.before_test)""")
     return parts
 
 
@@ -561,8 +562,8 @@ SELECT CAST(zone_id // 5 AS INT) AS cell_x, CAST(zone_id % 5 AS INT) AS cell_y,
 FROM ({scores('fitted')})""")
 GLOBAL_ROWS = (
     *ZONING, located_demand(3600), calendar(3600), "zones AS (SELECT zone_id FROM centroids)",
-    ALL_ZONES_DENSE.replace("dense AS", "unflagged AS"), FLAGS,
-    f"dense AS MATERIALIZED ({FLAGGED} FROM unflagged r LEFT JOIN flags f ON f.zone_id = r.zone_id)",
+    ALL_ZONES_DENSE.replace("dense AS", "unflagged AS", 1), FLAGS,
+    f"dense AS MATERIALIZED ({FLAGGED}, r.before_test FROM unflagged r LEFT JOIN flags f ON f.zone_id = r.zone_id)",
 )
 check("ols_global_zones", *GLOBAL_ROWS,
       *solved([], ["hour", "zone_id", "day_of_week", "week", "is_manhattan", "is_airport"]),
@@ -577,7 +578,7 @@ def tree_levels(keys: list[str], features: list[str], depth: int) -> list[str]:
     same = " AND ".join([*(f"r.{k} = b.{k}" for k in keys), "r.node_id = b.node_id"])
     pairs = ", ".join(f"{{'f': '{f}', 'v': CAST({f} AS DOUBLE)}}" for f in features)
     value = "CASE b.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in features) + " END"
-    parts = [f"rows_0 AS MATERIALIZED (SELECT *, 1 AS node_id FROM dense WHERE week < {TEST_WEEK})"]
+    parts = [f"rows_0 AS MATERIALIZED (SELECT *, 1 AS node_id FROM dense WHERE before_test)"]
     for level in range(depth):
         parts.append(f"""hist_{level} AS MATERIALIZED (
   SELECT {lead} node_id, p.f AS feature, p.v AS value, count(*) AS c,
@@ -621,7 +622,7 @@ def tree_scored(keys: list[str], features: list[str], depth: int) -> str:
     """Test rows sent down the tree, one step per level."""
     lead = " AND ".join(f"t.{k} = n.{k}" for k in keys) or "true"
     value = "CASE n.feature " + " ".join(f"WHEN '{f}' THEN t.{f}" for f in features) + " END"
-    source = f"(SELECT *, 1 AS node_id FROM dense WHERE week >= {TEST_WEEK})"
+    source = f"(SELECT *, 1 AS node_id FROM dense WHERE NOT before_test)"
     for level in range(depth):
         source = f"""(SELECT t.* REPLACE (CASE WHEN n.feature IS NULL THEN t.node_id
       ELSE t.node_id * 2 + CASE WHEN {value} > n.threshold THEN 1 ELSE 0 END END AS node_id)
@@ -772,12 +773,12 @@ TESTED = """
 SELECT zone_id, count(*) AS n, true AS better{more} FROM {rows} GROUP BY 1
 UNION ALL SELECT NULL, count(*), true{more} FROM {rows}"""
 check("tree_global_facts", *GLOBAL_ROWS, sql=TESTED.format(
-    rows=f"(SELECT zone_id FROM dense WHERE week >= {TEST_WEEK})", more=", true AS leaf_means"))
+    rows=f"(SELECT zone_id FROM dense WHERE NOT before_test)", more=", true AS leaf_means"))
 check("tree_default_facts", TRIPS, zone_demand(), sql=TESTED.format(rows="demand", more=", true AS leaf_means"))
 check("forest_facts", TRIPS, zone_demand(), sql=TESTED.format(rows="demand", more=""))
 check("mlp_cell_facts", *CELL_HOURLY, sql=f"""
-SELECT zone_id, count(*) FILTER (WHERE week < {TEST_WEEK}) AS n_train,
-  count(*) FILTER (WHERE week >= {TEST_WEEK}) AS n_test, true AS finite
+SELECT zone_id, count(*) FILTER (WHERE before_test) AS n_train,
+  count(*) FILTER (WHERE NOT before_test) AS n_test, true AS finite
 FROM dense GROUP BY 1 HAVING n_train >= 5 AND n_test >= 3""")
 check("mlp_leading_facts", TRIPS, zone_demand(), sql="""
 SELECT zone_id, n - held AS n_train, held AS n_test, true AS finite

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from pulsegrid.operators import linear, trees
+from pulsegrid.operators.panels import Panel
 from pulsegrid.sources.reports import metric_report
 
 PREDICTORS: dict[str, Callable[..., DataFrame]] = {
@@ -14,13 +15,28 @@ PREDICTORS: dict[str, Callable[..., DataFrame]] = {
     "decision_tree": trees.fit_and_score,
 }
 
+#: The same on panels, whose rows are never made.
+PANEL_PREDICTORS: dict[str, Callable[..., DataFrame]] = {
+    "linear_regression": linear.score_panel,
+    "decision_tree": trees.score_panel,
+}
+
 
 def evaluate(
     name: str, train: DataFrame, test: DataFrame, features: list[str],
     n_train_slots: int, n_test_slots: int,
 ) -> DataFrame:
     """Fit the named predictor per zone and report its scores."""
-    if name not in PREDICTORS:
-        raise KeyError(f"unknown predictor {name!r}; known: {sorted(PREDICTORS)}")
-    scores = PREDICTORS[name](train, test, ["zone_id"], features)
+    scores = _named(PREDICTORS, name)(train, test, ["zone_id"], features)
     return metric_report(scores, name, n_train_slots, n_test_slots)
+
+
+def evaluate_panel(name: str, panel: Panel, features: list[str], n_train_slots: int, n_test_slots: int) -> DataFrame:
+    """Fit the named predictor per zone of a panel and report its scores."""
+    return metric_report(_named(PANEL_PREDICTORS, name)(panel, features), name, n_train_slots, n_test_slots)
+
+
+def _named(table: dict[str, Callable[..., DataFrame]], name: str) -> Callable[..., DataFrame]:
+    if name not in table:
+        raise KeyError(f"unknown predictor {name!r}; known: {sorted(table)}")
+    return table[name]

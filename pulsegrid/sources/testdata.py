@@ -56,16 +56,15 @@ class Tables:
     def test_start(self) -> date:
         return self.slots.origin + timedelta(days=TRAIN_DAYS)
 
-    @property
-    def test_week(self) -> int:
-        """The ISO week in which the test part of a split by week starts."""
-        return self.test_start.isocalendar().week
-
     @property
     def split(self) -> int:
         """The first test slot."""
         return self.slots.first_slot_of(self.test_start)
 
+    def week_split(self, slots: SlotSpec) -> int:
+        """The first test slot of a split by week: the start of the ISO week in which the test part starts."""
+        return slots.first_slot_of_week(self.test_start)
+
 
 def _coordinate(low: float, span: float, multiplier: int) -> str:
     # reduced first so that the product cannot overflow

@@ -81,6 +81,52 @@ def test_query_equals_sql_on_shifted_events(spark, shifted, name):
     assert difference(ours, connect(shifted).sql(CHECKS[name]).df()) is None
 
 
+@pytest.fixture(scope="module")
+def new_year(spark, tiny, tmp_path_factory):
+    """Events from 22 December on: the split lies in January."""
+    return _moved(spark, tiny, tmp_path_factory, "new-year", "ts - INTERVAL '10' DAY AS ts")
+
+
+@pytest.fixture(scope="module")
+def two_years(spark, tiny, tmp_path_factory):
+    """Every event again 371 days later, on the same weekday of an ISO week of the same number."""
+    return _moved(spark, tiny, tmp_path_factory, "two-years", "explode(array(ts, ts + INTERVAL '371' DAY)) AS ts")
+
+
+def _moved(spark, tiny, factory, name, ts):
+    path = str(factory.mktemp(name))
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    moved = events.selectExpr(*[ts if c == "ts" else c for c in events.columns])
+    # ids stay unique
+    moved.selectExpr("* EXCEPT (event_id)", "row_number() OVER (ORDER BY event_id, ts) AS event_id").toPandas().to_parquet(
+        f"{path}/events.parquet", coerce_timestamps="us"
+    )
+    return path
+
+
+@pytest.mark.parametrize("name", [
+    "split_by_week", "zone_groups", "zone_train_test", "ols_zone_scored", "ols_zone_multi", "ols_cell", "eval_rollup", "tree_zone_scored",
+    "ols_global_zones", "tree_global_cells", "metric_summary", "calendar_lookup",
+])
+def test_query_equals_sql_across_a_new_year(spark, new_year, name):
+    ours = QUERIES[name](spark, new_year).toPandas()
+    assert difference(ours, connect(new_year).sql(CHECKS[name]).df()) is None
+
+
+def test_training_lies_before_the_test_part_across_a_new_year(spark, new_year):
+    rows = QUERIES["split_by_week"](spark, new_year)
+    last, first = rows.selectExpr("max(IF(is_train, slot_id, NULL))", "min(IF(is_train, NULL, slot_id))").first()
+    assert last < first
+
+
+@pytest.mark.parametrize("name", ["calendar_lookup", "lookup_features", "lookup_features_grid", "slot_calendar"])
+def test_query_equals_sql_on_two_years(spark, two_years, name):
+    ours = QUERIES[name](spark, two_years)
+    assert difference(ours.toPandas(), connect(two_years).sql(CHECKS[name]).df()) is None
+    if name == "calendar_lookup":
+        assert ours.count() == ours.select("year", "week", "day_of_week", "time_of_day_code").distinct().count()
+
+
 @pytest.mark.parametrize("name", ["demand_cluster", "mean_profile_cell", "tree_zone_depth3"])
 def test_input_partitioning_does_not_matter(spark, tiny, monkeypatch, name):
     before = QUERIES[name](spark, tiny).toPandas()

@@ -55,7 +55,7 @@ def test_constant_rmse(spark):
 
 def test_ols_equals_numpy_on_collinear_features(spark, rows):
     names = list(Fe.LAYOUT_CALENDAR)
-    train, test = splits.by_week(rows, 4)
+    train, test = splits.by_week(rows, SLOTS, date(2024, 1, 22))
     model = linear.fit_ols(train, ["zone_id"], names)
     ours = linear.predict_ols(test, model, ["zone_id"], names).toPandas()
     train, test = train.toPandas(), test.toPandas()
@@ -69,7 +69,7 @@ def test_ols_equals_numpy_on_collinear_features(spark, rows):
 
 
 def test_predictors_by_name(spark, rows):
-    train, test = splits.by_week(rows, 4)
+    train, test = splits.by_week(rows, SLOTS, date(2024, 1, 22))
     for name in PREDICTORS:
         report = evaluate(name, train, test, list(Fe.LAYOUT_WEEKDAY), 3024, 1296).collect()
         assert {r.model for r in report} == {name}
@@ -79,7 +79,7 @@ def test_predictors_by_name(spark, rows):
 
 
 def test_library_regression_is_close_to_the_exact_one(spark, rows):
-    train, test = splits.by_week(rows, 4)
+    train, test = splits.by_week(rows, SLOTS, date(2024, 1, 22))
     layout = ["zone_id", *Fe.LAYOUT_CALENDAR]
     library = linear.global_regression(train, test, layout).filter("zone_id IS NULL").first()
     exact = linear.fit_and_score(train, test, [], layout).first()
