@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
+from pulsegrid.functions.coins import coin
 from pulsegrid.functions.slots import SlotSpec
 
 
@@ -38,6 +39,7 @@ def by_key(df: DataFrame, key: str, train_percent: int) -> DataFrame:
     return df.selectExpr("*", f"pmod({key}, 100) < {train_percent} AS is_train")
 
 
-def at_random(df: DataFrame, train: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """A random split into two frames."""
-    return tuple(df.randomSplit([train, 1.0 - train], seed))
+def at_random(df: DataFrame, train: float, seed: int, *key: str) -> tuple[DataFrame, DataFrame]:
+    """A random split into two frames by a coin that each row's key tosses, the same in every run."""
+    toss = f"{coin(seed, *key)} < {float(train)!r}D"
+    return df.filter(toss), df.filter(f"NOT ({toss})")

@@ -7,7 +7,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.coins import coin
 from pulsegrid.functions.grid import FLAG_BOXES, GridSpec, flag_columns
+from pulsegrid.operators import kmeans
 from pulsegrid.operators.nearest import nearest_zone
 
 ENDS = ("pickup", "dropoff")
@@ -36,24 +38,41 @@ def nonzero_points(trips: DataFrame) -> DataFrame:
     )
 
 
-def bernoulli_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Keep each row with the given probability."""
-    return df.sample(False, fraction, seed)
+def bernoulli_sample(df: DataFrame, fraction: float, seed: int, *key: str) -> DataFrame:
+    """Keep each row with the given probability, by a coin that its key tosses.
+
+    The sample does not depend on files, partitions or retries. Rows of one key stay or go together.
+    """
+    return df.filter(f"{coin(seed, *key)} < {float(fraction)!r}D")
 
 
 def train_kmeans(
     trips: DataFrame, k: int, fraction: float = 1.0, seed: int = 1, max_iter: int = 1000
 ) -> KMeansModel:
-    """k-means on a Bernoulli sample of the pickup points."""
-    sample = trips.select("pickup_lon", "pickup_lat").dropna()
+    """The library's k-means on a Bernoulli sample of the pickup points; ``kmeans.train`` can be replayed."""
+    sample = trips
     if fraction < 1.0:
-        sample = bernoulli_sample(sample, fraction, seed)
+        sample = bernoulli_sample(sample, fraction, seed, "trip_id")
+    sample = sample.select("pickup_lon", "pickup_lat").dropna()
     vectors = VectorAssembler(
         inputCols=["pickup_lon", "pickup_lat"], outputCol="features"
     ).transform(sample).select("features")
     return KMeans(k=k, seed=seed, maxIter=max_iter).fit(vectors)
 
 
+def cluster_sample(
+    trips: DataFrame, k: int | None = None, fraction: float = 1.0, seed: int = 1, steps: int = 20, factor: int | None = None
+) -> DataFrame:
+    """The centroid table of a Bernoulli sample of the pickup points.
+
+    Without ``k`` there is one centroid for every ``factor`` sampled points.
+    """
+    sample = bernoulli_sample(trips, fraction, seed, "trip_id") if fraction < 1.0 else trips
+    if k is None:
+        k = kmeans.size_of(sample.count(), factor)
+    return kmeans.train(sample, "pickup_lon", "pickup_lat", k, steps, seed)
+
+
 def centroid_table(trips: DataFrame, model: KMeansModel) -> DataFrame:
     """``zone_id, centroid_lon, centroid_lat``; ``k`` rows held by the model."""
     rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]

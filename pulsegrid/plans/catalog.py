@@ -41,6 +41,8 @@ CALENDAR_LAYOUT = list(Fe.LAYOUT_CALENDAR)
 CELL_LAYOUT = list(Fe.LAYOUT_CELL)
 #: What names a slot of a calendar of several years.
 WEEK_KEYS = ("year", "week", "day_of_week", "time_of_day_code")
+#: Steps of the k-means queries, and sampled trips for each centroid.
+KMEANS_STEPS, KMEANS_FACTOR = 4, 50
 MODELS = ["tree", "line", "zone_mean", "global_mean"]
 
 
@@ -360,14 +362,13 @@ def nearest_centroid_points(t):
 @query
 def kmeans_train(t):
     trips = t.trips
-    model = Z.train_kmeans(trips, k=20, fraction=0.5, seed=7)
-    return Z.centroid_table(trips, model)
+    return Z.cluster_sample(trips, fraction=0.5, seed=7, steps=KMEANS_STEPS, factor=KMEANS_FACTOR)
 
 
 @query
 def centroid_table(t):
     trips = t.trips
-    return Z.centroid_table(trips, Z.train_kmeans(trips, k=8, seed=3)).selectExpr(
+    return Z.cluster_sample(trips, k=8, seed=3, steps=KMEANS_STEPS).selectExpr(
         "zone_id", "round(centroid_lon, 3) AS centroid_lon",
         "round(centroid_lat, 3) AS centroid_lat",
     )
@@ -420,7 +421,7 @@ def nonzero_points(t):
 @query
 def zoning_clusters(t):
     """Trips to k-means zones to zero-filled demand in one job."""
-    _, demand = zoning.cluster_demand(t.trips, t.hourly, k=20, fraction=0.5, seed=7)
+    _, demand = zoning.cluster_demand(t.trips, t.hourly, k=20, fraction=0.5, seed=7, steps=KMEANS_STEPS)
     return demand
 
 
@@ -491,7 +492,7 @@ def split_by_key(t):
 
 @query
 def split_random(t):
-    train, test = splits.at_random(_zone_demand(t), 0.7, seed=5)
+    train, test = splits.at_random(_zone_demand(t), 0.7, 5, "slot_id", "zone_id")
     return train.selectExpr("*", "true AS is_train").unionByName(
         test.selectExpr("*", "false AS is_train")
     )
@@ -499,7 +500,7 @@ def split_random(t):
 
 @query
 def bernoulli_sample(t):
-    return Z.bernoulli_sample(t.trips, 0.25, seed=11)
+    return Z.bernoulli_sample(t.trips, 0.25, 11, "trip_id")
 
 
 @query
@@ -856,7 +857,7 @@ def tree_depth_sweep(t):
 @rounded
 def tree_default(t):
     """The default-depth tree on slot and zone, random 70/30 split."""
-    train, test = splits.at_random(materialize(_zone_demand(t), "demand"), 0.7, seed=5)
+    train, test = splits.at_random(materialize(_zone_demand(t), "demand"), 0.7, 5, "slot_id", "zone_id")
     return trees.score_model(
         trees.global_tree(train, Fe.LAYOUT_SLOT_ZONE), test, Fe.LAYOUT_SLOT_ZONE
     )
@@ -865,7 +866,7 @@ def tree_default(t):
 @rounded
 def forest(t):
     """A random forest on slot and zone, random 70/30 split."""
-    train, test = splits.at_random(materialize(_zone_demand(t), "demand"), 0.7, seed=5)
+    train, test = splits.at_random(materialize(_zone_demand(t), "demand"), 0.7, 5, "slot_id", "zone_id")
     model = trees.global_forest(train, Fe.LAYOUT_SLOT_ZONE, seed=5)
     return trees.score_model(model, test, Fe.LAYOUT_SLOT_ZONE)
 
@@ -1100,7 +1101,7 @@ def tree_global_facts(t):
 def tree_default_facts(t):
     """The default tree fitted on the random 70 percent; all rows are scored."""
     rows = materialize(_zone_demand(t), "demand")
-    train = materialize(splits.at_random(rows, 0.7, seed=5)[0], "train")
+    train = materialize(splits.at_random(rows, 0.7, 5, "slot_id", "zone_id")[0], "train")
     model = trees.global_tree(train, Fe.LAYOUT_SLOT_ZONE)
     return _fit_facts(model, train, rows, Fe.LAYOUT_SLOT_ZONE, tree=True)
 
@@ -1109,7 +1110,7 @@ def tree_default_facts(t):
 def forest_facts(t):
     """The forest fitted on the random 70 percent; all rows are scored."""
     rows = materialize(_zone_demand(t), "demand")
-    train = materialize(splits.at_random(rows, 0.7, seed=5)[0], "train")
+    train = materialize(splits.at_random(rows, 0.7, 5, "slot_id", "zone_id")[0], "train")
     model = trees.global_forest(train, Fe.LAYOUT_SLOT_ZONE, seed=5)
     return _fit_facts(model, train, rows, Fe.LAYOUT_SLOT_ZONE, tree=False)
 

@@ -792,3 +792,42 @@ check("sql_over_views", TRIPS, sql="""
 SELECT strftime(pickup_ts, '%Y-%m-%d') AS day, count(*) AS n, max(dropoff_ts) AS last FROM trips GROUP BY 1""")
 check("demand_kept_on_disk", TRIPS, zone_demand(), sql="""
 SELECT *, CAST(sum(demand) OVER (PARTITION BY zone_id) AS BIGINT) AS total FROM demand""")
+
+# --- choices by hashed keys: the same rows in every engine -----------------------
+
+
+def toss(seed: int, *key: str) -> str:
+    parts = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    return f"CAST('0x' || substr(md5({parts} || ':{seed}'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+
+
+check("bernoulli_sample", TRIPS, sql=f"SELECT * FROM trips WHERE {toss(11, 'trip_id')} < {dbl(0.25)}")
+check("split_random", TRIPS, zone_demand(), sql=f"""
+SELECT *, {toss(5, 'slot_id', 'zone_id')} < {dbl(0.7)} AS is_train FROM demand""")
+
+
+def kmeans(points: str, k: str, seed: int, steps: int) -> list[str]:
+    """Every step of k-means by all pairs of places and centroids."""
+    parts = [f"""places AS MATERIALIZED (
+  SELECT pickup_lon AS lon, pickup_lat AS lat, count(*) AS n FROM {points} GROUP BY 1, 2)""", f"""centroids_0 AS MATERIALIZED (
+  SELECT CAST(rn - 1 AS INT) AS zone_id, lon, lat
+  FROM (SELECT *, row_number() OVER (ORDER BY {toss(seed, 'lon', 'lat')}, lon, lat) AS rn FROM places) WHERE rn <= {k})"""]
+    for i in range(steps):
+        parts.append(f"""centroids_{i + 1} AS MATERIALIZED (
+  SELECT c.zone_id, coalesce(m.lon, c.lon) AS lon, coalesce(m.lat, c.lat) AS lat FROM centroids_{i} c
+  LEFT JOIN (SELECT zone_id, round(sum(lon * n) / sum(n), 9) AS lon, round(sum(lat * n) / sum(n), 9) AS lat FROM (
+      SELECT p.*, c.zone_id, row_number() OVER (PARTITION BY p.lon, p.lat ORDER BY
+        (c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat), c.zone_id) AS rn
+      FROM places p CROSS JOIN centroids_{i} c) WHERE rn = 1 GROUP BY 1) m ON m.zone_id = c.zone_id)""")
+    return parts
+
+
+SAMPLED = f"sampled AS MATERIALIZED (SELECT * FROM trips WHERE {toss(7, 'trip_id')} < {dbl(0.5)})"
+check("kmeans_train", TRIPS, SAMPLED, *kmeans("sampled", "(SELECT greatest(count(*) // 50, 1) FROM sampled)", 7, 4), sql="""
+SELECT zone_id, lon AS centroid_lon, lat AS centroid_lat FROM centroids_4""")
+check("centroid_table", TRIPS, *kmeans("trips", "8", 3, 4), sql="""
+SELECT zone_id, round(lon, 3) AS centroid_lon, round(lat, 3) AS centroid_lat FROM centroids_4""")
+check("zoning_clusters", TRIPS, SAMPLED, *kmeans("sampled", "20", 7, 4),
+      "centroids AS (SELECT zone_id, lon AS centroid_lon, lat AS centroid_lat FROM centroids_4)", nearest("pickup"), """located AS (
+  SELECT t.pickup_ts, p.pickup_zone FROM (SELECT trip_id, pickup_ts FROM trips) t JOIN pickups p USING (trip_id))""",
+      located_demand(3600), sql=OBSERVED)

@@ -42,17 +42,16 @@ def slots_and_cells(trips: DataFrame, slots: SlotSpec, grid: GridSpec) -> DataFr
 
 
 def cluster_demand(
-    trips: DataFrame, slots: SlotSpec, k: int, fraction: float = 1.0, seed: int = 1,
-    max_iter: int = 1000, keep: dict[str, str] | None = None,
+    trips: DataFrame, slots: SlotSpec, k: int | None = None, fraction: float = 1.0, seed: int = 1,
+    steps: int = 20, keep: dict[str, str] | None = None, factor: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """k-means zones and the zero-filled demand over observed slots and zones.
 
-    Returns ``(centroids, demand)``. ``keep`` names paths for the intermediate
+    Returns ``(centroids, demand)``. Without ``k`` there is one zone for every ``factor`` sampled trips. ``keep`` names paths for the intermediate
     tables ``zones`` and ``combined`` when they are wanted.
     """
     keep = keep or {}
-    model = Z.train_kmeans(trips, k, fraction, seed, max_iter)
-    centroids = Z.centroid_table(trips, model)
+    centroids = Z.cluster_sample(trips, k, fraction, seed, steps, factor)
     ends = Z.ENDS if "combined" in keep else ("pickup",)
     combined = slots_and_zones(trips, slots, centroids, ends)
     if "zones" in keep:

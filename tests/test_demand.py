@@ -81,7 +81,7 @@ def test_splits(spark):
         assert [t for _, t in mine] == [False] * size + [True] * (len(mine) - size)
     first = splits.first_n(demand, 3).filter("is_train").groupBy("zone_id").count()
     assert first.agg(F.max("count")).first()[0] == 3
-    train, test = splits.at_random(demand, 0.7, 1)
+    train, test = splits.at_random(demand, 0.7, 1, "slot_id", "zone_id")
     assert train.count() + test.count() == demand.count()
 
 

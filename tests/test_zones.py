@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from pulsegrid.functions.grid import CITY_GRID, GridSpec, flag_columns
+from pulsegrid.operators import kmeans, splits
 from pulsegrid.operators import zones as Z
 
 LON = [
@@ -125,3 +127,37 @@ def test_heat_map_can_sum_or_count(spark):
     assert Z.heat_map(cells, grid).first().cnt == 2
     row = Z.heat_map(cells, grid, "demand").first()
     assert (row.cnt, round(row.bubble, 6)) == (10, 2.0)
+
+
+def test_kmeans_equals_a_direct_replay(spark):
+    """Places, ties and a centroid that loses its points, against loops over all pairs."""
+    rng = np.random.default_rng(4)
+    points = np.round(rng.normal(0, 1, (300, 2)) + rng.choice([-4, 0, 4], (300, 1)), 1)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(points)] + [(900, None, 1.0), (901, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "trip_id int, x double, y double")
+    places = df.selectExpr("x AS lon", "y AS lat").dropna().distinct()
+    centres = {r.zone_id: (r.centroid_lon, r.centroid_lat) for r in kmeans.start(places, 7, 5).collect()}
+    assert sorted(centres) == list(range(7))
+    for _ in range(6):
+        c = np.array([centres[z] for z in range(7)])
+        nearest = [int(((c[:, 0] - x) * (c[:, 0] - x) + (c[:, 1] - y) * (c[:, 1] - y)).argmin()) for x, y in points]
+        for z in range(7):
+            own = points[[n == z for n in nearest]]
+            if len(own):
+                centres[z] = tuple(np.round(own.mean(axis=0), 9))
+    for few in (0, 64):  # through the index, and as one list
+        old, kmeans.FEW = kmeans.FEW, few
+        got = {r.zone_id: (r.centroid_lon, r.centroid_lat) for r in kmeans.train(df, "x", "y", 7, 6, 5).collect()}
+        kmeans.FEW = old
+        assert got.keys() == centres.keys()
+        assert all(np.allclose(got[z], centres[z], atol=1e-8) for z in centres)
+    assert kmeans.train(df.limit(3), "x", "y", 7, 2, 5).count() <= 3
+    assert kmeans.size_of(1000, 50) == 20 and kmeans.size_of(3, 50) == 1
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).toDF("trip_id")
+    a, b = (Z.bernoulli_sample(df.repartition(n), 0.25, 3, "trip_id") for n in (3, 7))
+    assert a.exceptAll(b).isEmpty() and a.count() == b.count() and 1100 < a.count() < 1400
+    train, test = splits.at_random(df, 0.7, 3, "trip_id")
+    assert train.unionByName(test).distinct().count() == 5000 and train.join(test, "trip_id").isEmpty()
