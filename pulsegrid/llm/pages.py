@@ -43,6 +43,29 @@ OTHER_WORDS = {
     "toc", "toolbar", "topbar", "warning", "widget", "widgets",
 }
 NOT_WORDS = {"has", "no", "with", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+# Elements whose end tag may be left out, the start tags that end them, and the elements they are not ended across.
+_BLOCKS = {
+    "address", "article", "aside", "blockquote", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+    "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot",
+}
+_TABLE = {"table"}
+IMPLIED: list[tuple[str, set[str], set[str]]] = [
+    ("p", _BLOCKS, {"table", "td", "th", "caption", "button", "object"}),
+    ("option", {"option", "optgroup"}, {"select", "datalist"}),
+    ("li", {"li"}, {"ul", "ol", "menu"}),
+    ("dt", {"dt", "dd"}, {"dl"}),
+    ("dd", {"dt", "dd"}, {"dl"}),
+    ("td", {"td", "th", "tr", "thead", "tbody", "tfoot"}, _TABLE),
+    ("th", {"td", "th", "tr", "thead", "tbody", "tfoot"}, _TABLE),
+    ("tr", {"tr", "thead", "tbody", "tfoot"}, _TABLE),
+]
+_ENDS: dict[str, list[tuple[str, set[str]]]] = {}
+for _open, _starts, _walls in IMPLIED:
+    for _start in _starts:
+        _ENDS.setdefault(_start, []).append((_open, _walls))
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$",
@@ -55,10 +78,11 @@ _GAP = None
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> str:
-    """``skip``, ``layout`` (skipped by its name only), ``main``, ``maybe`` (by its name only) or nothing special."""
+    """``skip``, ``layout`` (skipped by its name only), ``inner`` (an article's header), ``main``, ``maybe`` (by its name only) or nothing."""
     if tag in SKIP or (tag == "header" and not inside):
         return "skip"
     words: set[str] = set()
+    layout = False
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
@@ -70,14 +94,18 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
                 return "main"
             if name in ("class", "id", "role"):
                 for part in value.split():
-                    here = {w.lower() for w in _WORD.findall(part)}
-                    if not here & NOT_WORDS:
-                        words |= here
+                    here = [w.lower() for w in _WORD.findall(part)]
+                    if here and not NOT_WORDS.intersection(here):
+                        words.update(here)
+                        # inside an article a name that ends in a layout word says layout, as in article-share
+                        layout |= here[-1] in OTHER_WORDS
     if tag not in NEVER_BY_NAME:
         if "comment" in words or "comments" in words:
             return "skip"
-        if words & OTHER_WORDS and tag != "article" and not (inside and words & MAIN_WORDS):
+        if words & OTHER_WORDS and tag != "article" and (layout or not (inside and words & MAIN_WORDS)):
             return "layout"
+    if tag == "header":
+        return "inner"
     if tag in MAIN_TAGS:
         return "main"
     return "maybe" if words & MAIN_WORDS and tag not in ("html", "body") else ""
@@ -91,7 +119,8 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
     out: list[tuple[str, int, int] | None] = []
     text: list[str] = []
     stack: list[tuple[str, str, int]] = []  # open elements, their kinds, and what was skipped when they began
-    skipping = main = maybe = linked = anchors = wrapped = hard = 0
+    places: dict[str, list[int]] = {}  # where in the stack each name is open
+    skipping = main = maybe = linked = anchors = wrapped = hard = inner = headings = 0
 
     def close() -> None:
         nonlocal linked
@@ -103,11 +132,37 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
 
     def say(piece: str) -> None:
         nonlocal linked
-        if not skipping:
+        # of an article's own header only the headings are its text
+        if not skipping and (not inner or headings):
             text.append(piece)
             if anchors:
                 linked += len(piece.strip())
 
+    def end_of(tag: str) -> None:
+        """Close the elements down to the last open ``tag``."""
+        nonlocal skipping, hard, wrapped, main, maybe, anchors, inner, headings
+        while stack:
+            t, kind, before = stack.pop()
+            places[t].pop()
+            if kind in ("skip", "layout"):
+                skipping -= 1
+                hard -= kind == "skip"
+                if not skipping:
+                    out.extend([_GAP] * WINDOW)
+            elif kind == "wrapped":
+                if not skipping:
+                    close()
+                skipping += before
+                wrapped -= 1
+                main -= 1
+            main -= kind == "main"
+            maybe -= kind == "maybe"
+            inner -= kind == "inner"
+            headings -= t in HEADINGS
+            anchors -= t == "a"
+            if t == tag:
+                break
+
     at, raw = 0, ""
     for m in _TOKEN.finditer(page):
         tag = (m[2] or m[5] or "").lower()
@@ -125,29 +180,16 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
             if not skipping:
                 close()
         if end:
-            if not any(t == tag for t, *_ in stack):
-                continue
-            while stack:
-                t, kind, before = stack.pop()
-                if kind in ("skip", "layout"):
-                    skipping -= 1
-                    hard -= kind == "skip"
-                    if not skipping:
-                        out.extend([_GAP] * WINDOW)
-                elif kind == "wrapped":
-                    if not skipping:
-                        close()
-                    skipping += before
-                    wrapped -= 1
-                    main -= 1
-                main -= kind == "main"
-                maybe -= kind == "maybe"
-                anchors -= t == "a"
-                if t == tag:
-                    break
-        elif tag in RAW:
+            if places.get(tag):
+                end_of(tag)
+            continue
+        if tag in RAW:
             raw = "" if (m[3] or m[6] or "").endswith("/") else tag
-        elif tag not in VOID:
+            continue
+        for ended, walls in _ENDS.get(tag, ()):
+            if places.get(ended) and all(places[ended][-1] > places[w][-1] for w in walls if places.get(w)):
+                end_of(ended)
+        if tag not in VOID:
             kind = _kind(tag, m[3] or m[6] or "", bool(main))
             before = 0
             if kind in ("skip", "layout"):
@@ -163,7 +205,10 @@ def lines(page: str) -> list[tuple[str, int, int] | None]:
                 main += 1
             main += kind == "main"
             maybe += kind == "maybe"
+            inner += kind == "inner"
+            headings += tag in HEADINGS
             anchors += tag == "a"
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, kind, before))
     if not raw:
         say(page[at:])

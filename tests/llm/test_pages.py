@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 import pytest
 
@@ -102,3 +103,36 @@ def test_layout_word_around_article(inner):
     assert main_text(f"<div hidden>{page}</div>") == main_text(f"<div class=comments>{page}</div>") == ""
     prose = "This is prose that is longer than the teaser beside it. " * 4
     assert main_text(f"<p>{prose}</p>{page}") == prose.strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><p class="notice">Cookie notice<p>Real article', "Real article"),
+    ('<article><ul><li class="share">Share<li>One<ul><li class=ad>Ad<li>Two</ul><li>Three</ul>', "One Two Three"),
+    ("<article><dl><dt class=notice>N<dd>D<dt>T</dl>x", "D T x"),
+    ("<article><table><tr><td class=ad>A<td>B<tr><td>C<table><td class=promo>P</table>D</table>E", "B C D E"),
+    ("<article><p class=notice>N<div>D</div>E", "D E"),
+    ("<article><select><option>a<option>b</select>c", "c"),
+    ("<article><p>a<b>b<p>c</b>d", "ab cd"),
+    ("<article><p class=ad>x<table><td><p>y</table>z", "y z"),
+    ('<article>A<div class="article-share">S</div><p class="entry-footer">F</p><div class=story-ad>X</div><div class="ad-content">C</div>', "A C"),
+    ('<article><div class="entry-content has-sidebar no-ads"><p>T</p></div><div class="post related">R</div>', "T"),
+    ("<article><header><h1>Title</h1><p>By A. Uthor</p></header><p>Text</p></article>", "Title Text"),
+])
+def test_names_and_implied_ends(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<p><b>x</b>", "<b>x", "<li>x", "<td><p>x", "<div>x</p></i>", "<p><table>"])
+def test_a_megabyte_of_open_elements(piece):
+    """Time in proportion to the page, however many elements stay open."""
+    begin = time.process_time()
+    main_text("<article>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - begin < 8
+
+
+def test_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, "<article>é😀</article>"), (None, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "9L AS n_chars")
+    got = sorted(map(tuple, extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "é😀", 2), (None, "v", "", 0)], key=str)
+    assert extract(pages.where("false")).collect() == []
