@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from corpus_pipeline import drop_near_duplicates
 
@@ -72,3 +73,61 @@ def test_repeated_and_null_ids(spark):
     got = sorted((str(r.doc_id), r.text) for r in copies.drop_copies(docs).collect())
     assert got == sorted([("4", a), ("4", b), ("None", c), ("None", "q")])
     assert copies.drop_copies(docs.where("false")).collect() == []
+
+
+def near_copies(size, seed=2):
+    """One group: texts of 300 words, 8 of them replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(300)]
+    out = []
+    for _ in range(size):
+        text = list(base)
+        for i in rng.sample(range(300), 8):
+            text[i] = word()
+        out.append(" ".join(text))
+    return list(enumerate(out))
+
+
+def test_candidates_grow_with_the_group(spark, monkeypatch):
+    """Pairs that are verified, for groups of 100, 200 and 400 near copies of which few are similar to each other."""
+    verify, counts = copies.verified, {}
+    for size in (100, 200, 400):
+        tables = []
+        monkeypatch.setattr(copies, "verified", lambda pairs, sets: tables.append(pairs.count()) or verify(pairs, sets))
+        rows = near_copies(size)
+        kept = sorted(r.doc_id for r in copies.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        counts[size] = sum(tables)
+        if size == 100:
+            assert kept == stay(rows)
+    assert counts[400] < 0.35 * 400 * 399 / 2  # before: 92 percent of all pairs
+    print(counts)
+
+
+def test_recall_of_pairs():
+    """Shared keys of pairs at 0.8 to 0.85, the hardest, and of unlike ones."""
+    rng = np.random.default_rng(5)
+    met = {0.8: 0, 0.85: 0, 0.5: 0}
+    for similarity in met:
+        for _ in range(400):
+            n = 600
+            shared = int(round(2 * n * similarity / (1 + similarity)))
+            pool = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+            a, b = pool[:n], np.concatenate([pool[:shared], pool[n : 2 * n - shared]])
+            met[similarity] += bool(np.any(copies.band_keys(a) == copies.band_keys(b)))
+    assert met[0.8] >= 0.95 * 400 and met[0.85] >= 0.99 * 400 and met[0.5] <= 0.1 * 400
+
+
+def test_clashing_names(spark):
+    """Columns of every name that the stages use inside."""
+    names = ["row_key", "_row_key", "nth", "_row", "_nth", "row", "n", "bands", "set_id", "key"]
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, None), (4, ""), (5, "other words that nobody else has here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'mine' AS {n}" for n in names])
+    got = copies.drop_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 5]
+    assert {tuple(r)[2:] for r in got.collect()} == {("mine",) * len(names)}
+    monkey = copies.FEW_ROWS
+    copies.FEW_ROWS = 0
+    assert sorted(r.doc_id for r in copies.drop_copies(docs).collect()) == [1, 3, 5]
+    copies.FEW_ROWS = monkey
