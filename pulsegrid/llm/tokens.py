@@ -30,9 +30,9 @@ RANGE_BYTES = 16 << 20
 LEAST_RANGES, LEAST_BYTES = 64, 1 << 20
 SHARD_TOKENS = 1 << 22
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Pieces of words, of each of two generations, whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 #: Words of these characters alone are cut by a plain pattern; others go through the whole tokenizer.
 _PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
