@@ -7,7 +7,7 @@ values. The bands are steep: a pair at 0.8 shares a key with probability 0.98 (0
 on the whole shingle sets, so no text goes by an estimate.
 
 A bucket (the classes of one key) may hold much of a corpus. Its classes meet representatives, in rounds:
-first its least class, then the next two, four, eight. Members already connected to a
+first its least class, then the next six, 24, 96. Members already connected to a
 representative do not meet it, and a bucket is done when all its classes are connected or have been
 representatives. So every candidate pair is verified or connected, and a group of near copies
 costs a few pairs a member.
@@ -165,7 +165,7 @@ def groups(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = held.selectExpr("set_id AS least", "n AS m").distinct()
     first = held.where("set_id <> least").select("set_id", "n", "least").distinct().join(sizes, "least").where(NEAR)
     found = materialize(verified(first.selectExpr("set_id AS a", "least AS b"), sets), "links")
-    done, high = 1, 3
+    done, high = 1, 7
     while True:
         roots = materialize(components(found), "roots").withColumnRenamed("node", "set_id")
         rooted = held.drop("least").join(roots, "set_id", "left").selectExpr("key", "set_id", "n", "coalesce(root, set_id) AS root")
@@ -181,7 +181,7 @@ def groups(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
         # one column order for both, so that a pair met in two buckets is one
         pairs = materialize(pairs.selectExpr("greatest(set_id, b) AS a", "least(set_id, b) AS b").distinct(), "pairs")
         found = materialize(found.unionByName(verified(pairs, sets)), "links")
-        done, high = high, 2 * high + 1
+        done, high = high, 4 * high + 3
 
 
 def stays(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
