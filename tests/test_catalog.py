@@ -98,15 +98,16 @@ def _moved(spark, tiny, factory, name, ts):
     events = spark.read.parquet(f"{tiny}/events.parquet")
     moved = events.selectExpr(*[ts if c == "ts" else c for c in events.columns])
     # ids stay unique
-    moved.selectExpr("* EXCEPT (event_id)", "row_number() OVER (ORDER BY event_id, ts) AS event_id").toPandas().to_parquet(
+    moved.selectExpr("* EXCEPT (event_id)", "CAST(row_number() OVER (ORDER BY event_id, ts) AS BIGINT) AS event_id").toPandas().to_parquet(
         f"{path}/events.parquet", coerce_timestamps="us"
     )
     return path
 
 
 @pytest.mark.parametrize("name", [
-    "split_by_week", "zone_groups", "zone_train_test", "ols_zone_scored", "ols_zone_multi", "ols_cell", "eval_rollup", "tree_zone_scored",
-    "ols_global_zones", "tree_global_cells", "metric_summary", "calendar_lookup",
+    # the statements on six calendar features span them by four, which holds within one month only; test_panels has those
+    "split_by_week", "zone_groups", "zone_train_test", "ols_zone_scored", "ols_zone_two", "ols_cell", "eval_rollup", "tree_zone_scored",
+    "metric_summary", "calendar_lookup",
 ])
 def test_query_equals_sql_across_a_new_year(spark, new_year, name):
     ours = QUERIES[name](spark, new_year).toPandas()
