@@ -97,7 +97,7 @@ def _units(fps: DataFrame, radius: int) -> DataFrame:
     return small.unionByName(other)
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least node reachable from each of ``n`` nodes by the links (i, j)."""
     root = np.arange(n)
     while True:
@@ -132,7 +132,7 @@ def links(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np
             i, j = i + a, j + c
             use = i < j
             if use.any():
-                root = _forest(len(fp), np.concatenate((np.arange(len(fp)), i[use])), np.concatenate((root, j[use])))
+                root = forest(len(fp), np.concatenate((np.arange(len(fp)), i[use])), np.concatenate((root, j[use])))
     hung = np.flatnonzero(root != np.arange(len(fp)))
     return fp[hung], fp[root[hung]]
 

@@ -131,3 +131,38 @@ def test_clashing_names(spark):
     copies.FEW_ROWS = 0
     assert sorted(r.doc_id for r in copies.drop_copies(docs).collect()) == [1, 3, 5]
     copies.FEW_ROWS = monkey
+
+
+def test_fingerprints_of_similar_sets():
+    """Sets at 0.8, small ones too, are within the radius; those at 0.5 are not."""
+    rng = np.random.default_rng(8)
+
+    def within(n, m, shared):
+        hits = 0
+        for _ in range(200):
+            pool = rng.integers(0, 1 << 63, n + m - shared, np.uint64)
+            a, b = (np.frombuffer(copies.simhash(x), np.uint64) for x in (pool[:n], np.concatenate([pool[:shared], pool[n:]])))
+            hits += bool(copies.near(a, np.int64(n), b, np.int64(m)))
+        return hits / 200
+
+    assert min(within(*x) for x in ((4, 5, 4), (9, 9, 8), (20, 16, 16), (45, 45, 40), (600, 600, 534))) >= 0.98
+    assert within(600, 600, 400) <= 0.01
+
+
+@pytest.mark.parametrize("tile, shingles", [(8, 1 << 18), (1024, 2000)])
+def test_tiles(spark, monkeypatch, tile, shingles):
+    """Buckets and components of many tiles, by members and by shingles, and shingles that many share."""
+    for name, value in (("TILE", tile), ("TILE_SHINGLES", shingles), ("BLOCK", 4), ("COMMON", 3)):
+        monkeypatch.setattr(copies, name, value)
+    rows = near_copies(60) + [(100 + d, t) for d, t in corpus(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.drop_copies(docs).collect()) == stay(rows)
+
+
+def test_rows_of_the_check_grow_with_the_members(spark, monkeypatch):
+    """No row for a pair: the exact check is given each class once while a component fits a tile."""
+    given, check = {}, copies.verified
+    for size in (100, 200, 400):
+        monkeypatch.setattr(copies, "verified", lambda rows, sets: given.update({size: rows.count()}) or check(rows, sets))
+        copies.drop_copies(spark.createDataFrame(near_copies(size), "doc_id long, text string")).count()
+    assert all(given[size] <= size for size in given)
