@@ -147,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encoded(docs: DataFrame, path: str, cuts: list[int]) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, cuts: list[int], group_bytes: int | None) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def _encoded(docs: DataFrame, path: str, cuts: list[int]) -> DataFrame:
             low = 0
             while low < batch.num_rows:
                 before = int(sizes[low - 1]) if low else 0
-                high = max(low + 1, int(np.searchsorted(sizes, before + GROUP_BYTES, "right")))
+                high = max(low + 1, int(np.searchsorted(sizes, before + (group_bytes or GROUP_BYTES), "right")))
                 rows = batch.slice(low, high - low)
                 one = high == low + 1 and rows["text"][0].as_py()
                 ids = [enc.encode(one) + end] if one else enc.encode_all(rows["text"], end)
@@ -203,7 +203,7 @@ class Shard:
 SHARDS = "part int, seq int, n_docs long, n_tokens long, shard binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, group_bytes: int | None = None) -> None:
     """Write the shards of ``docs`` (``doc_id``, ``text``) below ``path``, one file each.
 
     Every document ends with id 1. A null or empty text is the end id alone; null
@@ -241,7 +241,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
         if names:
             yield closed()
 
-    ranges = _encoded(docs, tokenizer, cuts).repartition("part").sortWithinPartitions("part", "doc_id", "ids")
+    ranges = _encoded(docs, tokenizer, cuts, group_bytes).repartition("part").sortWithinPartitions("part", "doc_id", "ids")
     ranges.mapInArrow(shards, SHARDS).write.option("maxRecordsPerFile", 1).parquet(path)
 
 
