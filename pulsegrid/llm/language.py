@@ -33,6 +33,8 @@ LEAST_DOCS = 30
 STRETCH = 512
 #: Characters that are moved together.
 BATCH_CHARS = 1 << 19
+#: Rows that a worker returns together.
+ROWS_BACK = 1024
 UNDETERMINED = "und"
 
 _models: dict[str, Model] = {}
@@ -240,11 +242,14 @@ def identify(docs: DataFrame, trained: dict[str, str] | None = None) -> DataFram
             _models[key] = Model(sent.value)
         for batch in batches:
             lang, score = _models[key].predict((t.as_py() for t in batch["text"]), batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
+            found = pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
-            del batch
+            # in pieces, as the executor holds a whole batch that comes back
+            for i in range(0, found.num_rows, ROWS_BACK):
+                yield found.slice(i, ROWS_BACK)
+            del batch, found
         pa.default_memory_pool().release_unused()
 
     schema = fields.add("lang_pred", "string").add("score", "double")

@@ -5,10 +5,15 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
+import pytest
 from test_copies import stay
 from tokenizers import Tokenizer
 
+from pulsegrid.llm import copies, tokens
+from pulsegrid.session import BATCH_BYTES, small_batches
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -44,3 +49,46 @@ def test_columns_of_the_stages_own_names(spark, tiny):
         rows = docs.collect()
         assert rows and all(r[n] == "mine" for r in rows for n in names), name
         docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    docs = spark.range(200).selectExpr("id", "repeat('x', 100000) AS text").coalesce(1)
+    with small_batches(spark):
+        rows = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 200 and max(r.size for r in rows) < 5e6
+    assert spark.conf.get(BATCH_BYTES, None) is None
+    with pytest.raises(KeyError), small_batches(spark):
+        raise KeyError
+    assert spark.conf.get(BATCH_BYTES, None) is None
+    spark.conf.set(BATCH_BYTES, "1m")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_BYTES) == "1m"
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
+def test_stages_of_whole_texts_work_in_small_batches(spark, tiny, monkeypatch):
+    seen = {}
+
+    def watched(module, name):
+        inner = getattr(module, name)
+
+        def run(*args, **how):
+            seen[name] = spark.conf.get(BATCH_BYTES, None), how.get("group_bytes")
+            return inner(*args, **how)
+
+        monkeypatch.setattr(module, name, run)
+
+    watched(copies, "drop_copies")
+    watched(tokens, "write")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(40)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, tiny).count() > 0
+    assert corpus_pipeline.write_tokens(spark, docs, tiny).count() == 40
+    assert seen == {"drop_copies": ("4m", None), "write": ("4m", 1 << 20)}
+    assert spark.conf.get(BATCH_BYTES, None) is None
