@@ -138,4 +138,4 @@ def read_grid_meta(spark: SparkSession, path: str) -> GridSpec:
 
 def keep_on_disk(df: DataFrame) -> DataFrame:
     """Keep a re-used table on the executors' disks instead of their memory, until its scope ends."""
-    return kept(df.persist(StorageLevel.DISK_ONLY))
+    return kept(df, StorageLevel.DISK_ONLY)

@@ -140,6 +140,24 @@ def test_scopes_hand_tables_on(spark):
     assert _tables(spark) == before
 
 
+def test_a_scope_releases_only_what_it_kept(spark):
+    mine = files.keep_on_disk(spark.range(11))  # without a scope
+    with scope(spark):
+        assert files.keep_on_disk(spark.range(11)).count() == 11
+    assert mine.storageLevel.useDisk
+    mine.unpersist()
+    with scope(spark) as outer:
+        first = files.keep_on_disk(spark.range(12))
+        with scope(spark):
+            assert files.keep_on_disk(spark.range(12)).count() == 12
+        assert first.storageLevel.useDisk
+        with scope(spark) as inner:  # one plan kept twice is handed on once
+            files.keep_on_disk(spark.range(13))
+            again = inner.keep(files.keep_on_disk(spark.range(13)))
+        assert again.storageLevel.useDisk and len(outer.frames) == 3
+    assert not first.storageLevel.useDisk and not again.storageLevel.useDisk
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Unset:
         def get(self, key, default=None):
