@@ -9,9 +9,11 @@ executor leaves no half file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ LEAST_RANGES, LEAST_BYTES = 64, 1 << 20
 SHARD_TOKENS = 1 << 22
 #: Bytes of text that are encoded together.
 GROUP_BYTES = 8 << 20
-#: Pieces of words, of each of two generations, whose ids a worker remembers.
-REMEMBERED = 100_000
+#: Units (pieces of words) whose ids a worker remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+#: Pieces that the library's model gets in one call.
+AT_ONCE = 4096
 
 #: Words of these characters alone are cut by a plain pattern; others go through the whole tokenizer.
 _PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
@@ -42,6 +46,11 @@ _WHOLE = "\0"
 _encoders: dict[str, Encoder] = {}
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where lists of these sizes begin, one after the other."""
+    return np.cumsum(sizes) - sizes
+
+
 def _gather(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the entries of the lists ``which``, one list after the other, and where each list ends.
 
@@ -50,7 +59,7 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[n
     each = sizes[which]
     ends = np.cumsum(each)
     n = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(n, int(starts[-1]) if len(starts) else 0) < 1 << 31 else np.int64
+    kind = np.int32 if max(n, int(starts.max(initial=0))) < 1 << 31 else np.int64
     return np.arange(n, dtype=kind) + np.repeat((starts[which] - (ends - each)).astype(kind), each), ends
 
 
@@ -63,7 +72,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
@@ -73,26 +82,76 @@ class Encoder:
         rest = [b for b in range(256) if b not in seen]
         self.letters = {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        # units met since the last change of generations, and those before it
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _unit(self, unit: str) -> bytes:
-        """The ids of a piece, or of a marked word."""
-        held = self.older.get(unit)
-        if held is None:
-            if unit.startswith(_WHOLE):
-                ids = self.whole.encode(unit[1:], add_special_tokens=False).ids
-            elif unit:
-                inner = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in self.model.tokenize(inner)]
-            else:
-                ids = []
-            held = np.array(ids, self.kind).tobytes()
-        if len(self.units) >= REMEMBERED:
-            self.units, self.older = {}, self.units
-        self.units[unit] = held
-        return held
+        # the model alone, over pieces in the byte alphabet that blanks part
+        self.pieces = Tokenizer(self.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocab, suffix = self.whole.get_vocab(), getattr(self.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.closing[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # unit -> its number; the ids of unit k are sizes[k] of ids from starts[k] on
+        self.units: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _pieces(self, inner: list[str]) -> tuple[list[int], np.ndarray]:
+        """The ids of pieces in the byte alphabet, one after the other, and the number of each."""
+        ids = self.pieces.encode_batch_fast([" ".join(inner)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) == len(inner) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        # a model whose last ids of words cannot be told from others
+        lists = [[t.id for t in self.model.tokenize(x)] for x in inner]
+        return list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64)
+
+    def _look_up(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces and marked words, one after the other, and the number of each."""
+        sizes = np.zeros(len(units), np.int64)
+        which = [i for i, u in enumerate(units) if u and not u.startswith(_WHOLE)]
+        marked = [i for i, u in enumerate(units) if u.startswith(_WHOLE)]
+        found = []
+        for low in range(0, len(which), AT_ONCE):
+            some = which[low : low + AT_ONCE]
+            inner = [u if (u := units[i]).isascii() else u.encode().decode("latin-1").translate(self.letters) for i in some]
+            ids, sizes[some] = self._pieces(inner)
+            found.append(np.array(ids, self.kind))
+        for i in marked:
+            ids = self.whole.encode(units[i][1:], add_special_tokens=False).ids
+            sizes[i] = len(ids)
+            found.append(np.array(ids, self.kind))
+        flat = np.concatenate([np.zeros(0, self.kind), *found])
+        # found came pieces first, then marked words
+        order = np.array(which + marked, np.int64)
+        starts = np.zeros(len(units), np.int64)
+        starts[order] = _starts(sizes[order])
+        return flat[_gather(starts, sizes, np.arange(len(units)))[0]], sizes
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """The number in memory of each of some distinct units; those not met before are looked up."""
+        get = self.units.get
+        at = np.array([get(u, -1) for u in units], np.int64)
+        places = np.flatnonzero(at < 0)
+        new = [units[i] for i in places.tolist()]
+        if not new:
+            return at
+        chars = sum(map(len, new))
+        if len(self.units) + len(new) > REMEMBERED or self.chars + chars > REMEMBERED_CHARS:
+            # forget all but the units of this call
+            kept = np.flatnonzero(at >= 0)
+            which = at[kept]
+            self.ids, self.sizes = self.ids[_gather(self.starts, self.sizes, which)[0]], self.sizes[which]
+            self.starts = _starts(self.sizes)
+            names = [units[i] for i in kept.tolist()]
+            self.units, self.chars = dict(zip(names, range(len(names)))), sum(map(len, names))
+            at[kept] = np.arange(len(kept))
+        n = len(self.units)
+        at[places] = np.arange(n, n + len(new))
+        ids, sizes = self._look_up(new)
+        self.units.update(zip(new, range(n, n + len(new))))
+        self.chars += chars
+        self.starts = np.concatenate((self.starts, _starts(sizes) + len(self.ids)))
+        self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+        return at
 
     def _cut(self, words: pa.Array) -> pa.Array:
         """The units of each distinct word."""
@@ -123,18 +182,12 @@ class Encoder:
         words = lists.flatten().dictionary_encode()
         cut = self._cut(words.dictionary)
         units = cut.flatten().dictionary_encode()
-        get, make = self.units.get, self._unit
-        ids = [ids if (ids := get(u)) is not None else make(u) for u in units.dictionary.to_pylist()]
-
-        def starts(sizes: np.ndarray) -> np.ndarray:
-            return np.cumsum(sizes) - sizes
-
+        at = self._numbers(units.dictionary.to_numpy(zero_copy_only=False).tolist())
         n_units = pc.list_value_length(cut).to_numpy().astype(np.int64)
-        place, word_ends = _gather(starts(n_units), n_units, words.indices.to_numpy())
+        place, word_ends = _gather(_starts(n_units), n_units, words.indices.to_numpy())
         width = np.dtype(self.kind).itemsize
-        n_ids = np.array([len(x) for x in ids], np.int64) // width
-        place, unit_ends = _gather(starts(n_ids), n_ids, units.indices.to_numpy()[place])
-        flat = np.frombuffer(b"".join(ids), self.kind)[place].tobytes()
+        place, unit_ends = _gather(self.starts[at], self.sizes[at], units.indices.to_numpy()[place])
+        flat = self.ids[place].tobytes()
         limits = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)))
         cuts = np.concatenate(([0], unit_ends))[np.concatenate(([0], word_ends))[limits]] * width
         return [flat[a:b] + end for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
@@ -143,6 +196,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
     if path not in _encoders:
+        # Spark deals out the work; the library's own threads would only wait
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
     return _encoders[path]
 

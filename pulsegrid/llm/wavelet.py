@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import struct
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
 
 MAGIC = b"WVM1"
 SAMPLE = 512  # bits between two rank samples
+STRETCH = 1 << 16  # ids moved at once, so that their places stay in the processor's cache
 
 
 class WaveletMatrix:
@@ -34,10 +36,24 @@ class WaveletMatrix:
             packed = np.concatenate((packed, np.zeros(-len(packed) % (SAMPLE // 8), np.uint8)))
             planes.append(packed)
             ranks.append(cls._samples(packed))
-            now = np.concatenate((now[~ones], now[ones]))
             zeros.append(len(ids) - int(ranks[-1][-1]))
+            down = np.empty_like(now)
+            for (a, b), rows, which in cls._stretches(ones, zeros[-1]):
+                down[a:b] = now[rows][which]
+            now = down
         return cls(len(ids), planes, ranks, zeros)
 
+    @staticmethod
+    def _stretches(ones: np.ndarray, zeros: int) -> Iterator[tuple[tuple[int, int], slice, np.ndarray]]:
+        """Where the zeros, then the ones, of each stretch lie on the plane below, the stretch, and their places in it."""
+        ends = [0, zeros]
+        for low in range(0, len(ones), STRETCH):
+            rows = slice(low, low + STRETCH)
+            for kind, bits in enumerate((~ones[rows], ones[rows])):
+                which = np.flatnonzero(bits)
+                a, ends[kind] = ends[kind], ends[kind] + len(which)
+                yield (a, ends[kind]), rows, which
+
     @staticmethod
     def _samples(packed: np.ndarray) -> np.ndarray:
         counts = np.bitwise_count(packed.view(np.uint64)).reshape(-1, SAMPLE // 64).sum(axis=1, dtype=np.uint32)
@@ -128,8 +144,9 @@ class WaveletMatrix:
         now = np.zeros(self.n, kind)
         for p in reversed(range(len(self.planes))):
             ones = np.unpackbits(self.planes[p], count=self.n, bitorder="little").astype(bool)
-            now |= (np.arange(self.n) >= self.zeros[p]).astype(kind) << kind(len(self.planes) - 1 - p)
+            now[self.zeros[p] :] |= kind(1) << kind(len(self.planes) - 1 - p)
             up = np.empty_like(now)
-            up[~ones], up[ones] = now[: self.zeros[p]], now[self.zeros[p] :]
+            for (a, b), rows, which in self._stretches(ones, self.zeros[p]):
+                up[rows][which] = now[a:b]
             now = up
         return now

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pulsegrid.llm import tokens
+from pulsegrid.llm import tokens, wavelet
 from pulsegrid.llm.wavelet import WaveletMatrix
 from pulsegrid.workspace import scratch_path
 
@@ -63,6 +63,43 @@ def test_groups_generations_and_long_texts(monkeypatch):
         assert np.frombuffer(ours.encode(t), ours.kind).tolist() == w
 
 
+def test_a_unit_is_looked_up_once():
+    """Far more units than two hundred thousand are remembered, and then the library is not asked again."""
+    ours = tokens.Encoder(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:14]] + ["日本", "ª¼"]
+    texts = [pa.array([" ".join(words[i : i + 50_000])]) for i in range(0, len(words), 50_000)]
+    first = [ours.encode_all(t, b"") for t in texts]
+    ours.whole = ours.model = ours.pieces = None
+    assert [ours.encode_all(t, b"") for t in texts] == first
+
+
+@pytest.mark.parametrize("forget", [False, True])
+def test_units_whose_ends_cannot_be_told(monkeypatch, forget):
+    """The model without marked word ends, batches of a few pieces, and a memory of few characters."""
+    monkeypatch.setattr(tokens, "AT_ONCE", 3)
+    if forget:
+        monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 50)
+    whole, ours, plain = Tokenizer.from_file(PATH), tokens.Encoder(PATH), tokens.Encoder(PATH)
+    plain.closing[:] = False
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("abcDEé É'’.,!?-<|>09½ \n\t ßÿ日") for _ in range(rng.randint(0, 120)))
+        want = whole.encode(text, add_special_tokens=False).ids
+        for encoder in (ours, plain):
+            assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == want, text
+
+
+@pytest.mark.parametrize(("n", "stretch"), [(5000, 64), (5000, 1 << 16), (150_000, 1 << 16)])
+def test_matrix_over_many_stretches(monkeypatch, n, stretch):
+    monkeypatch.setattr(wavelet, "STRETCH", stretch)
+    ids = np.random.default_rng(n).zipf(1.3, n) % 49408
+    matrix = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes())
+    assert (matrix.decode() == ids).all()
+    assert [matrix.access(i) for i in range(0, n, n // 97)] == ids[:: n // 97].tolist()
+    assert matrix.count(1, n // 3) == (ids[n // 3 :] == 1).sum()
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_round_trip(spark, monkeypatch, small):
     if small:
