@@ -34,7 +34,7 @@ SHARD_TOKENS = 1 << 22
 #: Bytes of text that are encoded together.
 GROUP_BYTES = 8 << 20
 #: Units (pieces of words) whose ids a worker remembers, and their characters.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+REMEMBERED, REMEMBERED_CHARS = 250_000, 16 << 20
 #: Pieces that the library's model gets in one call.
 AT_ONCE = 4096
 
